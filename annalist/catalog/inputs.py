@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist import schemas
-from annalist.functions.clock import rfc3339  # noqa: F401
 from annalist.functions.lsn import num_to_lsn
 from annalist.operators.numbering import number_within
-from annalist.sources.messages import normalize
+from annalist.plans.capture import capture_batch
+from annalist.session import scratch_folder
+from annalist.sources.messages import normalize, read_messages
+from annalist.sources.store import Store
 
 REDELIVERY_SHIFT = 1_000_000_000
 RELATION_COLUMNS = ("orderkey", "partkey", "quantity", "tax_pct", "discount_pct", "status")
@@ -50,7 +52,7 @@ def unnumbered_events(spark: SparkSession, folder: str) -> DataFrame:
 def numbered(events: DataFrame) -> DataFrame:
     return number_within(
         events, ["trail_id"], F.col("arrival"), [F.col("occured_at"), F.col("arrival")], "sequence"
-    ).select(*schemas.columns(schemas.EVENTS))
+    ).select(*schemas.EVENTS.fieldNames())
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,7 +228,7 @@ def _line_messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def change_log(spark: SparkSession, folder: str) -> DataFrame:
+def derived_log(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as transactions, line items as row changes, four slots.
 
     Some BEGINs and COMMITs are missing, relations change over time, and some
@@ -244,6 +246,50 @@ def change_log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Derived tables written by this session, by (application, kind, source folder).
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _written(spark: SparkSession, folder: str, kind: str) -> tuple[str, bool]:
+    """Folder of a derived table, and whether it still has to be written."""
+    key = (spark.sparkContext.applicationId, kind, folder)
+    fresh = key not in _WRITTEN
+    if fresh:
+        _WRITTEN[key] = scratch_folder(spark, kind)
+    return _WRITTEN[key], fresh
+
+
+def change_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The derived log as a table, landed once per session like a captured log would be."""
+    path, fresh = _written(spark, folder, "change-log")
+    if fresh:
+        derived_log(spark, folder).write.mode("overwrite").parquet(path)
+    return read_messages(spark, path)
+
+
+def halves(rows: DataFrame, position: str) -> list[DataFrame]:
+    """The rows in two steps of arrival, split at the middle of the position range."""
+    ends = rows.agg(F.min(position).alias("low"), F.max(position).alias("high")).first()
+    middle = (ends["low"] + ends["high"]) // 2
+    return [rows.where(F.col(position) <= middle), rows.where(F.col(position) > middle)]
+
+
+def log_steps(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The whole log in three steps of arrival: two halves, then the redeliveries."""
+    log = change_log(spark, folder)
+    first = F.col("pos") < REDELIVERY_SHIFT
+    return [*halves(log.where(first), "pos"), log.where(~first)]
+
+
+def stored_batch(spark: SparkSession, folder: str) -> Store:
+    """The whole log stored by the capture job as one batch, once per session."""
+    path, fresh = _written(spark, folder, "store")
+    store = Store(spark, path)
+    if fresh:
+        capture_batch(store, change_log(spark, folder), 0, clock=F.lit("2024-01-01 00:00:00"))
+    return store
+
+
 def stored_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
     """What an earlier run had reached by the start of 1996; the last slot never saved."""
     key = F.col("o_orderkey")

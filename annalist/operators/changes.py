@@ -17,7 +17,7 @@ from annalist.operators.segments import (
 )
 
 KEPT, UNKNOWN_RELATION, NO_TRANSACTION = "change", "unknown_relation", "no_transaction"
-NARROW = ("slot", "pos", "kind", "xid", "lsn", "commit_ts", "relation_id")
+NARROW = ("slot", "pos", "kind", "xid", "lsn", "commit_ts", "relation_id", "carried")
 
 
 def narrow(log: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def disposition() -> Column:
 
 
 def dispositions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    return with_context(narrow(log), bits, closing=False).select(
+    return with_context(narrow(log), bits, controls="before").select(
         "slot", "pos", "kind", "relation_id", disposition().alias("disposition")
     )
 
@@ -57,7 +57,7 @@ def relation_asof(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """Change messages with the relation version valid at their position; unknown ones dropped."""
     log = log.select(*NARROW, "namespace", "relation", "columns")
     return (
-        with_context(log, bits, ("namespace", "relation", "columns"), closing=False)
+        with_context(log, bits, ("namespace", "relation", "columns"), controls="none")
         .where(F.col("known").isNotNull())
         .select(
             "slot",
@@ -90,25 +90,29 @@ def pieces(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     buckets is one row per bucket, whatever its size. Needs no shuffle beyond
     that of ``with_context``.
     """
+    rows = with_context(narrow(log), bits)
+    # A BEGIN taken over with stored changes stands for its segment even if no
+    # further change arrives before the COMMIT.
+    taken_over = (F.col("kind") == BEGIN) & (F.col("carried") > 0)
     return (
-        with_context(narrow(log), bits)
-        .where(disposition() == KEPT)
-        .groupBy("slot", BUCKET, "before", "after")
-        .agg(F.count(F.lit(1)).alias("n"))
+        rows.where((disposition() == KEPT) | taken_over)
+        .withColumn("opener", F.when(taken_over, F.col("control")).otherwise(F.col("before")))
+        .groupBy("slot", BUCKET, "opener", "after")
+        .agg(F.count(F.when(~F.coalesce(taken_over, F.lit(False)), 1)).alias("n"))
     )
 
 
 def markers(chosen: DataFrame, bits: int) -> DataFrame:
     """One row per (chosen segment, bucket), placed just before the bucket.
 
-    ``chosen``: slot, begin_pos, commit_lsn and ``pieces``, the kept changes
-    counted per bucket. ``first`` is the number of changes in earlier buckets.
+    ``chosen``: slot, begin_pos, commit_lsn, carried, and ``pieces``, the kept
+    changes counted per bucket. ``first`` is how many changes come before the bucket.
     """
     earlier = Window.partitionBy("slot", "begin_pos").orderBy(BUCKET).rowsBetween(*BEFORE_ROW)
     return (
-        chosen.select("slot", "begin_pos", "commit_lsn", F.explode("pieces").alias("piece"))
-        .select("slot", "begin_pos", "commit_lsn", F.col("piece.bucket").alias(BUCKET), F.col("piece.n").alias("n"))
-        .withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        chosen.select("slot", "begin_pos", "commit_lsn", "carried", F.explode("pieces").alias("piece"))
+        .withColumn(BUCKET, F.col("piece.bucket"))
+        .withColumn("first", F.col("carried") + F.coalesce(F.sum("piece.n").over(earlier), F.lit(0)))
         .select(
             "slot",
             BUCKET,
@@ -126,7 +130,7 @@ def numbered_changes(log: DataFrame, chosen: DataFrame, bits: int = DEFAULT_BITS
     of transactions nor the numbering needs a join with the changes.
     """
     rows = with_context(
-        log, bits, ("namespace", "relation", "columns"), extra=markers(chosen, bits), closing=False
+        log, bits, ("namespace", "relation", "columns"), markers=markers(chosen, bits), controls="before"
     )
     marked = F.col("marker").isNotNull()
     rows = rows.where(marked | (disposition() == KEPT)).withColumn(

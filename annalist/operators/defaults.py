@@ -14,10 +14,10 @@ SOURCE_DB = "traildb"
 # Defaults by table; any other absent column is NULL.
 _EMPTY = "array()"
 DEFAULTS = {
-    schemas.TRAILS: {"created_at": "now", "updated_at": "now"},
-    schemas.EVENTS: {"occured_at": "now"},
-    schemas.WAL_TRANSACTION: {"change_count": 0, "safety_flags": _EMPTY, "ingested_at": "now"},
-    schemas.WAL_CHANGE: {
+    "trails": {"created_at": "now", "updated_at": "now"},
+    "events": {"occured_at": "now"},
+    "wal_transaction": {"change_count": 0, "safety_flags": _EMPTY, "ingested_at": "now"},
+    "wal_change": {
         "changed_columns": _EMPTY,
         "forward_dml_sql": "",
         "reverse_dml_sql": "",
@@ -26,18 +26,27 @@ DEFAULTS = {
         "safety_flags": _EMPTY,
         "created_at": "now",
     },
-    schemas.WAL_CHECKPOINT: {"updated_at": "now"},
+    "wal_checkpoint": {"updated_at": "now"},
 }
 
 
-def with_defaults(rows: DataFrame, schema: str, clock: Column | None = None) -> DataFrame:
+SCHEMAS = {
+    "trails": schemas.TRAILS,
+    "events": schemas.EVENTS,
+    "wal_transaction": schemas.WAL_TRANSACTION,
+    "wal_change": schemas.WAL_CHANGE,
+    "wal_checkpoint": schemas.WAL_CHECKPOINT,
+}
+
+
+def with_defaults(rows: DataFrame, table: str, clock: Column | None = None) -> DataFrame:
     """All columns of the table in order; absent or NULL ones take their default."""
     present = set(rows.columns)
 
     def default(name: str) -> Column | None:
-        if name not in DEFAULTS[schema]:
+        if name not in DEFAULTS[table]:
             return None
-        value = DEFAULTS[schema][name]
+        value = DEFAULTS[table][name]
         if value == "now":
             return stamp(clock)
         return F.array().cast("array<string>") if value == _EMPTY else F.lit(value)
@@ -51,4 +60,4 @@ def with_defaults(rows: DataFrame, schema: str, clock: Column | None = None) ->
             value = given if fallback is None else F.coalesce(given, fallback)
         return value.cast(field.dataType).alias(field.name)
 
-    return rows.select(*[filled(f) for f in schemas.struct_type(schema).fields])
+    return rows.select(*[filled(f) for f in SCHEMAS[table].fields])

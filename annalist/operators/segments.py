@@ -34,7 +34,7 @@ def control() -> Column:
     """What later rows need to know about a control message; NULL on other rows."""
     return F.when(
         F.col("kind").isin(*CONTROL_KINDS),
-        F.struct("pos", "kind", "xid", "lsn", "commit_ts"),
+        F.struct("pos", "kind", "xid", "lsn", "commit_ts", F.coalesce("carried", F.lit(0)).alias("carried")),
     )
 
 
@@ -55,7 +55,7 @@ def segments(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     Reads control messages only.
     """
     controls = log.where(F.col("kind").isin(*CONTROL_KINDS)).select(
-        "slot", "pos", "kind", "xid", "lsn", "commit_ts"
+        "slot", "pos", "kind", "xid", "lsn", "commit_ts", "carried"
     )
     carried = carries(controls, ["slot"], "pos", control(), bits)
     rows = (
@@ -90,40 +90,45 @@ def with_context(
     log: DataFrame,
     bits: int = DEFAULT_BITS,
     relation_fields: tuple[str, ...] = (),
-    extra: DataFrame | None = None,
-    closing: bool = True,
+    markers: DataFrame | None = None,
+    controls: str = "both",
 ) -> DataFrame:
     """Add to every message what the messages around it decide.
 
-    ``before`` / ``after``: the nearest control message on either side.
+    ``before`` / ``after``: the nearest control message on either side; asked for
+    by ``controls``: "both", "before" or "none".
     ``known``: the latest earlier message about the same relation id, with the
     asked-for fields; NULL when the relation was not announced yet. Relations
     outlive transactions.
+    ``control``: the message's own control values, NULL on other messages.
 
     The log is shuffled once, by (slot, bucket), and everything downstream that
-    groups by (slot, bucket, ...) reuses that partitioning. ``extra`` rows join
-    the same shuffle and are marked as seeds; seeds other than those are removed.
+    groups by (slot, bucket, ...) reuses that partitioning. ``markers`` travel in
+    the same shuffle and come out as seed rows with ``marker`` set.
     """
-    rows = log.withColumn(BUCKET, bucket_of(F.col("pos"), bits))
-    controls = carries(log, ["slot"], "pos", control(), bits)
     announced = log.where(F.col("kind").isin(RELATION, *CHANGE_KINDS))
     versions = carries(announced, ["slot", "relation_id"], "pos", relation_version(*relation_fields), bits)
     rows = (
-        rows.withColumn("control", control())
+        log.withColumn(BUCKET, bucket_of(F.col("pos"), bits))
+        .withColumn("control", control())
         .withColumn("version", relation_version(*relation_fields))
         .withColumn(SEED, F.lit(False))
-        .unionByName(seeds(controls, ["slot"], "pos", "control", bits, closing), allowMissingColumns=True)
         .unionByName(seeds(versions, ["slot", "relation_id"], "pos", "version", bits), allowMissingColumns=True)
     )
+    if controls != "none":
+        around = carries(log, ["slot"], "pos", control(), bits)
+        rows = rows.unionByName(
+            seeds(around, ["slot"], "pos", "control", bits, closing=controls == "both"), allowMissingColumns=True
+        )
     keep = ~F.col(SEED)
-    if extra is not None:
-        rows = rows.unionByName(extra.withColumn(SEED, F.lit(True)), allowMissingColumns=True)
+    if markers is not None:
+        rows = rows.unionByName(markers.withColumn(SEED, F.lit(True)), allowMissingColumns=True)
         keep = keep | F.col("marker").isNotNull()
-    rows = rows.withColumn("before", last_before("control", "pos", "slot", BUCKET))
-    if closing:
+    if controls != "none":
+        rows = rows.withColumn("before", last_before("control", "pos", "slot", BUCKET))
+    if controls == "both":
         rows = rows.withColumn("after", first_after("control", "pos", "slot", BUCKET))
-    # Only relation and change messages carry a relation id, so the third sort
-    # skips the control messages, whose state the windows above have passed on.
-    return rows.withColumn(
-        "known", F.when(F.col("kind").isin(*CHANGE_KINDS), last_before("version", "pos", "slot", BUCKET, "relation_id"))
-    ).where(keep).drop("control", "version")
+    known = last_before("version", "pos", "slot", BUCKET, "relation_id")
+    return (
+        rows.withColumn("known", F.when(F.col("kind").isin(*CHANGE_KINDS), known)).where(keep).drop("version")
+    )

@@ -32,13 +32,16 @@ def trace(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     Row values appear only when the relation is known. Old values are left out of
     updates and deletes that carry none.
     """
-    rows = with_context(log, bits, ("namespace", "relation", "columns"), closing=False)
+    rows = with_context(log, bits, ("namespace", "relation", "columns"), controls="none")
     kind, columns = F.col("kind"), F.col("known.columns")
     title = F.lit(None).cast("string")
     for code, words in TITLES.items():
         title = F.when(kind == code, F.lit(words)).otherwise(title)
     table = F.when(F.col("known").isNull(), F.concat(F.lit("Unknown (relation "), F.col("relation_id"), F.lit(")")))
     table = table.otherwise(F.concat_ws(".", "known.namespace", "known.relation"))
+    names = F.transform(
+        "columns", lambda name, i: F.concat(F.lit("    Column "), i.cast("string"), F.lit(": "), name)
+    )
     is_known = F.col("known").isNotNull()
     lines = F.array(
         F.concat(F.lit("["), trace_stamp(F.col("received_at")), F.lit("] "), F.coalesce(title, F.lit("UNKNOWN MESSAGE TYPE"))),
@@ -48,6 +51,7 @@ def trace(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
         F.when(kind == "R", _detail("Namespace", F.col("namespace"))),
         F.when(kind == "R", _detail("Table", F.col("relation"))),
         F.when(kind == "R", _detail("Columns", F.size("columns"))),
+        F.when((kind == "R") & (F.size("columns") > 0), F.array_join(names, "\n")),
         F.when(kind.isin(*CHANGE_KINDS), _detail("Table", table)),
         F.when(is_known & (kind == "U") & F.col("old_tuple").isNotNull(), printable_tuple("  Old Row", columns, F.col("old_tuple"))),
         F.when(is_known & (kind == "D") & F.col("old_tuple").isNotNull(), printable_tuple("  Deleted Row", columns, F.col("old_tuple"))),

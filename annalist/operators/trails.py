@@ -9,8 +9,8 @@ from annalist import schemas
 from annalist.functions.clock import rfc3339
 from annalist.functions.event_types import is_named
 
-TRAIL_COLUMNS = schemas.columns(schemas.TRAILS)
-EVENT_COLUMNS = schemas.columns(schemas.EVENTS)
+TRAIL_COLUMNS = schemas.TRAILS.fieldNames()
+EVENT_COLUMNS = schemas.EVENTS.fieldNames()
 
 # Events per assembled row. A longer trail continues in further rows, so no row
 # and no task ever holds more than this many events of one trail.
@@ -108,14 +108,12 @@ def parse_replay_args(requests: DataFrame) -> DataFrame:
 def replay(events: DataFrame, requests: DataFrame) -> DataFrame:
     """Events from the requested sequence on, inclusive, in stored order.
 
-    ``requests``: trail_id, from_sequence, at most one row per trail. The lowest
-    requested start is applied to the scan; a trail with very many events is split
-    by adaptive skew handling, as the sort after the join shuffles anyway.
+    ``requests``: trail_id, from_sequence, at most one row per trail. A trail with
+    very many events is split by adaptive skew handling, which can act here because
+    the sort after the join shuffles anyway.
     """
-    lowest = requests.agg(F.min("from_sequence").alias("low")).scalar()
     return (
-        events.where(F.col("sequence") >= lowest)
-        .join(requests.select("trail_id", "from_sequence"), "trail_id")
+        events.join(requests.select("trail_id", "from_sequence"), "trail_id")
         .where(F.col("sequence") >= F.col("from_sequence"))
         .select(*EVENT_COLUMNS)
         .orderBy("trail_id", "sequence")

@@ -11,39 +11,50 @@ from annalist.operators.changes import pieces
 from annalist.operators.segments import COMMIT, COMMITTED, segments
 
 
-def rollup(counted: DataFrame) -> DataFrame:
-    """One row per committed, non-empty transaction.
+def by_segment(counted: DataFrame) -> DataFrame:
+    """One row per segment that has changes, whatever its outcome.
 
     ``counted`` holds one row per (segment, bucket) and has been reduced map-side,
     so a transaction of any size reaches this step as one row per 2^bits positions;
-    ``pieces`` keeps those counts. A commit position that is no valid LSN is
-    dropped, as nothing may be stored for it.
+    ``pieces`` keeps those counts.
     """
     return (
-        counted.where(F.col("after.kind") == COMMIT)
-        .groupBy("slot", "before", "after")
+        counted.groupBy("slot", "opener", "after")
         .agg(
-            F.sum("n").alias("change_count"),
+            F.sum("n").alias("n"),
             F.collect_list(F.struct(F.col(BUCKET).alias("bucket"), "n")).alias("pieces"),
         )
         .select(
             "slot",
-            F.col("before.pos").alias("begin_pos"),
+            F.col("opener.pos").alias("begin_pos"),
             F.col("after.pos").alias("commit_pos"),
-            F.col("before.xid").alias("xid"),
-            F.nullif(F.col("before.lsn"), F.lit("")).alias("begin_lsn"),
+            F.col("after.kind").alias("closed_by"),
+            F.col("opener.xid").alias("xid"),
+            F.nullif(F.col("opener.lsn"), F.lit("")).alias("begin_lsn"),
             F.col("after.lsn").alias("commit_lsn"),
             lsn_to_num(F.col("after.lsn")).alias("commit_lsn_num"),
             F.col("after.commit_ts").alias("commit_ts"),
-            "change_count",
+            (F.col("n") + F.col("opener.carried")).alias("change_count"),
+            F.col("opener.carried").alias("carried"),
             "pieces",
         )
-        .where(F.col("commit_lsn_num").isNotNull())
     )
 
 
+def committed(by_segment: DataFrame) -> DataFrame:
+    """Segments closed by a COMMIT. One whose position is no valid LSN is dropped,
+    as nothing may be stored for it."""
+    closed = (F.col("closed_by") == COMMIT) & F.col("commit_lsn_num").isNotNull()
+    return by_segment.where(closed).drop("closed_by")
+
+
+def still_open(by_segment: DataFrame) -> DataFrame:
+    return by_segment.where(F.col("closed_by").isNull()).drop("closed_by")
+
+
 def transactions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    return rollup(pieces(log, bits))
+    """One row per committed, non-empty transaction, redeliveries included."""
+    return committed(by_segment(pieces(log, bits)))
 
 
 def first_deliveries(delivered: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -68,6 +79,6 @@ def first_deliveries(delivered: DataFrame, existing: DataFrame | None = None) ->
 
 def empty_transactions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """Committed transactions without a kept change: never stored, no checkpoint move."""
-    committed = segments(log, bits).where(F.col("state") == COMMITTED).drop("state")
-    stored = pieces(log, bits).select("slot", F.col("before.pos").alias("begin_pos"))
-    return committed.join(stored, ["slot", "begin_pos"], "left_anti")
+    closed = segments(log, bits).where(F.col("state") == COMMITTED).drop("state")
+    stored = pieces(log, bits).select("slot", F.col("opener.pos").alias("begin_pos"))
+    return closed.join(stored, ["slot", "begin_pos"], "left_anti")

@@ -47,15 +47,19 @@ def known_and_unknown(requests: DataFrame, trails: DataFrame, key: str) -> tuple
     )
 
 
+def lengths_of(events: DataFrame) -> DataFrame:
+    return events.groupBy("trail_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def appended_events(
-    trails: DataFrame, events: DataFrame, pending: DataFrame, hot_rows: int = HOT_ROWS
+    trails: DataFrame, lengths: DataFrame, pending: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Pending events of known trails, numbered after the events each trail already has.
 
-    ``pending``: id, trail_id, type, payload, occured_at, arrival. The next number
-    is count + 1, also where the stored sequences have gaps.
+    ``lengths``: trail_id, n. ``pending``: id, trail_id, type, payload, occured_at,
+    arrival. The next number is count + 1, also where the stored sequences have gaps.
     """
-    counts = events.groupBy(F.col("trail_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    counts = lengths.withColumnRenamed("trail_id", "id")
     base = trails.select("id").join(counts, "id", "left").select(
         F.col("id").alias("trail_id"), F.coalesce(F.col("n"), F.lit(0)).alias("base")
     )
@@ -75,7 +79,7 @@ def append_events(
     trails: DataFrame, events: DataFrame, pending: DataFrame, hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All events after the append, the touched trails table, and the rejects."""
-    added = appended_events(trails, events, pending, hot_rows)
+    added = appended_events(trails, lengths_of(events), pending, hot_rows)
     return (
         events.select(*EVENT_COLUMNS).unionByName(added),
         touch_trails(trails, added),

@@ -2,48 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
-TRAILS = "id string, name string, created_at timestamp_ntz, updated_at timestamp_ntz"
+TEXT, LONG, INT, TIME, BYTES = T.StringType(), T.LongType(), T.IntegerType(), T.TimestampNTZType(), T.BinaryType()
+TEXTS = T.ArrayType(T.StringType())
+LSN_NUMBER = T.DecimalType(20, 0)
+TUPLE = T.ArrayType(T.StructType([T.StructField("kind", TEXT), T.StructField("value", TEXT)]))
+
+
+def table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, data_type) for name, data_type in columns.items()])
+
+
+TRAILS = table(id=TEXT, name=TEXT, created_at=TIME, updated_at=TIME)
 
 # ``occured_at`` keeps its customary spelling in the stored data.
-EVENTS = "id string, trail_id string, type string, payload string, occured_at timestamp_ntz, sequence bigint"
+EVENTS = table(id=TEXT, trail_id=TEXT, type=TEXT, payload=TEXT, occured_at=TIME, sequence=LONG)
 
-TUPLE = "array<struct<kind: string, value: string>>"
+# Events still to be numbered; ``arrival`` is their order.
+PENDING = table(id=TEXT, trail_id=TEXT, type=TEXT, payload=TEXT, occured_at=TIME, arrival=LONG)
 
 # One row per decoded change message; ``pos`` is the arrival order within a slot
 # and unique there. ``kind``: B begin, C commit, R relation, I insert, U update,
-# D delete, T truncate; NULL marks a message that could not be decoded.
-MESSAGES = (
-    "slot string, pos bigint, kind string, xid bigint, lsn string, commit_ts timestamp_ntz, "
-    "relation_id bigint, namespace string, relation string, columns array<string>, "
-    f"old_tuple {TUPLE}, new_tuple {TUPLE}, received_at timestamp_ntz"
+# D delete, T truncate; NULL marks a message that could not be decoded. ``carried``
+# is set only on a BEGIN taken over from an earlier micro-batch: how many of its
+# changes are stored already.
+MESSAGES = table(
+    slot=TEXT,
+    pos=LONG,
+    kind=TEXT,
+    xid=LONG,
+    lsn=TEXT,
+    commit_ts=TIME,
+    relation_id=LONG,
+    namespace=TEXT,
+    relation=TEXT,
+    columns=TEXTS,
+    old_tuple=TUPLE,
+    new_tuple=TUPLE,
+    received_at=TIME,
+    carried=LONG,
 )
 
-WAL_TRANSACTION = (
-    "source_slot string, source_db string, xid bigint, begin_lsn string, commit_lsn string, "
-    "commit_lsn_num decimal(20,0), end_lsn string, commit_ts timestamp_ntz, origin_name string, "
-    "tenant_id string, change_count int, forward_sql_text string, reverse_sql_text string, "
-    "forward_sql_hash binary, reverse_sql_hash binary, safety_flags array<string>, "
-    "ingest_batch_id string, ingested_at timestamp_ntz, begin_pos bigint"
+# A transaction is identified by its slot and commit position; ``begin_pos`` links
+# it to its changes, also while its commit is not known yet.
+WAL_TRANSACTION = table(
+    source_slot=TEXT,
+    source_db=TEXT,
+    xid=LONG,
+    begin_lsn=TEXT,
+    commit_lsn=TEXT,
+    commit_lsn_num=LSN_NUMBER,
+    end_lsn=TEXT,
+    commit_ts=TIME,
+    origin_name=TEXT,
+    tenant_id=TEXT,
+    change_count=INT,
+    forward_sql_text=TEXT,
+    reverse_sql_text=TEXT,
+    forward_sql_hash=BYTES,
+    reverse_sql_hash=BYTES,
+    safety_flags=TEXTS,
+    ingest_batch_id=TEXT,
+    ingested_at=TIME,
+    begin_pos=LONG,
 )
 
-WAL_CHANGE = (
-    "source_slot string, commit_lsn string, begin_pos bigint, change_seq_in_txn int, change_lsn string, "
-    "tenant_id string, schema_name string, table_name string, table_oid bigint, op string, "
-    "replica_identity_mode string, row_pk string, old_row string, new_row string, "
-    "changed_columns array<string>, forward_dml_sql string, reverse_dml_sql string, "
-    "forward_sql_hash binary, reverse_sql_hash binary, reverse_where_sql string, "
-    "affected_row_count int, undo_status string, undo_applied_at timestamp_ntz, "
-    "undo_applied_by string, safety_flags array<string>, created_at timestamp_ntz"
+WAL_CHANGE = table(
+    source_slot=TEXT,
+    commit_lsn=TEXT,
+    begin_pos=LONG,
+    change_seq_in_txn=INT,
+    change_lsn=TEXT,
+    tenant_id=TEXT,
+    schema_name=TEXT,
+    table_name=TEXT,
+    table_oid=LONG,
+    op=TEXT,
+    replica_identity_mode=TEXT,
+    row_pk=TEXT,
+    old_row=TEXT,
+    new_row=TEXT,
+    changed_columns=TEXTS,
+    forward_dml_sql=TEXT,
+    reverse_dml_sql=TEXT,
+    forward_sql_hash=BYTES,
+    reverse_sql_hash=BYTES,
+    reverse_where_sql=TEXT,
+    affected_row_count=INT,
+    undo_status=TEXT,
+    undo_applied_at=TIME,
+    undo_applied_by=TEXT,
+    safety_flags=TEXTS,
+    created_at=TIME,
 )
 
-WAL_CHECKPOINT = "slot_name string, last_lsn string, last_lsn_num decimal(20,0), updated_at timestamp_ntz"
-
-
-def struct_type(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-def columns(ddl: str) -> list[str]:
-    return struct_type(ddl).fieldNames()
+WAL_CHECKPOINT = table(slot_name=TEXT, last_lsn=TEXT, last_lsn_num=LSN_NUMBER, updated_at=TIME)

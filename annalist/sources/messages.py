@@ -10,7 +10,7 @@ from annalist import schemas
 
 def normalize(messages: DataFrame) -> DataFrame:
     """Bring messages to the canonical columns; absent ones become NULL."""
-    fields = schemas.struct_type(schemas.MESSAGES).fields
+    fields = schemas.MESSAGES.fields
     present = set(messages.columns)
     return messages.select(
         *[
@@ -24,8 +24,13 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return normalize(spark.read.schema(schemas.MESSAGES).parquet(path))
 
 
-def read_message_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Files are taken in the order they were added; ``max_files`` bounds one micro-batch."""
-    return normalize(
-        spark.readStream.schema(schemas.MESSAGES).option("maxFilesPerTrigger", max_files).parquet(path)
-    )
+def read_message_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Messages from files in the order the files were added.
+
+    Positions of a slot must not fall from one file to the next if ``max_files``
+    bounds the files of a micro-batch; without it a batch takes all new files.
+    """
+    reader = spark.readStream.schema(schemas.MESSAGES)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return normalize(reader.parquet(path))
