@@ -14,7 +14,17 @@ from annalist.functions.clock import utc_now
 from annalist.functions.lsn import lsn_to_num, num_to_lsn
 from annalist.functions.payload import decode_payload, encode_payload, payload_class
 from annalist.functions.tuples import tuple_to_json
-from annalist.operators import audits, changes, checkpoints, defaults, segments, trace, trails, transactions, writes
+from annalist.operators import (
+    audits,
+    changes,
+    checkpoints,
+    relations,
+    segments,
+    trace,
+    trails,
+    transactions,
+    writes,
+)
 from annalist.operators.numbering import number_within
 from annalist.plans.capture import capture
 from annalist.session import scratch_folder
@@ -370,12 +380,12 @@ def wal_message_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def wal_segments(spark: SparkSession, folder: str) -> DataFrame:
     rows = segments.segments(inputs.change_log(spark, folder))
-    return rows.withColumn("xid", shown("xid")).withColumn("commit_pos", shown("commit_pos"))
+    return rows.withColumn("xid", shown("xid")).withColumn("commit_pos", shown("commit_pos")).drop("carried")
 
 
 @query
 def wal_relation_asof(spark: SparkSession, folder: str) -> DataFrame:
-    return changes.relation_asof(inputs.change_log(spark, folder)).withColumn("columns", F.array_join("columns", ","))
+    return relations.relation_asof(inputs.change_log(spark, folder)).withColumn("columns", F.array_join("columns", ","))
 
 
 @query
@@ -612,7 +622,7 @@ def audit_wal_keys(spark: SparkSession, folder: str) -> DataFrame:
 def audit_change_fk(spark: SparkSession, folder: str) -> DataFrame:
     """Changes taken from the log whose transaction was never stored, per segment."""
     log = inputs.change_log(spark, folder)
-    taken = changes.pieces(log).select("slot", F.col("opener.pos").alias("begin_pos"), "n")
+    taken = changes.pieces(log).select("slot", "begin_pos", "n")
     stored = inputs.stored_batch(spark, folder).transactions()
     rows = audits.missing_parents(taken, stored, ["slot", "begin_pos"], ["source_slot", "begin_pos"], "change_transaction_fk")
     return rows.groupBy("slot", "begin_pos", "rule").agg(F.sum("n").alias("n"))

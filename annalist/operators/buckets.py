@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
 SEED = "_seed"
-DEFAULT_BITS = 20
+DEFAULT_BITS = 17
 
 BEFORE_ROW = (Window.unboundedPreceding, -1)
 
@@ -45,21 +45,21 @@ def above(bucket: Column, bits: int) -> Column:
 def carries(rows: DataFrame, keys: Sequence[str], position: str, value: Column, bits: int) -> DataFrame:
     """Per (keys, bucket): the last value in earlier buckets, the first in later ones.
 
-    NULL values do not count. One row per bucket that has any row.
+    Values grow with the position: numbers that do, or structs led by one. NULL
+    values do not count. One row per bucket that has any row.
     """
-    stamped = F.when(value.isNotNull(), F.struct(F.col(position).alias("at"), value.alias("value")))
     edges = (
         rows.withColumn(BUCKET, bucket_of(F.col(position), bits))
         .groupBy(*keys, BUCKET)
-        .agg(F.max(stamped).alias("newest"), F.min(stamped).alias("oldest"))
+        .agg(F.max(value).alias("newest"), F.min(value).alias("oldest"))
     )
     earlier = Window.partitionBy(*keys).orderBy(F.asc(BUCKET)).rowsBetween(*BEFORE_ROW)
     later = Window.partitionBy(*keys).orderBy(F.desc(BUCKET)).rowsBetween(*BEFORE_ROW)
     return edges.select(
         *keys,
         BUCKET,
-        F.last("newest", ignorenulls=True).over(earlier)["value"].alias("from_before"),
-        F.last("oldest", ignorenulls=True).over(later)["value"].alias("from_after"),
+        F.last("newest", ignorenulls=True).over(earlier).alias("from_before"),
+        F.last("oldest", ignorenulls=True).over(later).alias("from_after"),
     )
 
 

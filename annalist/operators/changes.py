@@ -6,72 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.tuples import tuple_to_json
-from annalist.operators.buckets import BEFORE_ROW, BUCKET, DEFAULT_BITS, SEED, below
+from annalist.operators.buckets import BEFORE_ROW, BUCKET, DEFAULT_BITS, below
+from annalist.operators.relations import with_relations
 from annalist.operators.segments import (
     BEGIN,
     CHANGE_KINDS,
     COMMIT,
     RELATION,
     TRUNCATE,
-    with_context,
+    begin_position,
+    in_segment,
+    with_segment_state,
 )
 
 KEPT, UNKNOWN_RELATION, NO_TRANSACTION = "change", "unknown_relation", "no_transaction"
-NARROW = ("slot", "pos", "kind", "xid", "lsn", "commit_ts", "relation_id", "carried")
-
-
-def narrow(log: DataFrame) -> DataFrame:
-    """The columns that decide transactions; tuples and column lists stay behind."""
-    return log.select(*NARROW)
 
 
 def disposition() -> Column:
-    """Outcome of a message, from the columns of ``with_context``.
+    """Outcome of a message, from the columns of ``with_segment_state``.
 
     An unknown relation is noticed before a missing transaction. Truncates and
     unknown kinds are reported but never stored and take no number.
     """
     kind = F.col("kind")
-    in_transaction = F.coalesce(F.col("before.kind") == BEGIN, F.lit(False))
     return (
         F.when(kind.isNull(), "undecodable")
         .when(kind == BEGIN, "begin")
-        .when((kind == COMMIT) & in_transaction, "commit")
+        .when((kind == COMMIT) & in_segment(), "commit")
         .when(kind == COMMIT, "commit_ignored")
         .when(kind == RELATION, "relation")
         .when(kind == TRUNCATE, "truncate")
         .when(~kind.isin(*CHANGE_KINDS), "unknown_kind")
         .when(F.col("known").isNull(), UNKNOWN_RELATION)
-        .when(~in_transaction, NO_TRANSACTION)
+        .when(~in_segment(), NO_TRANSACTION)
         .otherwise(KEPT)
     )
 
 
 def dispositions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    return with_context(narrow(log), bits, controls="before").select(
+    return with_segment_state(log, bits).select(
         "slot", "pos", "kind", "relation_id", disposition().alias("disposition")
     )
 
 
-def relation_asof(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    """Change messages with the relation version valid at their position; unknown ones dropped."""
-    log = log.select(*NARROW, "namespace", "relation", "columns")
-    return (
-        with_context(log, bits, ("namespace", "relation", "columns"), controls="none")
-        .where(F.col("known").isNotNull())
-        .select(
-            "slot",
-            "pos",
-            "kind",
-            "relation_id",
-            F.col("known.pos").alias("relation_pos"),
-            F.col("known.namespace").alias("schema_name"),
-            F.col("known.relation").alias("table_name"),
-            F.col("known.columns").alias("columns"),
-        )
-    )
-
-
 def row_images(columns: Column, repeats: Column | None = None) -> tuple[Column, Column]:
     """Old and new image by kind: insert has new only, delete old only, update both.
 
@@ -84,40 +61,37 @@ def row_images(columns: Column, repeats: Column | None = None) -> tuple[Column,
 
 
 def pieces(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    """Kept changes counted per (segment, bucket), with the segment's two ends.
+    """Kept changes counted per (segment, bucket): slot, bucket, begin_pos, n.
 
-    A transaction that lies inside one bucket is one row; one that crosses
-    buckets is one row per bucket, whatever its size. Needs no shuffle beyond
-    that of ``with_context``.
+    A segment that lies inside one bucket is one row; one that crosses buckets is
+    one row per bucket, whatever its size. Reads four narrow columns of the log and
+    needs no shuffle beyond that of ``with_segment_state``.
     """
-    rows = with_context(narrow(log), bits)
-    # A BEGIN taken over with stored changes stands for its segment even if no
-    # further change arrives before the COMMIT.
-    taken_over = (F.col("kind") == BEGIN) & (F.col("carried") > 0)
     return (
-        rows.where((disposition() == KEPT) | taken_over)
-        .withColumn("opener", F.when(taken_over, F.col("control")).otherwise(F.col("before")))
-        .groupBy("slot", BUCKET, "opener", "after")
-        .agg(F.count(F.when(~F.coalesce(taken_over, F.lit(False)), 1)).alias("n"))
+        with_segment_state(log, bits)
+        .where(disposition() == KEPT)
+        .groupBy("slot", BUCKET, begin_position().alias("begin_pos"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def markers(chosen: DataFrame, bits: int) -> DataFrame:
-    """One row per (chosen segment, bucket), placed just before the bucket.
+    """One row per (chosen segment, bucket): at its BEGIN, or just before the bucket
+    it continues in.
 
-    ``chosen``: slot, begin_pos, commit_lsn, carried, and ``pieces``, the kept
-    changes counted per bucket. ``first`` is how many changes come before the bucket.
+    ``chosen``: slot, begin_pos, commit_pos, commit_lsn, carried, and ``pieces``, the
+    kept changes counted per bucket. ``first`` is how many changes come before.
     """
     earlier = Window.partitionBy("slot", "begin_pos").orderBy(BUCKET).rowsBetween(*BEFORE_ROW)
     return (
-        chosen.select("slot", "begin_pos", "commit_lsn", "carried", F.explode("pieces").alias("piece"))
+        chosen.select("slot", "begin_pos", "commit_pos", "commit_lsn", "carried", F.explode("pieces").alias("piece"))
         .withColumn(BUCKET, F.col("piece.bucket"))
         .withColumn("first", F.col("carried") + F.coalesce(F.sum("piece.n").over(earlier), F.lit(0)))
         .select(
             "slot",
             BUCKET,
-            below(F.col(BUCKET), bits).alias("pos"),
-            F.struct("begin_pos", "first", "commit_lsn").alias("marker"),
+            F.greatest("begin_pos", below(F.col(BUCKET), bits)).alias("pos"),
+            F.struct("begin_pos", "commit_pos", "commit_lsn", "first").alias("marker"),
         )
     )
 
@@ -125,35 +99,51 @@ def markers(chosen: DataFrame, bits: int) -> DataFrame:
 def numbered_changes(log: DataFrame, chosen: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """Row changes of the chosen segments with images and dense numbers from 1.
 
-    The wide log is shuffled exactly once: the markers of the chosen segments
-    travel in the same shuffle and lead their piece's window, so neither the choice
-    of transactions nor the numbering needs a join with the changes.
+    The wide log is shuffled exactly once. Markers of the chosen segments travel in
+    the same shuffle: a change belongs to the last marker before it if that segment
+    is not over yet, and its number is the count of known changes since. So neither
+    the choice of transactions nor the numbering joins anything with the changes.
     """
-    rows = with_context(
-        log, bits, ("namespace", "relation", "columns"), markers=markers(chosen, bits), controls="before"
+    rows = with_relations(
+        log.where(F.col("kind").isin(RELATION, *CHANGE_KINDS)), bits, markers(chosen, bits)
+    ).where(F.col("marker").isNotNull() | F.col("known").isNotNull())
+    # Images replace the tuples before the second window, whose rows stay small.
+    old, new = row_images(F.col("known.columns"), F.col("known.repeats"))
+    rows = rows.select(
+        "slot",
+        BUCKET,
+        "pos",
+        "marker",
+        F.col("known.pos").alias("relation_pos"),
+        F.col("known.namespace").alias("schema_name"),
+        F.col("known.relation").alias("table_name"),
+        F.col("relation_id").alias("table_oid"),
+        F.col("kind").alias("op"),
+        old.alias("old_row"),
+        new.alias("new_row"),
     )
-    marked = F.col("marker").isNotNull()
-    rows = rows.where(marked | (disposition() == KEPT)).withColumn(
-        "begin_pos", F.coalesce(F.col("marker.begin_pos"), F.col("before.pos"))
+    so_far = (
+        Window.partitionBy("slot", BUCKET).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    piece = Window.partitionBy("slot", BUCKET, "begin_pos").orderBy("pos")
-    old, new = row_images(F.col("known.columns"), F.col("known.repeats"))
+    at_marker = F.when(F.col("marker").isNotNull(), F.struct("marker.*", "counted"))
     return (
-        rows.withColumn("place", F.row_number().over(piece))
-        .withColumn("lead", F.first("marker").over(piece))
-        .where(~F.col(SEED) & F.col("lead").isNotNull())
+        rows.withColumn("counted", F.count("relation_pos").over(so_far))
+        .withColumn("segment", F.last(at_marker, ignorenulls=True).over(so_far))
+        .where(F.col("relation_pos").isNotNull() & F.col("segment").isNotNull())
+        .where(F.col("segment.commit_pos").isNull() | (F.col("pos") < F.col("segment.commit_pos")))
         .select(
             F.col("slot").alias("source_slot"),
-            F.col("lead.commit_lsn").alias("commit_lsn"),
-            "begin_pos",
-            # The marker itself takes the first place of the piece.
-            (F.col("lead.first") + F.col("place") - 1).cast("int").alias("change_seq_in_txn"),
-            F.col("known.namespace").alias("schema_name"),
-            F.col("known.relation").alias("table_name"),
-            F.col("relation_id").alias("table_oid"),
-            F.col("kind").alias("op"),
-            old.alias("old_row"),
-            new.alias("new_row"),
+            F.col("segment.commit_lsn").alias("commit_lsn"),
+            F.col("segment.begin_pos").alias("begin_pos"),
+            (F.col("segment.first") + F.col("counted") - F.col("segment.counted"))
+            .cast("int")
+            .alias("change_seq_in_txn"),
+            "schema_name",
+            "table_name",
+            "table_oid",
+            "op",
+            "old_row",
+            "new_row",
             "pos",
         )
     )

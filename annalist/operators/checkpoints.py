@@ -93,7 +93,7 @@ def resume(log: DataFrame, loaded: DataFrame, bits: int = DEFAULT_BITS) -> DataF
     The transaction at the checkpoint itself comes again; dedup absorbs it.
     ``loaded`` has one row per slot, from :func:`load_checkpoints`.
     """
-    committed = segments(log, bits).where(F.col("state") == COMMITTED).drop("state")
+    committed = segments(log, bits).where(F.col("state") == COMMITTED).drop("state", "carried")
     return (
         committed.withColumn("commit_lsn_num", lsn_to_num(F.col("commit_lsn")))
         .join(loaded, "slot")

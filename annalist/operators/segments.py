@@ -31,24 +31,13 @@ COMMITTED, DISCARDED, OPEN, STRAY_COMMIT = "committed", "discarded", "open", "st
 
 
 def control() -> Column:
-    """What later rows need to know about a control message; NULL on other rows."""
+    """A control message's values; NULL on other rows."""
     return F.when(
         F.col("kind").isin(*CONTROL_KINDS),
-        F.struct("pos", "kind", "xid", "lsn", "commit_ts", F.coalesce("carried", F.lit(0)).alias("carried")),
+        F.struct("pos", "kind", "lsn", "commit_ts"),
     )
 
 
-def relation_version(*fields: str) -> Column:
-    """A relation message's own position and the asked-for fields; NULL on other rows.
-
-    Whether column names repeat is settled here, once per relation message.
-    """
-    values = [F.col(f) for f in fields]
-    if "columns" in fields:
-        values.append((F.size(F.array_distinct("columns")) < F.size("columns")).alias("repeats"))
-    return F.when(F.col("kind") == RELATION, F.struct("pos", *values))
-
-
 def segments(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """One row per BEGIN with its outcome, and one per COMMIT that closed nothing.
 
@@ -78,6 +67,7 @@ def segments(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
         F.when(closed, F.col("after.pos")).alias("commit_pos"),
         F.when(closed, F.col("after.lsn")).when(~opened, F.col("lsn")).alias("commit_lsn"),
         F.when(closed, F.col("after.commit_ts")).when(~opened, F.col("commit_ts")).alias("commit_ts"),
+        F.coalesce("carried", F.lit(0)).alias("carried"),
         F.when(~opened, STRAY_COMMIT)
         .when(F.col("after").isNull(), OPEN)
         .when(closed, COMMITTED)
@@ -86,49 +76,51 @@ def segments(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     )
 
 
-def with_context(
-    log: DataFrame,
-    bits: int = DEFAULT_BITS,
-    relation_fields: tuple[str, ...] = (),
-    markers: DataFrame | None = None,
-    controls: str = "both",
-) -> DataFrame:
-    """Add to every message what the messages around it decide.
-
-    ``before`` / ``after``: the nearest control message on either side; asked for
-    by ``controls``: "both", "before" or "none".
-    ``known``: the latest earlier message about the same relation id, with the
-    asked-for fields; NULL when the relation was not announced yet. Relations
-    outlive transactions.
-    ``control``: the message's own control values, NULL on other messages.
-
-    The log is shuffled once, by (slot, bucket), and everything downstream that
-    groups by (slot, bucket, ...) reuses that partitioning. ``markers`` travel in
-    the same shuffle and come out as seed rows with ``marker`` set.
+def control_code() -> Column:
+    """Position and kind of a control message as one growing number: odd for BEGIN.
+
+    One number is cheaper to aggregate and to carry along every row than a struct.
+    """
+    code = F.shiftleft("pos", 1) + (F.col("kind") == BEGIN).cast("bigint")
+    return F.when(F.col("kind").isin(*CONTROL_KINDS), code)
+
+
+def in_segment() -> Column:
+    """Whether the last control message before the row is a BEGIN."""
+    return F.coalesce(F.col("before") % 2 == 1, F.lit(False))
+
+
+def begin_position() -> Column:
+    return F.shiftright("before", 1)
+
+
+def with_segment_state(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
+    """Add ``before``, the code of the last control message before each message, and
+    ``known``, the position of the latest earlier message about its relation; NULL
+    when there is none. Relations outlive transactions.
+
+    The log is shuffled once, by (slot, bucket), and whatever groups by
+    (slot, bucket, ...) downstream reuses that partitioning.
     """
-    announced = log.where(F.col("kind").isin(RELATION, *CHANGE_KINDS))
-    versions = carries(announced, ["slot", "relation_id"], "pos", relation_version(*relation_fields), bits)
+    log = log.select("slot", "pos", "kind", "relation_id")
+    announced = F.when(F.col("kind") == RELATION, F.col("pos"))
+    of_relation = ["slot", "relation_id"]
+    related = log.where(F.col("kind").isin(RELATION, *CHANGE_KINDS))
+    controls = carries(log, ["slot"], "pos", control_code(), bits)
+    versions = carries(related, of_relation, "pos", announced, bits)
     rows = (
         log.withColumn(BUCKET, bucket_of(F.col("pos"), bits))
-        .withColumn("control", control())
-        .withColumn("version", relation_version(*relation_fields))
+        .withColumn("control", control_code())
+        .withColumn("version", announced)
         .withColumn(SEED, F.lit(False))
-        .unionByName(seeds(versions, ["slot", "relation_id"], "pos", "version", bits), allowMissingColumns=True)
+        .unionByName(seeds(controls, ["slot"], "pos", "control", bits), allowMissingColumns=True)
+        .unionByName(seeds(versions, of_relation, "pos", "version", bits), allowMissingColumns=True)
+        .repartition("slot", BUCKET)
     )
-    if controls != "none":
-        around = carries(log, ["slot"], "pos", control(), bits)
-        rows = rows.unionByName(
-            seeds(around, ["slot"], "pos", "control", bits, closing=controls == "both"), allowMissingColumns=True
-        )
-    keep = ~F.col(SEED)
-    if markers is not None:
-        rows = rows.unionByName(markers.withColumn(SEED, F.lit(True)), allowMissingColumns=True)
-        keep = keep | F.col("marker").isNotNull()
-    if controls != "none":
-        rows = rows.withColumn("before", last_before("control", "pos", "slot", BUCKET))
-    if controls == "both":
-        rows = rows.withColumn("after", first_after("control", "pos", "slot", BUCKET))
     known = last_before("version", "pos", "slot", BUCKET, "relation_id")
     return (
-        rows.withColumn("known", F.when(F.col("kind").isin(*CHANGE_KINDS), known)).where(keep).drop("version")
+        rows.withColumn("known", F.when(F.col("kind").isin(*CHANGE_KINDS), known))
+        .withColumn("before", last_before("control", "pos", "slot", BUCKET))
+        .where(~F.col(SEED))
+        .drop("control", "version")
     )

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from annalist.functions.clock import trace_stamp
 from annalist.functions.tuples import printable_tuple
 from annalist.operators.buckets import DEFAULT_BITS
-from annalist.operators.segments import CHANGE_KINDS, with_context
+from annalist.operators.relations import with_relations
+from annalist.operators.segments import CHANGE_KINDS
 
 # The title of each message kind.
 TITLES = {
@@ -32,7 +33,7 @@ def trace(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     Row values appear only when the relation is known. Old values are left out of
     updates and deletes that carry none.
     """
-    rows = with_context(log, bits, ("namespace", "relation", "columns"), controls="none")
+    rows = with_relations(log, bits)
     kind, columns = F.col("kind"), F.col("known.columns")
     title = F.lit(None).cast("string")
     for code, words in TITLES.items():

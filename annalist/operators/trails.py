@@ -16,7 +16,8 @@ EVENT_COLUMNS = schemas.EVENTS.fieldNames()
 # and no task ever holds more than this many events of one trail.
 PART_EVENTS = 10_000
 
-FOUND, NOT_FOUND = "found", "not found"
+STEP_BITS = 12
+
 ACCEPTED, REJECTED = "accepted", "invalid 'from' query parameter"
 DEFAULT_FROM = 1
 
@@ -52,16 +53,29 @@ def assemble(trails: DataFrame, events: DataFrame, part_events: int = PART_EVENT
     a part holds at most ``part_events`` events.
     """
     highest = events.groupBy(F.col("trail_id").alias("id")).agg(F.max("sequence").alias("top"))
-    last_part = F.coalesce(part_of(F.col("top"), part_events), F.lit(0))
+    zero = F.lit(0).cast("bigint")
+    last_part = F.coalesce(part_of(F.col("top"), part_events), zero)
     heads = (
         trails.select(*TRAIL_COLUMNS)
         .join(highest, "id", "left")
         .select(
             "id",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)).alias("part"),
             F.col("top").isNull().alias("childless"),
             F.struct(*TRAIL_COLUMNS[1:]).alias("head"),
+            last_part.alias("last_part"),
+        )
+        # In two steps, so that no row ever holds a list of all parts of a huge trail.
+        .withColumn("step", F.explode(F.sequence(zero, F.shiftright("last_part", STEP_BITS))))
+        .withColumn(
+            "part",
+            F.explode(
+                F.sequence(
+                    F.shiftleft("step", STEP_BITS),
+                    F.least("last_part", F.shiftleft(F.col("step") + 1, STEP_BITS) - 1),
+                )
+            ),
         )
+        .drop("last_part", "step")
     )
     # Sequence leads the struct because it is what the list is sorted by.
     nested = F.struct("sequence", *[c for c in EVENT_COLUMNS if c != "sequence"])
@@ -105,6 +119,14 @@ def parse_replay_args(requests: DataFrame) -> DataFrame:
     )
 
 
+def requested_events(events: DataFrame, requests: DataFrame) -> DataFrame:
+    return (
+        events.join(requests.select("trail_id", "from_sequence"), "trail_id")
+        .where(F.col("sequence") >= F.col("from_sequence"))
+        .select(*EVENT_COLUMNS)
+    )
+
+
 def replay(events: DataFrame, requests: DataFrame) -> DataFrame:
     """Events from the requested sequence on, inclusive, in stored order.
 
@@ -112,12 +134,7 @@ def replay(events: DataFrame, requests: DataFrame) -> DataFrame:
     very many events is split by adaptive skew handling, which can act here because
     the sort after the join shuffles anyway.
     """
-    return (
-        events.join(requests.select("trail_id", "from_sequence"), "trail_id")
-        .where(F.col("sequence") >= F.col("from_sequence"))
-        .select(*EVENT_COLUMNS)
-        .orderBy("trail_id", "sequence")
-    )
+    return requested_events(events, requests).orderBy("trail_id", "sequence")
 
 
 def _event_json() -> Column:
@@ -160,7 +177,7 @@ def export_replay(events: DataFrame, requests: DataFrame, part_events: int = PAR
 
     A replay without events is ``null``, unlike a trail without events.
     """
-    replayed = replay(events, requests)
+    replayed = requested_events(events, requests)
     parts = (
         replayed.groupBy("trail_id", part_of(F.col("sequence"), part_events).alias("part"))
         .agg(

@@ -8,53 +8,67 @@ from pyspark.sql import functions as F
 from annalist.functions.lsn import lsn_to_num
 from annalist.operators.buckets import BUCKET, DEFAULT_BITS
 from annalist.operators.changes import pieces
-from annalist.operators.segments import COMMIT, COMMITTED, segments
+from annalist.operators.segments import COMMITTED, OPEN, STRAY_COMMIT, segments
 
 
-def by_segment(counted: DataFrame) -> DataFrame:
-    """One row per segment that has changes, whatever its outcome.
+def by_segment(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
+    """Every BEGIN with its outcome and the changes kept for it.
 
-    ``counted`` holds one row per (segment, bucket) and has been reduced map-side,
-    so a transaction of any size reaches this step as one row per 2^bits positions;
-    ``pieces`` keeps those counts.
+    Changes arrive here counted per (segment, bucket), so a transaction of any size
+    is one row per 2^bits positions; ``pieces`` keeps those counts. ``carried``
+    changes were stored by earlier micro-batches.
     """
-    return (
-        counted.groupBy("slot", "opener", "after")
+    counted = (
+        pieces(log, bits)
+        .groupBy("slot", "begin_pos")
         .agg(
             F.sum("n").alias("n"),
             F.collect_list(F.struct(F.col(BUCKET).alias("bucket"), "n")).alias("pieces"),
         )
+    )
+    return (
+        segments(log, bits)
+        .where(F.col("state") != STRAY_COMMIT)
+        .join(counted, ["slot", "begin_pos"], "left")
         .select(
             "slot",
-            F.col("opener.pos").alias("begin_pos"),
-            F.col("after.pos").alias("commit_pos"),
-            F.col("after.kind").alias("closed_by"),
-            F.col("opener.xid").alias("xid"),
-            F.nullif(F.col("opener.lsn"), F.lit("")).alias("begin_lsn"),
-            F.col("after.lsn").alias("commit_lsn"),
-            lsn_to_num(F.col("after.lsn")).alias("commit_lsn_num"),
-            F.col("after.commit_ts").alias("commit_ts"),
-            (F.col("n") + F.col("opener.carried")).alias("change_count"),
-            F.col("opener.carried").alias("carried"),
+            "begin_pos",
+            "commit_pos",
+            "xid",
+            F.nullif(F.col("begin_lsn"), F.lit("")).alias("begin_lsn"),
+            "commit_lsn",
+            lsn_to_num(F.col("commit_lsn")).alias("commit_lsn_num"),
+            "commit_ts",
+            (F.col("carried") + F.coalesce("n", F.lit(0))).alias("change_count"),
+            "carried",
             "pieces",
+            "state",
         )
     )
 
 
 def committed(by_segment: DataFrame) -> DataFrame:
-    """Segments closed by a COMMIT. One whose position is no valid LSN is dropped,
-    as nothing may be stored for it."""
-    closed = (F.col("closed_by") == COMMIT) & F.col("commit_lsn_num").isNotNull()
-    return by_segment.where(closed).drop("closed_by")
+    """Committed, non-empty transactions. One whose position is no valid LSN is
+    dropped, as nothing may be stored for it."""
+    stored = (F.col("state") == COMMITTED) & (F.col("change_count") > 0) & F.col("commit_lsn_num").isNotNull()
+    return by_segment.where(stored).drop("state")
 
 
 def still_open(by_segment: DataFrame) -> DataFrame:
-    return by_segment.where(F.col("closed_by").isNull()).drop("closed_by")
+    return by_segment.where(F.col("state") == OPEN).drop("state")
+
+
+def empty_transactions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
+    """Committed transactions without a kept change: never stored, no checkpoint move."""
+    empty = (F.col("state") == COMMITTED) & (F.col("change_count") == 0)
+    return by_segment(log, bits).where(empty).select(
+        "slot", "begin_pos", "xid", "begin_lsn", "commit_pos", "commit_lsn", "commit_ts"
+    )
 
 
 def transactions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """One row per committed, non-empty transaction, redeliveries included."""
-    return committed(by_segment(pieces(log, bits)))
+    return committed(by_segment(log, bits))
 
 
 def first_deliveries(delivered: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -75,10 +89,3 @@ def first_deliveries(delivered: DataFrame, existing: DataFrame | None = None) ->
         return first
     stored = existing.select(F.col("source_slot").alias("slot"), "commit_lsn_num")
     return first.join(stored, ["slot", "commit_lsn_num"], "left_anti")
-
-
-def empty_transactions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    """Committed transactions without a kept change: never stored, no checkpoint move."""
-    closed = segments(log, bits).where(F.col("state") == COMMITTED).drop("state")
-    stored = pieces(log, bits).select("slot", F.col("opener.pos").alias("begin_pos"))
-    return closed.join(stored, ["slot", "begin_pos"], "left_anti")

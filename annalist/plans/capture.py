@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.operators.buckets import DEFAULT_BITS
-from annalist.operators.changes import numbered_changes, pieces
+from annalist.operators.changes import numbered_changes
 from annalist.operators.checkpoints import final_checkpoints
 from annalist.operators.defaults import SOURCE_DB, with_defaults
 from annalist.operators.segments import BEGIN, CONTROL_KINDS, RELATION
-from annalist.operators.transactions import by_segment, committed, first_deliveries, still_open
+from annalist.operators.transactions import by_segment, committed, first_deliveries, still_open, transactions
 from annalist.sources.store import Store
 
 
@@ -31,7 +31,7 @@ def transaction_rows(chosen: DataFrame, clock: Column | None = None) -> DataFram
 
 def capture(log: DataFrame, bits: int = DEFAULT_BITS) -> tuple[DataFrame, DataFrame]:
     """Transactions and numbered changes of a whole log, nothing stored before."""
-    chosen = first_deliveries(committed(by_segment(pieces(log, bits))))
+    chosen = first_deliveries(transactions(log, bits))
     return transaction_rows(chosen), numbered_changes(log, chosen, bits)
 
 
@@ -89,7 +89,7 @@ def capture_batch(
     if batch > 0:
         log = store.batch("state", batch - 1).select(*messages.columns).unionByName(messages)
     # Kept for the steps below, which would otherwise each read the log again.
-    store.write(by_segment(pieces(log, bits)), "segments", batch)
+    store.write(by_segment(log, bits), "segments", batch)
     segments = store.batch("segments", batch)
     opened = still_open(segments)
     delivered = committed(segments)
