@@ -17,8 +17,21 @@ def as_text(payload: Column, data_type: str) -> Column:
     return F.decode(payload, "UTF-8") if data_type == "binary" else payload
 
 
+def _parsed(text: Column) -> Column:
+    """The JSON value of the whole text, NULL when any part of it is malformed.
+
+    The parser stops at the end of the first value and overlooks what follows, so
+    the text is parsed inside an object whose last field must still be found, and
+    inside a list, which only takes values.
+    """
+    framed = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":0}')))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    whole = F.try_variant_get(framed, "$.end", "int").isNotNull() & listed.isNotNull()
+    return F.when(whole, F.try_variant_get(framed, "$.value", "variant"))
+
+
 def payload_class(text: Column) -> Column:
-    kind = F.schema_of_variant(F.try_parse_json(text))
+    kind = F.schema_of_variant(_parsed(text))
     return (
         F.when(text.isNull(), NOTHING)
         .when(kind.startswith("OBJECT"), OBJECT)
@@ -28,8 +41,14 @@ def payload_class(text: Column) -> Column:
 
 
 def decode_payload(text: Column) -> Column:
-    """The payload as a variant object; NULL when there is none or it is an error."""
-    return F.when(payload_class(text) == OBJECT, F.try_parse_json(text))
+    """The payload as a variant object; NULL when there is none or it is an error.
+
+    Repeated keys are an error unless ``spark.sql.variant.allowDuplicateKeys`` is
+    on, as it is in sessions of :func:`annalist.session.build_session`; then the
+    last one wins.
+    """
+    value = _parsed(text)
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
 def encode_payload(fields: Column) -> Column:

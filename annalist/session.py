@@ -15,6 +15,7 @@ def build_session(app: str = "annalist", master: str | None = None, **conf: str)
         builder = builder.master(master)
     defaults = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
