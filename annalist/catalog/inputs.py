@@ -123,6 +123,26 @@ def customer_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def customer_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order as an event of its customer's trail, numbered by order key."""
+    orders = table(spark, folder, "orders").select(
+        text("o_orderkey").alias("id"),
+        text("o_custkey").alias("trail_id"),
+        F.col("o_orderstatus").alias("type"),
+        F.to_json(F.struct(F.col("o_orderpriority").alias("priority"))).alias("payload"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("occured_at"),
+        F.col("o_orderkey").alias("arrival"),
+    )
+    return number_within(orders, ["trail_id"], F.col("arrival"), [F.col("arrival")], "sequence").drop("arrival")
+
+
+def customer_replays(spark: SparkSession, folder: str) -> DataFrame:
+    """One replay request per customer; some start nowhere readable, most trails are unknown."""
+    segment = F.col("c_mktsegment")
+    start = F.when(segment == "BUILDING", "").when(segment == "MACHINERY", "x").otherwise(text("c_nationkey"))
+    return table(spark, folder, "customer").select(text("c_custkey").alias("trail_id"), start.alias("from_text"))
+
+
 def conversation_events(spark: SparkSession, folder: str) -> DataFrame:
     """Already numbered events with the whole text of each turn as payload."""
     return table(spark, folder, "conversations").select(

@@ -483,6 +483,27 @@ ORACLES: dict[str, str] = {
     "stream_append": on_events("SELECT * FROM added"),
 }
 
+ORACLES["trail_create_events"] = on_events(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS trail_id, o_orderstatus AS type, "
+    "'{\"priority\":\"' || o_orderpriority || '\"}' AS payload, o_orderdate AS occured_at, "
+    "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS sequence "
+    "FROM orders WHERE CAST(o_custkey AS VARCHAR) IN (SELECT id FROM made)"
+)
+ORACLES["service_list"] = ORACLES["trail_export_json"].replace(" AS json FROM", " AS json, tr.created_at FROM", 1)
+ORACLES["service_get"] = (
+    ORACLES["trail_export_json"]
+    + " WHERE tr.id IN (SELECT id FROM creq) UNION ALL SELECT DISTINCT id, 0, 'not found' FROM creq "
+    "WHERE id NOT IN (SELECT id FROM tr)"
+)
+ORACLES["service_replay"] = on_events(
+    "SELECT trail_id, event_id, result FROM ("
+    "SELECT r.trail_id, ev.id AS event_id, CASE WHEN r.start IS NULL THEN 'invalid ''from'' query parameter' "
+    "WHEN tr.id IS NULL THEN 'not found' ELSE CAST(ev.sequence AS VARCHAR) END AS result FROM ("
+    "SELECT CAST(c_custkey AS VARCHAR) AS trail_id, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN NULL "
+    "ELSE c_nationkey END AS start FROM customer) r "
+    "LEFT JOIN tr ON tr.id = r.trail_id AND r.start IS NOT NULL "
+    "LEFT JOIN ev ON ev.trail_id = tr.id AND ev.sequence >= r.start) WHERE result IS NOT NULL"
+)
 ORACLES["audit_pk"] = f"WITH {EVENTS}, {LOG} " + ORACLES["audit_pk"].split(EVENTS)[1] + (
     " UNION ALL SELECT slot, count(*), 'wal_checkpoint_pk' FROM log GROUP BY slot HAVING count(*) > 1"
 )

@@ -26,6 +26,7 @@ from annalist.operators import (
     writes,
 )
 from annalist.operators.numbering import number_within
+from annalist.plans import service
 from annalist.plans.capture import capture
 from annalist.session import scratch_folder
 from annalist.sources.frames import route_frames
@@ -138,6 +139,34 @@ def event_type_counts(spark: SparkSession, folder: str) -> DataFrame:
     return trails.event_type_counts(inputs.unnumbered_events(spark, folder))
 
 
+@query
+def service_list(spark: SparkSession, folder: str) -> DataFrame:
+    return service.list_trails(inputs.trails(spark, folder), inputs.events(spark, folder))
+
+
+@query
+def service_get(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the requested trails, and the ids that do not exist."""
+    outcome = service.get_trails(
+        inputs.trails(spark, folder), inputs.events(spark, folder), inputs.customer_requests(spark, folder)
+    )
+    return outcome.done.unionByName(outcome.refused.select("id", F.col("reason").alias("json")), allowMissingColumns=True).select(
+        "id", F.coalesce("part", F.lit(0)).alias("part"), "json"
+    )
+
+
+@query
+def service_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Replayed events of the customers' requests, and the refused requests with reasons."""
+    outcome = service.replay_trails(
+        inputs.trails(spark, folder), inputs.events(spark, folder), inputs.customer_replays(spark, folder)
+    )
+    done = outcome.done.select("trail_id", F.col("id").alias("event_id"), inputs.text("sequence").alias("result"))
+    return done.unionByName(
+        outcome.refused.select("trail_id", F.col("reason").alias("result")), allowMissingColumns=True
+    )
+
+
 # Trails: writing.
 
 
@@ -157,6 +186,13 @@ def trail_create_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return refused.select("id", "arrival", "reason")
 
 
+@query
+def trail_create_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as first events of the customers' trails that could be created."""
+    events = inputs.customer_events(spark, folder)
+    return writes.initial_events(trail_create(spark, folder), events)
+
+
 def _append_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (
         inputs.trails(spark, folder),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,11 +158,11 @@ def _event_json() -> Column:
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def export_trails(assembled: DataFrame) -> DataFrame:
+def export_trails(assembled: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One JSON document per assembled row; payloads are embedded as JSON objects.
 
     A trail of more than one part is exported as several documents with the same
-    ID and consecutive Events.
+    ID and consecutive Events. ``keep`` names columns to keep beside the document.
     """
     document = F.struct(
         F.col("id").alias("ID"),
@@ -169,7 +171,7 @@ def export_trails(assembled: DataFrame) -> DataFrame:
         rfc3339(F.col("created_at")).alias("CreatedAt"),
         rfc3339(F.col("updated_at")).alias("UpdatedAt"),
     )
-    return assembled.select("id", "part", F.to_json(document, KEEP_NULLS).alias("json"))
+    return assembled.select("id", "part", *keep, F.to_json(document, KEEP_NULLS).alias("json"))
 
 
 def export_replay(events: DataFrame, requests: DataFrame, part_events: int = PART_EVENTS) -> DataFrame:

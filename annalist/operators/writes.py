@@ -39,6 +39,12 @@ def create_trails(
     return created, refused.withColumn("reason", F.lit(ALREADY_EXISTS))
 
 
+def initial_events(created: DataFrame, events: DataFrame) -> DataFrame:
+    """Events that came with the create requests, kept only for trails that were created."""
+    accepted = created.select(F.col("id").alias("trail_id"))
+    return events.join(accepted, "trail_id", "left_semi").select(*EVENT_COLUMNS)
+
+
 def known_and_unknown(requests: DataFrame, trails: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Split requests by whether their trail exists."""
     ids = trails.select(F.col("id").alias(key))
