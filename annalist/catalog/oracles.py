@@ -201,7 +201,7 @@ EVENT_JSON = (
     "|| replace(payload, ' ', '') || ',\"OccuredAt\":\"' || " + rfc3339("occured_at") + " || '\",\"Sequence\":' || sequence || '}'"
 )
 
-PART = "(sequence - 1) // 10000"
+PART = "(sequence - 1) // 1000"
 
 FRAME_HEX = """
 frames AS (

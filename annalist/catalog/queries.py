@@ -12,7 +12,7 @@ from annalist.catalog import inputs
 from annalist.functions import ids
 from annalist.functions.clock import utc_now
 from annalist.functions.lsn import lsn_to_num, num_to_lsn
-from annalist.functions.payload import decode_payload, encode_payload, payload_class
+from annalist.functions.payload import as_text, decode_payload, encode_payload, payload_class
 from annalist.functions.tuples import tuple_to_json
 from annalist.operators import (
     audits,
@@ -303,7 +303,7 @@ def payload_decode(spark: SparkSession, folder: str) -> DataFrame:
     )
     # A payload may come as bytes as well as text.
     raw = text.cast("binary")
-    rows = inputs.table(spark, folder, "events").select("event_id", F.decode(raw, "UTF-8").alias("text"))
+    rows = inputs.table(spark, folder, "events").select("event_id", as_text(raw, "binary").alias("text"))
     fields = F.variant_get(decode_payload(F.col("text")), "$", "map<string,string>")
     return rows.select(
         "event_id",

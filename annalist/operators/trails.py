@@ -15,8 +15,8 @@ TRAIL_COLUMNS = schemas.TRAILS.fieldNames()
 EVENT_COLUMNS = schemas.EVENTS.fieldNames()
 
 # Events per assembled row. A longer trail continues in further rows, so no row
-# and no task ever holds more than this many events of one trail.
-PART_EVENTS = 10_000
+# holds more than this many events, whose payloads may be long.
+PART_EVENTS = 1000
 
 STEP_BITS = 12
 
@@ -180,8 +180,12 @@ def export_replay(events: DataFrame, requests: DataFrame, part_events: int = PAR
     A replay without events is ``null``, unlike a trail without events.
     """
     replayed = requested_events(events, requests)
+    # The shuffle by part is spelled out: grouping by (trail, part) could also be done
+    # where the join left the rows, which would keep a huge trail in one task.
     parts = (
-        replayed.groupBy("trail_id", part_of(F.col("sequence"), part_events).alias("part"))
+        replayed.withColumn("part", part_of(F.col("sequence"), part_events))
+        .repartition("trail_id", "part")
+        .groupBy("trail_id", "part")
         .agg(
             F.sort_array(
                 F.collect_list(F.struct("sequence", *[c for c in EVENT_COLUMNS if c != "sequence"]))

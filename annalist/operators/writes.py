@@ -88,14 +88,18 @@ def append_events(
     added = appended_events(trails, lengths_of(events), pending, hot_rows)
     return (
         events.select(*EVENT_COLUMNS).unionByName(added),
-        touch_trails(trails, added),
+        touch_trails(trails, pending),
         rejected_appends(trails, pending),
     )
 
 
-def touch_trails(trails: DataFrame, added: DataFrame) -> DataFrame:
-    """Move ``updated_at`` to the last append, never back."""
-    last = added.groupBy(F.col("trail_id").alias("id")).agg(F.max("occured_at").alias("last"))
+def touch_trails(trails: DataFrame, pending: DataFrame) -> DataFrame:
+    """Move ``updated_at`` to the last append, never back.
+
+    Reads the pending events themselves, reduced map-side; those of unknown trails
+    touch nothing.
+    """
+    last = pending.groupBy(F.col("trail_id").alias("id")).agg(F.max("occured_at").alias("last"))
     return trails.join(last, "id", "left").select(
         "id", "name", "created_at", F.greatest("updated_at", "last").alias("updated_at")
     )

@@ -35,8 +35,8 @@ def capture(log: DataFrame, bits: int = DEFAULT_BITS) -> tuple[DataFrame, DataFr
     return transaction_rows(chosen), numbered_changes(log, chosen, bits)
 
 
-def _not_stored(store: Store, batch: int, delivered: DataFrame, loaded: DataFrame) -> DataFrame:
-    """Drop deliveries stored by earlier batches.
+def _stored_before(store: Store, batch: int, delivered: DataFrame, loaded: DataFrame) -> DataFrame | None:
+    """What earlier batches stored, as far as a delivery of this batch could repeat it.
 
     Only positions up to a slot's checkpoint can be stored already. Their lowest
     one, a single number, bounds what has to be read of the stored table; usually
@@ -45,10 +45,8 @@ def _not_stored(store: Store, batch: int, delivered: DataFrame, loaded: DataFram
     suspect = delivered.join(loaded, "slot").where(F.col("commit_lsn_num") <= F.col("last_lsn_num"))
     lowest = suspect.agg(F.min("commit_lsn_num").alias("low")).first()["low"]
     if lowest is None:
-        return delivered
-    stored = store.transactions(before=batch).where(F.col("commit_lsn_num") >= F.lit(lowest))
-    known = stored.select(F.col("source_slot").alias("slot"), "commit_lsn_num")
-    return delivered.join(known, ["slot", "commit_lsn_num"], "left_anti")
+        return None
+    return store.transactions(before=batch).where(F.col("commit_lsn_num") >= F.lit(lowest))
 
 
 def _state(log: DataFrame, opened: DataFrame) -> DataFrame:
@@ -94,7 +92,7 @@ def capture_batch(
     opened = still_open(segments)
     delivered = committed(segments)
     loaded = store.checkpoints(batch - 1).select(F.col("slot_name").alias("slot"), "last_lsn_num")
-    fresh = _not_stored(store, batch, first_deliveries(delivered), loaded)
+    fresh = first_deliveries(delivered, _stored_before(store, batch, delivered, loaded))
 
     changes = numbered_changes(log, fresh.unionByName(opened), bits)
     store.write(with_defaults(changes, "wal_change", clock), "wal_change", batch)

@@ -15,14 +15,18 @@ from annalist.sources.store import Store
 FULL_EVERY = 64
 
 
-def _lengths(store: Store, batch: int) -> DataFrame:
-    """Length per trail before a batch: the last full table and the additions after it."""
+def _lengths(store: Store, batch: int, only: DataFrame | None = None) -> DataFrame:
+    """Length per trail before a batch: the last full table and the additions after it.
+
+    ``only`` (trail_id) limits them to the trails a batch touches, before they are
+    summed up.
+    """
     full = batch // FULL_EVERY * FULL_EVERY
-    parts = [store.batch("lengths_full", full)]
-    parts += [store.batch("lengths", b) for b in range(full, batch)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    rows = store.batch("lengths_full", full)
+    for earlier in range(full, batch):
+        rows = rows.unionByName(store.batch("lengths", earlier))
+    if only is not None:
+        rows = rows.join(only, "trail_id", "left_semi")
     return rows.groupBy("trail_id").agg(F.sum("n").alias("n"))
 
 
@@ -33,8 +37,9 @@ def prepare(store: Store, events: DataFrame) -> None:
 
 def append_batch(store: Store, trails: DataFrame, pending: DataFrame, batch: int) -> None:
     """Number one batch of pending events after everything appended before it."""
-    added = appended_events(trails, _lengths(store, batch), pending)
-    store.write(added, "events", batch)
+    touched = pending.select("trail_id").distinct()
+    known = trails.join(touched.withColumnRenamed("trail_id", "id"), "id", "left_semi")
+    store.write(appended_events(known, _lengths(store, batch, touched), pending), "events", batch)
     store.write(rejected_appends(trails, pending), "rejects", batch)
     written = store.batch("events", batch)
     store.write(lengths_of(written), "lengths", batch)
