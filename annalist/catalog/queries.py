@@ -416,7 +416,7 @@ def wal_message_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def wal_segments(spark: SparkSession, folder: str) -> DataFrame:
     rows = segments.segments(inputs.change_log(spark, folder))
-    return rows.withColumn("xid", shown("xid")).withColumn("commit_pos", shown("commit_pos")).drop("carried")
+    return rows.withColumn("xid", shown("xid")).withColumn("commit_pos", shown("commit_pos"))
 
 
 @query
@@ -658,7 +658,7 @@ def audit_wal_keys(spark: SparkSession, folder: str) -> DataFrame:
 def audit_change_fk(spark: SparkSession, folder: str) -> DataFrame:
     """Changes taken from the log whose transaction was never stored, per segment."""
     log = inputs.change_log(spark, folder)
-    taken = changes.pieces(log).select("slot", "begin_pos", "n")
+    taken = changes.pieces(log).where(F.col("n") > 0).select("slot", "begin_pos", "n")
     stored = inputs.stored_batch(spark, folder).transactions()
     rows = audits.missing_parents(taken, stored, ["slot", "begin_pos"], ["source_slot", "begin_pos"], "change_transaction_fk")
     return rows.groupBy("slot", "begin_pos", "rule").agg(F.sum("n").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.functions.lsn import lsn_to_num
 from annalist.functions.tuples import tuple_to_json
 from annalist.operators.buckets import BEFORE_ROW, BUCKET, DEFAULT_BITS, below
 from annalist.operators.relations import with_relations
@@ -61,17 +62,28 @@ def row_images(columns: Column, repeats: Column | None = None) -> tuple[Column,
 
 
 def pieces(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    """Kept changes counted per (segment, bucket): slot, bucket, begin_pos, n.
+    """Per (segment, bucket): the kept changes counted, and what BEGIN and COMMIT say.
 
     A segment that lies inside one bucket is one row; one that crosses buckets is
-    one row per bucket, whatever its size. Reads four narrow columns of the log and
-    needs no shuffle beyond that of ``with_segment_state``.
+    one row per bucket, whatever its size. Needs no shuffle beyond that of
+    ``with_segment_state``; all values are numbers, so the counting is hashed.
     """
+    kind = F.col("kind")
+    kept, begins, ends = disposition() == KEPT, kind == BEGIN, (kind == COMMIT) & in_segment()
+    lsn_num = lsn_to_num(F.col("lsn"))
     return (
         with_segment_state(log, bits)
-        .where(disposition() == KEPT)
-        .groupBy("slot", BUCKET, begin_position().alias("begin_pos"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .where(kept | begins | ends)
+        .groupBy("slot", BUCKET, F.when(begins, F.col("pos")).otherwise(begin_position()).alias("begin_pos"))
+        .agg(
+            F.count(F.when(kept, 1)).alias("n"),
+            F.max(F.when(begins, F.col("xid"))).alias("xid"),
+            F.max(F.when(begins, lsn_num)).alias("begin_lsn_num"),
+            F.max(F.when(begins, F.col("carried"))).alias("carried"),
+            F.max(F.when(ends, F.col("pos"))).alias("commit_pos"),
+            F.max(F.when(ends, lsn_num)).alias("commit_lsn_num"),
+            F.max(F.when(ends, F.col("commit_ts"))).alias("commit_ts"),
+        )
     )
 
 

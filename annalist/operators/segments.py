@@ -44,7 +44,7 @@ def segments(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     Reads control messages only.
     """
     controls = log.where(F.col("kind").isin(*CONTROL_KINDS)).select(
-        "slot", "pos", "kind", "xid", "lsn", "commit_ts", "carried"
+        "slot", "pos", "kind", "xid", "lsn", "commit_ts"
     )
     carried = carries(controls, ["slot"], "pos", control(), bits)
     rows = (
@@ -67,7 +67,6 @@ def segments(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
         F.when(closed, F.col("after.pos")).alias("commit_pos"),
         F.when(closed, F.col("after.lsn")).when(~opened, F.col("lsn")).alias("commit_lsn"),
         F.when(closed, F.col("after.commit_ts")).when(~opened, F.col("commit_ts")).alias("commit_ts"),
-        F.coalesce("carried", F.lit(0)).alias("carried"),
         F.when(~opened, STRAY_COMMIT)
         .when(F.col("after").isNull(), OPEN)
         .when(closed, COMMITTED)
@@ -76,6 +75,17 @@ def segments(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     )
 
 
+def open_begins(log: DataFrame) -> DataFrame:
+    """The BEGIN each slot ends with, if its last control message is one."""
+    return (
+        log.where(F.col("kind").isin(*CONTROL_KINDS))
+        .groupBy("slot")
+        .agg(F.max(F.struct("pos", "kind", "xid", "lsn")).alias("last"))
+        .select("slot", "last.*")
+        .where(F.col("kind") == BEGIN)
+    )
+
+
 def control_code() -> Column:
     """Position and kind of a control message as one growing number: odd for BEGIN.
 
@@ -100,9 +110,10 @@ def with_segment_state(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     when there is none. Relations outlive transactions.
 
     The log is shuffled once, by (slot, bucket), and whatever groups by
-    (slot, bucket, ...) downstream reuses that partitioning.
+    (slot, bucket, ...) downstream reuses that partitioning. Tuples and column lists
+    stay behind.
     """
-    log = log.select("slot", "pos", "kind", "relation_id")
+    log = log.select("slot", "pos", "kind", "relation_id", "xid", "lsn", "commit_ts", "carried")
     announced = F.when(F.col("kind") == RELATION, F.col("pos"))
     of_relation = ["slot", "relation_id"]
     related = log.where(F.col("kind").isin(RELATION, *CHANGE_KINDS))

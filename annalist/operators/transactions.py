@@ -5,44 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.functions.lsn import lsn_to_num
+from annalist.functions.lsn import num_to_lsn
 from annalist.operators.buckets import BUCKET, DEFAULT_BITS
 from annalist.operators.changes import pieces
-from annalist.operators.segments import COMMITTED, OPEN, STRAY_COMMIT, segments
 
 
 def by_segment(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    """Every BEGIN with its outcome and the changes kept for it.
+    """Every BEGIN with its COMMIT, if it has one, and the changes kept for it.
 
     Changes arrive here counted per (segment, bucket), so a transaction of any size
     is one row per 2^bits positions; ``pieces`` keeps those counts. ``carried``
-    changes were stored by earlier micro-batches.
+    changes were stored by earlier micro-batches. Positions come out in their
+    canonical text form; an empty or malformed one is NULL.
     """
-    counted = (
+    counted = F.when(F.col("n") > 0, F.struct(F.col(BUCKET).alias("bucket"), "n"))
+    single = ("xid", "begin_lsn_num", "carried", "commit_pos", "commit_lsn_num", "commit_ts")
+    return (
         pieces(log, bits)
         .groupBy("slot", "begin_pos")
         .agg(
+            *[F.max(c).alias(c) for c in single],
             F.sum("n").alias("n"),
-            F.collect_list(F.struct(F.col(BUCKET).alias("bucket"), "n")).alias("pieces"),
+            F.collect_list(counted).alias("pieces"),
         )
-    )
-    return (
-        segments(log, bits)
-        .where(F.col("state") != STRAY_COMMIT)
-        .join(counted, ["slot", "begin_pos"], "left")
+        .withColumn("carried", F.coalesce("carried", F.lit(0)))
         .select(
             "slot",
             "begin_pos",
             "commit_pos",
             "xid",
-            F.nullif(F.col("begin_lsn"), F.lit("")).alias("begin_lsn"),
-            "commit_lsn",
-            lsn_to_num(F.col("commit_lsn")).alias("commit_lsn_num"),
+            num_to_lsn(F.col("begin_lsn_num")).alias("begin_lsn"),
+            num_to_lsn(F.col("commit_lsn_num")).alias("commit_lsn"),
+            "commit_lsn_num",
             "commit_ts",
-            (F.col("carried") + F.coalesce("n", F.lit(0))).alias("change_count"),
+            (F.col("carried") + F.col("n")).alias("change_count"),
             "carried",
             "pieces",
-            "state",
         )
     )
 
@@ -50,17 +48,18 @@ def by_segment(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
 def committed(by_segment: DataFrame) -> DataFrame:
     """Committed, non-empty transactions. One whose position is no valid LSN is
     dropped, as nothing may be stored for it."""
-    stored = (F.col("state") == COMMITTED) & (F.col("change_count") > 0) & F.col("commit_lsn_num").isNotNull()
-    return by_segment.where(stored).drop("state")
+    return by_segment.where((F.col("change_count") > 0) & F.col("commit_lsn_num").isNotNull())
 
 
-def still_open(by_segment: DataFrame) -> DataFrame:
-    return by_segment.where(F.col("state") == OPEN).drop("state")
+def still_open(by_segment: DataFrame, begins: DataFrame) -> DataFrame:
+    """Segments that may still be committed. ``begins``: from ``open_begins``, one row per slot."""
+    ends = begins.select("slot", F.col("pos").alias("begin_pos"))
+    return by_segment.where(F.col("commit_pos").isNull()).join(ends, ["slot", "begin_pos"], "left_semi")
 
 
 def empty_transactions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """Committed transactions without a kept change: never stored, no checkpoint move."""
-    empty = (F.col("state") == COMMITTED) & (F.col("change_count") == 0)
+    empty = F.col("commit_pos").isNotNull() & (F.col("change_count") == 0)
     return by_segment(log, bits).where(empty).select(
         "slot", "begin_pos", "xid", "begin_lsn", "commit_pos", "commit_lsn", "commit_ts"
     )

@@ -9,7 +9,7 @@ from annalist.operators.buckets import DEFAULT_BITS
 from annalist.operators.changes import numbered_changes
 from annalist.operators.checkpoints import final_checkpoints
 from annalist.operators.defaults import SOURCE_DB, with_defaults
-from annalist.operators.segments import BEGIN, CONTROL_KINDS, RELATION
+from annalist.operators.segments import RELATION, open_begins
 from annalist.operators.transactions import by_segment, committed, first_deliveries, still_open, transactions
 from annalist.sources.store import Store
 
@@ -49,29 +49,20 @@ def _stored_before(store: Store, batch: int, delivered: DataFrame, loaded: DataF
     return store.transactions(before=batch).where(F.col("commit_lsn_num") >= F.lit(lowest))
 
 
-def _state(log: DataFrame, opened: DataFrame) -> DataFrame:
+def _state(log: DataFrame, begins: DataFrame, opened: DataFrame) -> DataFrame:
     """What the next batch must know: open BEGINs with their stored changes, and the
     latest message per relation. One row per slot and one per known relation."""
     fields = [c for c in log.columns if c not in ("slot", "relation_id", "pos")]
-    last_control = (
-        log.where(F.col("kind").isin(*CONTROL_KINDS))
-        .groupBy("slot")
-        .agg(F.max(F.struct("pos", "kind", "xid", "lsn")).alias("last"))
-        .select("slot", "last.*")
-        .where(F.col("kind") == BEGIN)
-        .join(
-            opened.select("slot", F.col("begin_pos").alias("pos"), F.col("change_count").alias("carried")),
-            ["slot", "pos"],
-            "left",
-        )
-    )
+    stored = opened.select("slot", F.col("begin_pos").alias("pos"), F.col("change_count").alias("carried"))
     relations = (
         log.where(F.col("kind") == RELATION)
         .groupBy("slot", "relation_id")
         .agg(F.max(F.struct("pos", *fields)).alias("last"))
         .select("slot", "relation_id", "last.*")
     )
-    return relations.unionByName(last_control, allowMissingColumns=True).select(*log.columns)
+    return relations.unionByName(begins.join(stored, ["slot", "pos"], "left"), allowMissingColumns=True).select(
+        *log.columns
+    )
 
 
 def capture_batch(
@@ -89,7 +80,8 @@ def capture_batch(
     # Kept for the steps below, which would otherwise each read the log again.
     store.write(by_segment(log, bits), "segments", batch)
     segments = store.batch("segments", batch)
-    opened = still_open(segments)
+    begins = open_begins(log)
+    opened = still_open(segments, begins)
     delivered = committed(segments)
     loaded = store.checkpoints(batch - 1).select(F.col("slot_name").alias("slot"), "last_lsn_num")
     fresh = first_deliveries(delivered, _stored_before(store, batch, delivered, loaded))
@@ -99,4 +91,4 @@ def capture_batch(
     store.write(transaction_rows(fresh, clock), "wal_transaction", batch)
     final = final_checkpoints(delivered, loaded).withColumnRenamed("slot", "slot_name")
     store.write(with_defaults(final, "wal_checkpoint", clock), "wal_checkpoint", batch)
-    store.write(_state(log, opened), "state", batch)
+    store.write(_state(log, begins, opened), "state", batch)
