@@ -19,9 +19,8 @@ def is_lsn(text: Column) -> Column:
 
 def lsn_to_num(text: Column) -> Column:
     """Numeric value of a position text; NULL when the text is malformed."""
-    halves = F.split(text, "/")
     # ``conv`` reads up to 16 hex digits as one unsigned 64-bit number.
-    digits = F.concat(F.get(halves, F.lit(0)), F.lpad(F.get(halves, F.lit(1)), 8, "0"))
+    digits = F.concat(F.substring_index(text, "/", 1), F.lpad(F.substring_index(text, "/", -1), 8, "0"))
     return F.when(is_lsn(text), F.conv(digits, 16, 10).cast(LSN_NUM_TYPE))
 
 
@@ -35,9 +34,8 @@ def lsn_to_num_strict(text: Column) -> Column:
 
 def num_to_lsn(number: Column) -> Column:
     """Upper-case ``HI/LO`` text without padding, for any value in [0, 2^64)."""
-    digits = F.lpad(F.conv(number.cast(LSN_NUM_TYPE).cast("string"), 10, 16), 16, "0")
-
-    def half(start: int) -> Column:
-        return F.regexp_replace(F.substring(digits, start, 8), "^0{1,7}", "")
-
-    return F.concat(half(1), F.lit("/"), half(9))
+    number = number.cast(LSN_NUM_TYPE)
+    # The same 64 bits as a signed number, which the bit functions take.
+    signed = F.when(number >= F.lit(str(2**63)).cast(LSN_NUM_TYPE), number - F.lit(str(2**64)).cast("decimal(21,0)")).otherwise(number)
+    bits = signed.cast("bigint")
+    return F.concat(F.hex(F.shiftrightunsigned(bits, 32)), F.lit("/"), F.hex(bits.bitwiseAND(F.lit(0xFFFFFFFF))))
