@@ -11,13 +11,14 @@ from annalist.operators.checkpoints import final_checkpoints
 from annalist.operators.defaults import SOURCE_DB, with_defaults
 from annalist.operators.segments import RELATION, open_begins
 from annalist.operators.transactions import by_segment, committed, first_deliveries, still_open, transactions
+from annalist.sources.messages import normalize
 from annalist.sources.store import Store
 
 
-def transaction_rows(chosen: DataFrame, clock: Column | None = None) -> DataFrame:
+def transaction_rows(chosen: DataFrame, clock: Column | None = None, source_db: str = SOURCE_DB) -> DataFrame:
     rows = chosen.select(
         F.col("slot").alias("source_slot"),
-        F.lit(SOURCE_DB).alias("source_db"),
+        F.lit(source_db).alias("source_db"),
         "xid",
         "begin_lsn",
         "commit_lsn",
@@ -74,9 +75,13 @@ def capture_batch(
     later batch, so the work of a batch depends on its own messages only. Its
     changes stay invisible until its transaction row exists.
     """
-    log = messages
+    # The state leads the union, so the batch runs with the settings of the store's
+    # session; a stream's own session may have adaptive execution switched off.
     if batch > 0:
-        log = store.batch("state", batch - 1).select(*messages.columns).unionByName(messages)
+        state = store.batch("state", batch - 1).select(*messages.columns)
+    else:
+        state = normalize(store.spark.range(0).drop("id"))
+    log = state.unionByName(messages)
     # Kept for the steps below, which would otherwise each read the log again.
     store.write(by_segment(log, bits), "segments", batch)
     segments = store.batch("segments", batch)
