@@ -260,7 +260,8 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def cascade_delete_wal(spark: SparkSession, folder: str) -> DataFrame:
     """Delete the transactions of urgent orders; changes left per transaction."""
-    stored, changed = capture(inputs.change_log(spark, folder))
+    store = inputs.stored_batch(spark, folder)
+    stored, changed = store.transactions(), store.changes()
     urgent = inputs.table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'")
     deleted = stored.join(urgent.select(F.col("o_orderkey").alias("xid")), "xid", "left_semi")
     keys = ["source_slot", "commit_lsn"]
