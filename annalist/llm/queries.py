@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import substrings
+from annalist.llm import bpe, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -27,3 +28,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = substrings.remove_repeats(table(spark, folder, "documents"), window=35)
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    rows = bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
