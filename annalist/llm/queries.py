@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, exact, lines, packing, substrings
+from annalist.llm import bpe, exact, lines, packing, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -87,3 +87,9 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted")
