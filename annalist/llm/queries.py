@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, exact, lines, packing, quality, substrings
+from annalist.llm import bpe, exact, lines, packing, quality, substrings, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -93,3 +93,26 @@ FROM judged GROUP BY doc_id
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return rows.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op8_topk"] = """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score
+  FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+"""
