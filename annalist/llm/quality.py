@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ()) ->
             if weights.value is not None:
                 for a, b in portions([len(t) for t in texts], PART_BYTES):
                     found[a:b] = scores(texts[a:b], *weights.value)
-            columns = {c: batch[c] for c in slim.columns} | {"score": pa.array(found)}
+            columns = {c: batch[c] for c in ("doc_id", "rest", "text")} | {"score": pa.array(found)}
             yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
 
     return slim.mapInArrow(run, out.schema).select(
