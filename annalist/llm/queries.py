@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, exact, lines, packing, quality, substrings, topk
+from annalist.llm import bpe, exact, lines, ngrams, packing, quality, substrings, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -116,3 +116,8 @@ ranked AS (
   FROM scored)
 SELECT * FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, folder, "documents"), size=4, percent=85)
