@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm.graph import components
 from annalist.llm.prefix_tree import Jaccard, PrefixTree
+from annalist.llm.sketch import summed
 from annalist.llm.tables import stored, text_bytes
 from annalist.llm.words import mix, portions, rolling, windows_of, words_of
 
@@ -68,28 +69,17 @@ def _slots(grams: np.ndarray) -> np.ndarray:
 def common_levels(docs: DataFrame, size: int) -> np.ndarray:
     """For each slot of the sketch how far above the average its n-grams are, as a power
     of two; a table of 2 ** SKETCH_BITS bytes, however many documents there are."""
-    blocks = 64
+    n_slots = 1 << SKETCH_BITS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << SKETCH_BITS, np.uint32)
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        held = np.zeros(n_slots)
         for batch in batches:
-            for grams in shingles(batch["text"].to_pylist(), size):
-                held += np.bincount(_slots(grams), minlength=len(held)).astype(np.uint32) if len(grams) > 5000 else 0
-                if len(grams) <= 5000:
-                    np.add.at(held, _slots(grams), 1)
-        parts = [p.tobytes() for p in np.split(held, blocks)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "held"])
-
-    def total(table: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table["held"].to_pylist())
-        return pa.table({"block": table["block"].slice(0, 1).combine_chunks(), "held": pa.array([sums.tobytes()], pa.binary())})
-
-    partial = docs.select(text_bytes().alias("text")).mapInArrow(count, "block int, held binary")
-    rows = partial.groupBy("block").applyInArrow(total, "block int, held binary").collect()
-    counts = np.zeros((blocks, (1 << SKETCH_BITS) // blocks))
-    for row in rows:
-        counts[row["block"]] = np.frombuffer(row["held"], np.int64)
-    counts = counts.ravel()
+            texts = batch["text"].to_pylist()
+            for a, b in portions([len(t) for t in texts], PART_BYTES):
+                held += np.bincount(np.concatenate([_slots(g) for g in shingles(texts[a:b], size)]), minlength=n_slots)
+        return held
+
+    counts = summed(docs.select(text_bytes().alias("text")), count, n_slots)
     excess = counts - counts.mean() - 4 * np.sqrt(counts.mean())
     return np.where(excess >= 1, np.floor(np.log2(np.maximum(excess, 1))) + 1, 0).astype(np.uint8)
 

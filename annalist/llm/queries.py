@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, exact, lines, ngrams, packing, quality, substrings, topk
+from annalist.llm import bpe, exact, lines, ngrams, packing, pseudo, quality, substrings, topk, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -24,6 +24,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudo.pseudo_likelihood(table(spark, folder, "documents"))
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = substrings.remove_repeats(table(spark, folder, "documents"), window=35)
