@@ -223,9 +223,11 @@ def clean(
     Returns one row per input row: doc_id, rest (a struct of the columns in ``carry``),
     text (unchanged), kept (the text that is left), n_lines, n_dropped; texts as bytes.
     """
+    # A table of its own, so that adaptive execution can split a common line's postings.
+    repeated = stored(index.repeated(min_docs), "repeated-lines")
     drops = (
         index.postings()
-        .join(index.repeated(min_docs), "digest")
+        .join(repeated, "digest")
         .where(F.col("doc_id") < F.col("top"))
         .groupBy("doc_id")
         .agg(F.collect_set("digest").alias("drops"))  # no more than the document has lines
