@@ -108,7 +108,7 @@ def _products(queries: _Bucket, q: np.ndarray, vectors: _Bucket, v: np.ndarray)
     if queries.longest * vectors.longest < _SAFE:
         return np.einsum("ij,ij->i", queries.floats[q], vectors.floats[v]).astype(np.int64)
     wide = [sum(a * b for a, b in zip(queries.ints[i].tolist(), vectors.ints[j].tolist(), strict=True)) for i, j in zip(q, v, strict=True)]
-    return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in wide], np.int64)
+    return np.array([min(max(x, -(2**63 - 1)), 2**63 - 1) for x in wide], np.int64)
 
 
 class _Best:
@@ -203,7 +203,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     Rows with a null vec_id or a vector that is null or holds a null or non-finite component take
     no part. Only vectors of one dimension are compared. Rows that repeat a vec_id are rows
     of their own: a query does not find itself, but it finds its repetition, and each
-    repeated query has its own ranks. Scores beyond a bigint are clipped. An empty table
+    repeated query has its own ranks. Scores beyond 2 ** 63 - 1 in size are clipped to it. An empty table
     gives an empty table.
     """
     rows = stored(integers(vectors), "integers")
