@@ -47,10 +47,12 @@ def test_ngram_query(spark):
 
 
 def test_quality_query(spark):
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
-    found = entry.queries()["op4_quality"](spark, SMALL).collect()
+    """On sf0.01: the smallest tables hold out three bad documents, too few to measure by."""
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    found = entry.queries()["op4_quality"](spark, folder).collect()
     held = [r for r in found if r.held_out and r.doc_id in labels]
-    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.9 * len(held)
+    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.97 * len(held) >= 60
 
 
 def test_stages_return_the_columns_they_get(spark, tmp_path):
