@@ -311,9 +311,13 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sets = stored(set_rows(slim, size, jaccard, levels).withColumn("row", F.monotonically_increasing_id()), "sets")
 
     full = sets.where("n > 0")
-    firsts = full.groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("first"))
+    firsts = full.groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("first"), F.count("*").alias("copies"))
+    # A table of its own, so that adaptive execution can split a large group of copies.
+    repeated = stored(firsts.where("copies > 1").select("digest", "first"), "repeated-sets")
     classes = stored(
-        full.select("row", "digest").join(firsts, "digest").select("row", F.col("first.row").alias("node"), F.col("first.doc").alias("doc")),
+        full.select("row", "doc", "digest")
+        .join(repeated, "digest", "left")
+        .select("row", F.coalesce("first.row", "row").alias("node"), F.coalesce("first.doc", "doc").alias("doc")),
         "classes",
     )
     chosen = classes.where("row = node").select("row")
