@@ -17,7 +17,6 @@ from annalist.session import scratch_folder
 from annalist.sources.messages import normalize, read_messages
 from annalist.sources.store import Store
 
-REDELIVERY_SHIFT = 1_000_000_000
 RELATION_COLUMNS = ("orderkey", "partkey", "quantity", "tax_pct", "discount_pct", "status")
 
 
@@ -50,9 +49,7 @@ def unnumbered_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    return number_within(
-        events, ["trail_id"], F.col("arrival"), [F.col("occured_at"), F.col("arrival")], "sequence"
-    ).select(*schemas.EVENTS.fieldNames())
+    return number_within(events, ["trail_id"], [F.col("occured_at"), F.col("arrival")], "sequence").select(*schemas.EVENTS.fieldNames())
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +130,7 @@ def customer_events(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp_ntz").alias("occured_at"),
         F.col("o_orderkey").alias("arrival"),
     )
-    return number_within(orders, ["trail_id"], F.col("arrival"), [F.col("arrival")], "sequence").drop("arrival")
+    return number_within(orders, ["trail_id"], [F.col("arrival")], "sequence").drop("arrival")
 
 
 def customer_replays(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,6 +245,12 @@ def _line_messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def redelivery_shift(spark: SparkSession, folder: str) -> int:
+    """How much later a message is delivered again: behind the position of any first delivery."""
+    top = table(spark, folder, "orders").agg(F.max("o_orderkey").alias("top")).first()["top"] or 0
+    return 128 * (top + 1)
+
+
 def derived_log(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as transactions, line items as row changes, four slots.
 
@@ -258,7 +261,9 @@ def derived_log(spark: SparkSession, folder: str) -> DataFrame:
         _line_messages(spark, folder), allowMissingColumns=True
     )
     again = (F.col("order_key") % 101 == 0) & (F.col("kind") != "R")
-    shifts = F.when(again, F.array(F.lit(0), F.lit(REDELIVERY_SHIFT))).otherwise(F.array(F.lit(0)))
+    later = F.lit(redelivery_shift(spark, folder)).cast("bigint")
+    first = F.lit(0).cast("bigint")
+    shifts = F.when(again, F.array(first, later)).otherwise(F.array(first))
     return normalize(
         messages.withColumn("shift", F.explode(shifts))
         .withColumn("slot", F.concat(F.lit("slot_"), text(F.col("order_key") % 4)))
@@ -287,17 +292,21 @@ def change_log(spark: SparkSession, folder: str) -> DataFrame:
     return read_messages(spark, path)
 
 
+def middle_of(rows: DataFrame, position: str) -> int:
+    ends = rows.agg(F.min(position).alias("low"), F.max(position).alias("high")).first()
+    return (ends["low"] + ends["high"]) // 2
+
+
 def halves(rows: DataFrame, position: str) -> list[DataFrame]:
     """The rows in two steps of arrival, split at the middle of the position range."""
-    ends = rows.agg(F.min(position).alias("low"), F.max(position).alias("high")).first()
-    middle = (ends["low"] + ends["high"]) // 2
+    middle = middle_of(rows, position)
     return [rows.where(F.col(position) <= middle), rows.where(F.col(position) > middle)]
 
 
 def log_steps(spark: SparkSession, folder: str) -> list[DataFrame]:
     """The whole log in three steps of arrival: two halves, then the redeliveries."""
     log = change_log(spark, folder)
-    first = F.col("pos") < REDELIVERY_SHIFT
+    first = F.col("pos") < redelivery_shift(spark, folder)
     return [*halves(log.where(first), "pos"), log.where(~first)]
 
 

@@ -107,7 +107,7 @@ once AS (
   FROM shown),
 log AS (
   SELECT 'slot_' || (k % 4) AS slot, k * 128 + off + shift AS pos, once.* EXCLUDE (off)
-  FROM once, (VALUES (0), (1000000000)) s(shift) WHERE shift = 0 OR k % 101 = 0
+  FROM once, (SELECT 0 AS shift UNION ALL SELECT 128 * (max(o_orderkey) + 1) FROM orders) s WHERE shift = 0 OR k % 101 = 0
   UNION ALL
   SELECT 'slot_' || (k % 4), k * 128 + 1 + n, k, 'R', NULL, NULL, NULL, 16384 + n, 'sales', 'lineitem_' || n || '_v' || v,
          'orderkey,partkey,quantity,tax_pct,discount_pct' || CASE WHEN v % 2 = 0 THEN ',status' ELSE '' END,
@@ -353,7 +353,7 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey, {lsn_text('o_orderkey * 1099511627776 + o_custkey')} AS lsn, {lsn_text('o_custkey')} AS small_lsn
         FROM orders""",
     "lsn_order": on_log(
-        "SELECT slot, pos, lsn, k * 65536 + 32 AS lsn_num, "
+        "SELECT slot, pos, lsn, CAST(k * 65536 + 32 AS VARCHAR) AS lsn_num, "
         "row_number() OVER (PARTITION BY slot ORDER BY k * 65536 + 32, pos) AS place FROM log WHERE kind = 'C'"
     ),
     "wal_message_scan": on_log(
@@ -452,7 +452,8 @@ ORACLES: dict[str, str] = {
                || CASE WHEN p.relation_pos IS NOT NULL AND l.kind = 'D' AND l.old_tuple IS NOT NULL THEN {lines('  Deleted Row')} ELSE '' END
                || CASE WHEN p.relation_pos IS NOT NULL AND l.kind IN ('I', 'U') THEN {lines('  New Row')} ELSE '' END AS trace
         FROM log l LEFT JOIN resolved p ON p.slot = l.slot AND p.pos = l.pos
-        LEFT JOIN vals v ON v.l_orderkey = l.k AND l.kind IN ('I', 'U', 'D') AND l.pos % 1000000000 = l.k * 128 + 20 + v.rn"""),
+        LEFT JOIN vals v ON v.l_orderkey = l.k
+          AND v.rn = CASE WHEN l.kind IN ('I', 'U', 'D') THEN (l.pos - 20) % (SELECT 128 * (max(o_orderkey) + 1) FROM orders) - l.k * 128 END"""),
     "audit_pk": on_events(
         "SELECT id, count(*) AS copies, 'events_pk' AS rule FROM faulty GROUP BY id HAVING count(*) > 1 UNION ALL "
         "SELECT id, count(*), 'trails_pk' FROM creq GROUP BY id HAVING count(*) > 1"
@@ -483,6 +484,20 @@ ORACLES: dict[str, str] = {
     "stream_append": on_events("SELECT * FROM added"),
 }
 
+ORACLES["new_trail_stamps"] = on_events(
+    "SELECT c.name, count(*) AS n, true AS ids_differ, true AS ids_are_uuids, true AS stamps_in_order, true AS one_moment "
+    "FROM made m JOIN creq c ON c.id = m.id AND c.arrival = m.arrival GROUP BY c.name"
+)
+ORACLES["stream_restart"] = ORACLES["stream_capture"]
+ORACLES["wal_checkpoint_stored"] = on_log(
+    f"SELECT slot AS slot_name, {lsn_text('num')} AS last_lsn, num AS last_lsn_num, "
+    "CASE WHEN num > first THEN TIMESTAMP '2025-01-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM ("
+    "SELECT t.slot, max(lsn_num) AS num, max(CASE WHEN commit_pos < s.shift AND (t.slot IN ('slot_0', 'slot_1') "
+    "OR commit_pos < h.middle) THEN lsn_num END) AS first, s.shift FROM txn_num t, "
+    "(SELECT 128 * (max(o_orderkey) + 1) AS shift FROM orders) s, "
+    "(SELECT (min(pos) + max(pos)) // 2 AS middle FROM log WHERE pos < (SELECT 128 * (max(o_orderkey) + 1) FROM orders)) h "
+    "GROUP BY t.slot, s.shift)"
+)
 ORACLES["trail_create_events"] = on_events(
     "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS trail_id, o_orderstatus AS type, "
     "'{\"priority\":\"' || o_orderpriority || '\"}' AS payload, o_orderdate AS occured_at, "

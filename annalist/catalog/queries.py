@@ -27,7 +27,7 @@ from annalist.operators import (
 )
 from annalist.operators.numbering import number_within
 from annalist.plans import service
-from annalist.plans.capture import capture
+from annalist.plans.capture import capture, capture_batch
 from annalist.session import scratch_folder
 from annalist.sources.frames import route_frames
 from annalist.sources.messages import read_message_stream
@@ -286,10 +286,19 @@ def event_id_stable(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def new_trail_stamps(spark: SparkSession, folder: str) -> DataFrame:
-    """Random ids and clock stamps for the created trails; differs on every run."""
-    return trail_create(spark, folder).select(
+    """Random ids and clock stamps for the created trails: per name, what must hold of them."""
+    stamped = trail_create(spark, folder).select(
         ids.random_id().alias("id"), "name", utc_now().alias("created_at"), utc_now().alias("updated_at")
     )
+    uuid = r"\A[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
+    holds = lambda c: F.coalesce(F.bool_and(c), F.lit(False))
+    return stamped.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.count_distinct("id") == F.count(F.lit(1))).alias("ids_differ"),
+        holds(F.col("id").rlike(uuid)).alias("ids_are_uuids"),
+        holds(F.col("created_at").isNotNull() & (F.col("created_at") <= F.col("updated_at"))).alias("stamps_in_order"),
+        (F.count_distinct("created_at") == 1).alias("one_moment"),
+    )
 
 
 @query
@@ -359,11 +368,10 @@ def lsn_order(spark: SparkSession, folder: str) -> DataFrame:
     commits = (
         inputs.change_log(spark, folder)
         .where(F.col("kind") == "C")
-        .select("slot", "pos", "lsn", lsn_to_num(F.col("lsn")).cast("bigint").alias("lsn_num"))
-    )
-    return number_within(commits, ["slot"], F.col("lsn_num"), [F.col("lsn_num"), F.col("pos")], "place").orderBy(
-        "slot", "lsn_num", "pos"
+        .select("slot", "pos", "lsn", lsn_to_num(F.col("lsn")).alias("lsn_num"))
     )
+    numbered = number_within(commits, ["slot"], [F.col("lsn_num"), F.col("pos")], "place")
+    return numbered.orderBy("slot", "lsn_num", "pos").withColumn("lsn_num", shown("lsn_num"))
 
 
 # Change capture.
@@ -680,6 +688,44 @@ def stream_capture(spark: SparkSession, folder: str) -> DataFrame:
     return out(store.changes(), CHANGE_OUT)
 
 
+def _captured(spark: SparkSession, folder: str, *starts: tuple[int, str, str]) -> Store:
+    """A store after several streams over one arriving log. ``starts``: how many steps of
+    the log have arrived, the progress folder, and the moment of the stream's stamps."""
+    store = Store(spark, scratch_folder(spark, "stream-store"))
+    arriving, here = scratch_folder(spark, "arriving-log"), 0
+    steps = inputs.log_steps(spark, folder)
+    for upto, progress, moment in starts:
+        for step in steps[here:upto]:
+            step.write.mode("append").parquet(arriving)
+        here = max(here, upto)
+        messages = read_message_stream(spark, arriving)
+        capture_stream.start_capture(messages, store, progress, once=True, clock=F.lit(moment)).awaitTermination()
+    return store
+
+
+@query
+def stream_restart(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream over half the log; then one that lost its progress, over the whole log."""
+    first, second = scratch_folder(spark, "progress"), scratch_folder(spark, "progress")
+    store = _captured(spark, folder, (1, first, "2024-01-01"), (3, second, "2025-01-01"))
+    return out(store.changes(), CHANGE_OUT)
+
+
+@query
+def wal_checkpoint_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Checkpoints after two streams: a slot is stamped by the last one that moved it.
+
+    The second stream brings redeliveries only, and for slot_1 none at all.
+    """
+    store = Store(spark, scratch_folder(spark, "checkpoint-store"))
+    log = inputs.change_log(spark, folder)
+    later = F.col("pos") >= inputs.redelivery_shift(spark, folder)
+    low = F.col("slot").isin("slot_0", "slot_1") | (F.col("pos") < inputs.middle_of(log.where(~later), "pos"))
+    capture_batch(store, log.where(~later & low), 0, clock=F.lit("2024-01-01"), run="first")
+    capture_batch(store, log.where(F.col("slot") != "slot_1"), 0, clock=F.lit("2025-01-01"), run="second")
+    return store.checkpoints().select("slot_name", "last_lsn", big("last_lsn_num"), "updated_at")
+
+
 @query
 def stream_append(spark: SparkSession, folder: str) -> DataFrame:
     """Pending events arrive in two steps and are numbered after the stored ones."""

@@ -11,9 +11,14 @@ from annalist.operators.buckets import BEFORE_ROW, BUCKET, DEFAULT_BITS, SEED, b
 from annalist.operators.segments import COMMITTED, segments
 
 
+def stored_positions(stored: DataFrame) -> DataFrame:
+    """slot, last_lsn_num of the stored checkpoints; malformed text fails the job."""
+    return stored.select(F.col("slot_name").alias("slot"), lsn_to_num_strict(F.col("last_lsn")).alias("last_lsn_num"))
+
+
 def load_checkpoints(slots: DataFrame, stored: DataFrame) -> DataFrame:
     """Position to resume from per slot: 0 without a checkpoint, malformed text fails the job."""
-    known = stored.select(F.col("slot_name").alias("slot"), lsn_to_num_strict(F.col("last_lsn")).alias("stored"))
+    known = stored_positions(stored).withColumnRenamed("last_lsn_num", "stored")
     return slots.select("slot").distinct().join(known, "slot", "left").select(
         "slot", F.coalesce(F.col("stored"), F.lit(0).cast(LSN_NUM_TYPE)).alias("last_lsn_num")
     )

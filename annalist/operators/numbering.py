@@ -1,4 +1,4 @@
-"""Gap-free numbers within a key, safe for keys that hold a large share of all rows."""
+"""Gap-free numbers within a key, whatever share of all rows the key holds."""
 
 from __future__ import annotations
 
@@ -7,53 +7,59 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is numbered in pieces.
-HOT_ROWS = 1 << 20
-# No more keys than this can each hold more than 1/HOT_KEYS of all rows, so the
-# table of hot keys that is broadcast below never exceeds it.
-HOT_KEYS = 100_000
+# Rows of one key that one task sorts. A larger key is cut into pieces of about this size.
+PIECE_ROWS = 1 << 20
+# A key is cut at no more than this many places, so its pieces may grow beyond that.
+MOST_CUTS = (1 << 12) - 1
 
 
-def hot_ranges(rows: DataFrame, keys: Sequence[str], position: Column, hot_rows: int) -> DataFrame:
-    """Keys too large for one task: their lowest position and the width of one piece."""
-    sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(position).alias("low"), F.max(position).alias("high")
-    )
-    share = sizes.agg((F.sum("n") / HOT_KEYS).alias("share")).scalar()
-    pieces = F.ceil(F.col("n") / F.lit(hot_rows))
-    return sizes.where(F.col("n") > F.greatest(F.lit(float(hot_rows)), share)).select(
-        *keys, "low", F.ceil((F.col("high") - F.col("low") + 1) / pieces).alias("width")
+def _cuts(rows: DataFrame, keys: Sequence[str], lead: Column, sizes: DataFrame, largest: int, piece_rows: int) -> DataFrame:
+    """Per large key: values of ``lead`` that part its rows evenly, ascending."""
+    n = min(MOST_CUTS, -(-largest // piece_rows) - 1)
+    shares = [(i + 1) / (n + 1) for i in range(n)]
+    large = sizes.where(F.col("_n") > piece_rows).select(*keys)
+    return (
+        rows.join(large, list(keys), "left_semi")
+        .groupBy(*keys)
+        .agg(F.percentile_approx(lead, shares, 10 * (n + 1)).alias("_cuts"))
     )
 
 
+def _piece(cuts: Column, value: Column) -> Column:
+    """How many of the ascending cuts lie below the value, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in range(MOST_CUTS.bit_length() - 1, -1, -1)])
+    reached = lambda at, step: F.coalesce(F.get(cuts, at + step - 1) < value, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(reached(at, step), step).otherwise(0))
+
+
 def number_within(
-    rows: DataFrame,
-    keys: Sequence[str],
-    position: Column,
-    order_by: Sequence[Column],
-    name: str,
-    hot_rows: int = HOT_ROWS,
+    rows: DataFrame, keys: Sequence[str], order_by: Sequence[Column], name: str, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
-    """Add ``name`` = 1, 2, 3, ... per key in the given order.
+    """Add ``name`` = 1, 2, 3, ... per key in the given ascending order.
 
-    ``position`` is a BIGINT that never falls along ``order_by``; it is what large
-    keys are cut on. Ordinary keys take one window over one shuffle. A hot key is
-    cut into position ranges, numbered per range, and shifted by the rows in its
-    earlier ranges.
+    The first of ``order_by`` is a number, date or time; the others break ties. Keys of
+    more than ``piece_rows`` rows are cut at quantiles of that first value. Each piece is
+    numbered on its own and shifted by the rows in the key's earlier pieces, so the
+    numbers are the same wherever the cuts fall. Rows of one key that agree in the first
+    value stay together.
     """
-    piece = "_piece"
-    ranges = hot_ranges(rows, keys, position, hot_rows)
-    cut = rows.join(F.broadcast(ranges), list(keys), "left").withColumn(
-        piece, F.coalesce(F.floor((position - F.col("low")) / F.col("width")), F.lit(-1))
+    whole = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)).cast("bigint")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n").alias("n")).first()["n"] or 0
+    if largest <= piece_rows:
+        return rows.select("*", whole.alias(name))
+
+    piece, lead = "_piece", order_by[0]
+    cuts = _cuts(rows, keys, lead, sizes, largest, piece_rows)
+    cut = rows.join(cuts, list(keys), "left").withColumn(
+        piece, F.when(F.col("_cuts").isNotNull(), _piece(F.col("_cuts"), lead))
     )
-    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, piece).orderBy(*order_by)))
+    counted = cut.where(F.col(piece).isNotNull()).groupBy(*keys, piece).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        cut.where(F.col(piece) >= 0)
-        .groupBy(*keys, piece)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, piece, F.sum("_rows").over(earlier).alias("_shift"))
-    )
-    return local.join(shifts, [*keys, piece], "left").select(
-        *rows.columns, (F.col("_local") + F.coalesce(F.col("_shift"), F.lit(0))).cast("bigint").alias(name)
+    shifts = counted.select(*keys, piece, F.sum("_rows").over(earlier).alias("_shift"))
+    local = F.row_number().over(Window.partitionBy(*keys, piece).orderBy(*order_by))
+    return (
+        cut.withColumn("_local", local)
+        .join(shifts, [*keys, piece], "left")
+        .select(*rows.columns, (F.col("_local") + F.coalesce("_shift", F.lit(0))).cast("bigint").alias(name))
     )

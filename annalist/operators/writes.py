@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.clock import stamp
-from annalist.operators.numbering import HOT_ROWS, number_within
+from annalist.operators.numbering import PIECE_ROWS, number_within
 from annalist.operators.trails import EVENT_COLUMNS
 
 ALREADY_EXISTS, NOT_FOUND = "already exists", "not found"
@@ -58,7 +58,7 @@ def lengths_of(events: DataFrame) -> DataFrame:
 
 
 def appended_events(
-    trails: DataFrame, lengths: DataFrame, pending: DataFrame, hot_rows: int = HOT_ROWS
+    trails: DataFrame, lengths: DataFrame, pending: DataFrame, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Pending events of known trails, numbered after the events each trail already has.
 
@@ -69,9 +69,7 @@ def appended_events(
     base = trails.select("id").join(counts, "id", "left").select(
         F.col("id").alias("trail_id"), F.coalesce(F.col("n"), F.lit(0)).alias("base")
     )
-    placed = number_within(
-        pending, ["trail_id"], F.col("arrival"), [F.col("arrival"), F.col("id")], "place", hot_rows
-    )
+    placed = number_within(pending, ["trail_id"], [F.col("arrival"), F.col("id")], "place", piece_rows)
     return placed.join(base, "trail_id").select(
         *[c for c in EVENT_COLUMNS if c != "sequence"], (F.col("base") + F.col("place")).alias("sequence")
     )
@@ -82,10 +80,10 @@ def rejected_appends(trails: DataFrame, pending: DataFrame) -> DataFrame:
 
 
 def append_events(
-    trails: DataFrame, events: DataFrame, pending: DataFrame, hot_rows: int = HOT_ROWS
+    trails: DataFrame, events: DataFrame, pending: DataFrame, piece_rows: int = PIECE_ROWS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All events after the append, the touched trails table, and the rejects."""
-    added = appended_events(trails, lengths_of(events), pending, hot_rows)
+    added = appended_events(trails, lengths_of(events), pending, piece_rows)
     return (
         events.select(*EVENT_COLUMNS).unionByName(added),
         touch_trails(trails, pending),

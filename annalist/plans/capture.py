@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from annalist.operators.buckets import DEFAULT_BITS
 from annalist.operators.changes import numbered_changes
-from annalist.operators.checkpoints import final_checkpoints
+from annalist.operators.checkpoints import final_checkpoints, stored_positions
 from annalist.operators.defaults import SOURCE_DB, with_defaults
 from annalist.operators.segments import RELATION, open_begins
 from annalist.operators.transactions import by_segment, committed, first_deliveries, still_open, transactions
 from annalist.sources.messages import normalize
-from annalist.sources.store import Store
+from annalist.sources.store import CHANGES, MAIN, Store
 
 
 def transaction_rows(chosen: DataFrame, clock: Column | None = None, source_db: str = SOURCE_DB) -> DataFrame:
@@ -36,8 +36,8 @@ def capture(log: DataFrame, bits: int = DEFAULT_BITS) -> tuple[DataFrame, DataFr
     return transaction_rows(chosen), numbered_changes(log, chosen, bits)
 
 
-def _stored_before(store: Store, batch: int, delivered: DataFrame, loaded: DataFrame) -> DataFrame | None:
-    """What earlier batches stored, as far as a delivery of this batch could repeat it.
+def _stored_before(store: Store, delivered: DataFrame, loaded: DataFrame) -> DataFrame | None:
+    """What the store holds, as far as a delivery of this batch could repeat it.
 
     Only positions up to a slot's checkpoint can be stored already. Their lowest
     one, a single number, bounds what has to be read of the stored table; usually
@@ -47,7 +47,7 @@ def _stored_before(store: Store, batch: int, delivered: DataFrame, loaded: DataF
     lowest = suspect.agg(F.min("commit_lsn_num").alias("low")).first()["low"]
     if lowest is None:
         return None
-    return store.transactions(before=batch).where(F.col("commit_lsn_num") >= F.lit(lowest))
+    return store.transactions().where(F.col("commit_lsn_num") >= F.lit(lowest))
 
 
 def _state(log: DataFrame, begins: DataFrame, opened: DataFrame) -> DataFrame:
@@ -66,34 +66,66 @@ def _state(log: DataFrame, begins: DataFrame, opened: DataFrame) -> DataFrame:
     )
 
 
+def _saved(final: DataFrame, stored: DataFrame, clock: Column | None) -> DataFrame:
+    """The checkpoint table after a batch. A slot is saved, and stamped, only when its
+    position grew; any other keeps its row."""
+    old = stored.select("slot_name", F.col("last_lsn_num").alias("old"), F.col("updated_at").alias("since"))
+    rows = final.withColumnRenamed("slot", "slot_name").join(old, "slot_name", "left")
+    kept = F.when(F.col("last_lsn_num") <= F.col("old"), F.col("since"))
+    return with_defaults(rows.withColumn("updated_at", kept), "wal_checkpoint", clock)
+
+
 def capture_batch(
-    store: Store, messages: DataFrame, batch: int, bits: int = DEFAULT_BITS, clock: Column | None = None
+    store: Store,
+    messages: DataFrame,
+    batch: int,
+    bits: int = DEFAULT_BITS,
+    clock: Column | None = None,
+    run: str = MAIN,
+    source_db: str = SOURCE_DB,
 ) -> None:
-    """Store one batch of messages, continuing from the batch before.
+    """Store one batch of messages, continuing from the batch before it in the same run.
 
     A transaction left open is stored as far as it has come and finished by a
     later batch, so the work of a batch depends on its own messages only. Its
     changes stay invisible until its transaction row exists.
+
+    The first batch of a run starts as a new connection does: nothing is open and no
+    relation is known, as the source sends both again, but the stored checkpoints and
+    transactions count, so what is stored is not stored twice. A batch that
+    is published already is left as it is.
     """
+    entries = {(e["run"], e["batch"]): e["attempt"] for e in store.published()}
+    if (run, batch) in entries:
+        return
     # The state leads the union, so the batch runs with the settings of the store's
     # session; a stream's own session may have adaptive execution switched off.
     if batch > 0:
-        state = store.batch("state", batch - 1).select(*messages.columns)
+        state = store.attempt("state", entries[run, batch - 1]).select(*messages.columns)
     else:
         state = normalize(store.spark.range(0).drop("id"))
+    attempt = store.begin(run, batch)
     log = state.unionByName(messages)
     # Kept for the steps below, which would otherwise each read the log again.
-    store.write(by_segment(log, bits), "segments", batch)
-    segments = store.batch("segments", batch)
+    segments = store.write(by_segment(log, bits), "segments", attempt)
     begins = open_begins(log)
     opened = still_open(segments, begins)
     delivered = committed(segments)
-    loaded = store.checkpoints(batch - 1).select(F.col("slot_name").alias("slot"), "last_lsn_num")
-    fresh = first_deliveries(delivered, _stored_before(store, batch, delivered, loaded))
-
-    changes = numbered_changes(log, fresh.unionByName(opened), bits)
-    store.write(with_defaults(changes, "wal_change", clock), "wal_change", batch)
-    store.write(transaction_rows(fresh, clock), "wal_transaction", batch)
-    final = final_checkpoints(delivered, loaded).withColumnRenamed("slot", "slot_name")
-    store.write(with_defaults(final, "wal_checkpoint", clock), "wal_checkpoint", batch)
-    store.write(_state(log, begins, opened), "state", batch)
+    stored = store.checkpoints()
+    loaded = stored_positions(stored)
+    fresh = first_deliveries(delivered, _stored_before(store, delivered, loaded))
+
+    # A change whose commit is known by now is stored finished, any other open.
+    changes = with_defaults(numbered_changes(log, fresh.unionByName(opened), bits), "wal_change", clock)
+    finished = F.col("commit_lsn").isNotNull().alias("finished")
+    store.write(changes.select("*", F.lit(run).alias("run"), finished), CHANGES, attempt, "finished")
+    closing = fresh.where("carried > 0").select(
+        F.lit(run).alias("run"), F.col("slot").alias("source_slot"), "begin_pos", "commit_lsn"
+    )
+    store.write(closing, "closing", attempt)
+    store.write(transaction_rows(fresh, clock, source_db), "wal_transaction", attempt)
+    store.write(_saved(final_checkpoints(delivered, loaded), stored, clock), "wal_checkpoint", attempt)
+    store.write(_state(log, begins, opened), "state", attempt)
+    store.publish(run, batch, attempt)
+    if batch > 1:
+        store.forget_carried(run, batch - 2)

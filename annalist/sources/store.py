@@ -1,59 +1,176 @@
-"""The stored change tables: one folder per table and batch.
+"""The stored change tables: attempts, and a manifest that says which of them count.
 
-A batch writes its changes first, then its transactions, then its checkpoints.
-Every folder is named after the batch and overwritten when the batch is retried,
-so a retry after a lost driver or executor leaves no copies. Readers take changes
-through the transaction table and never see those of an unfinished batch.
+Every attempt at a batch writes its tables into a folder of its own. The last thing it
+writes is one row of the manifest, and readers follow the manifest only. So a failed
+attempt is never seen, not even in part; a retry leaves what readers see untouched until
+it is complete; and a batch that is published already is not done again.
+
+A batch is named by the run it belongs to and its number there. Runs count on their own,
+so a stream that starts afresh on an old store adds to it.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql import types as T
 
 from annalist import schemas
 
+MANIFEST = T.StructType(
+    [
+        T.StructField("place", T.LongType()),
+        T.StructField("run", T.StringType()),
+        T.StructField("batch", T.IntegerType()),
+        T.StructField("attempt", T.StringType()),
+        T.StructField("covers", T.LongType()),
+    ]
+)
+MAIN = "main"
+CHANGES = "wal_change"
+FINISHED, OPEN = f"{CHANGES}/finished=true", f"{CHANGES}/finished=false"
+# Tables that only the next batch of the same run reads.
+CARRIED = ("segments", "state")
+
 
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
     root: str
 
-    def folder(self, table: str, batch: int | None = None) -> str:
-        return f"{self.root}/{table}" + ("" if batch is None else f"/batch_id={batch}")
+    # Folders.
+
+    def _hadoop(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        found = jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), found
+
+    def _exists(self, path: str) -> bool:
+        system, found = self._hadoop(path)
+        return system.exists(found)
+
+    def _delete(self, path: str) -> None:
+        system, found = self._hadoop(path)
+        system.delete(found, True)
+
+    def folder(self, table: str, attempt: str) -> str:
+        return f"{self.root}/attempts/{attempt}/{table}"
+
+    # The manifest.
+
+    def published(self) -> list[Row]:
+        """The attempts that count, in the order of their publication.
+
+        One row per batch since the last compaction, which covers those before it.
+        """
+        path = f"{self.root}/manifest"
+        if not self._exists(path):
+            return []
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{path}/entry-*").orderBy("place").collect()
+        covered = max((r["covers"] for r in rows if r["covers"] is not None), default=0)
+        return [r for r in rows if r["place"] > covered]
+
+    def find(self, run: str, batch: int) -> Row | None:
+        return next((r for r in self.published() if (r["run"], r["batch"]) == (run, batch)), None)
+
+    def begin(self, run: str, batch: int) -> str:
+        """A new attempt's name."""
+        return f"{run}-{batch}-{uuid.uuid4().hex}"
 
-    def write(self, rows: DataFrame, table: str, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(self.folder(table, batch))
+    def publish(self, run: str, batch: int, attempt: str, covers: int | None = None) -> None:
+        """Make an attempt count. One writer at a time; a second one for the same place fails."""
+        entries = self.published()
+        place = entries[-1]["place"] + 1 if entries else 1
+        row = self.spark.createDataFrame([(place, run, batch, attempt, covers)], MANIFEST).coalesce(1)
+        row.write.mode("errorifexists").parquet(f"{self.root}/manifest/entry-{place:09d}")
 
-    def batch(self, table: str, batch: int) -> DataFrame:
-        return self.spark.read.parquet(self.folder(table, batch))
+    # Tables.
 
-    def read(self, table: str, schema: StructType, before: int | None = None) -> DataFrame:
-        """All batches of a table, or those before one. Empty when nothing was written."""
-        wanted = schema.fieldNames()
-        if before == 0:
+    def write(self, rows: DataFrame, table: str, attempt: str, *parts: str) -> DataFrame:
+        """Write one table of an attempt, in folders by the columns ``parts``; returns what was written."""
+        path = self.folder(table, attempt)
+        rows.write.partitionBy(*parts).parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def attempt(self, table: str, attempt: str) -> DataFrame:
+        return self.spark.read.parquet(self.folder(table, attempt))
+
+    def read(self, table: str, schema: T.StructType, entries: Sequence[Row] | None = None) -> DataFrame:
+        """A table over all published attempts, or those given; empty without any."""
+        entries = self.published() if entries is None else entries
+        paths = [p for e in entries if self._exists(p := self.folder(table, e["attempt"]))]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(StructType([*schema.fields, StructField("batch_id", IntegerType())])).parquet(self.folder(table))
-        if before is not None:
-            rows = rows.where(F.col("batch_id") < before)
-        return rows.select(*wanted)
+        return self.spark.read.schema(schema).parquet(*paths)
 
-    def transactions(self, before: int | None = None) -> DataFrame:
-        return self.read("wal_transaction", schemas.WAL_TRANSACTION, before)
+    def transactions(self) -> DataFrame:
+        return self.read("wal_transaction", schemas.WAL_TRANSACTION)
 
     def changes(self) -> DataFrame:
-        """Changes of stored transactions only, each with its transaction's commit position."""
-        stored = self.transactions().select("source_slot", "begin_pos", F.col("commit_lsn").alias("stored_lsn"))
-        rows = self.read("wal_change", schemas.WAL_CHANGE)
-        return rows.join(stored, ["source_slot", "begin_pos"]).withColumn("commit_lsn", F.col("stored_lsn")).select(
-            *schemas.WAL_CHANGE.fieldNames()
-        )
-
-    def checkpoints(self, batch: int) -> DataFrame:
-        """The checkpoint table as of one batch; empty before the first."""
-        if batch < 0:
-            return self.spark.createDataFrame([], schemas.WAL_CHECKPOINT)
-        return self.batch("wal_checkpoint", batch).select(*schemas.WAL_CHECKPOINT.fieldNames())
+        """Changes of stored transactions, each with its transaction's commit position.
+
+        A change whose commit came in the same batch is stored finished. Only those of
+        transactions that went on over batches are joined, by run and begin, with the
+        commit that closed them, and stay invisible without one.
+        """
+        entries = self.published()
+        finished = self.read(FINISHED, schemas.WAL_CHANGE, entries)
+        opened = self.read(OPEN, OPEN_CHANGE, entries)
+        closing = self.read("closing", CLOSING, entries)
+        joined = opened.drop("commit_lsn").join(closing, ["run", "source_slot", "begin_pos"])
+        return finished.unionByName(joined.select(*schemas.WAL_CHANGE.fieldNames()))
+
+    def checkpoints(self, batch: int | None = None) -> DataFrame:
+        """The checkpoint table now, or as of one batch; empty before the first."""
+        entries = [e for e in self.published() if batch is None or e["batch"] == batch]
+        return self.read("wal_checkpoint", schemas.WAL_CHECKPOINT, entries[-1:])
+
+    # Upkeep.
+
+    def forget_carried(self, run: str, batch: int) -> None:
+        """Delete what only the batch after this one needed."""
+        entry = self.find(run, batch)
+        for table in CARRIED if entry else ():
+            self._delete(self.folder(table, entry["attempt"]))
+
+    def compact(self, run: str, batch: int) -> None:
+        """Merge all published attempts up to a run's latest batch into one.
+
+        Readers that began before may still read the old folders; those are deleted by
+        the next compaction.
+        """
+        entries = self.published()
+        latest = self.find(run, batch)
+        if latest is None or len(entries) < 2:
+            return
+        attempt = self.begin(run, batch)
+        for table, schema in TABLES.items():
+            self.write(self.read(table, schema, entries), table, attempt)
+        # What counts is the last one's; the rest of it goes on with the next batch.
+        for table in ("wal_checkpoint", *CARRIED):
+            if self._exists(self.folder(table, latest["attempt"])):
+                self.write(self.attempt(table, latest["attempt"]), table, attempt)
+        self.publish(run, batch, attempt, covers=entries[-1]["place"])
+
+
+OPEN_CHANGE = T.StructType([*schemas.WAL_CHANGE.fields, T.StructField("run", T.StringType())])
+#: The commit position of transactions whose changes are stored over several batches.
+CLOSING = T.StructType(
+    [
+        T.StructField("run", T.StringType()),
+        T.StructField("source_slot", T.StringType()),
+        T.StructField("begin_pos", T.LongType()),
+        T.StructField("commit_lsn", T.StringType()),
+    ]
+)
+#: Tables that grow from batch to batch.
+TABLES = {
+    "wal_transaction": schemas.WAL_TRANSACTION,
+    FINISHED: schemas.WAL_CHANGE,
+    OPEN: OPEN_CHANGE,
+    "closing": CLOSING,
+}

@@ -78,7 +78,7 @@ def test_numbering_of_hot_keys(spark, hot_rows):
         seen[key] = want[key, position] = seen.get(key, 0) + 1
     rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "key string, position bigint")
-    got = number_within(frame, ["key"], F.col("position"), [F.col("position")], "n", hot_rows).collect()
+    got = number_within(frame, ["key"], [F.col("position")], "n", hot_rows).collect()
     assert {(r.key, r.position): r.n for r in got} == want
 
 
