@@ -78,6 +78,15 @@ def trails(spark: SparkSession, folder: str) -> DataFrame:
     return users.unionByName(empty)
 
 
+def trails_before_append(spark: SparkSession, folder: str) -> DataFrame:
+    """The trails as they were when their stored events were the last, pending ones not counted."""
+    stored = F.max(F.when(~is_pending(), F.col("ts"))).cast("timestamp_ntz").alias("since")
+    last = table(spark, folder, "events").withColumnRenamed("event_id", "arrival").groupBy("user_id").agg(stored)
+    since = last.select(text("user_id").alias("id"), "since")
+    moment = F.when(F.col("since").isNotNull(), F.col("since")).otherwise(F.col("created_at"))
+    return trails(spark, folder).join(since, "id", "left").withColumn("updated_at", moment).drop("since")
+
+
 def is_pending() -> Column:
     return F.col("arrival") % 10 == 9
 

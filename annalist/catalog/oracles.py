@@ -17,6 +17,10 @@ tr AS (
   UNION ALL
   SELECT 'empty-' || i, 'nothing-' || i, TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-01 00:00:00'
   FROM range(1, 3) r(i)),
+tr_before AS (
+  SELECT tr.id, tr.name, tr.created_at, CASE WHEN tr.id LIKE 'empty%' THEN tr.updated_at ELSE coalesce(s.last, tr.created_at) END AS updated_at
+  FROM tr LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS id, max(ts) AS last FROM base WHERE event_id % 10 <> 9 GROUP BY 1) s
+    ON s.id = tr.id),
 req AS (
   SELECT CAST(user_id AS VARCHAR) AS trail_id,
          CASE WHEN user_id % 17 = 0 THEN '' WHEN user_id % 19 = 0 THEN 'x' ELSE CAST(user_id % 30 AS VARCHAR) END AS from_text
@@ -303,13 +307,13 @@ ORACLES: dict[str, str] = {
     ),
     "trail_touch": on_events(
         "SELECT tr.id, tr.name, tr.created_at, greatest(tr.updated_at, coalesce(a.last, tr.updated_at)) AS updated_at "
-        "FROM tr LEFT JOIN (SELECT trail_id, max(occured_at) AS last FROM added GROUP BY 1) a ON a.trail_id = tr.id"
+        "FROM tr_before tr LEFT JOIN (SELECT trail_id, max(occured_at) AS last FROM added GROUP BY 1) a ON a.trail_id = tr.id"
     ),
     "append_rejects": on_events(
         "SELECT id, trail_id, type, 'not found' AS reason FROM pending WHERE trail_id NOT IN (SELECT id FROM tr)"
     ),
     "trail_update": on_events(
-        "SELECT tr.id, coalesce(u.name, tr.name) AS name, tr.created_at, coalesce(u.requested_at, tr.updated_at) AS updated_at "
+        "SELECT tr.id, coalesce(u.name, tr.name) AS name, tr.created_at, CASE WHEN u.id IS NULL THEN tr.updated_at ELSE TIMESTAMP '2024-06-01' END AS updated_at "
         "FROM tr LEFT JOIN (SELECT * FROM creq QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival DESC) = 1) u "
         "ON u.id = tr.id"
     ),
@@ -336,7 +340,9 @@ ORACLES: dict[str, str] = {
     "event_id_stable": on_events("SELECT id, sha256(trail_id || '|' || sequence) AS stable_id FROM ev"),
     "payload_decode": """
         SELECT event_id,
-               CASE event_type WHEN 'signup' THEN 'object' WHEN 'view' THEN 'null' WHEN 'error' THEN 'null' ELSE 'error' END AS class,
+               CASE WHEN event_type = 'signup' THEN 'object'
+                    WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'null'
+                    WHEN event_type IN ('click', 'view', 'purchase') OR event_id % 2 = 0 THEN 'error' ELSE 'null' END AS class,
                CASE WHEN event_type = 'signup' THEN props::JSON ->> 'k' END AS k,
                CASE WHEN event_type = 'signup' THEN '{"k":"' || (props::JSON ->> 'k') || '"}' END AS encoded
         FROM events""",
@@ -406,14 +412,31 @@ ORACLES: dict[str, str] = {
     ),
     "wal_persist_change": on_log(f"SELECT {CHANGE_COLUMNS} FROM changes"),
     "wal_defaults": on_log("""
-        SELECT source_slot, commit_lsn, change_seq_in_txn, CAST(NULL AS VARCHAR) AS change_lsn, CAST(NULL AS VARCHAR) AS tenant_id,
-               schema_name, table_name, table_oid, op, CAST(NULL AS VARCHAR) AS replica_identity_mode,
-               CAST(NULL AS VARCHAR) AS row_pk, CAST(0 AS BIGINT) AS changed_columns, '' AS forward_dml_sql,
-               '' AS reverse_dml_sql, CAST(NULL AS VARCHAR) AS reverse_where_sql, CAST(1 AS BIGINT) AS affected_row_count,
+        SELECT source_slot, commit_lsn, CAST(change_seq_in_txn AS VARCHAR) AS change_seq_in_txn, CAST(NULL AS VARCHAR) AS change_lsn,
+               CAST(NULL AS VARCHAR) AS tenant_id, schema_name, table_name, CAST(table_oid AS VARCHAR) AS table_oid, op,
+               CAST(NULL AS VARCHAR) AS replica_identity_mode, CAST(NULL AS VARCHAR) AS row_pk,
+               CAST(0 AS BIGINT) AS changed_columns, '' AS forward_dml_sql, '' AS reverse_dml_sql,
+               CAST(NULL AS VARCHAR) AS forward_sql_hash, CAST(NULL AS VARCHAR) AS reverse_sql_hash,
+               CAST(NULL AS VARCHAR) AS reverse_where_sql, '1' AS affected_row_count,
                'not_applied' AS undo_status, CAST(NULL AS TIMESTAMP) AS undo_applied_at,
                CAST(NULL AS VARCHAR) AS undo_applied_by, CAST(0 AS BIGINT) AS safety_flags,
                TIMESTAMP '2024-01-01 00:00:00' AS created_at
         FROM changes"""),
+    "wal_txn_defaults": on_log("""
+        SELECT slot AS source_slot, 'traildb' AS source_db, CAST(xid AS VARCHAR) AS xid, begin_lsn, commit_lsn,
+               CAST(lsn_num AS VARCHAR) AS commit_lsn_num, CAST(NULL AS VARCHAR) AS end_lsn, commit_ts,
+               CAST(NULL AS VARCHAR) AS origin_name, CAST(NULL AS VARCHAR) AS tenant_id, CAST(change_count AS VARCHAR) AS change_count,
+               CAST(NULL AS VARCHAR) AS forward_sql_text, CAST(NULL AS VARCHAR) AS reverse_sql_text,
+               CAST(NULL AS VARCHAR) AS forward_sql_hash, CAST(NULL AS VARCHAR) AS reverse_sql_hash,
+               CAST(0 AS BIGINT) AS safety_flags, CAST(NULL AS VARCHAR) AS ingest_batch_id,
+               TIMESTAMP '2024-01-01 00:00:00' AS ingested_at
+        FROM won"""),
+    "trail_defaults": on_events("""
+        SELECT 'trail' AS level, id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN created_at ELSE TIMESTAMP '2024-03-03' END AS created_at,
+               TIMESTAMP '2024-03-03' AS updated_at
+        FROM tr WHERE id NOT LIKE 'empty%'
+        UNION ALL
+        SELECT 'event', id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN occured_at ELSE TIMESTAMP '2024-03-03' END, NULL FROM ev"""),
     "wal_checkpoint_load": on_log("SELECT slot, last_lsn_num FROM loaded"),
     "wal_checkpoint_history": on_log(
         f"SELECT slot, pos, commit_lsn_num, {lsn_text('commit_lsn_num')} AS last_lsn FROM ("
@@ -428,7 +451,8 @@ ORACLES: dict[str, str] = {
     ),
     "wal_checkpoint_upsert": on_log(
         "SELECT slot AS slot_name, lsn AS last_lsn, k * 65536 + 32 AS last_lsn_num, commit_ts AS updated_at FROM log "
-        "WHERE kind = 'C' QUALIFY row_number() OVER (PARTITION BY slot ORDER BY pos DESC) = 1"
+        "WHERE kind = 'C' AND slot <> 'slot_2' QUALIFY row_number() OVER (PARTITION BY slot ORDER BY pos DESC) = 1 "
+        f"UNION ALL SELECT slot_name, {lsn_text('num')}, num, updated_at FROM ck WHERE slot_name = 'slot_2'"
     ),
     "wal_resume": on_log(
         "SELECT s.slot, s.begin_pos, s.commit_pos, s.xid, s.commit_lsn FROM seg s JOIN loaded l ON l.slot = s.slot "
@@ -456,7 +480,7 @@ ORACLES: dict[str, str] = {
           AND v.rn = CASE WHEN l.kind IN ('I', 'U', 'D') THEN (l.pos - 20) % (SELECT 128 * (max(o_orderkey) + 1) FROM orders) - l.k * 128 END"""),
     "audit_pk": on_events(
         "SELECT id, count(*) AS copies, 'events_pk' AS rule FROM faulty GROUP BY id HAVING count(*) > 1 UNION ALL "
-        "SELECT id, count(*), 'trails_pk' FROM creq GROUP BY id HAVING count(*) > 1"
+        "SELECT id, 2, 'trails_pk' FROM tr WHERE id NOT LIKE 'empty%' AND CAST(CASE WHEN id LIKE 'empty%' THEN '0' ELSE id END AS BIGINT) % 50 = 7"
     ),
     "audit_event_fk": on_events(
         "SELECT id, trail_id, 'events_trail_fk' AS rule FROM faulty WHERE trail_id NOT IN (SELECT id FROM tr)"
@@ -474,7 +498,8 @@ ORACLES: dict[str, str] = {
     "audit_wal_keys": on_log(
         "SELECT slot, CAST(NULL AS VARCHAR) AS xid, commit_lsn, count(*) AS copies, 'slot_commit_lsn' AS rule FROM txn "
         "GROUP BY 1, 3 HAVING count(*) > 1 UNION ALL "
-        "SELECT slot, CAST(xid AS VARCHAR), commit_lsn, count(*), 'slot_xid_commit_lsn' FROM txn GROUP BY 1, 2, 3 HAVING count(*) > 1"
+        "SELECT slot, CAST(xid AS VARCHAR), commit_lsn, count(*), 'slot_xid_commit_lsn' FROM txn GROUP BY 1, 2, 3 HAVING count(*) > 1 "
+        "UNION ALL SELECT source_slot, NULL, commit_lsn, 2, 'change_seq' FROM changes WHERE table_oid = 16390"
     ),
     "audit_change_fk": on_log(
         "SELECT k.slot, k.cpos AS begin_pos, 'change_transaction_fk' AS rule, count(*) AS n FROM kept k "
@@ -520,10 +545,33 @@ ORACLES["service_replay"] = on_events(
     "LEFT JOIN ev ON ev.trail_id = tr.id AND ev.sequence >= r.start) WHERE result IS NOT NULL"
 )
 ORACLES["audit_pk"] = f"WITH {EVENTS}, {LOG} " + ORACLES["audit_pk"].split(EVENTS)[1] + (
-    " UNION ALL SELECT slot, count(*), 'wal_checkpoint_pk' FROM log GROUP BY slot HAVING count(*) > 1"
+    " UNION ALL SELECT 'slot_3', 2, 'wal_checkpoint_pk'"
 )
-ORACLES["audit_not_null"] = f"WITH {EVENTS}, {LOG} " + (
+ORACLES["audit_not_null"] = f"WITH {EVENTS}, {CONTEXT} " + (
     "SELECT id, 'type' AS \"column\", 'events_not_null' AS rule FROM faulty WHERE type IS NULL UNION ALL "
-    "SELECT slot || ':' || pos, c, 'wal_transaction_not_null' FROM log, (VALUES ('xid'), ('commit_lsn'), ('commit_ts')) v(c) "
-    "WHERE CASE c WHEN 'xid' THEN xid IS NULL WHEN 'commit_lsn' THEN lsn IS NULL ELSE commit_ts IS NULL END"
+    "SELECT id, 'name', 'trails_not_null' FROM tr WHERE id NOT LIKE 'empty%' "
+    "AND CAST(CASE WHEN id LIKE 'empty%' THEN '0' ELSE id END AS BIGINT) % 40 = 3 UNION ALL "
+    "SELECT slot || ':' || commit_lsn, 'commit_ts', 'wal_transaction_not_null' FROM won WHERE xid % 70 = 2 OR commit_ts IS NULL UNION ALL "
+    "SELECT source_slot || ':' || commit_lsn || ':' || change_seq_in_txn, 'op', 'wal_change_not_null' FROM changes WHERE table_oid = 16387 UNION ALL "
+    "SELECT source_slot || ':' || commit_lsn || ':' || change_seq_in_txn, 'table_name', 'wal_change_not_null' FROM changes "
+    "WHERE change_seq_in_txn = 6 UNION ALL "
+    "SELECT DISTINCT slot, 'last_lsn', 'wal_checkpoint_not_null' FROM txn_num"
+)
+ORACLES["service_append"] = on_events(
+    "SELECT id, trail_id, CAST(sequence AS VARCHAR) AS result FROM added UNION ALL "
+    "SELECT id, trail_id, 'not found' FROM pending WHERE trail_id NOT IN (SELECT id FROM tr)"
+)
+ORACLES["service_update"] = on_events(
+    "SELECT 'trail' AS level, tr.id, coalesce(u.name, tr.name) || '|' || CASE WHEN u.id IS NULL "
+    "THEN rtrim(rtrim(strftime(tr.updated_at, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') ELSE '2024-06-01 00:00:00' END AS content "
+    "FROM tr LEFT JOIN (SELECT * FROM creq QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival DESC) = 1) u ON u.id = tr.id "
+    "UNION ALL SELECT 'event', id, trail_id || '|' || type || '|' || sequence FROM ev WHERE trail_id NOT IN (SELECT id FROM creq) "
+    "UNION ALL SELECT 'event', CAST(o_orderkey AS VARCHAR), o_custkey || '|' || o_orderstatus || '|' "
+    "|| row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) FROM orders "
+    "WHERE CAST(o_custkey AS VARCHAR) IN (SELECT id FROM tr) "
+    "UNION ALL SELECT 'refused', id, arrival || '|not found' FROM creq WHERE id NOT IN (SELECT id FROM tr)"
+)
+ORACLES["stream_append_restart"] = on_events(
+    "SELECT tr.id, greatest(tr.updated_at, coalesce(a.last, tr.updated_at)) AS updated_at, coalesce(a.n, 0) AS added "
+    "FROM tr_before tr LEFT JOIN (SELECT trail_id, max(occured_at) AS last, count(*) AS n FROM added GROUP BY 1) a ON a.trail_id = tr.id"
 )

@@ -12,7 +12,15 @@ from annalist.catalog import inputs
 from annalist.functions import ids
 from annalist.functions.clock import utc_now
 from annalist.functions.lsn import lsn_to_num, num_to_lsn
-from annalist.functions.payload import as_text, decode_payload, encode_payload, payload_class
+from annalist.functions.payload import (
+    as_text,
+    class_of,
+    decode_payload,
+    encode_payload,
+    object_of,
+    parsed,
+    payload_class,
+)
 from annalist.functions.tuples import tuple_to_json
 from annalist.operators import (
     audits,
@@ -25,6 +33,7 @@ from annalist.operators import (
     transactions,
     writes,
 )
+from annalist.operators.defaults import with_defaults
 from annalist.operators.numbering import number_within
 from annalist.plans import service
 from annalist.plans.capture import capture, capture_batch
@@ -195,7 +204,7 @@ def trail_create_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def _append_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (
-        inputs.trails(spark, folder),
+        inputs.trails_before_append(spark, folder),
         inputs.stored_events(spark, folder),
         inputs.pending_events(spark, folder),
     )
@@ -216,18 +225,22 @@ def append_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return writes.append_events(*_append_inputs(spark, folder))[2].select("id", "trail_id", "type", "reason")
 
 
+UPDATED_AT = "2024-06-01 00:00:00"
+
+
 def _updates(spark: SparkSession, folder: str) -> DataFrame:
-    return inputs.customer_requests(spark, folder)
+    """Updates that ask for a moment of their own, which they do not get."""
+    return inputs.customer_requests(spark, folder).withColumn("updated_at", F.col("requested_at"))
 
 
 @query
 def trail_update(spark: SparkSession, folder: str) -> DataFrame:
-    return writes.update_trails(inputs.trails(spark, folder), _updates(spark, folder), F.col("requested_at"))[0]
+    return writes.update_trails(inputs.trails(spark, folder), _updates(spark, folder), F.lit(UPDATED_AT))[0]
 
 
 @query
 def trail_update_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    rejected = writes.update_trails(inputs.trails(spark, folder), _updates(spark, folder), F.col("requested_at"))[1]
+    rejected = writes.update_trails(inputs.trails(spark, folder), _updates(spark, folder), F.lit(UPDATED_AT))[1]
     return rejected.select("id", "arrival", "reason")
 
 
@@ -245,6 +258,34 @@ def trail_replace_events(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", "trail_id", "type", "sequence", F.md5(content).alias("content_md5"))
 
 
+@query
+def service_append(spark: SparkSession, folder: str) -> DataFrame:
+    """The events that were added, and the refused ones with the reason."""
+    changed = service.append_events(*_append_inputs(spark, folder))
+    added = changed.events.select("id", "trail_id", inputs.text("sequence").alias("result"))
+    return added.unionByName(changed.refused.select("id", "trail_id", F.col("reason").alias("result")))
+
+
+@query
+def service_update(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders rename the trails of their customers and become these trails' only events."""
+    changed = service.update_trails(
+        inputs.trails(spark, folder),
+        inputs.events(spark, folder),
+        _updates(spark, folder),
+        inputs.customer_events(spark, folder),
+        F.lit(UPDATED_AT),
+    )
+    rows = lambda frame, level, *columns: frame.select(
+        F.lit(level).alias("level"), "id", F.concat_ws("|", *columns).alias("content")
+    )
+    return (
+        rows(changed.trails, "trail", "name", inputs.text("updated_at"))
+        .unionByName(rows(changed.events, "event", "trail_id", "type", inputs.text("sequence")))
+        .unionByName(rows(changed.refused, "refused", inputs.text("arrival"), "reason"))
+    )
+
+
 @query
 def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     """Delete the trails named by toxic labels; rows left per table."""
@@ -303,21 +344,24 @@ def new_trail_stamps(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def payload_decode(spark: SparkSession, folder: str) -> DataFrame:
-    """Payloads of every kind: objects, arrays, JSON null, broken text, nothing."""
-    props, kind = F.col("props"), F.col("event_type")
+    """Payloads of every kind: objects, lists, JSON null, broken text, text behind the end, nothing."""
+    props, kind, n = F.col("props"), F.col("event_type"), F.col("event_id")
     text = (
         F.when(kind == "click", F.concat(F.lit("["), props, F.lit("]")))
-        .when(kind == "view", "null")
+        .when((kind == "view") & (n % 2 == 0), "null")
+        .when(kind == "view", F.concat(props, F.lit("] ["), props))
         .when(kind == "purchase", F.concat(F.lit("{"), props))
         .when(kind == "signup", props)
+        .when(n % 2 == 0, F.concat(props, F.lit(" "), props))
     )
     # A payload may come as bytes as well as text.
-    raw = text.cast("binary")
-    rows = inputs.table(spark, folder, "events").select("event_id", as_text(raw, "binary").alias("text"))
-    fields = F.variant_get(decode_payload(F.col("text")), "$", "map<string,string>")
+    raw = as_text(text.cast("binary"), "binary")
+    rows = inputs.table(spark, folder, "events").select("event_id", raw.alias("text"))
+    rows = rows.select("event_id", "text", parsed(F.col("text")).alias("value"))
+    fields = F.variant_get(object_of(F.col("value")), "$", "map<string,string>")
     return rows.select(
         "event_id",
-        payload_class(F.col("text")).alias("class"),
+        class_of(F.col("value"), F.col("text")).alias("class"),
         F.get(F.array(fields["k"]), F.lit(0)).alias("k"),
         encode_payload(fields).alias("encoded"),
     )
@@ -510,14 +554,48 @@ def wal_persist_change(spark: SparkSession, folder: str) -> DataFrame:
     return out(inputs.stored_batch(spark, folder).changes(), CHANGE_OUT)
 
 
+def shown_flat(rows: DataFrame) -> DataFrame:
+    """Lists as their sizes, bytes as text, numbers as text, for comparison."""
+
+    def flat(name: str, kind: str) -> Column:
+        if kind.startswith("array"):
+            return F.size(name).cast("bigint").alias(name)
+        if kind == "binary":
+            return F.hex(name).alias(name)
+        return F.col(name) if kind in ("string", "timestamp_ntz") else shown(name)
+
+    return rows.select(*[flat(c, t) for c, t in rows.dtypes])
+
+
 @query
 def wal_defaults(spark: SparkSession, folder: str) -> DataFrame:
-    """Columns the capture never fills, at their defaults, per stored change."""
+    """All columns of every stored change but the images; most are never filled by the capture."""
     stored = inputs.stored_batch(spark, folder).changes()
-    flat = [F.size(c).cast("bigint").alias(c) if t.startswith("array") else F.col(c) for c, t in stored.dtypes]
-    return stored.select(*flat).drop(
-        "old_row", "new_row", "begin_pos", "forward_sql_hash", "reverse_sql_hash"
-    ).withColumn("change_seq_in_txn", big("change_seq_in_txn")).withColumn("affected_row_count", big("affected_row_count"))
+    return shown_flat(stored.drop("old_row", "new_row", "begin_pos"))
+
+
+@query
+def wal_txn_defaults(spark: SparkSession, folder: str) -> DataFrame:
+    """All columns of every stored transaction."""
+    return shown_flat(inputs.stored_batch(spark, folder).transactions().drop("begin_pos"))
+
+
+@query
+def trail_defaults(spark: SparkSession, folder: str) -> DataFrame:
+    """Trails and events that come with and without their moments."""
+    moment = F.lit("2024-03-03 00:00:00")
+    some = lambda c: F.when(F.col("id").cast("bigint") % 2 == 0, F.col(c))
+    trails_ = inputs.trails(spark, folder).where(~F.col("id").startswith("empty")).withColumn("created_at", some("created_at"))
+    events_ = inputs.events(spark, folder).withColumn("occured_at", some("occured_at"))
+    return (
+        with_defaults(trails_.drop("updated_at"), "trails", moment)
+        .select(F.lit("trail").alias("level"), "id", "created_at", "updated_at")
+        .unionByName(
+            with_defaults(events_, "events", moment).select(
+                F.lit("event").alias("level"), "id", F.col("occured_at").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at")
+            )
+        )
+    )
 
 
 def loaded(spark: SparkSession, folder: str) -> DataFrame:
@@ -547,10 +625,13 @@ def wal_checkpoint_final(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def wal_checkpoint_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    """Save the position of every commit message in arrival order; the last one stays."""
+    """Save the position of every commit message in arrival order; the last one stays.
+
+    slot_2 has no save and keeps its stored row; slot_3 has no stored row.
+    """
     saves = (
         inputs.change_log(spark, folder)
-        .where(F.col("kind") == "C")
+        .where((F.col("kind") == "C") & (F.col("slot") != "slot_2"))
         .select(F.col("slot").alias("slot_name"), F.col("lsn").alias("last_lsn"), F.col("pos").alias("arrival"), "commit_ts")
     )
     return checkpoints.upsert_checkpoints(
@@ -587,14 +668,24 @@ def faulty_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _doubled(rows: DataFrame, some: Column) -> DataFrame:
+    """Some rows twice."""
+    return rows.unionByName(rows.where(some))
+
+
 @query
 def audit_pk(spark: SparkSession, folder: str) -> DataFrame:
-    trail_ids = inputs.customer_requests(spark, folder).select("id")
-    slots = inputs.change_log(spark, folder).select(F.col("slot").alias("slot_name"))
+    """The three keys, on tables in which some rows stand twice."""
+    some = F.col("id").cast("bigint") % 50 == 7
+    stored = inputs.trails(spark, folder).where(~F.col("id").startswith("empty"))
+    saved = inputs.stored_batch(spark, folder).checkpoints()
     return (
         audits.primary_key(faulty_events(spark, folder), "id", "events_pk")
-        .unionByName(audits.primary_key(trail_ids, "id", "trails_pk"))
-        .unionByName(audits.primary_key(slots, "slot_name", "wal_checkpoint_pk").withColumnRenamed("slot_name", "id"))
+        .unionByName(audits.primary_key(_doubled(stored, some), "id", "trails_pk"))
+        .unionByName(
+            audits.primary_key(_doubled(saved, F.col("slot_name") == "slot_3"), "slot_name", "wal_checkpoint_pk")
+            .withColumnRenamed("slot_name", "id")
+        )
     )
 
 
@@ -613,15 +704,29 @@ def audit_sequence(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def audit_not_null(spark: SparkSession, folder: str) -> DataFrame:
-    found = audits.nulls(faulty_events(spark, folder), "events").select("id", "column", "rule")
-    log = inputs.change_log(spark, folder).select(
-        F.concat_ws(":", "slot", "pos").alias("id"),
-        F.col("slot").alias("source_slot"),
-        F.col("lsn").alias("commit_lsn"),
-        "commit_ts",
-        "xid",
-    )
-    return found.unionByName(audits.nulls(log, "wal_transaction").select("id", "column", "rule"))
+    """The stored tables with some values taken away, and checkpoints without a whole column."""
+    store = inputs.stored_batch(spark, folder)
+    unless = lambda c, bad: F.when(~bad, F.col(c)).alias(c)
+    key = F.concat_ws(":", "source_slot", "commit_lsn").alias("id")
+    number = F.col("id").cast("bigint")
+    named = inputs.trails(spark, folder).where(~F.col("id").startswith("empty")).withColumn("name", unless("name", number % 40 == 3))
+    done = store.transactions().select(key, "*").withColumn("commit_ts", unless("commit_ts", F.col("xid") % 70 == 2))
+    changed = store.changes().select(
+        F.concat_ws(":", "source_slot", "commit_lsn", "change_seq_in_txn").alias("id"), "*"
+    ).withColumn("op", unless("op", F.col("table_oid") == 16387)).withColumn("table_name", unless("table_name", F.col("change_seq_in_txn") == 6))
+    saved = store.checkpoints().select(F.col("slot_name").alias("id"), "slot_name", "updated_at")
+    found = [
+        audits.nulls(faulty_events(spark, folder), "events"),
+        audits.nulls(named, "trails"),
+        audits.nulls(done, "wal_transaction"),
+        audits.nulls(changed, "wal_change"),
+        audits.nulls(saved, "wal_checkpoint"),
+    ]
+    rows = [f.select("id", "column", "rule") for f in found]
+    out_ = rows[0]
+    for more in rows[1:]:
+        out_ = out_.unionByName(more)
+    return out_
 
 
 @query
@@ -656,7 +761,8 @@ def audit_wal_keys(spark: SparkSession, folder: str) -> DataFrame:
     found = audits.duplicate_keys(rows, ["slot", "commit_lsn"], "slot_commit_lsn").unionByName(
         audits.duplicate_keys(rows, ["slot", "xid", "commit_lsn"], "slot_xid_commit_lsn"), allowMissingColumns=True
     )
-    stored = inputs.stored_batch(spark, folder).changes()
+    # Some changes stand twice.
+    stored = _doubled(inputs.stored_batch(spark, folder).changes(), F.col("table_oid") == 16390)
     numbers = audits.duplicate_keys(stored, ["source_slot", "commit_lsn", "change_seq_in_txn"], "change_seq")
     return found.unionByName(
         numbers.select(F.col("source_slot").alias("slot"), "commit_lsn", "copies", "rule"), allowMissingColumns=True
@@ -676,18 +782,6 @@ def audit_change_fk(spark: SparkSession, folder: str) -> DataFrame:
 # Streams.
 
 
-@query
-def stream_capture(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole log in micro-batches; the stream is stopped and resumed in between."""
-    store = Store(spark, scratch_folder(spark, "stream-store"))
-    arriving, progress = scratch_folder(spark, "arriving-log"), scratch_folder(spark, "progress")
-    for step in inputs.log_steps(spark, folder):
-        step.write.mode("append").parquet(arriving)
-        messages = read_message_stream(spark, arriving)
-        capture_stream.start_capture(messages, store, progress, once=True).awaitTermination()
-    return out(store.changes(), CHANGE_OUT)
-
-
 def _captured(spark: SparkSession, folder: str, *starts: tuple[int, str, str]) -> Store:
     """A store after several streams over one arriving log. ``starts``: how many steps of
     the log have arrived, the progress folder, and the moment of the stream's stamps."""
@@ -703,6 +797,14 @@ def _captured(spark: SparkSession, folder: str, *starts: tuple[int, str, str]) -
     return store
 
 
+@query
+def stream_capture(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole log in micro-batches; the stream is stopped and resumed in between."""
+    progress, moment = scratch_folder(spark, "progress"), "2024-01-01"
+    store = _captured(spark, folder, *[(n, progress, moment) for n in (1, 2, 3)])
+    return out(store.changes(), CHANGE_OUT)
+
+
 @query
 def stream_restart(spark: SparkSession, folder: str) -> DataFrame:
     """A stream over half the log; then one that lost its progress, over the whole log."""
@@ -726,16 +828,35 @@ def wal_checkpoint_stored(spark: SparkSession, folder: str) -> DataFrame:
     return store.checkpoints().select("slot_name", "last_lsn", big("last_lsn_num"), "updated_at")
 
 
-@query
-def stream_append(spark: SparkSession, folder: str) -> DataFrame:
-    """Pending events arrive in two steps and are numbered after the stored ones."""
+def _appended(spark: SparkSession, folder: str, *starts: tuple[int, str]) -> Store:
+    """A store after several streams over arriving events. ``starts``: how many of the two
+    halves have arrived, and the progress folder."""
     store = Store(spark, scratch_folder(spark, "append-store"))
-    arriving, progress = scratch_folder(spark, "arriving-events"), scratch_folder(spark, "progress")
+    arriving, here = scratch_folder(spark, "arriving-events"), 0
     append_stream.prepare(store, inputs.stored_events(spark, folder))
-    for step in inputs.halves(inputs.pending_events(spark, folder), "arrival"):
-        step.write.mode("append").parquet(arriving)
+    steps = inputs.halves(inputs.pending_events(spark, folder), "arrival")
+    trails_ = inputs.trails_before_append(spark, folder)
+    for upto, progress in starts:
+        for step in steps[here:upto]:
+            step.write.mode("append").parquet(arriving)
+        here = max(here, upto)
         pending = spark.readStream.schema(schemas.PENDING).parquet(arriving)
-        append_stream.start_append(
-            pending, inputs.trails(spark, folder), store, progress, once=True
-        ).awaitTermination()
-    return append_stream.appended(store)
+        append_stream.start_append(pending, trails_, store, progress, once=True).awaitTermination()
+    return store
+
+
+@query
+def stream_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Pending events arrive in two steps and are numbered after the stored ones."""
+    progress = scratch_folder(spark, "progress")
+    return append_stream.appended(_appended(spark, folder, (1, progress), (2, progress)))
+
+
+@query
+def stream_append_restart(spark: SparkSession, folder: str) -> DataFrame:
+    """The second stream has lost its progress and reads everything again; trails as touched."""
+    first, second = scratch_folder(spark, "progress"), scratch_folder(spark, "progress")
+    store = _appended(spark, folder, (1, first), (2, second))
+    lengths = append_stream.appended(store).groupBy(F.col("trail_id").alias("id")).agg(F.count("*").alias("added"))
+    touched = append_stream.touched_trails(store, inputs.trails_before_append(spark, folder))
+    return touched.join(lengths, "id", "left").select("id", "updated_at", F.coalesce("added", F.lit(0)).alias("added"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LSN_PATTERN = r"^[0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8}$"
+LSN_PATTERN = r"\A[0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8}\z"
 LSN_NUM_TYPE = "decimal(20,0)"
 
 

@@ -17,21 +17,22 @@ def as_text(payload: Column, data_type: str) -> Column:
     return F.decode(payload, "UTF-8") if data_type == "binary" else payload
 
 
-def _parsed(text: Column) -> Column:
-    """The JSON value of the whole text, NULL when any part of it is malformed.
+def parsed(text: Column) -> Column:
+    """The JSON value of the whole text as a variant, NULL when any part of it is malformed.
 
-    The parser stops at the end of the first value and overlooks what follows, so
-    the text is parsed inside an object whose last field must still be found, and
-    inside a list, which only takes values.
+    The parser stops at the end of the first value and overlooks what follows. So the
+    text is parsed once, inside a list that ends with the text's own digest, which must
+    be found right after it: no text can bring its own end along.
     """
-    framed = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":0}')))
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    whole = F.try_variant_get(framed, "$.end", "int").isNotNull() & listed.isNotNull()
-    return F.when(whole, F.try_variant_get(framed, "$.value", "variant"))
+    mark = F.md5(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    whole = F.try_variant_get(listed, "$[1]", "string") == mark
+    return F.when(whole, F.try_variant_get(listed, "$[0]", "variant"))
 
 
-def payload_class(text: Column) -> Column:
-    kind = F.schema_of_variant(_parsed(text))
+def class_of(value: Column, text: Column) -> Column:
+    """The class of a text whose parsed value is given."""
+    kind = F.schema_of_variant(value)
     return (
         F.when(text.isNull(), NOTHING)
         .when(kind.startswith("OBJECT"), OBJECT)
@@ -40,15 +41,26 @@ def payload_class(text: Column) -> Column:
     )
 
 
+def object_of(value: Column) -> Column:
+    """A parsed value if it is an object."""
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+
+
+def payload_class(text: Column) -> Column:
+    return class_of(parsed(text), text)
+
+
 def decode_payload(text: Column) -> Column:
     """The payload as a variant object; NULL when there is none or it is an error.
 
+    Each use parses the text. To use several outcomes, select ``parsed(text)`` first and
+    take :func:`class_of` and :func:`object_of` of that.
+
     Repeated keys are an error unless ``spark.sql.variant.allowDuplicateKeys`` is
     on, as it is in sessions of :func:`annalist.session.build_session`; then the
     last one wins.
     """
-    value = _parsed(text)
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+    return object_of(parsed(text))
 
 
 def encode_payload(fields: Column) -> Column:

@@ -107,11 +107,11 @@ def parse_replay_args(requests: DataFrame) -> DataFrame:
     """Read the start of each replay request (trail_id, from_text).
 
     Absent or empty means 1. Anything that is not a base-10 64-bit integer is
-    rejected; blanks around digits are not allowed.
+    rejected; neither blanks nor a line end may stand around the digits.
     """
     given = F.col("from_text")
     absent = given.isNull() | (given == "")
-    parsed = F.when(given.rlike(r"^[+-]?[0-9]+$"), given.try_cast("bigint"))
+    parsed = F.when(given.rlike(r"\A[+-]?[0-9]+\z"), given.try_cast("bigint"))
     start = F.when(absent, F.lit(DEFAULT_FROM).cast("bigint")).otherwise(parsed)
     return requests.select(
         "trail_id",

@@ -41,9 +41,37 @@ def get_trails(trails: DataFrame, events: DataFrame, requests: DataFrame) -> Out
     return Outcome(reading.export_trails(reading.assemble(found, theirs)), missing)
 
 
-def append_events(trails: DataFrame, events: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``requests``: id, trail_id, type, payload, occured_at, arrival."""
-    return writes.append_events(trails, events, requests)
+@dataclass(frozen=True)
+class Changed:
+    """What a change did to the two tables, and what it refused."""
+
+    trails: DataFrame
+    events: DataFrame
+    refused: DataFrame
+
+
+def append_events(trails: DataFrame, events: DataFrame, requests: DataFrame) -> Changed:
+    """``requests``: id, trail_id, type, payload, occured_at, arrival.
+
+    ``events`` of the result are those that were added, with their numbers; what is
+    stored already is counted and nothing else. ``trails`` is the table with the
+    appended ones touched.
+    """
+    added = writes.appended_events(trails, writes.lengths_of(events), requests)
+    return Changed(writes.touch_trails(trails, requests), added, writes.rejected_appends(trails, requests))
+
+
+def update_trails(
+    trails: DataFrame, events: DataFrame, updates: DataFrame, new_events: DataFrame, clock: Column | None = None
+) -> Changed:
+    """Set the name of each updated trail and put ``new_events`` in place of its events.
+
+    ``updates``: id, name, arrival. A trail without new events has none afterwards. An
+    update of an unknown trail changes nothing, and neither do events given for it or
+    for a trail that is not updated.
+    """
+    updated, refused = writes.update_trails(trails, updates, clock)
+    return Changed(updated, writes.replace_events(trails, events, updates, new_events), refused)
 
 
 def replay_trails(trails: DataFrame, events: DataFrame, requests: DataFrame) -> Outcome:

@@ -68,7 +68,7 @@ def test_tuple_edges(spark):
         (None, "null"), ("null", "null"), ('{"k": 1}', "object"), ("{}", "object"), ("[1]", "error"), ("1", "error"),
         ('"x"', "error"), ("true", "error"), ("{", "error"), ("", "error"), ('{"a":1} x', "error"), ("{'a':1}", "error"),
         ('{"a":1},{"b":2}', "error"), ('{"a":1},"b":2', "error"), ('{"a":1}} {', "error"), (' {"a":1} ', "object"),
-        ('{"a":1,"a":2}', "object"),
+        ('{"a":1,"a":2}', "object"), ('{"a":1}] [', "error"), ('{"a":1},0]', "error"), ("null,null", "error"),
     ],
 )
 def test_payload_class(spark, text, expected):
@@ -112,6 +112,7 @@ def test_frame_shortest_lengths(spark):
     [
         (None, 1), ("", 1), ("0", 0), ("-3", -3), ("+7", 7), ("007", 7), ("9223372036854775807", 2**63 - 1),
         ("9223372036854775808", None), (" 1", None), ("1 ", None), ("x", None), ("1.0", None), ("0x1", None), ("1e3", None),
+        ("5\n", None), ("\n5", None),
     ],
 )
 def test_replay_argument(spark, text, start):
