@@ -105,6 +105,27 @@ def pending_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def events_with_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """All events; a few payloads have text behind their end, are lists, or stop short."""
+    n, payload = F.col("id").cast("bigint"), F.col("payload")
+    return events(spark, folder).withColumn(
+        "payload",
+        F.when(n % 1191 == 5, F.concat(payload, F.lit(" junk")))
+        .when(n % 1191 == 402, F.concat(F.lit("["), payload, F.lit("]")))
+        .when(n % 1191 == 799, '{"k":')
+        .otherwise(payload),
+    )
+
+
+def trails_by_type(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """One long trail per kind of event, numbered in order of arrival."""
+    arrived = unnumbered_events(spark, folder).withColumn("trail_id", F.concat(F.lit("all-"), F.col("type")))
+    numbered_ = number_within(arrived, ["trail_id"], [F.col("arrival")], "sequence").select(*schemas.EVENTS.fieldNames())
+    moment = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    ids = arrived.select(F.col("trail_id").alias("id")).distinct()
+    return ids.select("id", F.lit("by \"type\"").alias("name"), moment.alias("created_at"), moment.alias("updated_at")), numbered_
+
+
 def replay_requests(spark: SparkSession, folder: str) -> DataFrame:
     """One request per user, some without a start, some with an unreadable one."""
     user = F.col("user_id")

@@ -205,7 +205,7 @@ EVENT_JSON = (
     "|| replace(payload, ' ', '') || ',\"OccuredAt\":\"' || " + rfc3339("occured_at") + " || '\",\"Sequence\":' || sequence || '}'"
 )
 
-PART = "(sequence - 1) // 1000"
+PART = "(sequence - 1) // 40"
 
 FRAME_HEX = """
 frames AS (
@@ -263,13 +263,17 @@ ORACLES: dict[str, str] = {
         "SELECT tr.id AS trail_id, count(ev.id) AS length FROM tr LEFT JOIN ev ON ev.trail_id = tr.id GROUP BY tr.id"
     ),
     "trail_assemble": on_events(
+        "SELECT tr.id, tr.name, ev.id AS event_id, ev.type AS event_type, ev.payload AS event_payload, "
+        "ev.occured_at AS event_occured_at, CAST(ev.sequence AS VARCHAR) AS sequence FROM tr LEFT JOIN ev ON ev.trail_id = tr.id"
+    ),
+    "trail_nested": on_events(
         f"SELECT tr.id, tr.name, coalesce({PART}, 0) AS part, count(ev.id) AS n_events, "
         "coalesce(string_agg(ev.sequence || ':' || ev.type || ':' || ev.id, ',' ORDER BY ev.sequence), '') AS events "
         "FROM tr LEFT JOIN ev ON ev.trail_id = tr.id GROUP BY 1, 2, 3"
     ),
     "trail_list": on_events(
-        f"SELECT tr.id, tr.name, tr.created_at, tr.updated_at, coalesce({PART}, 0) AS part, count(ev.id) AS n_events "
-        "FROM tr LEFT JOIN ev ON ev.trail_id = tr.id GROUP BY 1, 2, 3, 4, 5 ORDER BY 3 DESC, 1, 5"
+        "SELECT tr.id, tr.name, tr.created_at, tr.updated_at, ev.id AS event_id, ev.type AS event_type, "
+        "CAST(ev.sequence AS VARCHAR) AS sequence FROM tr LEFT JOIN ev ON ev.trail_id = tr.id ORDER BY 3 DESC, 1, ev.sequence"
     ),
     "replay_args": on_events("SELECT trail_id, from_text, CAST(from_sequence AS VARCHAR) AS from_sequence, status FROM args"),
     "replay_from_sequence": on_events(
@@ -278,19 +282,6 @@ ORACLES: dict[str, str] = {
     "conversation_replay": on_events(
         "SELECT id, trail_id, type, sequence, md5(text) AS text_md5 FROM conv WHERE sequence >= 2"
     ),
-    "trail_export_json": on_events(
-        f"SELECT tr.id, coalesce(e.part, 0) AS part, '{{\"ID\":\"' || tr.id || '\",\"Name\":\"' || tr.name || '\",\"Events\":[' "
-        f"|| coalesce(e.list, '') || '],\"CreatedAt\":\"' || {rfc3339('tr.created_at')} || '\",\"UpdatedAt\":\"' "
-        f"|| {rfc3339('tr.updated_at')} || '\"}}' AS json FROM tr LEFT JOIN ("
-        f"SELECT trail_id, {PART} AS part, string_agg({EVENT_JSON}, ',' ORDER BY sequence) AS list FROM ev GROUP BY 1, 2"
-        ") e ON e.trail_id = tr.id"
-    ),
-    "replay_export_json": on_events(
-        f"SELECT a.trail_id, coalesce(e.part, 0) AS part, coalesce('[' || e.list || ']', 'null') AS json "
-        f"FROM args a LEFT JOIN (SELECT trail_id, {PART} AS part, string_agg({EVENT_JSON}, ',' ORDER BY sequence) AS list "
-        "FROM ev JOIN args USING (trail_id) WHERE sequence >= from_sequence GROUP BY 1, 2) e USING (trail_id) "
-        "WHERE a.status = 'accepted'"
-    ),
     "event_type_counts": on_events(
         "SELECT type, count(*) AS events, type IN ('created', 'updated', 'deleted', 'replayed') AS named FROM base GROUP BY type"
     ),
@@ -529,12 +520,50 @@ ORACLES["trail_create_events"] = on_events(
     "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS sequence "
     "FROM orders WHERE CAST(o_custkey AS VARCHAR) IN (SELECT id FROM made)"
 )
-ORACLES["service_list"] = ORACLES["trail_export_json"].replace(" AS json FROM", " AS json, tr.created_at FROM", 1)
-ORACLES["service_get"] = (
-    ORACLES["trail_export_json"]
-    + " WHERE tr.id IN (SELECT id FROM creq) UNION ALL SELECT DISTINCT id, 0, 'not found' FROM creq "
+FAULTS = "CAST(id AS BIGINT) % 1191 IN (5, 402, 799)"
+
+
+def documents(trails: str, events: str, faults: str = "false") -> str:
+    """Fragments of the documents of trails, and the trails with a faulty payload."""
+    return (
+        f"bad AS (SELECT DISTINCT trail_id FROM {events} WHERE {faults}), "
+        f"good AS (SELECT * FROM {trails} WHERE id NOT IN (SELECT trail_id FROM bad)), "
+        "frag AS (SELECT id, 0 AS section, CAST(NULL AS VARCHAR) AS sequence, CAST(NULL AS VARCHAR) AS event_id, "
+        "'{\"ID\":\"' || id || '\",\"Name\":\"' || replace(name, '\"', '\\\"') || '\",\"Events\":[' AS json FROM good "
+        "UNION ALL SELECT trail_id, 1, CAST(sequence AS VARCHAR), id, "
+        f"CASE WHEN row_number() OVER (PARTITION BY trail_id ORDER BY sequence) = 1 THEN '' ELSE ',' END || {EVENT_JSON} "
+        f"FROM {events} WHERE trail_id IN (SELECT id FROM good) "
+        f"UNION ALL SELECT id, 2, NULL, NULL, '],\"CreatedAt\":\"' || {rfc3339('created_at')} || '\",\"UpdatedAt\":\"' "
+        f"|| {rfc3339('updated_at')} || '\"}}' FROM good "
+        f"UNION ALL SELECT id, -1, NULL, NULL, 'unreadable payload' FROM {trails} WHERE id IN (SELECT trail_id FROM bad))"
+    )
+
+
+ORACLES["trail_export_json"] = f"WITH {EVENTS}, {documents('tr', 'ev', FAULTS)} SELECT * FROM frag"
+ORACLES["service_list"] = ORACLES["trail_export_json"]
+ORACLES["service_get"] = ORACLES["trail_export_json"] + (
+    " WHERE id IN (SELECT id FROM creq) UNION ALL SELECT DISTINCT id, -1, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 'not found' FROM creq "
     "WHERE id NOT IN (SELECT id FROM tr)"
 )
+ORACLES["trail_export_long"] = (
+    f"WITH {EVENTS}, longev AS (SELECT CAST(event_id AS VARCHAR) AS id, 'all-' || type AS trail_id, type, props AS payload, "
+    "ts AS occured_at, row_number() OVER (PARTITION BY type ORDER BY event_id) AS sequence FROM base), "
+    "longtr AS (SELECT DISTINCT trail_id AS id, 'by \"type\"' AS name, TIMESTAMP '2024-01-01' AS created_at, "
+    f"TIMESTAMP '2024-01-01' AS updated_at FROM longev), {documents('longtr', 'longev')} SELECT * FROM frag"
+)
+ORACLES["replay_export_json"] = on_events(
+    ", rep AS (SELECT ev.* FROM ev JOIN args USING (trail_id) WHERE status = 'accepted' AND sequence >= from_sequence), "
+    f"bad AS (SELECT DISTINCT trail_id FROM rep WHERE {FAULTS}), "
+    "want AS (SELECT trail_id, trail_id IN (SELECT trail_id FROM rep) AS found FROM args "
+    "WHERE status = 'accepted' AND trail_id NOT IN (SELECT trail_id FROM bad)) "
+    "SELECT trail_id AS id, 0 AS section, CAST(NULL AS VARCHAR) AS sequence, CAST(NULL AS VARCHAR) AS event_id, "
+    "CASE WHEN found THEN '[' ELSE 'null' END AS json FROM want "
+    "UNION ALL SELECT trail_id, 1, CAST(sequence AS VARCHAR), id, "
+    f"CASE WHEN row_number() OVER (PARTITION BY trail_id ORDER BY sequence) = 1 THEN '' ELSE ',' END || {EVENT_JSON} "
+    "FROM rep WHERE trail_id NOT IN (SELECT trail_id FROM bad) "
+    "UNION ALL SELECT trail_id, 2, NULL, NULL, ']' FROM want WHERE found "
+    "UNION ALL SELECT trail_id, -1, NULL, NULL, 'unreadable payload' FROM bad"
+)
 ORACLES["service_replay"] = on_events(
     "SELECT trail_id, event_id, result FROM ("
     "SELECT r.trail_id, ev.id AS event_id, CASE WHEN r.start IS NULL THEN 'invalid ''from'' query parameter' "

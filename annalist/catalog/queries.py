@@ -90,21 +90,34 @@ def trail_length(spark: SparkSession, folder: str) -> DataFrame:
     return trails.trail_lengths(inputs.trails(spark, folder), inputs.unnumbered_events(spark, folder))
 
 
-def event_list() -> Column:
-    item = lambda e: F.concat_ws(":", e["sequence"].cast("string"), e["type"], e["id"])
-    return F.array_join(F.transform("events", item), ",")
+def event_fields(*names: str) -> list[Column]:
+    return [F.col(f"event.{n}").alias(f"event_{n}") for n in names]
 
 
 @query
 def trail_assemble(spark: SparkSession, folder: str) -> DataFrame:
-    rows = trails.assemble(inputs.trails(spark, folder), inputs.events(spark, folder))
-    return rows.select("id", "name", "part", F.size("events").cast("bigint").alias("n_events"), event_list().alias("events"))
+    """Trails beside their events, one row each."""
+    rows = trails.with_events(inputs.trails(spark, folder), inputs.events(spark, folder))
+    return rows.select("id", "name", *event_fields("id", "type", "payload", "occured_at"), shown_sequence())
+
+
+def shown_sequence() -> Column:
+    return inputs.text(F.col("event.sequence")).alias("sequence")
+
+
+@query
+def trail_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Events nested in rows of at most 40."""
+    item = lambda e: F.concat_ws(":", e["sequence"].cast("string"), e["type"], e["id"])
+    rows = trails.nested(inputs.trails(spark, folder), inputs.events(spark, folder), 40)
+    events = F.array_join(F.transform("events", item), ",").alias("events")
+    return rows.select("id", "name", "part", F.size("events").cast("bigint").alias("n_events"), events)
 
 
 @query
 def trail_list(spark: SparkSession, folder: str) -> DataFrame:
     rows = trails.list_trails(inputs.trails(spark, folder), inputs.events(spark, folder))
-    return rows.select(*trails.TRAIL_COLUMNS, "part", F.size("events").cast("bigint").alias("n_events"))
+    return rows.select(*trails.TRAIL_COLUMNS, *event_fields("id", "type"), shown_sequence())
 
 
 @query
@@ -133,14 +146,30 @@ def conversation_replay(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def fragments(exported: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Fragments and refused trails in one table."""
+    done, refused = exported
+    return (
+        done.select("id", "section", shown("sequence"), "event_id", "json")
+        .unionByName(refused.select("id", F.col("reason").alias("json")), allowMissingColumns=True)
+        .withColumn("section", F.coalesce("section", F.lit(-1)).cast("bigint"))
+    )
+
+
 @query
 def trail_export_json(spark: SparkSession, folder: str) -> DataFrame:
-    return trails.export_trails(trails.assemble(inputs.trails(spark, folder), inputs.events(spark, folder)))
+    return fragments(trails.export_trails(inputs.trails(spark, folder), inputs.events_with_faults(spark, folder)))
+
+
+@query
+def trail_export_long(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of trails that each hold a large share of all events."""
+    return fragments(trails.export_trails(*inputs.trails_by_type(spark, folder)))
 
 
 @query
 def replay_export_json(spark: SparkSession, folder: str) -> DataFrame:
-    return trails.export_replay(inputs.events(spark, folder), accepted_requests(spark, folder))
+    return fragments(trails.export_replay(inputs.events_with_faults(spark, folder), accepted_requests(spark, folder)))
 
 
 @query
@@ -150,18 +179,17 @@ def event_type_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def service_list(spark: SparkSession, folder: str) -> DataFrame:
-    return service.list_trails(inputs.trails(spark, folder), inputs.events(spark, folder))
+    outcome = service.list_trails(inputs.trails(spark, folder), inputs.events_with_faults(spark, folder))
+    return fragments((outcome.done, outcome.refused))
 
 
 @query
 def service_get(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of the requested trails, and the ids that do not exist."""
+    """Documents of the requested trails, and the refused ids with the reason."""
     outcome = service.get_trails(
-        inputs.trails(spark, folder), inputs.events(spark, folder), inputs.customer_requests(spark, folder)
-    )
-    return outcome.done.unionByName(outcome.refused.select("id", F.col("reason").alias("json")), allowMissingColumns=True).select(
-        "id", F.coalesce("part", F.lit(0)).alias("part"), "json"
+        inputs.trails(spark, folder), inputs.events_with_faults(spark, folder), inputs.customer_requests(spark, folder)
     )
+    return fragments((outcome.done, outcome.refused))
 
 
 @query

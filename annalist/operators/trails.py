@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist import schemas
 from annalist.functions.clock import rfc3339
 from annalist.functions.event_types import is_named
+from annalist.functions.payload import ERROR, object_of, parsed, payload_class
 
 TRAIL_COLUMNS = schemas.TRAILS.fieldNames()
 EVENT_COLUMNS = schemas.EVENTS.fieldNames()
 
-# Events per assembled row. A longer trail continues in further rows, so no row
-# holds more than this many events, whose payloads may be long.
-PART_EVENTS = 1000
-
 STEP_BITS = 12
 
 ACCEPTED, REJECTED = "accepted", "invalid 'from' query parameter"
@@ -45,9 +40,27 @@ def part_of(sequence: Column, part_events: int) -> Column:
     return F.floor((F.greatest(sequence, F.lit(1)) - 1) / part_events).cast("bigint")
 
 
-def assemble(trails: DataFrame, events: DataFrame, part_events: int = PART_EVENTS) -> DataFrame:
+def with_events(trails: DataFrame, events: DataFrame) -> DataFrame:
+    """Each trail beside each of its events: id, name, created_at, updated_at, event.
+
+    A trail without events is one row with a NULL event; events of unknown trails are
+    left out. One row per event, whatever a trail's length.
+    """
+    each = events.select(F.col("trail_id").alias("id"), F.struct(*EVENT_COLUMNS).alias("event"))
+    return trails.select(*TRAIL_COLUMNS).join(each, "id", "left")
+
+
+def list_trails(trails: DataFrame, events: DataFrame) -> DataFrame:
+    """:func:`with_events`, newest trail first, ties by id, events in sequence."""
+    return with_events(trails, events).orderBy(F.desc("created_at"), "id", "event.sequence", "event.id")
+
+
+def nested(trails: DataFrame, events: DataFrame, part_events: int) -> DataFrame:
     """Trails with their events nested in sequence order, one row per trail and part.
 
+    For callers that know how many events a row may hold; :func:`with_events` and the
+    export need no such bound.
+
     A trail without events keeps one row with an empty list; events of unknown
     trails are left out. Trail rows and events meet in a single shuffle on
     (trail, part): each trail row is first repeated for the parts its events can
@@ -80,9 +93,9 @@ def assemble(trails: DataFrame, events: DataFrame, part_events: int = PART_EVENT
         .drop("last_part", "step")
     )
     # Sequence leads the struct because it is what the list is sorted by.
-    nested = F.struct("sequence", *[c for c in EVENT_COLUMNS if c != "sequence"])
+    child = F.struct("sequence", *[c for c in EVENT_COLUMNS if c != "sequence"])
     children = events.select(
-        F.col("trail_id").alias("id"), part_of(F.col("sequence"), part_events).alias("part"), nested.alias("event")
+        F.col("trail_id").alias("id"), part_of(F.col("sequence"), part_events).alias("part"), child.alias("event")
     )
     return (
         heads.unionByName(children, allowMissingColumns=True)
@@ -98,11 +111,6 @@ def assemble(trails: DataFrame, events: DataFrame, part_events: int = PART_EVENT
     )
 
 
-def list_trails(trails: DataFrame, events: DataFrame, part_events: int = PART_EVENTS) -> DataFrame:
-    """All assembled trails, newest first; ties by id."""
-    return assemble(trails, events, part_events).orderBy(F.desc("created_at"), "id", "part")
-
-
 def parse_replay_args(requests: DataFrame) -> DataFrame:
     """Read the start of each replay request (trail_id, from_text).
 
@@ -139,64 +147,104 @@ def replay(events: DataFrame, requests: DataFrame) -> DataFrame:
     return requested_events(events, requests).orderBy("trail_id", "sequence")
 
 
-def _event_json() -> Column:
-    """The exported key names, in order."""
+KEEP_NULLS = {"ignoreNullFields": "false"}
+# The sections of a document, in order.
+HEAD, BODY, TAIL = 0, 1, 2
+UNREADABLE = "unreadable payload"
 
-    def one(e: Column) -> Column:
-        return F.struct(
-            e["id"].alias("ID"),
-            e["trail_id"].alias("TrailID"),
-            e["type"].alias("Type"),
-            F.try_parse_json(e["payload"]).alias("Payload"),
-            rfc3339(e["occured_at"]).alias("OccuredAt"),
-            e["sequence"].alias("Sequence"),
-        )
 
-    return F.transform("events", one)
+def _event_json(value: Column) -> Column:
+    """An event as JSON. The exported key names, in order."""
+    fields = F.struct(
+        F.col("id").alias("ID"),
+        F.col("trail_id").alias("TrailID"),
+        F.col("type").alias("Type"),
+        value.alias("Payload"),
+        rfc3339(F.col("occured_at")).alias("OccuredAt"),
+        F.col("sequence").alias("Sequence"),
+    )
+    return F.to_json(fields, KEEP_NULLS)
+
+
+def unreadable(events: DataFrame) -> DataFrame:
+    """Events whose payload is neither an object nor nothing."""
+    return events.where(payload_class(F.col("payload")) == ERROR).select("trail_id", "id", "sequence")
+
+
+def _body(events: DataFrame) -> DataFrame:
+    """id, section, sequence, event_id, json: each event, with a comma before all but a trail's first."""
+    place = F.struct("sequence", "id")
+    firsts = events.groupBy("trail_id").agg(F.min(place).alias("first"))
+    read = events.withColumn("value", parsed(F.col("payload"))).join(firsts, "trail_id")
+    comma = F.when(place == F.col("first"), F.lit("")).otherwise(F.lit(","))
+    return read.select(
+        F.col("trail_id").alias("id"),
+        F.lit(BODY).alias("section"),
+        "sequence",
+        F.col("id").alias("event_id"),
+        F.concat(comma, _event_json(object_of(F.col("value")))).alias("json"),
+    )
 
 
-KEEP_NULLS = {"ignoreNullFields": "false"}
+def _edge(rows: DataFrame, key: str, section: int, json: Column) -> DataFrame:
+    nothing = F.lit(None)
+    return rows.select(
+        F.col(key).alias("id"),
+        F.lit(section).alias("section"),
+        nothing.cast("bigint").alias("sequence"),
+        nothing.cast("string").alias("event_id"),
+        json.alias("json"),
+    )
 
 
-def export_trails(assembled: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """One JSON document per assembled row; payloads are embedded as JSON objects.
+def export_trails(trails: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The JSON document of each trail in fragments, and the trails that cannot be exported.
 
-    A trail of more than one part is exported as several documents with the same
-    ID and consecutive Events. ``keep`` names columns to keep beside the document.
+    Fragments are rows (id, section, sequence, event_id, json): a head, one per event, a
+    tail. A trail's rows in the order of these columns, joined, are its document, however
+    long it is. Payloads are embedded as JSON objects. A trail with an unreadable
+    payload has no document and is refused (id, reason).
     """
-    document = F.struct(
-        F.col("id").alias("ID"),
-        F.col("name").alias("Name"),
-        _event_json().alias("Events"),
-        rfc3339(F.col("created_at")).alias("CreatedAt"),
-        rfc3339(F.col("updated_at")).alias("UpdatedAt"),
-    )
-    return assembled.select("id", "part", *keep, F.to_json(document, KEEP_NULLS).alias("json"))
+    bad = unreadable(events).select(F.col("trail_id").alias("id")).distinct()
+    good = trails.join(bad, "id", "left_anti")
+    opening = F.to_json(F.struct(F.col("id").alias("ID"), F.col("name").alias("Name")), KEEP_NULLS)
+    head = F.concat(F.substring(opening, F.lit(1), F.length(opening) - 1), F.lit(',"Events":['))
+    times = F.struct(rfc3339(F.col("created_at")).alias("CreatedAt"), rfc3339(F.col("updated_at")).alias("UpdatedAt"))
+    closing = F.to_json(times, KEEP_NULLS)
+    tail = F.concat(F.lit("],"), F.substring(closing, F.lit(2), F.length(closing)))
+    theirs = events.join(good.select(F.col("id").alias("trail_id")), "trail_id", "left_semi")
+    fragments = _edge(good, "id", HEAD, head).unionByName(_body(theirs)).unionByName(_edge(good, "id", TAIL, tail))
+    return fragments, trails.join(bad, "id", "left_semi").select("id", F.lit(UNREADABLE).alias("reason"))
 
 
-def export_replay(events: DataFrame, requests: DataFrame, part_events: int = PART_EVENTS) -> DataFrame:
-    """Each replay as JSON arrays of at most ``part_events`` events, in order.
+def export_replay(events: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each replay as a JSON list in fragments, like :func:`export_trails`, and the refused ones.
 
     A replay without events is ``null``, unlike a trail without events.
     """
     replayed = requested_events(events, requests)
-    # The shuffle by part is spelled out: grouping by (trail, part) could also be done
-    # where the join left the rows, which would keep a huge trail in one task.
-    parts = (
-        replayed.withColumn("part", part_of(F.col("sequence"), part_events))
-        .repartition("trail_id", "part")
-        .groupBy("trail_id", "part")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("sequence", *[c for c in EVENT_COLUMNS if c != "sequence"]))
-            ).alias("events")
-        )
-        .select("trail_id", "part", F.to_json(_event_json(), KEEP_NULLS).alias("json"))
-    )
-    without = requests.join(replayed.select("trail_id").distinct(), "trail_id", "left_anti").select(
-        "trail_id", F.lit(0).cast("bigint").alias("part"), F.lit("null").alias("json")
+    bad = unreadable(replayed).select("trail_id").distinct()
+    wanted = requests.select("trail_id").join(bad, "trail_id", "left_anti")
+    found = replayed.select("trail_id").distinct()
+    some, none = wanted.join(found, "trail_id", "left_semi"), wanted.join(found, "trail_id", "left_anti")
+    theirs = replayed.join(bad, "trail_id", "left_anti")
+    fragments = (
+        _edge(some, "trail_id", HEAD, F.lit("["))
+        .unionByName(_body(theirs))
+        .unionByName(_edge(some, "trail_id", TAIL, F.lit("]")))
+        .unionByName(_edge(none, "trail_id", HEAD, F.lit("null")))
     )
-    return parts.unionByName(without)
+    return fragments, bad.select(F.col("trail_id").alias("id"), F.lit(UNREADABLE).alias("reason"))
+
+
+def write_documents(fragments: DataFrame, folder: str) -> None:
+    """Write documents as text, fragment by fragment and one after the other.
+
+    Each fragment is a line, as JSON may be broken there. Fragments are dealt out by
+    ranges of (id, section, sequence), so a long document may go on in the next file.
+    """
+    order = ["id", "section", "sequence", "event_id"]
+    fragments.repartitionByRange(*order).sortWithinPartitions(*order).select("json").write.text(folder)
 
 
 def event_type_counts(events: DataFrame) -> DataFrame:

@@ -26,19 +26,23 @@ def create_trails(trails: DataFrame, requests: DataFrame, clock: Column | None =
     return Outcome(*writes.create_trails(trails, requests, clock))
 
 
-def list_trails(trails: DataFrame, events: DataFrame) -> DataFrame:
-    """All trails as documents, newest first."""
-    documents = reading.export_trails(reading.assemble(trails, events), keep=["created_at"])
-    return documents.orderBy(F.desc("created_at"), "id", "part")
+def list_trails(trails: DataFrame, events: DataFrame) -> Outcome:
+    """The documents of all trails, newest first, in fragments with created_at beside them,
+    and the trails refused for an unreadable payload."""
+    fragments, refused = reading.export_trails(trails, events)
+    dated = fragments.join(trails.select("id", "created_at"), "id")
+    return Outcome(dated.orderBy(F.desc("created_at"), "id", "section", "sequence", "event_id"), refused)
 
 
 def get_trails(trails: DataFrame, events: DataFrame, requests: DataFrame) -> Outcome:
-    """``requests``: id. Only the events of requested trails are assembled."""
+    """``requests``: id. The documents of the requested trails in fragments. Only their
+    events are read; unknown and unreadable trails are refused."""
     wanted = requests.select("id").distinct()
     found = trails.join(wanted, "id", "left_semi")
     theirs = events.join(found.select(F.col("id").alias("trail_id")), "trail_id", "left_semi")
     _, missing = writes.known_and_unknown(wanted, trails, "id")
-    return Outcome(reading.export_trails(reading.assemble(found, theirs)), missing)
+    fragments, refused = reading.export_trails(found, theirs)
+    return Outcome(fragments, missing.unionByName(refused))
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist import schemas
-from annalist.operators import audits, trails, writes
+from annalist.operators import audits, numbering, trails, writes
 from annalist.operators.numbering import number_within
 
 T0 = datetime(2024, 1, 1)
@@ -82,12 +82,32 @@ def test_numbering_of_hot_keys(spark, hot_rows):
     assert {(r.key, r.position): r.n for r in got} == want
 
 
+def test_numbers_do_not_depend_on_where_a_key_is_cut(spark):
+    """Order against position, ties, NULLs, and one value far from all others."""
+    rng = random.Random(11)
+    rows = [("hot", rng.choice([None, rng.randrange(500)]), i) for i in range(3000)] + [("hot", 10**15, -1), ("b", 1, 0)]
+    frame = spark.createDataFrame(rows, "key string, lead bigint, position bigint")
+    order = [F.col("lead"), F.desc("position")]
+    whole = {r.position: r.n for r in number_within(frame, ["key"], order, "n").collect()}
+    cut = {r.position: r.n for r in number_within(frame, ["key"], order, "n", 100).collect()}
+    assert whole == cut
+
+
+def test_pieces_of_a_key_are_alike(spark):
+    """Positions in clumps and one outlier: no piece is above twice the target."""
+    rows = spark.range(20000).select(F.lit("k").alias("key"), F.when(F.col("id") == 0, 10**12).otherwise(F.col("id") % 7000 * F.col("id") % 911 * 1000 + F.col("id")).alias("at"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("_n"))
+    cuts = numbering._cuts(rows, ["key"], F.col("at"), sizes, 20000, 1000)
+    pieces = rows.join(cuts, "key").groupBy(numbering._piece(F.col("_cuts"), F.col("at"))).count().collect()
+    assert len(pieces) == 20 and max(r["count"] for r in pieces) <= 2000
+
+
 @pytest.mark.parametrize("part_events", [1, 4, 10_000])
 def test_assembly_in_parts(spark, part_events):
     sequences = [s for s in range(1, 40) if not 9 <= s <= 20]
     random.Random(3).shuffle(sequences)
     events = make_events(spark, *[("long", s) for s in sequences], ("short", 1), ("unknown", 1))
-    rows = trails.assemble(make_trails(spark, "long", "short", "empty"), events, part_events).collect()
+    rows = trails.nested(make_trails(spark, "long", "short", "empty"), events, part_events).collect()
     assert {r.id for r in rows} == {"long", "short", "empty"}
     parts = sorted((r.part, [e.sequence for e in r.events]) for r in rows if r.id == "long")
     assert sum([p[1] for p in parts], []) == sorted(sequences)
@@ -101,20 +121,52 @@ def test_list_is_newest_first(spark):
     assert [r.id for r in rows] == ["c", "b", "a"]
 
 
+def documents_of(fragments):
+    rows = sorted(fragments.collect(), key=lambda r: (r.id, r.section, r.sequence or 0))
+    return {i: json.loads("".join(r.json for r in rows if r.id == i)) for i in {r.id for r in rows}}
+
+
 def test_export(spark):
-    assembled = trails.assemble(make_trails(spark, "a", "b"), make_events(spark, ("a", 1)))
-    documents = {r.id: json.loads(r.json) for r in trails.export_trails(assembled).collect()}
+    done, refused = trails.export_trails(make_trails(spark, "a", "b"), make_events(spark, ("a", 1)))
+    documents = documents_of(done)
     assert list(documents["a"]) == ["ID", "Name", "Events", "CreatedAt", "UpdatedAt"]
     assert documents["a"]["Events"] == [
         {"ID": "a-1", "TrailID": "a", "Type": "created", "Payload": {"key": "val"}, "OccuredAt": "2024-01-01T00:00:00Z", "Sequence": 1}
     ]
-    assert documents["b"]["Events"] == []
+    assert documents["b"]["Events"] == [] and refused.count() == 0
+
+
+def test_export_of_a_long_trail_is_one_document(spark, tmp_path):
+    """However long a trail is; also as written, where each fragment is a line."""
+    order = random.Random(1).sample(range(1, 3001), 3000)
+    events = make_events(spark, *[("long", s) for s in order], ("short", 7))
+    done, _ = trails.export_trails(make_trails(spark, "long", "short"), events)
+    documents = documents_of(done)
+    assert [e["Sequence"] for e in documents["long"]["Events"]] == list(range(1, 3001))
+    trails.write_documents(done, str(tmp_path / "json"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "json").glob("part-*")))
+    assert json.JSONDecoder().raw_decode(lines)[0] == documents["long"]
+
+
+@pytest.mark.parametrize("payload", ['{"a":1} junk', "[1]", '{"a":', "1"])
+def test_unreadable_payloads_are_refused(spark, payload):
+    bad = make_events(spark, ("a", 1), ("b", 1), ("b", 2)).withColumn(
+        "payload", F.when((F.col("trail_id") == "b") & (F.col("sequence") == 2), payload).otherwise(F.col("payload"))
+    )
+    done, refused = trails.export_trails(make_trails(spark, "a", "b"), bad)
+    assert set(documents_of(done)) == {"a"}
+    assert [(r.id, r.reason) for r in refused.collect()] == [("b", "unreadable payload")]
+    requests = spark.createDataFrame([("a", 1), ("b", 1)], "trail_id string, from_sequence bigint")
+    done, refused = trails.export_replay(bad, requests)
+    assert set(documents_of(done)) == {"a"} and [r.id for r in refused.collect()] == ["b"]
+    later = spark.createDataFrame([("b", 3)], "trail_id string, from_sequence bigint")
+    assert documents_of(trails.export_replay(bad, later)[0]) == {"b": None}
 
 
 def test_empty_payload_and_empty_replay_export_as_null(spark):
     events = make_events(spark, ("a", 1)).withColumn("payload", F.lit(None).cast("string"))
     requests = spark.createDataFrame([("a", 1), ("b", 1), ("c", 5)], "trail_id string, from_sequence bigint")
-    rows = {r.trail_id: json.loads(r.json) for r in trails.export_replay(events, requests).collect()}
+    rows = documents_of(trails.export_replay(events, requests)[0])
     assert rows["a"][0]["Payload"] is None and rows["b"] is None and rows["c"] is None
 
 
@@ -150,6 +202,7 @@ def test_audits(spark):
     assert [r.id for r in audits.primary_key(nothing, "id", "pk").collect()] == [None]
     assert [r.id for r in audits.missing_parents(events, known, ["trail_id"], ["id"], "fk").collect()] == ["b-1"]
     assert [(r.id, r.column) for r in audits.nulls(events, "events").collect()] == [("b-1", "type")]
+    assert {r.column for r in audits.nulls(events.select("id").limit(1), "events").collect()} == {"trail_id", "type", "occured_at", "sequence"}
     assert [r.column for r in audits.too_long(events, audits.EVENT_LENGTHS, "len").collect()] == ["type", "type"]
     operations = spark.createDataFrame([(o,) for o in ("I", "U", "D", "T", None)], "op string")
     assert {r.op for r in audits.bad_operations(operations).collect()} == {"T", None}
