@@ -29,7 +29,8 @@ def build_session(app: str = "annalist", master: str | None = None, **conf: str)
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a folder on this machine.
+    Only a local-mode session may fall back to a folder on this machine; check.py, bench.py
+    and the tests name one.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:

@@ -9,9 +9,17 @@ from annalist.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    scratch = tmp_path_factory.mktemp("scratch")
     session = build_session(
-        "annalist-tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+        "annalist-tests",
+        "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": str(scratch / "shared"),
+            "spark.sql.warehouse.dir": str(scratch / "warehouse"),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
