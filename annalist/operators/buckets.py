@@ -6,7 +6,8 @@ into one task, so positions are cut into buckets of ``2^bits`` and
 
 1. each (key, bucket) is reduced to its first and last value (partial
    aggregation, one row per bucket),
-2. a window over those few rows finds the value carried into each bucket,
+2. windows over those few rows find the value carried into each bucket: one within runs
+   of ``2^RUN_BITS`` buckets, one over the runs, so no task sees all buckets of a key,
 3. that value enters the bucket as a *seed row* just outside its positions, so a
    window over (key, bucket) sees it like any other row.
 
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
 SEED = "_seed"
+RUN = "_run"
 DEFAULT_BITS = 17
+RUN_BITS = 12
 
 BEFORE_ROW = (Window.unboundedPreceding, -1)
 
@@ -42,25 +45,38 @@ def above(bucket: Column, bits: int) -> Column:
     return F.shiftleft(bucket + 1, bits)
 
 
-def carries(rows: DataFrame, keys: Sequence[str], position: str, value: Column, bits: int) -> DataFrame:
-    """Per (keys, bucket): the last value in earlier buckets, the first in later ones.
+def _carried(edges: DataFrame, keys: Sequence[str], name: str, order: Column, back: Column) -> DataFrame:
+    """keys, run, and as ``<name>_run`` the value of ``name`` carried into the run."""
+    runs = edges.groupBy(*keys, RUN).agg(back.alias(name))
+    over_runs = Window.partitionBy(*keys).orderBy(order).rowsBetween(*BEFORE_ROW)
+    return runs.select(*keys, RUN, F.last(name, ignorenulls=True).over(over_runs).alias(f"{name}_run"))
 
-    Values grow with the position: numbers that do, or structs led by one. NULL
-    values do not count. One row per bucket that has any row.
+
+def carries(
+    rows: DataFrame, keys: Sequence[str], position: str, value: Column, bits: int, closing: bool = False, run_bits: int | None = None
+) -> DataFrame:
+    """Per (keys, bucket): the last value in earlier buckets as ``from_before`` and, if
+    ``closing``, the first in later ones as ``from_after``.
+
+    Values grow with the position: numbers that do, which aggregate fastest, or structs
+    led by one. NULL values do not count. One row per bucket that has any row.
     """
+    run_bits = RUN_BITS if run_bits is None else run_bits
+    ends = [F.max(value).alias("newest")] + ([F.min(value).alias("oldest")] if closing else [])
     edges = (
         rows.withColumn(BUCKET, bucket_of(F.col(position), bits))
         .groupBy(*keys, BUCKET)
-        .agg(F.max(value).alias("newest"), F.min(value).alias("oldest"))
-    )
-    earlier = Window.partitionBy(*keys).orderBy(F.asc(BUCKET)).rowsBetween(*BEFORE_ROW)
-    later = Window.partitionBy(*keys).orderBy(F.desc(BUCKET)).rowsBetween(*BEFORE_ROW)
-    return edges.select(
-        *keys,
-        BUCKET,
-        F.last("newest", ignorenulls=True).over(earlier).alias("from_before"),
-        F.last("oldest", ignorenulls=True).over(later).alias("from_after"),
+        .agg(*ends)
+        .withColumn(RUN, bucket_of(F.col(BUCKET), run_bits))
     )
+    out = edges.join(_carried(edges, keys, "newest", F.asc(RUN), F.max("newest")), [*keys, RUN])
+    earlier = Window.partitionBy(*keys, RUN).orderBy(F.asc(BUCKET)).rowsBetween(*BEFORE_ROW)
+    found = [F.coalesce(F.last("newest", ignorenulls=True).over(earlier), F.col("newest_run")).alias("from_before")]
+    if closing:
+        out = out.join(_carried(edges, keys, "oldest", F.desc(RUN), F.min("oldest")), [*keys, RUN])
+        later = Window.partitionBy(*keys, RUN).orderBy(F.desc(BUCKET)).rowsBetween(*BEFORE_ROW)
+        found.append(F.coalesce(F.last("oldest", ignorenulls=True).over(later), F.col("oldest_run")).alias("from_after"))
+    return out.select(*keys, BUCKET, *found)
 
 
 def seeds(

@@ -87,18 +87,19 @@ def pieces(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     )
 
 
-def markers(chosen: DataFrame, bits: int) -> DataFrame:
+def markers(chosen: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
     """One row per (chosen segment, bucket): at its BEGIN, or just before the bucket
     it continues in.
 
-    ``chosen``: slot, begin_pos, commit_pos, commit_lsn, carried, and ``pieces``, the
-    kept changes counted per bucket. ``first`` is how many changes come before.
+    ``chosen``: slot, begin_pos, commit_pos, commit_lsn, carried. ``counted``: from
+    :func:`pieces`, the kept changes per bucket. ``first`` is how many changes come before.
     """
     earlier = Window.partitionBy("slot", "begin_pos").orderBy(BUCKET).rowsBetween(*BEFORE_ROW)
     return (
-        chosen.select("slot", "begin_pos", "commit_pos", "commit_lsn", "carried", F.explode("pieces").alias("piece"))
-        .withColumn(BUCKET, F.col("piece.bucket"))
-        .withColumn("first", F.col("carried") + F.coalesce(F.sum("piece.n").over(earlier), F.lit(0)))
+        counted.where(F.col("n") > 0)
+        .select("slot", "begin_pos", BUCKET, "n")
+        .join(chosen.select("slot", "begin_pos", "commit_pos", "commit_lsn", "carried"), ["slot", "begin_pos"])
+        .withColumn("first", F.col("carried") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .select(
             "slot",
             BUCKET,
@@ -108,7 +109,7 @@ def markers(chosen: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def numbered_changes(log: DataFrame, chosen: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
+def numbered_changes(log: DataFrame, chosen: DataFrame, counted: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """Row changes of the chosen segments with images and dense numbers from 1.
 
     The wide log is shuffled exactly once. Markers of the chosen segments travel in
@@ -117,7 +118,7 @@ def numbered_changes(log: DataFrame, chosen: DataFrame, bits: int = DEFAULT_BITS
     the choice of transactions nor the numbering joins anything with the changes.
     """
     rows = with_relations(
-        log.where(F.col("kind").isin(RELATION, *CHANGE_KINDS)), bits, markers(chosen, bits)
+        log.where(F.col("kind").isin(RELATION, *CHANGE_KINDS)), bits, markers(chosen, counted, bits)
     ).where(F.col("marker").isNotNull() | F.col("known").isNotNull())
     # Images replace the tuples before the second window, whose rows stay small.
     old, new = row_images(F.col("known.columns"), F.col("known.repeats"))

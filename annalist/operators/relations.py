@@ -29,12 +29,18 @@ def with_relations(log: DataFrame, bits: int = DEFAULT_BITS, markers: DataFrame
     """
     of_relation = ["slot", "relation_id"]
     related = log.where(F.col("kind").isin(RELATION, *CHANGE_KINDS))
-    versions = carries(related, of_relation, "pos", relation_version(), bits)
+    # Positions alone are carried; what the few relation messages say is joined to them.
+    announced = F.when(F.col("kind") == RELATION, F.col("pos"))
+    carried = carries(related, of_relation, "pos", announced, bits)
+    said = log.where(F.col("kind") == RELATION).select(
+        *of_relation, F.col("pos").alias("announced"), relation_version().alias("version")
+    )
+    entering = seeds(carried, of_relation, "pos", "announced", bits).join(said, [*of_relation, "announced"]).drop("announced")
     rows = (
         log.withColumn(BUCKET, bucket_of(F.col("pos"), bits))
         .withColumn("version", relation_version())
         .withColumn(SEED, F.lit(False))
-        .unionByName(seeds(versions, of_relation, "pos", "version", bits), allowMissingColumns=True)
+        .unionByName(entering, allowMissingColumns=True)
     )
     if markers is not None:
         rows = rows.unionByName(markers.withColumn(SEED, F.lit(False)), allowMissingColumns=True)

@@ -46,7 +46,7 @@ def segments(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     controls = log.where(F.col("kind").isin(*CONTROL_KINDS)).select(
         "slot", "pos", "kind", "xid", "lsn", "commit_ts"
     )
-    carried = carries(controls, ["slot"], "pos", control(), bits)
+    carried = carries(controls, ["slot"], "pos", control(), bits, closing=True)
     rows = (
         controls.withColumn(BUCKET, bucket_of(F.col("pos"), bits))
         .withColumn("control", control())

@@ -6,28 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.lsn import num_to_lsn
-from annalist.operators.buckets import BUCKET, DEFAULT_BITS
+from annalist.operators.buckets import DEFAULT_BITS
 from annalist.operators.changes import pieces
 
 
-def by_segment(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    """Every BEGIN with its COMMIT, if it has one, and the changes kept for it.
+def by_segment(counted: DataFrame) -> DataFrame:
+    """Every BEGIN with its COMMIT, if it has one, and the number of changes kept for it.
 
-    Changes arrive here counted per (segment, bucket), so a transaction of any size
-    is one row per 2^bits positions; ``pieces`` keeps those counts. ``carried``
+    ``counted``: from :func:`pieces`, one row per (segment, bucket), so a transaction of
+    any size is one row per 2^bits positions. All aggregates are of numbers. ``carried``
     changes were stored by earlier micro-batches. Positions come out in their
     canonical text form; an empty or malformed one is NULL.
     """
-    counted = F.when(F.col("n") > 0, F.struct(F.col(BUCKET).alias("bucket"), "n"))
     single = ("xid", "begin_lsn_num", "carried", "commit_pos", "commit_lsn_num", "commit_ts")
     return (
-        pieces(log, bits)
-        .groupBy("slot", "begin_pos")
-        .agg(
-            *[F.max(c).alias(c) for c in single],
-            F.sum("n").alias("n"),
-            F.collect_list(counted).alias("pieces"),
-        )
+        counted.groupBy("slot", "begin_pos")
+        .agg(*[F.max(c).alias(c) for c in single], F.sum("n").alias("n"))
         .withColumn("carried", F.coalesce("carried", F.lit(0)))
         .select(
             "slot",
@@ -40,7 +34,6 @@ def by_segment(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
             "commit_ts",
             (F.col("carried") + F.col("n")).alias("change_count"),
             "carried",
-            "pieces",
         )
     )
 
@@ -60,14 +53,14 @@ def still_open(by_segment: DataFrame, begins: DataFrame) -> DataFrame:
 def empty_transactions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """Committed transactions without a kept change: never stored, no checkpoint move."""
     empty = F.col("commit_pos").isNotNull() & (F.col("change_count") == 0)
-    return by_segment(log, bits).where(empty).select(
+    return by_segment(pieces(log, bits)).where(empty).select(
         "slot", "begin_pos", "xid", "begin_lsn", "commit_pos", "commit_lsn", "commit_ts"
     )
 
 
 def transactions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """One row per committed, non-empty transaction, redeliveries included."""
-    return committed(by_segment(log, bits))
+    return committed(by_segment(pieces(log, bits)))
 
 
 def first_deliveries(delivered: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -77,12 +70,9 @@ def first_deliveries(delivered: DataFrame, existing: DataFrame | None = None) ->
     wins over everything delivered now. Copies are reduced by a partial
     aggregation, so any number of copies of one transaction is harmless.
     """
-    fields = [c for c in delivered.columns if c not in ("slot", "commit_lsn_num", "commit_pos")]
-    first = (
-        delivered.groupBy("slot", "commit_lsn_num")
-        .agg(F.min(F.struct("commit_pos", *fields)).alias("first"))
-        .select("slot", "commit_lsn_num", "first.*")
-        .select(*delivered.columns)
+    firsts = delivered.groupBy("slot", "commit_lsn_num").agg(F.min("commit_pos").alias("commit_pos"))
+    first = delivered.join(firsts.select("slot", "commit_pos"), ["slot", "commit_pos"], "left_semi").select(
+        *delivered.columns
     )
     if existing is None:
         return first

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.operators.buckets import DEFAULT_BITS
-from annalist.operators.changes import numbered_changes
+from annalist.operators.changes import numbered_changes, pieces
 from annalist.operators.checkpoints import final_checkpoints, stored_positions
 from annalist.operators.defaults import SOURCE_DB, with_defaults
 from annalist.operators.segments import RELATION, open_begins
-from annalist.operators.transactions import by_segment, committed, first_deliveries, still_open, transactions
+from annalist.operators.transactions import by_segment, committed, first_deliveries, still_open
 from annalist.sources.messages import normalize
 from annalist.sources.store import CHANGES, MAIN, Store
 
@@ -32,8 +32,9 @@ def transaction_rows(chosen: DataFrame, clock: Column | None = None, source_db:
 
 def capture(log: DataFrame, bits: int = DEFAULT_BITS) -> tuple[DataFrame, DataFrame]:
     """Transactions and numbered changes of a whole log, nothing stored before."""
-    chosen = first_deliveries(transactions(log, bits))
-    return transaction_rows(chosen), numbered_changes(log, chosen, bits)
+    counted = pieces(log, bits)
+    chosen = first_deliveries(committed(by_segment(counted)))
+    return transaction_rows(chosen), numbered_changes(log, chosen, counted, bits)
 
 
 def _stored_before(store: Store, delivered: DataFrame, loaded: DataFrame) -> DataFrame | None:
@@ -107,7 +108,8 @@ def capture_batch(
     attempt = store.begin(run, batch)
     log = state.unionByName(messages)
     # Kept for the steps below, which would otherwise each read the log again.
-    segments = store.write(by_segment(log, bits), "segments", attempt)
+    counted = store.write(pieces(log, bits), "segments", attempt)
+    segments = by_segment(counted)
     begins = open_begins(log)
     opened = still_open(segments, begins)
     delivered = committed(segments)
@@ -116,7 +118,7 @@ def capture_batch(
     fresh = first_deliveries(delivered, _stored_before(store, delivered, loaded))
 
     # A change whose commit is known by now is stored finished, any other open.
-    changes = with_defaults(numbered_changes(log, fresh.unionByName(opened), bits), "wal_change", clock)
+    changes = with_defaults(numbered_changes(log, fresh.unionByName(opened), counted, bits), "wal_change", clock)
     finished = F.col("commit_lsn").isNotNull().alias("finished")
     store.write(changes.select("*", F.lit(run).alias("run"), finished), CHANGES, attempt, "finished")
     closing = fresh.where("carried > 0").select(
