@@ -12,7 +12,9 @@ Groups that meet are never expanded into pairs:
 2. In each group every member is held against the group's first. Sizes and a parity
    bitmap of each set rule out most; the others are searched for in a prefix tree.
 3. Groups that these links leave in several components are compared across them, in
-   blocks, by bitmap; what passes is searched for in prefix trees again.
+   blocks, by bitmap. A member's nearest in each other component are searched for in
+   prefix trees first, which mostly joins the components; those that stay apart go on
+   with more of the nearest, until none is left out.
 
 Two linked documents meet in some group; there they are held against each other, or are
 in one component already. So no link between components is lost.
@@ -35,9 +37,10 @@ from annalist.llm.tables import stored, text_bytes
 from annalist.llm.words import mix, portions, rolling, windows_of, words_of
 
 SKETCH_BITS = 18
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 GROUP_ROWS = 1024  # members held against one leader in one task at a time
-BLOCK_ROWS = 2048  # members of a group compared by bitmap with as many others
+BLOCK_ROWS = 1024  # members of a group compared by bitmap with as many others
+NEAREST, FURTHER = 4, 8  # partners tried per member and component at first; how many times more in the next round
 
 _NO_ID = 2**63 - 1  # stands for a null doc_id, so it is never the smallest
 _SETS = "doc bigint, n int, digest binary, bitmap binary, keys array<bigint>"
@@ -100,11 +103,12 @@ def _bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(bool), bitorder="little").view(np.uint64)
 
 
-def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
-    while len(bitmap) > words:
-        half = len(bitmap) // 2
-        bitmap = bitmap[:half] ^ bitmap[half:]
-    return bitmap
+def _folded_rows(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, one per row, folded to so many words; parities stay parities."""
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
 
 
 def set_rows(docs: DataFrame, size: int, jaccard: Jaccard, levels: np.ndarray) -> DataFrame:
@@ -143,7 +147,7 @@ def may_link(jaccard: Jaccard, n1: int, map1: np.ndarray, n2: int, map2: np.ndar
     if abs(n1 - n2) > most:
         return False
     words = min(len(map1), len(map2))
-    return int(np.bitwise_count(_folded(map1, words) ^ _folded(map2, words)).sum()) <= most
+    return int(np.bitwise_count(_folded_rows(map1[None], words) ^ _folded_rows(map2[None], words)).sum()) <= most
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, jaccard: Jaccard) -> DataFrame:
@@ -235,38 +239,53 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 # Groups that fall apart.
 
 
-def _across(jaccard: Jaccard):
-    """Plausible pairs of one cell of a group's grid that are in different components."""
+_MORE = (-1, -1)  # stands for pairs that were left for a later round
+
+
+def _across(jaccard: Jaccard, nearest: int):
+    """Plausible pairs of one cell of a group's grid that are in different components:
+    for each member and other component the ``nearest`` by bitmap, and a mark if there are more."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["n"], r["node"]))
         side = np.array([r["block"] for r in rows])
         mixed = table["i"][0].as_py() != table["j"][0].as_py()
         n = np.array([r["n"] for r in rows])
+        node = np.array([r["node"] for r in rows])
         component = np.array([r["component"] for r in rows])
+        # Sizes of bitmaps grow with those of sets, so equal ones stand together.
         maps = [np.frombuffer(r["bitmap"], np.uint64) for r in rows]
-        out = []
+        widths = np.array([len(m) for m in maps])
+        stacked = {w: np.stack([m for m in maps if len(m) == w]) for w in np.unique(widths)}
+        begin = {w: int(np.searchsorted(widths, w)) for w in stacked}
+        out, more = [], False
         for at in range(len(rows)):
             last = int(np.searchsorted(n, jaccard.sizes(int(n[at]))[1], side="right"))
             others = np.arange(at + 1, last)
             others = others[component[others] != component[at]]
             if mixed:
                 others = others[side[others] != side[at]]
-            for words in {len(maps[o]) for o in others}:
-                some = np.array([o for o in others if len(maps[o]) == words])
-                own = _folded(maps[at], words)
-                theirs = np.stack([_folded(maps[o], len(own)) for o in some])
-                apart = np.bitwise_count(theirs ^ own).sum(axis=1)
-                most = n[at] + n[some] - 2 * jaccard.needed(n[at], n[some])
-                for o in some[apart <= most]:
-                    a, b = rows[at]["node"], rows[o]["node"]
-                    out.append((min(a, b), max(a, b)))
-        return pa.Table.from_batches([_pairs_batch(out)])
+            if not len(others):
+                continue
+            apart = np.empty(len(others), np.int64)
+            for width in np.unique(widths[others]):
+                some = widths[others] == width
+                theirs = _folded_rows(stacked[width][others[some] - begin[width]], widths[at])
+                apart[some] = np.bitwise_count(theirs ^ maps[at]).sum(axis=1)
+            spare = apart - (n[at] + n[others] - 2 * jaccard.needed(n[at], n[others]))
+            others, spare = others[spare <= 0], spare[spare <= 0]
+            order = np.lexsort((others, spare, component[others]))
+            others = others[order]
+            first = np.searchsorted(component[others], component[others])
+            chosen = np.arange(len(others)) - first < nearest
+            more |= not chosen.all()
+            out += [(min(node[at], node[o]), max(node[at], node[o])) for o in others[chosen]]
+        return pa.Table.from_batches([_pairs_batch(out + [_MORE] * more)])
 
     return run
 
 
-def _left_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, jaccard: Jaccard) -> DataFrame:
+def _left_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, jaccard: Jaccard, nearest: int) -> DataFrame:
     """Plausible pairs across components within groups of three or more."""
     named = members.where("m > 2").join(labels, "node", "left").select(
         "key", "m", "node", F.coalesce("component", "node").alias("component")
@@ -287,7 +306,7 @@ def _left_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, jaccard
         .select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(nodes.select("node", "n", "bitmap"), "node")
     )
-    return cells.groupBy("key", "i", "j").applyInArrow(_across(jaccard), "a bigint, b bigint").distinct()
+    return cells.groupBy("key", "i", "j").applyInArrow(_across(jaccard, nearest), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -334,9 +353,16 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     plausible = stored(_plausible(tried, nodes, jaccard), "plausible")
     links = stored(_verified(plausible, nodes, slim, size, jaccard, levels), "found")
     labels = components(links)
-    left = stored(_left_pairs(members, labels, nodes, jaccard).join(tried, ["a", "b"], "left_anti"), "left")
-    if not left.isEmpty():
-        labels = components(links.unionByName(_verified(left, nodes, slim, size, jaccard, levels)))
+    nearest, more = NEAREST, True
+    while more:
+        left = stored(_left_pairs(members, labels, nodes, jaccard, nearest), "left")
+        more = not left.where("a < 0").isEmpty()
+        new = stored(left.where("a >= 0").join(tried, ["a", "b"], "left_anti"), "new")
+        if not new.isEmpty():
+            links = links.unionByName(stored(_verified(new, nodes, slim, size, jaccard, levels), "found"))
+            labels = components(links)
+            tried = tried.unionByName(new)
+        nearest *= FURTHER
 
     own = classes.where("row = node").select("node", "doc")
     named = labels.join(own, "node")

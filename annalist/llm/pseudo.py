@@ -30,7 +30,7 @@ OWN, SHARED = 64, 64  # classes of one frequent word each, classes by ending
 CLASSES = OWN + SHARED
 REACH, WIDTH = 2, 16  # words on each side, hidden units
 STEP_WORDS, RATE = 4096, 1.0
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 _OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
 _SHAPES = ((len(_OFFSETS), CLASSES + 1, WIDTH), (WIDTH, CLASSES), (CLASSES,))  # the last row: no word there

@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 _PAD = b"    "
 _BLANK = np.arange(256, dtype=np.uint32)
 _BLANK[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 
 def _grams(texts: list[bytes]) -> Iterator[np.ndarray]:

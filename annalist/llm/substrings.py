@@ -29,7 +29,7 @@ from annalist.llm.words import Words, contained, portions, rolling, sorted_uniqu
 
 WINDOW = 35
 # Text handled at once inside a task, and text whose fingerprints meet in one bucket.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 BUCKET_BYTES = 32 << 20
 
 _SENT = "bucket int, chunk bigint, part int, indexed binary, probes binary"

@@ -81,7 +81,7 @@ def words_of(texts: Sequence[bytes]) -> Words:
     np.not_equal(inside[1:], inside[:-1] + 1, out=begin[1:])
     start = np.flatnonzero(begin)
     lengths = np.diff(np.append(start, len(inside)))
-    within = np.arange(len(inside)) - np.repeat(start, lengths)
+    within = np.arange(len(inside), dtype=inside.dtype) - np.repeat(start.astype(inside.dtype), lengths)
     values = _BYTE[data[inside]] * powers(_BASES[0], int(lengths.max()))[within]
     hashes = mix(np.add.reduceat(values, start) + lengths.astype(np.uint64))
     first = np.searchsorted(inside[start], ends - sizes)
