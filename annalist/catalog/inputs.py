@@ -195,6 +195,8 @@ def _message(kind: str, present: Column, **fields: Column) -> Column:
         "namespace": "string",
         "relation": "string",
         "columns": "array<string>",
+        "column_types": "array<bigint>",
+        "truncated": "array<bigint>",
     }
     values = [
         (fields[name] if name in fields else F.lit(None)).cast(data_type).alias(name)
@@ -211,7 +213,7 @@ def _order_messages(spark: SparkSession, folder: str) -> DataFrame:
     )
     messages = [
         _message("B", key % 77 != 0, offset=F.lit(0), xid=key, lsn=num_to_lsn(key * 65536 + 16)),
-        _message("T", key % 91 == 0, offset=F.lit(100)),
+        _message("T", key % 91 == 0, offset=F.lit(100), truncated=F.array(F.lit(16385), 16385 + key % 7)),
         _message(
             "C", key % 50 != 0, offset=F.lit(126), lsn=num_to_lsn(key * 65536 + 32), commit_ts=F.col("o_orderdate")
         ),
@@ -227,6 +229,7 @@ def _order_messages(spark: SparkSession, folder: str) -> DataFrame:
                 namespace=F.lit("sales"),
                 relation=F.concat(F.lit(f"lineitem_{n}_v"), text(version)),
                 columns=columns,
+                column_types=F.transform(columns, lambda c, i: i + 20),
             )
         )
     return (

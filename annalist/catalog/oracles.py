@@ -459,13 +459,15 @@ ORACLES: dict[str, str] = {
                || CASE WHEN l.kind = 'R' THEN chr(10) || '  Namespace: ' || l.namespace || chr(10) || '  Table: ' || l.relation
                        || chr(10) || '  Columns: ' || len(string_split(l.columns, ',')) || chr(10)
                        || array_to_string(list_transform(string_split(l.columns, ','),
-                            lambda c, i: '    Column ' || (i - 1) || ': ' || c), chr(10)) ELSE '' END
+                            lambda c, i: '    Column ' || (i - 1) || ': ' || c || ' (Type: ' || (i + 19) || ')'), chr(10)) ELSE '' END
+               || CASE WHEN l.kind = 'T' THEN chr(10) || '  Relations: [16385 ' || (16385 + l.k % 7) || ']' ELSE '' END
                || CASE WHEN l.kind IN ('I', 'U', 'D') THEN chr(10) || '  Table: '
                        || CASE WHEN p.relation_pos IS NULL THEN 'Unknown (relation ' || l.relation_id || ')'
                                ELSE p.namespace || '.' || p.relation END ELSE '' END
                || CASE WHEN p.relation_pos IS NOT NULL AND l.kind = 'U' AND l.old_tuple IS NOT NULL THEN {lines('  Old Row')} ELSE '' END
                || CASE WHEN p.relation_pos IS NOT NULL AND l.kind = 'D' AND l.old_tuple IS NOT NULL THEN {lines('  Deleted Row')} ELSE '' END
-               || CASE WHEN p.relation_pos IS NOT NULL AND l.kind IN ('I', 'U') THEN {lines('  New Row')} ELSE '' END AS trace
+               || CASE WHEN p.relation_pos IS NOT NULL AND l.kind IN ('I', 'U') THEN {lines('  New Row')} ELSE '' END
+               || CASE WHEN l.kind IN ('I', 'U', 'D') AND p.relation_pos IS NULL THEN '' ELSE chr(10) || '  ---' END AS trace
         FROM log l LEFT JOIN resolved p ON p.slot = l.slot AND p.pos = l.pos
         LEFT JOIN vals v ON v.l_orderkey = l.k
           AND v.rn = CASE WHEN l.kind IN ('I', 'U', 'D') THEN (l.pos - 20) % (SELECT 128 * (max(o_orderkey) + 1) FROM orders) - l.k * 128 END"""),

@@ -45,11 +45,25 @@ def tuple_to_json(columns: Column, entries: Column, repeats: Column | None = Non
     return F.when(entries.isNotNull() & columns.isNotNull(), image)
 
 
+# Control characters with an escape of their own.
+_NAMED = {7: "\\a", 8: "\\b", 9: "\\t", 10: "\\n", 11: "\\v", 12: "\\f", 13: "\\r"}
+
+
 def quoted(text: Column) -> Column:
-    """Double-quoted text with backslash escapes for quote, backslash, tab and line ends."""
-    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        text = F.replace(text, F.lit(raw), F.lit(escaped))
-    return F.concat(F.lit('"'), text, F.lit('"'))
+    """Double-quoted text with backslash escapes for quote, backslash and control characters."""
+    for raw in ("\\", '"'):
+        text = F.replace(text, F.lit(raw), F.lit("\\" + raw))
+
+    def shown(c: Column) -> Column:
+        code = F.ascii(c)
+        out = F.when((code < 32) | (code == 127), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(code), 2, "0")))).otherwise(c)
+        for number, escape in _NAMED.items():
+            out = F.when(code == number, F.lit(escape)).otherwise(out)
+        return F.when(c == "", c).otherwise(out)
+
+    # Few texts have any; the others are not taken apart.
+    escaped = F.array_join(F.transform(F.split(text, ""), shown), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f\x7f]"), escaped).otherwise(text), F.lit('"'))
 
 
 def printable_tuple(prefix: str, columns: Column, entries: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.functions.lsn import lsn_to_num, num_to_lsn
 from annalist.operators.buckets import (
     BUCKET,
     DEFAULT_BITS,
@@ -76,13 +77,20 @@ def segments(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
 
 
 def open_begins(log: DataFrame) -> DataFrame:
-    """The BEGIN each slot ends with, if its last control message is one."""
+    """The BEGIN each slot ends with, if its last control message is one. Its position
+    text comes in canonical form; a malformed one is NULL."""
+    latest = lambda c: F.max_by(c, "pos")  # noqa: E731  numbers only, which aggregate without a sort
     return (
         log.where(F.col("kind").isin(*CONTROL_KINDS))
         .groupBy("slot")
-        .agg(F.max(F.struct("pos", "kind", "xid", "lsn")).alias("last"))
-        .select("slot", "last.*")
-        .where(F.col("kind") == BEGIN)
+        .agg(
+            F.max("pos").alias("pos"),
+            latest(F.col("kind") == BEGIN).alias("opened"),
+            latest(F.col("xid")).alias("xid"),
+            latest(lsn_to_num(F.col("lsn"))).alias("lsn_num"),
+        )
+        .where("opened")
+        .select("slot", "pos", F.lit(BEGIN).alias("kind"), "xid", num_to_lsn(F.col("lsn_num")).alias("lsn"))
     )
 
 

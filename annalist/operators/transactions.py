@@ -30,6 +30,7 @@ def by_segment(counted: DataFrame) -> DataFrame:
             "xid",
             num_to_lsn(F.col("begin_lsn_num")).alias("begin_lsn"),
             num_to_lsn(F.col("commit_lsn_num")).alias("commit_lsn"),
+            "begin_lsn_num",
             "commit_lsn_num",
             "commit_ts",
             (F.col("carried") + F.col("n")).alias("change_count"),
@@ -70,9 +71,15 @@ def first_deliveries(delivered: DataFrame, existing: DataFrame | None = None) ->
     wins over everything delivered now. Copies are reduced by a partial
     aggregation, so any number of copies of one transaction is harmless.
     """
-    firsts = delivered.groupBy("slot", "commit_lsn_num").agg(F.min("commit_pos").alias("commit_pos"))
-    first = delivered.join(firsts.select("slot", "commit_pos"), ["slot", "commit_pos"], "left_semi").select(
-        *delivered.columns
+    # Numbers only, which aggregate without a sort; the texts are made of them again.
+    texts = {"begin_lsn": num_to_lsn(F.col("begin_lsn_num")), "commit_lsn": num_to_lsn(F.col("commit_lsn_num"))}
+    key = ("slot", "commit_lsn_num")
+    numbers = [c for c in delivered.columns if c not in (*key, *texts)]
+    first = (
+        delivered.groupBy(*key)
+        .agg(*[F.min_by(c, "commit_pos").alias(c) for c in numbers])
+        .withColumns(texts)
+        .select(*delivered.columns)
     )
     if existing is None:
         return first

@@ -11,6 +11,7 @@ from annalist.operators.checkpoints import final_checkpoints, stored_positions
 from annalist.operators.defaults import SOURCE_DB, with_defaults
 from annalist.operators.segments import RELATION, open_begins
 from annalist.operators.transactions import by_segment, committed, first_deliveries, still_open
+from annalist.session import scratch_folder
 from annalist.sources.messages import normalize
 from annalist.sources.store import CHANGES, MAIN, Store
 
@@ -31,8 +32,15 @@ def transaction_rows(chosen: DataFrame, clock: Column | None = None, source_db:
 
 
 def capture(log: DataFrame, bits: int = DEFAULT_BITS) -> tuple[DataFrame, DataFrame]:
-    """Transactions and numbered changes of a whole log, nothing stored before."""
-    counted = pieces(log, bits)
+    """Transactions and numbered changes of a whole log, nothing stored before.
+
+    The changes are counted first, in one pass over narrow columns whose result, one row
+    per segment and bucket, is kept in the scratch folder: both results read it.
+    """
+    path = scratch_folder(log.sparkSession, "counted")
+    narrow = pieces(log, bits)
+    narrow.write.parquet(path)
+    counted = log.sparkSession.read.schema(narrow.schema).parquet(path)
     chosen = first_deliveries(committed(by_segment(counted)))
     return transaction_rows(chosen), numbered_changes(log, chosen, counted, bits)
 

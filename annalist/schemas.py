@@ -26,7 +26,8 @@ PENDING = table(id=TEXT, trail_id=TEXT, type=TEXT, payload=TEXT, occured_at=TIME
 # and unique there. ``kind``: B begin, C commit, R relation, I insert, U update,
 # D delete, T truncate; NULL marks a message that could not be decoded. ``carried``
 # is set only on a BEGIN taken over from an earlier micro-batch: how many of its
-# changes are stored already.
+# changes are stored already. ``column_types`` (type ids of a relation's columns) and
+# ``truncated`` (ids of truncated relations) are for the trace only.
 MESSAGES = table(
     slot=TEXT,
     pos=LONG,
@@ -42,6 +43,8 @@ MESSAGES = table(
     new_tuple=TUPLE,
     received_at=TIME,
     carried=LONG,
+    column_types=T.ArrayType(LONG),
+    truncated=T.ArrayType(LONG),
 )
 
 # A transaction is identified by its slot and commit position; ``begin_pos`` links

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import changes, checkpoints, segments, transactions
+from annalist.operators import buckets, changes, checkpoints, segments, transactions
 from annalist.plans.capture import capture, capture_batch
 from annalist.sources.store import Store
 from logs import frame, message, model_changes, random_log, run_model, spark_changes, spark_transactions
@@ -89,6 +89,17 @@ def test_batches_equal_one_run(spark, tmp_path, logs, expected):
     assert marks == {slot: mark for slot, mark in expected[3].items() if mark}
 
 
+def test_state_is_carried_over_runs_of_buckets(log, expected, monkeypatch):
+    """Buckets of four positions in runs of two: what is carried crosses many runs."""
+    monkeypatch.setattr(buckets, "RUN_BITS", 1)
+    stored, changed = capture(log, bits=2)
+    assert spark_transactions(stored) == expected[0]
+    assert spark_changes(changed) == expected[1]
+    small = segments.segments(log, 2)
+    monkeypatch.undo()
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, segments.segments(log, 30).collect()))
+
+
 def test_one_transaction_over_many_buckets(spark):
     """A transaction that fills most of the log is numbered without a gap."""
     rows = [message("s", 0, "R", relation_id=1, namespace="n", relation="t", columns=["a"])]

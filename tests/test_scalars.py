@@ -87,6 +87,13 @@ def test_payload_keeps_large_integers_and_nulls(spark):
     assert rows.select(F.to_json(payload.decode_payload(F.col("p")))).first()[0] == '{"n":9007199254740993,"z":null}'
 
 
+def test_quoted(spark):
+    text = 'a"b\\c\td\n\x07\x00\x7f\x1b é😀'
+    rows = spark.createDataFrame([(text,), ("plain",), ("",)], "t string")
+    want = r'"a\"b\\c\td\n\a\x00\x7f\x1b é😀"'
+    assert [r[0] for r in rows.select(tuples.quoted(F.col("t"))).collect()] == [want, '"plain"', '""']
+
+
 def test_frames(spark):
     header = bytes(range(24))
     frames = [b"", b"w12345", b"w" + b"x" * 20, b"w" + header, b"w" + header + b"Bxyz", b"k123", b"zq"]
