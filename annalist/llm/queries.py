@@ -40,6 +40,25 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op3_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS words
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w)),
+repeated AS (SELECT words FROM windows GROUP BY words HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS place FROM windows SEMI JOIN repeated USING (words), range(0, 35) r(k)),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
+judged AS (
+  SELECT p.doc_id, p.word, p.place, g.place IS NULL AS stays
+  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.place = p.place)
+SELECT w.doc_id, count(j.word) AS n_words, count(j.word) FILTER (NOT stays) AS n_removed,
+       sha256(coalesce(string_agg(j.word, ' ' ORDER BY j.place) FILTER (stays), '')) AS kept_sha256
+FROM w LEFT JOIN judged j ON j.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+
 @query
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rows = bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -131,3 +150,28 @@ SELECT * FROM ranked WHERE rank <= 5
 @query
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngrams.near_duplicates(table(spark, folder, "documents"), size=4, percent=85)
+
+
+ORACLES["op6_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b
+  WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b)
+SELECT w.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id
+FROM w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN reach r ON r.a = w.doc_id
+GROUP BY w.doc_id
+"""
