@@ -97,8 +97,9 @@ def _digest(grams: np.ndarray) -> bytes:
 
 
 def _bitmap(grams: np.ndarray) -> np.ndarray:
-    """The parity of the elements in each of 64 or more bits, at least as many as elements."""
-    bits = 1 << max(6, (len(grams) - 1).bit_length())
+    """The parity of the elements in each of 64 or more bits, at least four times as many as
+    elements: sets that differ in a fifth of them rarely look nearer than they are."""
+    bits = 1 << max(6, (4 * len(grams) - 1).bit_length())
     parity = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(bool), bitorder="little").view(np.uint64)
 

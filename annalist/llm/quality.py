@@ -30,6 +30,7 @@ SAMPLE_PER_CLASS = 2000
 EPOCHS, RATE = 6, 4.0
 #: A small sample is passed over more often, for about so many steps in all.
 MIN_STEPS = 12_000
+LARGEST = np.float32(64)
 THRESHOLD = 0.3
 
 _PAD = b"    "
@@ -111,9 +112,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares:
             error = logits / logits.sum()
             error[labels[i]] -= 1
             back = model.output @ error
-            model.output -= np.float32(rate) * np.outer(hidden, error)
-            model.bias -= np.float32(0.1 * rate) * error
-            model.vectors[rows] -= np.float32(rate) * np.outer(part, back)
+            # No number grows beyond a bound, however few and odd the documents are.
+            model.output = np.clip(model.output - np.float32(rate) * np.outer(hidden, error), -LARGEST, LARGEST)
+            model.bias = np.clip(model.bias - np.float32(0.1 * rate) * error, -LARGEST, LARGEST)
+            model.vectors[rows] = np.clip(model.vectors[rows] - np.float32(rate) * np.outer(part, back), -LARGEST, LARGEST)
     return model
 
 
@@ -166,20 +168,24 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
     found = slim.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     # A repeated doc_id must not exceed the bound.
-    bags = (
-        found.mapInArrow(run, "doc_id bigint, label int, rows binary, often binary")
-        .orderBy(*order, "rows")
-        .limit(2 * per_class)
-        .collect()
-    )
-    if not bags:
+    bags = found.mapInArrow(run, "doc_id bigint, label int, rows binary, often binary").orderBy(*order, "rows").limit(2 * per_class)
+
+    def fit(table: pa.Table) -> pa.Table:
+        y = table["label"].to_numpy()
+        taken = np.bincount(y, minlength=2)
+        shares = np.array([sizes.get(c, 0) / max(1, taken[c]) for c in (0, 1)])
+        shares = shares / (shares[y].max(initial=0.0) or 1.0)
+        packed = zip(table["rows"].to_pylist(), table["often"].to_pylist(), strict=True)
+        model = train([(np.frombuffer(r, np.int32), np.frombuffer(o, np.float32)) for r, o in packed], y, shares)
+        parts = [model.vectors, model.output.astype(np.float32), model.bias.astype(np.float32)]
+        return pa.table([pa.array([p.tobytes()], pa.binary()) for p in parts], ["vectors", "output", "bias"])
+
+    # The bounded sample is one group, trained on in one task; the model alone reaches the driver.
+    fitted = bags.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "vectors binary, output binary, bias binary").collect()
+    if not fitted:
         return None
-    y = np.array([r["label"] for r in bags])
-    taken = np.bincount(y, minlength=2)
-    shares = np.array([sizes.get(c, 0) / max(1, taken[c]) for c in (0, 1)])
-    shares = shares / (shares[y].mean() or 1.0)
-    parts = [(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["often"], np.float32)) for r in bags]
-    return train(parts, y, shares)
+    vectors, output, bias = (np.frombuffer(fitted[0][c], np.float32) for c in ("vectors", "output", "bias"))
+    return Model(vectors.reshape(-1, WIDTH), output.reshape(WIDTH, 2), bias)
 
 
 def score(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ()) -> DataFrame:
