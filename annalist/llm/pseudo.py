@@ -3,42 +3,49 @@
 A small network reads a window of words on both sides of every place and gives the
 probability of the word that stands there. A document's score is the sum of the logs.
 
-The words' frequencies are counted over all documents. A word belongs to a class: the
-most frequent words have one each, the others share one by their last letters. The
-network predicts the class from the classes around it, and within its class a word has
-its share of the counts. Both models come from the whole corpus: every task trains the
-network in numpy on its own documents from the same start, and the results are averaged
-by the number of words.
+Words are counted exactly over all documents, into a written table. A word belongs to a
+class: the most frequent words have one each, the others share one by their last letters.
+The network predicts the class, and then the word itself, by turns down a binary tree
+over all words of the class (``Leaves``); each node of the trees has a vector of its own,
+and so has each word as a neighbour. The model therefore grows with the corpus.
+
+Documents are dealt into parts. A part is handed its own words and nodes only, trains on
+all its places from the same start, and gives back what it has touched; the results are
+averaged by how often each was touched. Nothing of the vocabulary's size reaches the driver.
 """
 
 from __future__ import annotations
 
+import heapq
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.sketch import summed
-from annalist.llm.tables import text_bytes
+from annalist.llm.tables import shuffle_partitions, stored, text_bytes
 from annalist.llm.words import Words, mix, portions, words_of
+from annalist.session import scratch_folder
 
-SLOT_BITS = 18  # words are told apart by so many bits of their hash
 OWN, SHARED = 64, 64  # classes of one frequent word each, classes by ending
 CLASSES = OWN + SHARED
 REACH, WIDTH = 2, 16  # words on each side, hidden units
 STEP_WORDS, RATE = 4096, 1.0
+VECTOR_RATE = 0.05  # of the words' and nodes' vectors, by the size of their gradients so far
 PART_BYTES = 1 << 20
+DEALT_BYTES = 16 << 20  # text of a part
+FIXED = 1 << 12  # vectors are summed as whole numbers, so that no order of rows changes a sum
 
 _OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
 _SHAPES = ((len(_OFFSETS), CLASSES + 1, WIDTH), (WIDTH, CLASSES), (CLASSES,))  # the last row: no word there
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
-
-
-def _slots(words: Words) -> np.ndarray:
-    return (words.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+# How a neighbour's vector is turned at each offset, so that sides and distances differ.
+_TURNED = np.random.default_rng(5).choice(np.float32([-1, 1]), (len(_OFFSETS), WIDTH))
+_COLUMNS = [f"v{i}" for i in range(WIDTH + 1)]
+_DENSE, _WORD, _NODE, _LEAF = range(4)  # kinds of rows
 
 
 def _endings(texts: list[bytes]) -> np.ndarray:
@@ -49,45 +56,171 @@ def _endings(texts: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """own: the class of each slot that has its own, else -1; logs of a slot's share."""
+    """All words of some documents, in the order of their hashes.
+
+    own: the class of each word that has its own, else -1; totals: words of each class.
+    """
 
+    hashes: np.ndarray
     own: np.ndarray
     counts: np.ndarray
-    totals: np.ndarray  # words of each class
+    totals: np.ndarray
 
     def classes(self, words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Class and slot of every word."""
-        slots = _slots(words)
+        """Class and number of every word."""
+        slots = np.searchsorted(self.hashes, words.hashes)
         own = self.own[slots]
         return np.where(own >= 0, own, OWN + _endings(texts)), slots
 
     def within(self, classes: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Log probability of the words within their classes; one more count for words not seen."""
+        """Log share of the words within their classes, whatever stands around them."""
         shared = classes >= OWN
         share = (self.counts[slots] + 1) / (self.totals[classes] + len(self.counts))
         return np.where(shared, np.log(np.minimum(share, 1.0)), 0.0)
 
 
+def _counted(texts: list[bytes]) -> pa.Table:
+    """hash, ending, n of the distinct words."""
+    found = []
+    for a, b in portions([len(t) for t in texts], PART_BYTES):
+        hashes, first, n = np.unique(words_of(texts[a:b]).hashes, return_index=True, return_counts=True)
+        found.append((hashes.view(np.int64), _endings(texts[a:b])[first], n))
+    hashes, endings, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
+    hashes, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    sums = np.bincount(place, n, minlength=len(hashes)).astype(np.int64)
+    return pa.table({"hash": hashes, "ending": endings[first], "n": sums})
+
+
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Count the words of all documents (column text, as bytes)."""
-    n_slots = 1 << SLOT_BITS
+    """Count the words of a few documents (column text, as bytes); their words must fit the driver."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        held = np.zeros(n_slots + SHARED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in portions([len(t) for t in texts], PART_BYTES):
-                words = words_of(texts[a:b])
-                held[:n_slots] += np.bincount(_slots(words), minlength=n_slots)
-                held[n_slots:] += np.bincount(_endings(texts[a:b]), minlength=SHARED)
-        return held
+            yield from _counted(batch["text"].to_pylist()).to_batches()
+
+    rows = docs.mapInArrow(run, "hash bigint, ending bigint, n bigint").groupBy("hash", "ending").agg(F.sum("n").alias("n")).collect()
+    hashes = np.array([r["hash"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], np.array([r["n"] for r in rows], np.int64)[order]
+    endings = np.array([r["ending"] for r in rows], np.int64)[order]
+    first = np.lexsort((hashes, -counts))[:OWN]
+    own = np.full(len(hashes), -1, np.int64)
+    own[first] = np.arange(len(first))
+    totals = np.zeros(CLASSES)
+    totals[: len(first)] = counts[first]
+    totals[OWN:] = np.bincount(endings, counts, minlength=SHARED)
+    return Vocabulary(hashes, own, counts, totals)
+
+
+# The trees.
 
-    found = summed(docs, count, n_slots + SHARED)
-    counts = found[:n_slots]
-    first = np.lexsort((np.arange(n_slots), -counts))[:OWN]
-    own = np.full(n_slots, -1, np.int64)
-    own[first] = np.arange(OWN)
-    return Vocabulary(own, counts, np.concatenate([counts[first], found[n_slots:]]))
+
+def tier_of(n):
+    """Counts up to 16 have a tier each; above, four tiers to a doubling."""
+    return F.when(n <= 16, n).otherwise(F.least(F.lit(120), 17 + F.floor(4 * F.log2(n / 17)))).cast("int")
+
+
+class Leaves:
+    """Where words stand in the tree of their class.
+
+    A class's words are parted into tiers of about equal counts. A Huffman tree over the
+    tiers stands above a binary tree over each tier's words by their number there, ``sizes``
+    in all. Without training every turn is as likely as the words on that side are frequent.
+    """
+
+    def __init__(self, tiers: dict[tuple[int, int], tuple[int, int]]):
+        """``tiers``: words and occurrences of each (class, tier)."""
+        self.sizes = np.ones((CLASSES, 128), np.int64)
+        self.above: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+        by_class: dict[int, list] = {}
+        for (c, t), (size, total) in sorted(tiers.items()):
+            self.sizes[c, t] = size
+            self.above[c, t] = []
+            by_class.setdefault(c, []).append((total, t, [t]))
+        for c, heap in by_class.items():
+            heapq.heapify(heap)
+            node = 0
+            while len(heap) > 1:
+                (n0, _, left), (n1, _, right) = heapq.heappop(heap), heapq.heappop(heap)
+                for side, turn in ((left, -1), (right, 1)):
+                    for t in side:
+                        self.above[c, t].append((self._key(c, 127, 0, node), turn, float(np.log(n1 / n0))))
+                heapq.heappush(heap, (n0 + n1, 128 + node, left + right))
+                node += 1
+
+    @staticmethod
+    def _key(classes, tier, level, prefix):
+        return ((classes - OWN) << 56) | (tier << 48) | (level << 40) | prefix
+
+    def turns(self, classes: np.ndarray, tiers: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, ...]:
+        """word, node, turn (-1 or 1), log odds without training, of all turns to all words."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32))]
+        shared = np.flatnonzero(classes >= OWN)
+        both = classes * 128 + tiers
+        order = shared[np.argsort(both[shared], kind="stable")]
+        for members in np.split(order, np.flatnonzero(np.diff(both[order])) + 1) if len(order) else ():
+            c, t = int(classes[members[0]]), int(tiers[members[0]])
+            n = len(members)
+            for node, turn, odds in self.above[c, t]:
+                found.append((members, np.full(n, node), np.full(n, turn, np.float32), np.full(n, odds, np.float32)))
+            size = int(self.sizes[c, t])
+            bits = max(0, size - 1).bit_length()
+            for level in range(bits):
+                half = 1 << (bits - level - 1)
+                prefix = index[members] >> (bits - level)
+                left = size - (prefix << (bits - level))
+                right = np.minimum(left - half, half)
+                some = right > 0
+                turn = np.where(index[members] & half, 1, -1)[some].astype(np.float32)
+                odds = np.log(right[some] / half).astype(np.float32)
+                found.append((members[some], self._key(c, t, level, prefix[some]), turn, odds))
+        word, node, turn, odds = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(word, kind="stable")
+        return word[order], node[order], turn[order], odds[order]
+
+
+class Part:
+    """The words of a part in the order of their hashes, with the vectors of words and nodes."""
+
+    def __init__(self, leaves: Leaves, hashes: np.ndarray, classes: np.ndarray, tiers: np.ndarray, index: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.classes = hashes[order], classes[order]
+        word, node, self.turn, self.odds = leaves.turns(self.classes, tiers[order], index[order])
+        self.keys, self.node = np.unique(node, return_inverse=True)
+        self.depth = np.bincount(word, minlength=len(hashes))
+        self.begin = np.cumsum(self.depth) - self.depth
+        # One more row stands for no word.
+        self.words, self.nodes = (np.zeros((n, w), np.float32) for n, w in ((len(hashes) + 1, WIDTH), (len(self.keys), WIDTH + 1)))
+        self.words_seen, self.nodes_seen = np.full(len(hashes) + 1, 1e-12), np.full(len(self.keys), 1e-12)
+
+    def numbers(self, words: Words) -> np.ndarray:
+        return np.searchsorted(self.hashes, words.hashes)
+
+    def turns(self, numbers: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """place, node, and turn times log odds, of all turns to the words at some places."""
+        depth = self.depth[numbers]
+        place = np.repeat(np.arange(len(numbers)), depth)
+        at = np.arange(len(place)) + np.repeat(self.begin[numbers] - (np.cumsum(depth) - depth), depth)
+        node = self.node[at]
+        vectors = self.nodes[node]
+        odds = np.einsum("ij,ij->i", vectors[:, :WIDTH], hidden[place]) + vectors[:, WIDTH] + self.odds[at]
+        return place, at, self.turn[at] * odds
+
+    def log_probabilities(self, numbers: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+        """Of the words at some places within their classes."""
+        place, _, sure = self.turns(numbers, hidden)
+        return np.bincount(place, -np.logaddexp(0, -sure), minlength=len(numbers))
+
+
+def _stepped(vectors: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+    """A step down the gradient of some rows, each by the size of its gradients so far."""
+    order = np.argsort(rows, kind="stable")
+    if not len(order):
+        return
+    begin = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    sums, at = np.add.reduceat(gradient[order], begin, axis=0), rows[order[begin]]
+    seen[at] += np.square(sums).mean(axis=1)
+    vectors[at] -= (VECTOR_RATE / np.sqrt(seen[at])).astype(np.float32)[:, None] * sums
 
 
 class Network:
@@ -104,36 +237,61 @@ class Network:
     def numbers(self) -> np.ndarray:
         return np.concatenate([self.near.ravel(), self.out.ravel(), self.bias])
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        """``around``: the classes at each offset, one row per offset."""
-        return np.tanh(sum(self.near[i][c] for i, c in enumerate(around)))
-
-    def log_probabilities(self, around: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        logits = self.hidden(around) @ self.out + self.bias
+    def hidden(self, around: np.ndarray, part: Part | None = None, beside: np.ndarray = ()) -> np.ndarray:
+        """``around``: the classes at each offset, one row per offset; ``beside``: the words of a part."""
+        total = sum(self.near[i][c] for i, c in enumerate(around))
+        for i, w in enumerate(beside):
+            total += _TURNED[i] * part.words[w]
+        return np.tanh(total)
+
+    def log_probabilities(
+        self, around: np.ndarray, classes: np.ndarray, part: Part | None = None, beside: np.ndarray = (), numbers: np.ndarray = ()
+    ) -> np.ndarray:
+        """Of the classes at some places, and given a part, of its words there."""
+        hidden = self.hidden(around, part, beside)
+        logits = hidden @ self.out + self.bias
         logits -= logits.max(axis=1, keepdims=True)
-        return logits[np.arange(len(classes)), classes] - np.log(np.exp(logits).sum(axis=1))
+        found = logits[np.arange(len(classes)), classes] - np.log(np.exp(logits).sum(axis=1))
+        return found if part is None else found + part.log_probabilities(numbers, hidden)
 
-    def learn(self, around: np.ndarray, classes: np.ndarray, rate: float) -> None:
+    def learn(
+        self, around: np.ndarray, classes: np.ndarray, rate: float, part: Part | None = None, beside: np.ndarray = (), numbers: np.ndarray = ()
+    ) -> None:
         """One step down the gradient of the mean log loss of a batch of places."""
         n = len(classes)
-        hidden = self.hidden(around)
+        hidden = self.hidden(around, part, beside)
         error = hidden @ self.out + self.bias
         error -= error.max(axis=1, keepdims=True)
         np.exp(error, out=error)
         error /= error.sum(axis=1, keepdims=True)
         error[np.arange(n), classes] -= 1
         error *= np.float32(rate / n)
-        back = (error @ self.out.T) * (1 - hidden * hidden)
+        back = error @ self.out.T
+        if part is not None:
+            place, at, sure = part.turns(numbers, hidden)
+            wrong = (part.turn[at] * np.float32(-rate / n) / (1 + np.exp(np.minimum(sure, 80)))).astype(np.float32)
+            node = part.node[at]
+            pull = wrong[:, None] * part.nodes[node, :WIDTH]
+            for_node = np.empty((len(node), WIDTH + 1), np.float32)
+            for_node[:, :WIDTH], for_node[:, WIDTH] = wrong[:, None] * hidden[place], wrong
+            if len(place):
+                first = np.flatnonzero(np.diff(place, prepend=-1))
+                back[place[first]] += np.add.reduceat(pull, first, axis=0)
+            _stepped(part.nodes, part.nodes_seen, node, for_node)
+        back *= 1 - hidden * hidden
         self.out -= hidden.T @ error
         self.bias -= error.sum(axis=0)
         for i, c in enumerate(around):
             order = np.argsort(c, kind="stable")
             begin = np.flatnonzero(np.diff(c[order], prepend=-1))
             self.near[i][c[order[begin]]] -= np.add.reduceat(back[order], begin, axis=0)
+        if part is not None:
+            _stepped(part.words, part.words_seen, beside.ravel(), (back * _TURNED[:, None, :]).reshape(-1, WIDTH))
+            part.words[-1] = 0
 
 
-def _around(words: Words, classes: np.ndarray) -> np.ndarray:
-    """The classes at each offset of every word; CLASSES where the text has none."""
+def _around(words: Words, classes: np.ndarray, none: int = CLASSES) -> np.ndarray:
+    """The classes at each offset of every word; ``none`` where the text has no word."""
     n = len(classes)
     first = np.repeat(words.first[:-1], words.counts)
     end = np.repeat(words.first[1:], words.counts)
@@ -142,35 +300,13 @@ def _around(words: Words, classes: np.ndarray) -> np.ndarray:
     for offset in _OFFSETS:
         at = place + offset
         inside = (at >= first) & (at < end)
-        rows.append(np.where(inside, classes[np.clip(at, 0, max(0, n - 1))], CLASSES))
+        rows.append(np.where(inside, classes[np.clip(at, 0, max(0, n - 1))], none))
     return np.stack(rows)
 
 
-def train(docs: DataFrame, known: Vocabulary) -> Network:
-    """Train on every place of every document (column text, as bytes)."""
-    table = docs.sparkSession.sparkContext.broadcast(known)
-    size = sum(_SIZES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        network, seen, steps = Network(), 0, 0
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in portions([len(t) for t in texts], PART_BYTES):
-                words = words_of(texts[a:b])
-                classes, _ = table.value.classes(words, texts[a:b])
-                around = _around(words, classes)
-                seen += len(classes)
-                for at in range(0, len(classes), STEP_WORDS):
-                    steps += 1
-                    network.learn(around[:, at : at + STEP_WORDS], classes[at : at + STEP_WORDS], RATE / (1 + steps / 2000) ** 0.5)
-        return np.append(network.numbers() * np.float64(seen), seen)
-
-    found = summed(docs, run, size + 1)
-    return Network(found[:size] / found[size] if found[size] else None)
-
-
 def scores(docs: DataFrame, known: Vocabulary, network: Network) -> DataFrame:
-    """doc_id, n_words, log_likelihood of every document (columns doc_id, text as bytes)."""
+    """doc_id, n_words, log_likelihood of a few documents (columns doc_id, text as bytes) by
+    their classes alone: within its class a word has its share of the counts."""
     model = docs.sparkSession.sparkContext.broadcast((known, network.numbers()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,15 +318,122 @@ def scores(docs: DataFrame, known: Vocabulary, network: Network) -> DataFrame:
                 classes, slots = vocabulary_.classes(words, texts[a:b])
                 around, logs = _around(words, classes), vocabulary_.within(classes, slots)
                 for at in range(0, len(classes), STEP_WORDS):
-                    part = slice(at, at + STEP_WORDS)
-                    logs[part] += net.log_probabilities(around[:, part], classes[part])
+                    some = slice(at, at + STEP_WORDS)
+                    logs[some] += net.log_probabilities(around[:, some], classes[some])
                 owner = np.repeat(np.arange(b - a), words.counts)
                 counts.append(words.counts)
                 sums.append(np.bincount(owner, logs, minlength=b - a))
             columns = [batch["doc_id"], pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(sums), pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "log_likelihood"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, log_likelihood double")
+    return docs.mapInArrow(run, _SCORED)
+
+
+# Parts of the documents.
+
+_SCORED = "doc_id bigint, n_words bigint, log_likelihood double"
+_WORDS = "part bigint, hash bigint, ending bigint, n bigint"
+_TRAINED = "part bigint, kind int, key bigint, place bigint, weight bigint, " + ", ".join(f"{v} bigint" for v in _COLUMNS)
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """part, doc_id, text, bucketed by part as it is written, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        before, first = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = np.fromiter((len(t) for t in batch["text"].to_pylist()), np.int64, batch.num_rows)
+            part = first + (before + np.cumsum(sizes) - sizes) // DEALT_BYTES
+            before += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch["doc_id"], batch["text"]], ["part", "doc_id", "text"])
+
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text")).alias("total")).first()["total"] or 0
+    n_buckets = min(100_000, max(shuffle_partitions(docs), -(-total // DEALT_BYTES)))
+    name = f"llm_texts_{uuid.uuid4().hex}"
+    writer = docs.mapInArrow(run, "part bigint, doc_id bigint, text binary").write.bucketBy(n_buckets, "part")
+    writer.option("compression", "zstd").option("path", scratch_folder(spark, "texts")).saveAsTable(name)
+    texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay, and so does what has been resolved
+    return texts
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    return table["text"].to_pylist()
+
+
+def _part_of(rows: pa.Table, leaves: Leaves) -> tuple[Part, np.ndarray]:
+    """The part that rows (kind, key, place and perhaps vectors) describe, and the network's numbers.
+
+    A word's place holds its class, tier and number there.
+    """
+    kind, key, place = (rows[c].to_numpy() for c in ("kind", "key", "place"))
+    is_word = (kind == _LEAF) | (kind == _WORD)
+    of = place[is_word]
+    part = Part(leaves, key[is_word].view(np.uint64), of >> 55, of >> 47 & 127, of & (2**47 - 1))
+    if "v0" not in rows.column_names:
+        return part, np.zeros(0, np.float32)
+    vectors = np.stack([rows[v].to_numpy() for v in _COLUMNS], axis=1)
+    part.words[np.searchsorted(part.hashes, key[kind == _WORD].view(np.uint64))] = vectors[kind == _WORD, :WIDTH]
+    part.nodes[np.searchsorted(part.keys, key[kind == _NODE])] = vectors[kind == _NODE]
+    dense = np.flatnonzero(kind == _DENSE)
+    return part, vectors[dense[np.argsort(key[dense])]].ravel()[: sum(_SIZES)]
+
+
+def _steps(texts: list[bytes], part: Part) -> Iterator[tuple]:
+    """Per portion of the texts: its range, words, their numbers, classes, and both around them."""
+    for a, b in portions([len(t) for t in texts], PART_BYTES):
+        words = words_of(texts[a:b])
+        numbers = part.numbers(words)
+        classes = part.classes[numbers]
+        yield a, b, words, numbers, classes, _around(words, classes), _around(words, numbers, len(part.hashes))
+
+
+def _trained(texts: list[bytes], rows: pa.Table, leaves: Leaves) -> list[np.ndarray]:
+    """kind, key, place, weight, vector of all that training on the texts touches."""
+    part, _ = _part_of(rows, leaves)
+    network, steps, seen = Network(), 0, np.zeros(len(part.hashes), np.int64)
+    for _, _, _, numbers, classes, around, beside in _steps(texts, part):
+        seen += np.bincount(numbers, minlength=len(seen))
+        for at in range(0, len(classes), STEP_WORDS):
+            steps += 1
+            some = slice(at, at + STEP_WORDS)
+            rate = RATE / (1 + steps / 2000) ** 0.5
+            network.learn(around[:, some], classes[some], rate, part, beside[:, some], numbers[some])
+    flat = network.numbers()
+    dense = np.zeros((-(-len(flat) // (WIDTH + 1)), WIDTH + 1), np.float32)
+    dense.ravel()[: len(flat)] = flat
+    touched = np.bincount(part.node, np.repeat(seen, part.depth), minlength=len(part.keys)).astype(np.int64)
+    places = dict(zip(rows["key"].to_pylist(), rows["place"].to_pylist(), strict=True))
+    words = np.pad(part.words[:-1], ((0, 0), (0, 1)))
+    hashes = part.hashes.view(np.int64)
+    return [
+        np.repeat([_DENSE, _WORD, _NODE], [len(dense), len(words), len(part.keys)]).astype(np.int32),
+        np.concatenate([np.arange(len(dense)), hashes, part.keys]),
+        np.concatenate([np.zeros(len(dense), np.int64), np.fromiter(map(places.get, hashes.tolist()), np.int64, len(hashes)), np.zeros(len(part.keys), np.int64)]),
+        np.concatenate([np.full(len(dense), seen.sum()), seen, touched]),
+        np.concatenate([dense, words, part.nodes]),
+    ]
+
+
+def lexicon(held: DataFrame) -> tuple[DataFrame, Leaves]:
+    """hash and place of every word, and the trees; ``held``: part, hash, ending, n."""
+    counts = stored(held.groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"), F.min("part").alias("part")), "counts")
+    top = counts.orderBy(F.col("n").desc(), "hash").limit(OWN).select("hash").collect()
+    rank = F.lit(-1).cast("bigint")
+    for i, row in enumerate(top):
+        rank = F.when(F.col("hash") == row["hash"], F.lit(i).cast("bigint")).otherwise(rank)
+    tiered = counts.withColumn("rank", rank).withColumn("tier", tier_of(F.col("n")).cast("bigint"))
+    shared = tiered.where("rank < 0").withColumn("class", F.col("ending") + OWN)
+    # Words that first stand in one part are neighbours, so a part needs few nodes.
+    number = F.row_number().over(Window.partitionBy("class", "tier").orderBy("part", "hash")).cast("bigint") - 1
+    place = F.shiftleft("class", 55).bitwiseOR(F.shiftleft("tier", 47)).bitwiseOR(number)
+    own = tiered.where("rank >= 0").select("hash", F.shiftleft("rank", 55).alias("place"))
+    sizes = shared.groupBy("class", "tier").agg(F.count("*").alias("size"), F.sum("n").alias("total")).collect()
+    leaves = Leaves({(r["class"], r["tier"]): (r["size"], r["total"]) for r in sizes})
+    return stored(shared.select("hash", place.alias("place")).unionByName(own), "lexicon"), leaves
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
@@ -199,12 +442,52 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     ``docs`` needs doc_id and text; other columns are ignored. Words are
     ``[^\\x20\\x09-\\x0D]+``. Returns doc_id, n_words, log_likelihood (the sum over all words)
     and perplexity (of a word; null without words). A null or empty text has no words and
-    a likelihood of 0. Repeated rows count as often as they stand and score alike. An empty
-    table gives an empty table. How the input is split into tasks shifts the averaged
-    network, and so the scores, slightly.
+    a likelihood of 0. Repeated rows count as often as they stand and score alike, up to
+    the order of their sums. An empty table gives an empty table. How the input is split
+    into parts shifts the averaged network, and so the scores, slightly.
     """
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
-    known = vocabulary(slim.select("text"))
-    network = train(slim.select("text"), known)
+    spark = docs.sparkSession
+    texts = _dealt(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text")))
+    by_part = texts.groupBy("part")
+
+    def count(table: pa.Table) -> pa.Table:
+        found = _counted(_texts(table))
+        return found.add_column(0, "part", pa.array(np.full(found.num_rows, table["part"][0].as_py(), np.int64)))
+
+    held = stored(by_part.applyInArrow(count, _WORDS), "held")
+    places, leaves = lexicon(held)
+    model = spark.sparkContext.broadcast(leaves)
+    names = ["part", "kind", "key", "place", "weight", *_COLUMNS]
+
+    def learn(table: pa.Table, rows: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({c: pa.array([], pa.int32() if c == "kind" else pa.int64()) for c in names})
+        kind, key, place, weight, vectors = _trained(_texts(table), rows, model.value)
+        whole = np.rint(vectors.astype(np.float64) * FIXED).astype(np.int64)
+        columns = [np.full(len(kind), rows["part"][0].as_py(), np.int64), kind, key, place, weight, *whole.T]
+        return pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+
+    leaf = held.select("part", "hash").join(places, "hash").select("part", F.lit(_LEAF).alias("kind"), F.col("hash").alias("key"), "place")
+    trained = stored(by_part.cogroup(leaf.groupBy("part")).applyInArrow(learn, _TRAINED), "trained")
+    sums = [(F.sum(F.col(v) * F.col("weight")) / F.sum("weight") / FIXED).cast("float").alias(v) for v in _COLUMNS]
+    averaged = trained.groupBy("kind", "key").agg(*sums)
+    needed = trained.select("part", "kind", "key", "place").join(averaged, ["kind", "key"]).select("part", "kind", "key", "place", *_COLUMNS)
+
+    def score(table: pa.Table, rows: pa.Table) -> pa.Table:
+        texts_ = _texts(table)
+        counts, sums_ = np.zeros(len(texts_), np.int64), np.zeros(len(texts_))
+        if rows.num_rows:
+            part, flat = _part_of(rows, model.value)
+            network = Network(flat)
+            for a, b, words, numbers, classes, around, beside in _steps(texts_, part):
+                logs = np.zeros(len(classes))
+                for at in range(0, len(classes), STEP_WORDS):
+                    some = slice(at, at + STEP_WORDS)
+                    logs[some] = network.log_probabilities(around[:, some], classes[some], part, beside[:, some], numbers[some])
+                counts[a:b] = words.counts
+                sums_[a:b] = np.bincount(np.repeat(np.arange(b - a), words.counts), logs, minlength=b - a)
+        return pa.table({"doc_id": table["doc_id"], "n_words": counts, "log_likelihood": sums_})
+
+    scored = by_part.cogroup(needed.groupBy("part")).applyInArrow(score, _SCORED)
     rate = -F.col("log_likelihood") / F.col("n_words")
-    return scores(slim, known, network).withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(rate)))
+    return scored.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(rate)))
