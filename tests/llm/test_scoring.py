@@ -44,6 +44,23 @@ def test_lexicon_gives_every_word_a_place_of_its_own(spark):
     assert len(sums) > 10 and all(s == pytest.approx(1, rel=1e-4) for s in sums.values())
 
 
+def test_context_tells_words_of_one_ending_apart(spark):
+    """Words with one ending follow one of two words each; swapped, they must cost more."""
+    rng = np.random.default_rng(3)
+    common = [f"c{i}" for i in range(70)]  # they take the classes of their own
+    left, right = ([f"{s}{i}ing" for i in range(40)] for s in "lr")
+    sentence = lambda a, b: " ".join(
+        f"{rng.choice(common)} {rng.choice(common)} c0 {rng.choice(a)} c0 {rng.choice(common)} c1 {rng.choice(b)} c1" for _ in range(60)
+    )
+    texts = [sentence(left, right) for _ in range(60)] + [sentence(right, left) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).coalesce(1)
+    found = {r["doc_id"]: r for r in pseudo.pseudo_likelihood(docs).collect()}
+    assert {r["n_words"] for r in found.values()} == {540}
+    # Two words in nine are wrong.
+    right_ones = np.mean([found[i]["log_likelihood"] for i in range(60)])
+    assert all(found[i]["log_likelihood"] < right_ones - 0.5 * 120 for i in range(60, 63))
+
+
 def test_scores_in_several_parts_are_the_same_each_time(spark, monkeypatch):
     """Sums over parts do not depend on the order in which they come."""
     monkeypatch.setattr(pseudo, "DEALT_BYTES", 3000)
