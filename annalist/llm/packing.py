@@ -12,6 +12,7 @@ known from a sum per range, so ranges are packed independently of each other.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ BINS, DIMENSIONS, BITS = 256, 4, 8
 RANGE_TOKENS = 8 << 20
 # Fixed value: the split pattern of byte-level BPE files.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The pattern's \s+(?!\S) steps back through a run of white space; tiktoken gives up near 10^6.
+LONG_SPACE = re.compile(r"\s{100000}")
 _PROJECTION = np.random.default_rng(7).choice([-1.0, 1.0], (BINS, DIMENSIONS)).astype(np.float32)
 
 _TOKENS = "doc_id bigint, n bigint, ids binary, place array<float>"
@@ -45,7 +48,8 @@ class Encoder:
     """Ids of a byte-level BPE file as the tokenizers library gives them.
 
     tiktoken encodes with the same vocabulary and pattern, several times faster; texts
-    with the string of a special token go to the tokenizers library itself.
+    with the string of a special token or a very long run of white space go to the
+    tokenizers library itself.
     """
 
     def __init__(self, model: str):
@@ -63,7 +67,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(*ranks.values(), *special.values()) < 2**16 else "<u4")
 
     def ids(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (len(text) >= 100_000 and LONG_SPACE.search(text)):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
