@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, exact, lines, ngrams, packing, pseudo, quality, substrings, topk, unigram
+from annalist.llm import bpe, exact, lines, ngrams, packing, pseudo, quality, ranking, substrings, topk, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -175,3 +175,36 @@ SELECT w.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, least(w.doc_id, coal
 FROM w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN reach r ON r.a = w.doc_id
 GROUP BY w.doc_id
 """
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+held AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf) AS n FROM held GROUP BY doc_id),
+size AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM lengths),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, size GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+impact AS (
+  SELECT h.doc_id, h.term,
+         w.w * ((1000000000 * h.tf::BIGINT) // (1000 * h.tf::BIGINT + 8 * (10 + (90 * l.n::BIGINT * s.docs) // s.total))) AS v
+  FROM held h JOIN lengths l USING (doc_id) JOIN weight w USING (term), size s),
+scored AS (
+  SELECT item_id, doc_id, sum(v)::BIGINT AS score FROM asked JOIN impact USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
