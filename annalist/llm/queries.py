@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, exact, lines, ngrams, packing, pseudo, quality, ranking, substrings, topk, unigram
+from annalist.llm import bpe, exact, lines, ngrams, packing, phrases, pseudo, quality, ranking, substrings, topk, toxicity, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -208,3 +208,50 @@ scored AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 10
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), least=100, top=2000)
+
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM split GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+  FROM split, range(1, 6) s(k) WHERE len(words) >= k),
+counted AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS words FROM counted WHERE k > 1),
+cuts AS (
+  SELECT lang, phrase, f, words, unnest(range(1, k)) AS cut FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.words, c.f AS a, x.f AS l, y.f AS r, n, (1000 * c.f * n) // (x.f * y.f) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000 * c.f * n) // (x.f * y.f), cut) AS place
+  FROM cuts c
+  JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:cut], ' ')
+  JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[cut + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang),
+inner_ AS (
+  SELECT lang, array_to_string(words[i:j], ' ') AS phrase, max(f) AS longer
+  FROM candidates, range(1, 5) a(i), range(2, 6) b(j)
+  WHERE j > i AND j <= k AND j - i + 1 < k GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank,
+         s.phrase, a, l, r, n, score
+  FROM scored s LEFT JOIN inner_ i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE place = 1 AND (longer IS NULL OR 100 * longer < 100 * a))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+@query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    rows = toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted")

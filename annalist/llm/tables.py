@@ -52,3 +52,15 @@ def in_chunks(
     chunks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only; the files stay, and so does what has been resolved
     return chunks, total
+
+
+def bucketed(rows: DataFrame, column: str, n_buckets: int, purpose: str) -> DataFrame:
+    """The rows as written to the shared folder in buckets of ``column``, without a shuffle;
+    grouping them by it needs none either."""
+    spark = rows.sparkSession
+    name = f"llm_{purpose}_{uuid.uuid4().hex}".replace("-", "_")
+    writer = rows.write.bucketBy(n_buckets, column).option("compression", "zstd")
+    writer.option("path", scratch_folder(spark, purpose)).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay, and so does what has been resolved
+    return table
