@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from annalist.llm.tables import stored, text_bytes
 from annalist.llm.tokens import byte_table, tokens_of
+from annalist.llm.words import portions
 
 #: Letters and digits of ASCII, and every byte of other characters.
 TERM_BYTES = byte_table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 #: A shard is closed at so many bytes of text or documents; a longer text stands alone.
-SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCS = 8 << 20, 1 << 16
+PORTION_BYTES = 1 << 20
 #: Items are searched in blocks of so many bytes of text; a longer item stands alone.
 BLOCK_BYTES = 4 << 20
 
@@ -40,8 +42,10 @@ _HITS = "item int, doc_id bigint, score bigint"
 
 def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every term's hash, the text it stands in, and how many terms each text has."""
-    tokens = tokens_of(texts, TERM_BYTES)
-    return tokens.polynomials().at(tokens.start, tokens.length), tokens.text_of(), tokens.counts
+    parts = [tokens_of(texts[a:b], TERM_BYTES) for a, b in portions([len(t) for t in texts], PORTION_BYTES)] or [tokens_of([], TERM_BYTES)]
+    counts = np.concatenate([p.counts for p in parts])
+    hashes = np.concatenate([p.polynomials().at(p.start, p.length) for p in parts])
+    return hashes, np.repeat(np.arange(len(texts)), counts), counts
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
