@@ -5,16 +5,19 @@ the part's own dictionary. All later steps read the parts where they lie; they a
 and never shuffled.
 
 1. Every part fingerprints its n-grams with prefix polynomials over its words and sends the
-   distinct fingerprints, packed, with their counts. Buckets of fingerprints sum the counts
-   of all parts and send a bit per fingerprint back to the parts it came from.
+   fingerprints of the distinct ones, packed, with a check of 32 bits and their counts.
+   Buckets of fingerprints sum the counts of all parts and send a bit per fingerprint back
+   to the parts it came from.
 2. This is done for single words, for pairs of frequent words, and for the longer n-grams
    all of whose pairs are frequent: a phrase cannot be more frequent than any of its parts.
-3. A part keeps one occurrence of each n-gram as a pointer into its words. Only frequent
-   ones are read there and become text. Their counts are summed by text, not by
-   fingerprint. Two phrases of one fingerprint can therefore only cause a phrase to be
-   materialised in vain, never a wrong count.
-
-Inside a part n-grams are told apart by dictionary numbers, which is exact.
+3. A part keeps one occurrence of each n-gram as a pointer into its words. Of each frequent
+   fingerprint a bucket names one part that reads the text at its pointer and gives it the
+   whole count. Where n-grams of one fingerprint differ, every part that has any reads its
+   texts and gives each its own count, and the counts are summed by text. So a collision
+   costs some texts read in vain, and never a wrong count.
+
+Inside a part n-grams are told apart by dictionary numbers, which is exact. Between parts
+two n-grams pass for one only if they agree in the fingerprint and the check, 96 bits.
 """
 
 from __future__ import annotations
@@ -44,9 +47,10 @@ PART_BYTES, OPEN_PARTS = 8 << 20, 4
 BUCKET_BYTES = 16 << 20
 SALTS = 64
 
+_OTHER = np.uint64(0x6A09E667F3BCC909)
 _PART = "part bigint, lang string, n_words bigint, sizes binary, letters binary, ids binary"
-_SENT = "bucket int, part bigint, prints binary, counts binary"
-_BITS = "level int, part bigint, bucket int, bits binary"
+_SENT = "bucket int, part bigint, prints binary, checks binary, counts binary"
+_BITS = "level int, part bigint, bucket int, bits binary, reads binary, totals binary"
 _FOUND = "lang string, size int, phrase string, a bigint"
 
 
@@ -132,37 +136,45 @@ class _Part:
         spelled = Polynomials(_spread(np.frombuffer(self.letters, np.uint8)))
         self.word_prints = np.concatenate([np.zeros(1, np.uint64), spelled.at(self.begins[:-1], self.sizes)])
         self.prefixes = Polynomials(self.word_prints[self.ids])
+        self.others = Polynomials(mix(self.word_prints ^ _OTHER)[self.ids])
         of_lang = Polynomials(_spread(np.frombuffer(self.lang.encode(), np.uint8)))
         self.salt = of_lang.at(np.zeros(1, np.int64), len(self.lang.encode()))
 
-    def _prints(self, grams: list[_Grams]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct fingerprints in order, their counts, and for each n-gram its index there."""
-        values = np.concatenate([mix(self.prefixes.at(g.where, g.size) ^ self.salt) for g in grams])
+    def _prints(self, grams: list[_Grams]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints in order, their checks and counts, and the order they were put in.
+
+        One entry per n-gram, also where two of them share a fingerprint.
+        """
+        plain = np.concatenate([self.prefixes.at(g.where, g.size) for g in grams])
         counts = np.concatenate([g.counts for g in grams])
-        prints, index = np.unique(values, return_inverse=True)
-        sums = np.zeros(len(prints), np.int64)
-        np.add.at(sums, index, counts)
-        return prints, sums, index
+        other = np.concatenate([self.others.at(g.where, g.size) for g in grams])
+        prints, checks = mix(plain ^ self.salt), (other >> np.uint64(32)).astype(np.uint32)
+        order = np.lexsort((np.arange(len(prints)), checks, prints))
+        return prints[order], checks[order], counts[order].astype(np.uint32), order
 
     def _cuts(self, prints: np.ndarray) -> np.ndarray:
         bucket = (prints >> np.uint64(32)) * np.uint64(self.n_buckets) >> np.uint64(32)
         return np.searchsorted(bucket, np.arange(self.n_buckets + 1).astype(np.uint64))
 
-    def messages(self, level: int, answers: dict) -> Iterator[tuple[int, bytes, bytes]]:
-        """(bucket, packed fingerprints, packed counts) of a level."""
-        prints, sums, _ = self._prints(self.grams(level, answers))
-        cuts = self._cuts(prints)
+    def messages(self, level: int, answers: dict) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """(bucket, packed fingerprints, checks and counts) of a level."""
+        *packed, _ = self._prints(self.grams(level, answers))
+        cuts = self._cuts(packed[0])
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            yield b, prints[cuts[b] : cuts[b + 1]].tobytes(), sums[cuts[b] : cuts[b + 1]].tobytes()
+            yield b, *(x[cuts[b] : cuts[b + 1]].tobytes() for x in packed)
 
-    def _frequent(self, level: int, grams: list[_Grams], answers: dict) -> list[np.ndarray]:
-        """For each list of n-grams which of them the buckets found frequent."""
-        prints, _, index = self._prints(grams)
-        cuts, flags = self._cuts(prints), np.zeros(len(prints), bool)
-        for bucket, bits in answers.get(level, {}).items():
+    def _answered(self, level: int, grams: list[_Grams], answers: dict) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each list of n-grams which of them are frequent, and the count to give to those
+        whose text is to be read here (0 for others)."""
+        prints, _, _, order = self._prints(grams)
+        cuts = self._cuts(prints)
+        flags, totals = np.zeros(len(prints), bool), np.zeros(len(prints), np.int64)
+        for bucket, (bits, reads, given) in answers.get(level, {}).items():
             a, b = cuts[bucket], cuts[bucket + 1]
-            flags[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
-        return np.split(flags[index], np.cumsum([len(g.where) for g in grams])[:-1])
+            flags[order[a:b]] = _flags(bits, b - a)
+            totals[order[a:b][_flags(reads, b - a)]] = np.frombuffer(given, np.int64)
+        ends = np.cumsum([len(g.where) for g in grams])[:-1]
+        return np.split(flags, ends), np.split(totals, ends)
 
     def words(self) -> _Grams:
         first, counts, _ = _unique(self.ids)
@@ -175,7 +187,7 @@ class _Part:
         if level == 1:
             return [words]
         fine = np.zeros(len(self.sizes) + 1, bool)
-        fine[self.ids[words.where]] = self._frequent(1, [words], answers)[0]
+        fine[self.ids[words.where]] = self._answered(1, [words], answers)[0][0]
         base = len(fine)
         fine_at = fine[self.ids]
         at = np.flatnonzero(fine_at[:-1] & fine_at[1:])
@@ -183,7 +195,7 @@ class _Part:
         pairs = _Grams(2, at[first], counts)
         if level == 2:
             return [pairs]
-        stays = self._frequent(2, [pairs], answers)[0][index]
+        stays = self._answered(2, [pairs], answers)[0][0][index]
         number = np.full(len(self.ids) + 1, -1)  # of the n-gram that begins here
         number[at[stays]] = index[stays]
         out, at, linked = [], at[stays], number >= 0
@@ -197,12 +209,12 @@ class _Part:
         return out
 
     def phrases(self, answers: dict) -> Iterator[tuple[str, int, str, int]]:
-        """Frequent n-grams as text, read at their pointers, with their counts here."""
+        """The frequent n-grams that are to be read here as text, each with its count."""
         for level in (1, 2, 3):
             grams = self.grams(level, answers)
-            for g, flags in zip(grams, self._frequent(level, grams, answers), strict=True):
-                spots, counts = g.where[flags], g.counts[flags]
-                for spot, n in zip(spots.tolist(), counts.tolist(), strict=True):
+            for g, totals in zip(grams, self._answered(level, grams, answers)[1], strict=True):
+                read = np.flatnonzero(totals)
+                for spot, n in zip(g.where[read].tolist(), totals[read].tolist(), strict=True):
                     words = self.ids[spot : spot + g.size] - 1
                     text = b" ".join(self.letters[self.begins[w] : self.begins[w + 1]] for w in words.tolist())
                     yield self.lang, g.size, text.decode(), n
@@ -212,10 +224,15 @@ def _spread(values: np.ndarray) -> np.ndarray:
     return mix(values.astype(np.uint64) + np.uint64(1))
 
 
-def _answers(table: pa.Table) -> dict[int, dict[int, bytes]]:
-    found: dict[int, dict[int, bytes]] = {}
+def _flags(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
+def _answers(table: pa.Table) -> dict[int, dict[int, tuple[bytes, bytes, bytes]]]:
+    """level -> bucket -> what it answered this part."""
+    found: dict[int, dict[int, tuple[bytes, bytes, bytes]]] = {}
     for row in table.to_pylist():
-        found.setdefault(row["level"], {})[row["bucket"]] = row["bits"]
+        found.setdefault(row["level"], {})[row["bucket"]] = row["bits"], row["reads"], row["totals"]
     return found
 
 
@@ -234,16 +251,33 @@ def _sender(level: int, n_buckets: int):
 
 def _counter(level: int, least: int):
     def count(table: pa.Table) -> pa.Table:
-        """Sum up the counts of a bucket's fingerprints; a bit for each frequent one."""
-        rows = table.to_pylist()
-        prints = [np.frombuffer(r["prints"], np.uint64) for r in rows]
-        _, index = np.unique(np.concatenate(prints), return_inverse=True)
-        sums = np.zeros(index.max() + 1, np.int64)
-        np.add.at(sums, index, np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]))
-        flags = np.split(sums[index] >= least, np.cumsum([len(p) for p in prints])[:-1])
-        return _table(
-            [(level, r["part"], r["bucket"], np.packbits(f).tobytes()) for r, f in zip(rows, flags, strict=True) if f.any()], _BITS
-        )
+        """Sum up the counts of a bucket's fingerprints and answer every part."""
+        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        joined = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+        prints, checks, counts = joined("prints", np.uint64), joined("checks", np.uint32), joined("counts", np.uint32).astype(np.int64)
+        sizes = np.array([len(r["prints"]) // 8 for r in rows])
+        part = np.repeat(np.arange(len(rows)), sizes)
+        order = np.argsort(prints, kind="stable")  # entries of one fingerprint, by part
+        begins = np.flatnonzero(np.append(True, prints[order][1:] != prints[order][:-1]))
+        group = np.empty(len(prints), np.int64)
+        group[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(prints))))
+        sums = np.add.reduceat(counts[order], begins)
+        # Different checks, or two n-grams of one part: the texts must tell them apart.
+        apart = np.append(False, (checks[order][1:] != checks[order][:-1]) | (part[order][1:] == part[order][:-1]))
+        apart[begins] = False
+        mixed = np.add.reduceat(apart, begins) > 0
+        first = np.zeros(len(prints), bool)
+        first[order[begins]] = True
+        frequent = sums[group] >= least
+        reads = frequent & (first | mixed[group])
+        totals = np.where(mixed[group], counts, sums[group])
+        out, ends = [], np.cumsum(sizes)
+        for r, a, b in zip(rows, ends - sizes, ends, strict=True):
+            if frequent[a:b].any():
+                own = reads[a:b]
+                packed = np.packbits(frequent[a:b]).tobytes(), np.packbits(own).tobytes(), totals[a:b][own].tobytes()
+                out.append((level, r["part"], r["bucket"], *packed))
+        return _table(out, _BITS)
 
     return count
 
