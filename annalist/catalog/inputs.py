@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from annalist import schemas
 from annalist.functions.lsn import num_to_lsn
 from annalist.operators.numbering import number_within
-from annalist.plans.capture import capture_batch
+from annalist.plans.capture import capture_batch, describe
 from annalist.session import scratch_folder
+from annalist.sources.event_table import write_events
+from annalist.sources.log_index import LogIndex
 from annalist.sources.messages import normalize, read_messages
 from annalist.sources.store import Store
 
@@ -325,6 +327,103 @@ def change_log(spark: SparkSession, folder: str) -> DataFrame:
     return read_messages(spark, path)
 
 
+def keyed_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log as of a source that tells replica identities and keys. Relations are keyed by
+    one or two columns, by an index that moves from version to version, fully, or not at
+    all; the old images of updates differ from the new ones, in keys and NULLs too."""
+    number, at = F.col("relation_id") - 16384, F.size("columns")
+    identity = F.when(number.isin(1, 2), "d").when(number.isin(3, 6), "f").when(number == 4, "n").when(number == 5, "i")
+    in_key = lambda i: (
+        F.when(number == 1, i == 0)
+        .when(number == 2, i < 2)
+        .when(number == 5, i == F.when(at == len(RELATION_COLUMNS), 0).otherwise(1))
+        .otherwise(number.isin(3, 6))
+    )
+    order = F.col("old_tuple")[0]["value"].cast("bigint")
+    more = lambda e: _entry("t", e["value"].cast("bigint") + 1)
+    old = F.transform(
+        "old_tuple",
+        lambda e, i: F.when(i == 2, more(e))
+        .when((i == 1) & (order % 3 == 0), more(e))
+        .when((i == 3) & (order % 5 == 0), _entry("n", F.lit(None)))
+        .otherwise(e),
+    )
+    announced = F.col("kind") == "R"
+    return change_log(spark, folder).withColumns(
+        {
+            "identity": F.when(announced, identity),
+            "key_flags": F.when(announced, F.transform("columns", lambda c, i: in_key(i))),
+            "old_tuple": F.when(F.col("kind") == "U", old).otherwise(F.col("old_tuple")),
+        }
+    )
+
+
+def described_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The described changes of the keyed log, worked out once per session."""
+    path, fresh = _written(spark, folder, "described")
+    if fresh:
+        describe(keyed_log(spark, folder)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def raw_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log as text per position. Some texts are cut short or missing, some are of a kind
+    nobody knows or lack their kind or their relation."""
+    log, order, kind = change_log(spark, folder), F.shiftright("pos", 7), F.col("kind")
+    inner = [c for c in log.columns if c not in ("slot", "pos", "received_at", "kind", "relation_id")]
+    told = F.when(kind == "T", "Y").when(~((kind == "B") & (order % 97 == 0)), kind)
+    relation = F.when(~((kind == "U") & (order % 59 == 0)), F.col("relation_id"))
+    text_ = F.to_json(F.struct(told.alias("kind"), relation.alias("relation_id"), *inner))
+    payload = (
+        F.when((kind == "C") & (order % 83 == 0), F.substring(text_, F.lit(1), F.floor(F.length(text_) / 2).cast("int")))
+        .when(~((kind == "I") & (order % 61 == 0)), text_)
+    )
+    return log.select("slot", "pos", "received_at", payload.alias("payload"))
+
+
+PIECES = 16
+
+
+def log_in_pieces(spark: SparkSession, folder: str) -> LogIndex:
+    """The log landed as files of 16 ranges of positions, with an index of them."""
+    path, fresh = _written(spark, folder, "log-pieces")
+    index = LogIndex(spark, f"{path}/log", f"{path}/index")
+    if fresh:
+        log = change_log(spark, folder)
+        end = (log.agg(F.max("pos").alias("top")).first()["top"] or 0) + 1
+        pieces = log.withColumn("piece", F.floor(F.col("pos") * PIECES / end).cast("int"))
+        pieces.repartition("piece").write.partitionBy("piece").parquet(f"{path}/log")
+        index.refresh()
+    return index
+
+
+def stored_event_table(spark: SparkSession, folder: str) -> str:
+    """Name of a table of all events, bucketed by trail."""
+    path, fresh = _written(spark, folder, "event-table")
+    name = "events_" + path.rsplit("-", 1)[1]
+    if fresh:
+        write_events(events(spark, folder), name, path, 16)
+    return name
+
+
+def undo_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a request about the first or second change of the order its user's
+    number names: users come again and again, and some name an order that was never stored."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    action = F.when(kind == "purchase", "undo").when(kind == "view", "undo").when(kind == "click", "redo").when(kind == "signup", "abandon").otherwise(kind)
+    action = F.when((kind == "signup") & (F.col("event_id") % 3 != 0), "undo").otherwise(action)
+    position = user * 65536 + 32
+    return table(spark, folder, "events").select(
+        F.concat(F.lit("slot_"), text(user % 4)).alias("source_slot"),
+        num_to_lsn(position).alias("commit_lsn"),
+        (F.col("event_id") % 2 + 1).cast("int").alias("change_seq_in_txn"),
+        F.floor(F.col("event_id") / 2).cast("bigint").alias("arrival"),
+        action.alias("action"),
+        F.col("ts").cast("timestamp_ntz").alias("requested_at"),
+        text("event_id").alias("requested_by"),
+    )
+
+
 def middle_of(rows: DataFrame, position: str) -> int:
     ends = rows.agg(F.min(position).alias("low"), F.max(position).alias("high")).first()
     return (ends["low"] + ends["high"]) // 2

@@ -110,10 +110,13 @@ once AS (
          head, rest, tail, l_shipdate
   FROM shown),
 log AS (
-  SELECT 'slot_' || (k % 4) AS slot, k * 128 + off + shift AS pos, once.* EXCLUDE (off)
-  FROM once, (SELECT 0 AS shift UNION ALL SELECT 128 * (max(o_orderkey) + 1) FROM orders) s WHERE shift = 0 OR k % 101 = 0
+  SELECT 'slot_' || (k % 4) AS slot, k * 128 + off AS pos, CASE WHEN kind IN ('I', 'U', 'D') THEN off - 20 END AS line, once.* EXCLUDE (off)
+  FROM once
   UNION ALL
-  SELECT 'slot_' || (k % 4), k * 128 + 1 + n, k, 'R', NULL, NULL, NULL, 16384 + n, 'sales', 'lineitem_' || n || '_v' || v,
+  SELECT 'slot_' || (k % 4), k * 128 + off + shift, CASE WHEN kind IN ('I', 'U', 'D') THEN off - 20 END, once.* EXCLUDE (off)
+  FROM once, (SELECT 128 * (max(o_orderkey) + 1) AS shift FROM orders) s WHERE k % 101 = 0
+  UNION ALL
+  SELECT 'slot_' || (k % 4), k * 128 + 1 + n, NULL, k, 'R', NULL, NULL, NULL, 16384 + n, 'sales', 'lineitem_' || n || '_v' || v,
          'orderkey,partkey,quantity,tax_pct,discount_pct' || CASE WHEN v % 2 = 0 THEN ',status' ELSE '' END,
          NULL, NULL, NULL, NULL, NULL, received_at
   FROM rel)
@@ -469,8 +472,7 @@ ORACLES: dict[str, str] = {
                || CASE WHEN p.relation_pos IS NOT NULL AND l.kind IN ('I', 'U') THEN {lines('  New Row')} ELSE '' END
                || CASE WHEN l.kind IN ('I', 'U', 'D') AND p.relation_pos IS NULL THEN '' ELSE chr(10) || '  ---' END AS trace
         FROM log l LEFT JOIN resolved p ON p.slot = l.slot AND p.pos = l.pos
-        LEFT JOIN vals v ON v.l_orderkey = l.k
-          AND v.rn = CASE WHEN l.kind IN ('I', 'U', 'D') THEN (l.pos - 20) % (SELECT 128 * (max(o_orderkey) + 1) FROM orders) - l.k * 128 END"""),
+        LEFT JOIN vals v ON v.l_orderkey = l.k AND v.rn = l.line"""),
     "audit_pk": on_events(
         "SELECT id, count(*) AS copies, 'events_pk' AS rule FROM faulty GROUP BY id HAVING count(*) > 1 UNION ALL "
         "SELECT id, 2, 'trails_pk' FROM tr WHERE id NOT LIKE 'empty%' AND CAST(CASE WHEN id LIKE 'empty%' THEN '0' ELSE id END AS BIGINT) % 50 = 7"
@@ -606,3 +608,221 @@ ORACLES["stream_append_restart"] = on_events(
     "SELECT tr.id, greatest(tr.updated_at, coalesce(a.last, tr.updated_at)) AS updated_at, coalesce(a.n, 0) AS added "
     "FROM tr_before tr LEFT JOIN (SELECT trail_id, max(occured_at) AS last, count(*) AS n FROM added GROUP BY 1) a ON a.trail_id = tr.id"
 )
+
+
+# Described changes. An image is a list of (name, kind, value); see keyed_log for keys and old values.
+
+
+def sql_key(image: str) -> str:
+    part = f"list_filter({image}, lambda e: list_contains(keys, e.name))"
+    whole = lambda x: f"len(list_filter({x}, lambda e: e.kind = 'u')) = 0"
+    return (
+        f"CASE WHEN identity IN ('d', 'i') AND len(keys) > 0 AND len({part}) = len(keys) AND {whole(part)} THEN {part} "
+        f"WHEN identity = 'f' AND {whole(image)} THEN {image} END"
+    )
+
+
+def sql_text(image: str, form: str, between: str) -> str:
+    value = "CASE WHEN e.kind = 'n' THEN 'NULL' ELSE '''' || e.value || '''' END"
+    name = "'\"' || e.name || '\"'"
+    forms = {
+        "name": name,
+        "value": value,
+        "set": f"{name} || ' = ' || {value}",
+        "where": f"{name} || CASE WHEN e.kind = 'n' THEN ' IS NULL' ELSE ' = ' || {value} END",
+        "json": f"{name} || ':' || CASE WHEN e.kind = 'n' THEN 'null' ELSE '\"' || e.value || '\"' END",
+    }
+    return f"array_to_string(list_transform({image}, lambda e: {forms[form]}), '{between}')"
+
+
+def sql_image(present: str, quantity: str, partkey: str, tax: str) -> str:
+    entry = lambda name, kind, value: f"{{'name': '{name}', 'kind': {kind}, 'value': CAST({value} AS VARCHAR)}}"
+    entries = [
+        entry("orderkey", "'t'", "k"),
+        entry("partkey", "'t'", partkey),
+        entry("quantity", "'t'", quantity),
+        entry("tax_pct", f"CASE WHEN {tax} IS NULL THEN 'n' ELSE 't' END", tax),
+        entry("discount_pct", "CASE WHEN discount_pct IS NULL THEN 'u' ELSE 't' END", "discount_pct"),
+        entry("status", "CASE WHEN l_linestatus = 'F' OR NOT six THEN 'b' ELSE 't' END", "l_linestatus"),
+    ]
+    return f"CASE WHEN {present} THEN list_filter([{', '.join(entries)}], lambda e: e.kind <> 'b') END"
+
+
+NO_UNSENT = "len(list_filter({0}, lambda e: e.kind = 'u')) = 0"
+DESCRIBED = CONTEXT + f""",
+told AS (
+  SELECT i.slot AS source_slot, w.commit_lsn, w.change_count, i.pos, i.seq, i.kind AS op, i.namespace, i.relation,
+         i.relation_id - 16384 AS n, i.columns LIKE '%,status' AS six, i.k, i.old_tuple, i.new_tuple,
+         v.l_partkey, CAST(v.l_quantity AS BIGINT) AS quantity, v.tax_pct, v.discount_pct, v.l_linestatus
+  FROM kept i JOIN won w ON w.slot = i.slot AND w.begin_pos = i.cpos
+  JOIN vals v ON v.l_orderkey = i.k AND v.rn = i.line),
+drawn AS (
+  SELECT *, CASE WHEN n IN (1, 2) THEN 'd' WHEN n IN (3, 6) THEN 'f' WHEN n = 4 THEN 'n' WHEN n = 5 THEN 'i' END AS identity,
+         CASE WHEN n = 1 OR (n = 5 AND six) THEN ['orderkey'] WHEN n = 2 THEN ['orderkey', 'partkey'] WHEN n = 5 THEN ['partkey']
+              ELSE CAST([] AS VARCHAR[]) END AS keys,
+         '"' || namespace || '"."' || relation || '"' AS target,
+         {sql_image("new_tuple IS NOT NULL", "quantity", "l_partkey", "tax_pct")} AS new_image,
+         CASE WHEN op = 'U' THEN {sql_image("old_tuple IS NOT NULL", "quantity + 1", "l_partkey + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END", "(CASE WHEN k % 5 = 0 THEN NULL ELSE tax_pct END)")}
+              ELSE {sql_image("old_tuple IS NOT NULL", "quantity", "l_partkey", "tax_pct")} END AS old_image
+  FROM told),
+located AS (
+  SELECT *, CASE WHEN op IN ('I', 'U') THEN {sql_key("new_image")} END AS key_after,
+         CASE WHEN op = 'D' OR (op = 'U' AND old_image IS NOT NULL) THEN {sql_key("old_image")}
+              WHEN op = 'U' AND identity IN ('d', 'i') THEN {sql_key("new_image")} END AS key_before
+  FROM drawn),
+phrased AS (
+  SELECT *, {sql_text("key_after", "where", " AND ")} AS where_after, {sql_text("key_before", "where", " AND ")} AS where_before,
+         CASE WHEN identity = 'f' AND {NO_UNSENT.format("old_image")} THEN old_image END AS whole_old,
+         list_filter(new_image, lambda e: e.kind <> 'u') AS sent,
+         list_filter(list_transform(new_image, lambda e: struct_pack(name := e.name, kind := e.kind, value := e.value,
+           old := list_filter(old_image, lambda o: o.name = e.name)[1])),
+           lambda e: e.kind <> 'u' AND (e.old.kind <> e.kind OR coalesce(e.old.value, '') <> coalesce(e.value, ''))
+                     AND (identity IS NULL OR identity NOT IN ('d', 'i') OR list_contains(keys, e.name))) AS differing
+  FROM located),
+described AS (
+  SELECT *,
+         CASE op WHEN 'I' THEN CASE WHEN {NO_UNSENT.format("new_image")} THEN 'INSERT INTO ' || target || ' (' || {sql_text("new_image", "name", ", ")}
+                                 || ') VALUES (' || {sql_text("new_image", "value", ", ")} || ')' END
+                 WHEN 'U' THEN 'UPDATE ' || target || ' SET ' || {sql_text("sent", "set", ", ")} || ' WHERE ' || where_before
+                 ELSE 'DELETE FROM ' || target || ' WHERE ' || where_before END AS forward_dml_sql,
+         CASE op WHEN 'I' THEN 'DELETE FROM ' || target || ' WHERE ' || where_after
+                 WHEN 'U' THEN 'UPDATE ' || target || ' SET ' || {sql_text("whole_old", "set", ", ")} || ' WHERE ' || where_after
+                 ELSE 'INSERT INTO ' || target || ' (' || {sql_text("whole_old", "name", ", ")} || ') VALUES ('
+                      || {sql_text("whole_old", "value", ", ")} || ')' END AS reverse_dml_sql
+  FROM phrased)
+"""
+
+
+def on_described(select: str) -> str:
+    return f"WITH {DESCRIBED} {select}"
+
+
+ORACLES["wal_row_pk"] = on_described(f"""
+    SELECT source_slot, pos, CASE identity WHEN 'd' THEN 'default' WHEN 'f' THEN 'full' WHEN 'n' THEN 'nothing' WHEN 'i' THEN 'index' END
+           AS replica_identity_mode, where_after AS reverse_where_sql,
+           '{{' || CASE WHEN op = 'I' THEN {sql_text("key_after", "json", ",")} ELSE {sql_text("key_before", "json", ",")} END || '}}' AS row_pk
+    FROM described""")
+ORACLES["wal_change_statements"] = on_described("""
+    SELECT source_slot, pos, forward_dml_sql, reverse_dml_sql, upper(sha256(forward_dml_sql)) AS forward_sql_hash,
+           upper(sha256(reverse_dml_sql)) AS reverse_sql_hash FROM described""")
+ORACLES["wal_changed_columns"] = on_described("""
+    SELECT source_slot, pos, CASE WHEN op = 'U' AND old_image IS NOT NULL THEN len(differing) ELSE 0 END AS n,
+           CASE WHEN op = 'U' AND old_image IS NOT NULL THEN array_to_string(list_transform(differing, lambda e: e.name), ',') ELSE '' END AS changed_columns
+    FROM described""")
+FRAGMENTS = DESCRIBED + """,
+fragments AS (
+  SELECT source_slot, commit_lsn, 'forward' AS direction, seq AS place, forward_dml_sql AS statement FROM described
+  UNION ALL SELECT source_slot, commit_lsn, 'reverse', change_count + 1 - seq, reverse_dml_sql FROM described)
+"""
+ORACLES["wal_txn_statements"] = f"WITH {FRAGMENTS} SELECT * FROM fragments"
+
+
+def sql_level(above: str, below: str) -> str:
+    return (
+        f"{above} AS (SELECT source_slot, commit_lsn, direction, place // 1024 AS place, "
+        "sha256(string_agg(coalesce(digest, ''), '' ORDER BY place)) AS digest, sum(n) AS n, sum(missing) AS missing "
+        f"FROM {below} GROUP BY source_slot, commit_lsn, direction, place // 1024)"
+    )
+
+
+ORACLES["wal_txn_sql_hashes"] = (
+    f"WITH {FRAGMENTS}, level0 AS (SELECT source_slot, commit_lsn, direction, place - 1 AS place, sha256(statement) AS digest, "
+    "1 AS n, CASE WHEN statement IS NULL THEN 1 ELSE 0 END AS missing FROM fragments), "
+    + ", ".join(sql_level(f"level{i + 1}", f"level{i}") for i in range(4))
+    + " SELECT source_slot, commit_lsn, direction, n::BIGINT AS n, missing::BIGINT AS missing, "
+    "CASE WHEN missing = 0 THEN upper(digest) END AS sql_hash FROM level4"
+)
+FLAGGED = DESCRIBED + """,
+flagged AS (
+  SELECT source_slot, commit_lsn, seq, list_sort(list_filter([
+    CASE WHEN identity = 'n' OR identity IS NULL THEN 'no_identity' END,
+    CASE WHEN op = 'U' AND old_image IS NULL THEN 'update_without_old_image' END,
+    CASE WHEN op = 'D' AND old_image IS NULL THEN 'delete_without_old_image' END,
+    CASE WHEN op IN ('U', 'D') AND key_before IS NULL THEN 'row_not_found' END,
+    CASE WHEN op = 'U' AND old_image IS NOT NULL AND key_before <> key_after THEN 'key_changed' END,
+    CASE WHEN discount_pct IS NULL AND (old_image IS NOT NULL OR new_image IS NOT NULL) THEN 'unsent_values' END,
+    CASE WHEN reverse_dml_sql IS NULL THEN 'not_reversible' END], lambda f: f IS NOT NULL)) AS flags
+  FROM described)
+"""
+ORACLES["wal_safety_flags"] = f"""WITH {FLAGGED}
+    SELECT source_slot, commit_lsn, seq AS change_seq_in_txn, array_to_string(flags, ',') AS safety_flags FROM flagged
+    UNION ALL
+    SELECT f.source_slot, f.commit_lsn, 0, coalesce(u.flags, '') FROM (SELECT DISTINCT source_slot, commit_lsn FROM flagged) f
+    LEFT JOIN (SELECT source_slot, commit_lsn, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags
+               FROM (SELECT source_slot, commit_lsn, unnest(flags) AS flag FROM flagged) GROUP BY 1, 2) u
+      ON u.source_slot = f.source_slot AND u.commit_lsn = f.commit_lsn"""
+# Undo requests. What was asked before decides: whether anything was given up, and else whether
+# the last of 'undo' and 'redo' that counted was 'undo'. An 'abandon' counts only while nothing is undone.
+JUDGED = DESCRIBED + """,
+asked AS (
+  SELECT CAST(event_id AS VARCHAR) AS requested_by, 'slot_' || (user_id % 4) AS source_slot,
+         printf('%X/%X', (user_id * 65536 + 32) >> 32, (user_id * 65536 + 32) & 4294967295) AS commit_lsn,
+         event_id % 2 + 1 AS seq, event_id // 2 AS arrival, ts AS requested_at,
+         CASE WHEN event_type IN ('purchase', 'view') THEN 'undo' WHEN event_type = 'click' THEN 'redo'
+              WHEN event_type = 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'abandon' ELSE 'undo' END ELSE event_type END AS action
+  FROM events),
+known AS (
+  SELECT a.*, CASE WHEN d.pos IS NULL THEN 'no such change' WHEN a.action NOT IN ('undo', 'redo', 'abandon') THEN 'unknown action'
+                   WHEN d.reverse_dml_sql IS NULL THEN 'not reversible' END AS reason
+  FROM asked a LEFT JOIN described d ON d.source_slot = a.source_slot AND d.commit_lsn = a.commit_lsn AND d.seq = a.seq),
+numbered AS (
+  SELECT *, row_number() OVER w AS place,
+         last_value(CASE WHEN reason IS NULL AND action <> 'abandon' THEN action END IGNORE NULLS) OVER before AS last_action
+  FROM known
+  WINDOW w AS (PARTITION BY source_slot, commit_lsn, seq ORDER BY arrival, action, requested_by),
+         before AS (PARTITION BY source_slot, commit_lsn, seq ORDER BY arrival, action, requested_by ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+gone AS (
+  SELECT *, coalesce(max(CASE WHEN reason IS NULL AND action = 'abandon' AND coalesce(last_action, 'redo') = 'redo' THEN 1 ELSE 0 END) OVER (
+           PARTITION BY source_slot, commit_lsn, seq ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS abandoned
+  FROM numbered),
+stated AS (
+  SELECT *, CASE WHEN abandoned THEN 'abandoned' WHEN last_action = 'undo' THEN 'applied' ELSE 'not_applied' END AS before FROM gone),
+moved AS (
+  SELECT *, CASE WHEN reason IS NOT NULL OR before = 'abandoned' THEN before WHEN action = 'undo' THEN 'applied'
+                 WHEN action = 'redo' THEN 'not_applied' WHEN before = 'not_applied' THEN 'abandoned' ELSE before END AS after
+  FROM stated),
+judged AS (
+  SELECT *, CASE WHEN reason IS NOT NULL THEN 'refused' WHEN before <> after THEN 'accepted'
+                 WHEN before = CASE action WHEN 'undo' THEN 'applied' WHEN 'redo' THEN 'not_applied' ELSE 'abandoned' END THEN 'repeated'
+                 ELSE 'refused' END AS outcome
+  FROM moved)
+"""
+ORACLES["wal_undo_requests"] = f"""WITH {JUDGED}
+    SELECT requested_by, place, action, outcome, coalesce(reason, CASE WHEN outcome = 'refused' THEN 'is ' || before END) AS reason, before, after
+    FROM judged"""
+ORACLES["wal_undo_status"] = f"""WITH {JUDGED}
+    SELECT source_slot, commit_lsn, seq AS change_seq_in_txn, after AS undo_status, CASE WHEN after = 'applied' THEN requested_at END AS undo_applied_at,
+           CASE WHEN after = 'applied' THEN requested_by END AS undo_applied_by
+    FROM judged WHERE outcome = 'accepted' QUALIFY row_number() OVER (PARTITION BY source_slot, commit_lsn, seq ORDER BY place DESC) = 1"""
+
+ORACLES["replay_stored"] = ORACLES["replay_from_sequence"]
+ORACLES["wal_resume_capture"] = ORACLES["stream_capture"]
+ORACLES["wal_resume_files"] = on_log("""
+    , files AS (
+      SELECT slot, pos * 16 // (SELECT max(pos) + 1 FROM log) AS piece, min(pos) AS first_pos, max(pos) AS last_pos,
+             max(CASE WHEN kind = 'C' THEN k * 65536 + 32 END) AS top_commit,
+             max(CASE WHEN kind = 'B' THEN pos * 2 + 1 WHEN kind = 'C' THEN pos * 2 END) AS last_control
+      FROM log GROUP BY 1, 2),
+    starts AS (
+      SELECT f.slot, coalesce(min(CASE WHEN top_commit >= last_lsn_num THEN first_pos END), max(last_pos) + 1) AS start
+      FROM files f JOIN loaded l ON l.slot = f.slot GROUP BY f.slot),
+    points AS (
+      SELECT s.slot, CASE WHEN max(last_control) % 2 = 1 THEN max(last_control) // 2 ELSE any_value(start) END AS resume_pos
+      FROM starts s LEFT JOIN files f ON f.slot = s.slot AND f.first_pos < s.start GROUP BY s.slot)
+    SELECT f.slot, piece, first_pos, last_pos, resume_pos, last_pos >= resume_pos AS opened
+    FROM files f JOIN points p ON p.slot = f.slot""")
+# The raw log: some messages can't be used. They keep their places, without a kind or with one nobody knows.
+UNUSABLE = """CASE WHEN (kind = 'C' AND (pos // 128) % 83 = 0) OR (kind = 'I' AND (pos // 128) % 61 = 0) THEN 'malformed'
+    WHEN kind = 'B' AND (pos // 128) % 97 = 0 THEN 'no kind' WHEN kind = 'T' THEN 'unknown kind Y'
+    WHEN kind = 'U' AND (pos // 128) % 59 = 0 THEN 'incomplete' END"""
+RAW = (
+    LOG.replace("log AS (", "sent AS (")
+    + f", read AS (SELECT *, {UNUSABLE} AS reason FROM sent), log AS (SELECT * EXCLUDE (reason) REPLACE "
+    "(CASE WHEN reason IS NULL THEN kind WHEN kind = 'T' THEN 'Y' END AS kind) FROM read)"
+    + CONTEXT[len(LOG) :]
+)
+ORACLES["wal_rejects"] = f"WITH {RAW} SELECT slot, pos, reason FROM read WHERE reason IS NOT NULL"
+ORACLES["wal_disposition_raw"] = (
+    f"WITH {RAW} SELECT slot, pos, kind, CASE WHEN kind IS NULL THEN 'undecodable' WHEN kind = 'Y' THEN 'unknown_kind' "
+    "ELSE disposition END AS disposition FROM disp"
+)

@@ -26,18 +26,23 @@ from annalist.operators import (
     audits,
     changes,
     checkpoints,
+    described,
     relations,
+    safety,
     segments,
     trace,
     trails,
     transactions,
+    undo,
     writes,
 )
 from annalist.operators.defaults import with_defaults
 from annalist.operators.numbering import number_within
 from annalist.plans import service
-from annalist.plans.capture import capture, capture_batch
+from annalist.plans.capture import capture, capture_batch, delivered_transactions
+from annalist.plans.resume import resume_capture
 from annalist.session import scratch_folder
+from annalist.sources import event_table, raw
 from annalist.sources.frames import route_frames
 from annalist.sources.messages import read_message_stream
 from annalist.sources.store import Store
@@ -136,6 +141,12 @@ def replay_from_sequence(spark: SparkSession, folder: str) -> DataFrame:
     return trails.replay(inputs.events(spark, folder), accepted_requests(spark, folder))
 
 
+@query
+def replay_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Replay out of the stored, bucketed events."""
+    return event_table.replay_stored(spark, inputs.stored_event_table(spark, folder), accepted_requests(spark, folder))
+
+
 @query
 def conversation_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Replay of already numbered events, from the second on; payloads hold whole texts."""
@@ -626,6 +637,70 @@ def trail_defaults(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def wal_row_pk(spark: SparkSession, folder: str) -> DataFrame:
+    """What identifies the row of each change, and the condition that finds it afterwards."""
+    return inputs.described_changes(spark, folder).select(
+        "source_slot", "pos", "replica_identity_mode", "row_pk", "reverse_where_sql"
+    )
+
+
+@query
+def wal_change_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """The statement that repeats each change, the one that undoes it, and their hashes."""
+    return inputs.described_changes(spark, folder).select(
+        "source_slot", "pos", "forward_dml_sql", "reverse_dml_sql",
+        F.hex("forward_sql_hash").alias("forward_sql_hash"), F.hex("reverse_sql_hash").alias("reverse_sql_hash"),
+    )
+
+
+@query
+def wal_changed_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return inputs.described_changes(spark, folder).select(
+        "source_slot", "pos", F.size("changed_columns").cast("bigint").alias("n"), F.array_join("changed_columns", ",").alias("changed_columns")
+    )
+
+
+@query
+def wal_txn_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """Each transaction's statements in order and backwards."""
+    rows = described.statement_fragments(inputs.described_changes(spark, folder))
+    return rows.select("source_slot", "commit_lsn", "direction", "place", "statement")
+
+
+@query
+def wal_txn_sql_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = described.statement_hashes(described.statement_fragments(inputs.described_changes(spark, folder)))
+    return rows.select("source_slot", "commit_lsn", "direction", "n", "missing", F.hex("sql_hash").alias("sql_hash"))
+
+
+@query
+def wal_safety_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """The flags of every change and of every transaction."""
+    rows = inputs.described_changes(spark, folder)
+    whole = safety.transaction_flags(rows, ["source_slot", "commit_lsn"])
+    names = F.array_join("safety_flags", ",").alias("safety_flags")
+    return rows.select("source_slot", "commit_lsn", big("change_seq_in_txn"), names).unionByName(
+        whole.select("source_slot", "commit_lsn", F.lit(0).cast("bigint").alias("change_seq_in_txn"), names)
+    )
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    return undo.judged_requests(inputs.described_changes(spark, folder), inputs.undo_requests(spark, folder))
+
+
+@query
+def wal_undo_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every request with its outcome: accepted, repeated, or refused with the reason."""
+    return _judged(spark, folder).select("requested_by", "place", "action", "outcome", "reason", "before", "after")
+
+
+@query
+def wal_undo_status(spark: SparkSession, folder: str) -> DataFrame:
+    rows = undo.undo_status(_judged(spark, folder))
+    return rows.withColumn("change_seq_in_txn", big("change_seq_in_txn"))
+
+
 def loaded(spark: SparkSession, folder: str) -> DataFrame:
     return checkpoints.load_checkpoints(
         inputs.slots(inputs.change_log(spark, folder)), inputs.stored_checkpoints(spark, folder)
@@ -639,7 +714,8 @@ def wal_checkpoint_load(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def wal_checkpoint_history(spark: SparkSession, folder: str) -> DataFrame:
-    return checkpoints.checkpoint_history(delivered(spark, folder), loaded(spark, folder)).select(
+    sent = delivered_transactions(inputs.change_log(spark, folder))
+    return checkpoints.checkpoint_history(sent, loaded(spark, folder)).select(
         "slot", "pos", big("commit_lsn_num"), "last_lsn"
     )
 
@@ -674,6 +750,43 @@ def wal_resume(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def wal_resume_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of the landed log, where each slot resumes, and which of them that opens."""
+    index = inputs.log_in_pieces(spark, folder)
+    points = index.resume_points(checkpoints.stored_positions(inputs.stored_checkpoints(spark, folder)))
+    opened = index.chosen_files(points).select("slot", "file", F.lit(True).alias("opened"))
+    piece = F.regexp_extract("file", r"piece=(\d+)", 1).cast("bigint").alias("piece")
+    return (
+        index.files()
+        .join(points, "slot")
+        .join(opened, ["slot", "file"], "left")
+        .select("slot", piece, "first_pos", "last_pos", "resume_pos", F.coalesce("opened", F.lit(False)).alias("opened"))
+    )
+
+
+@query
+def wal_resume_capture(spark: SparkSession, folder: str) -> DataFrame:
+    """Half the log is stored; then the capture is restarted at the stored checkpoints."""
+    store = Store(spark, scratch_folder(spark, "resume-store"))
+    capture_batch(store, inputs.log_steps(spark, folder)[0], 0, clock=F.lit("2024-01-01"), run="first")
+    resume_capture(store, inputs.log_in_pieces(spark, folder), clock=F.lit("2025-01-01"))
+    return out(store.changes(), CHANGE_OUT)
+
+
+@query
+def wal_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages whose text can't be used, with the reason."""
+    return raw.decode_messages(inputs.raw_log(spark, folder))[1].select("slot", "pos", "reason")
+
+
+@query
+def wal_disposition_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """What happens to each message of the raw log, undecodable and unknown ones too."""
+    rows = changes.dispositions(raw.decode_messages(inputs.raw_log(spark, folder))[0])
+    return rows.select("slot", "pos", "kind", "disposition")
+
+
 @query
 def wal_trace_text(spark: SparkSession, folder: str) -> DataFrame:
     return trace.trace(inputs.change_log(spark, folder))
@@ -785,7 +898,7 @@ def audit_op(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def audit_wal_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Keys of the transactions before redeliveries are dropped."""
-    rows = delivered(spark, folder).select("slot", "xid", "commit_lsn")
+    rows = delivered_transactions(inputs.change_log(spark, folder)).select("slot", "xid", "commit_lsn")
     found = audits.duplicate_keys(rows, ["slot", "commit_lsn"], "slot_commit_lsn").unionByName(
         audits.duplicate_keys(rows, ["slot", "xid", "commit_lsn"], "slot_xid_commit_lsn"), allowMissingColumns=True
     )

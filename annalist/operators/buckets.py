@@ -45,22 +45,28 @@ def above(bucket: Column, bits: int) -> Column:
     return F.shiftleft(bucket + 1, bits)
 
 
-def _carried(edges: DataFrame, keys: Sequence[str], name: str, order: Column, back: Column) -> DataFrame:
+def _latest(name: str) -> Column:
+    return F.last(name, ignorenulls=True)
+
+
+def _carried(edges: DataFrame, keys: Sequence[str], name: str, order: Column, back: Column, taken=_latest) -> DataFrame:
     """keys, run, and as ``<name>_run`` the value of ``name`` carried into the run."""
     runs = edges.groupBy(*keys, RUN).agg(back.alias(name))
     over_runs = Window.partitionBy(*keys).orderBy(order).rowsBetween(*BEFORE_ROW)
-    return runs.select(*keys, RUN, F.last(name, ignorenulls=True).over(over_runs).alias(f"{name}_run"))
+    return runs.select(*keys, RUN, taken(name).over(over_runs).alias(f"{name}_run"))
 
 
 def carries(
-    rows: DataFrame, keys: Sequence[str], position: str, value: Column, bits: int, closing: bool = False, run_bits: int | None = None
+    rows: DataFrame, keys: Sequence[str], position: str, value: Column, bits: int, closing: bool = False, run_bits: int | None = None, peak: bool = False
 ) -> DataFrame:
     """Per (keys, bucket): the last value in earlier buckets as ``from_before`` and, if
     ``closing``, the first in later ones as ``from_after``.
 
     Values grow with the position: numbers that do, which aggregate fastest, or structs
-    led by one. NULL values do not count. One row per bucket that has any row.
+    led by one. NULL values do not count. One row per bucket that has any row. With ``peak``
+    values may fall, and ``from_before`` is the largest of all earlier buckets.
     """
+    taken = F.max if peak else _latest
     run_bits = RUN_BITS if run_bits is None else run_bits
     ends = [F.max(value).alias("newest")] + ([F.min(value).alias("oldest")] if closing else [])
     edges = (
@@ -69,9 +75,11 @@ def carries(
         .agg(*ends)
         .withColumn(RUN, bucket_of(F.col(BUCKET), run_bits))
     )
-    out = edges.join(_carried(edges, keys, "newest", F.asc(RUN), F.max("newest")), [*keys, RUN])
+    out = edges.join(_carried(edges, keys, "newest", F.asc(RUN), F.max("newest"), taken), [*keys, RUN])
     earlier = Window.partitionBy(*keys, RUN).orderBy(F.asc(BUCKET)).rowsBetween(*BEFORE_ROW)
-    found = [F.coalesce(F.last("newest", ignorenulls=True).over(earlier), F.col("newest_run")).alias("from_before")]
+    within = taken("newest").over(earlier)
+    before = F.greatest(within, "newest_run") if peak else F.coalesce(within, F.col("newest_run"))
+    found = [before.alias("from_before")]
     if closing:
         out = out.join(_carried(edges, keys, "oldest", F.desc(RUN), F.min("oldest")), [*keys, RUN])
         later = Window.partitionBy(*keys, RUN).orderBy(F.desc(BUCKET)).rowsBetween(*BEFORE_ROW)

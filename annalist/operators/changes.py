@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,27 +93,32 @@ def markers(chosen: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
     """One row per (chosen segment, bucket): at its BEGIN, or just before the bucket
     it continues in.
 
-    ``chosen``: slot, begin_pos, commit_pos, commit_lsn, carried. ``counted``: from
+    ``chosen``: slot, begin_pos, commit_pos, commit_lsn, carried, change_count. ``counted``: from
     :func:`pieces`, the kept changes per bucket. ``first`` is how many changes come before.
     """
     earlier = Window.partitionBy("slot", "begin_pos").orderBy(BUCKET).rowsBetween(*BEFORE_ROW)
     return (
         counted.where(F.col("n") > 0)
         .select("slot", "begin_pos", BUCKET, "n")
-        .join(chosen.select("slot", "begin_pos", "commit_pos", "commit_lsn", "carried"), ["slot", "begin_pos"])
+        .join(chosen.select("slot", "begin_pos", "commit_pos", "commit_lsn", "carried", "change_count"), ["slot", "begin_pos"])
         .withColumn("first", F.col("carried") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .select(
             "slot",
             BUCKET,
             F.greatest("begin_pos", below(F.col(BUCKET), bits)).alias("pos"),
-            F.struct("begin_pos", "commit_pos", "commit_lsn", "first").alias("marker"),
+            F.struct("begin_pos", "commit_pos", "commit_lsn", "first", "change_count").alias("marker"),
         )
     )
 
 
-def numbered_changes(log: DataFrame, chosen: DataFrame, counted: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
+def numbered_changes(
+    log: DataFrame, chosen: DataFrame, counted: DataFrame, bits: int = DEFAULT_BITS, extra: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Row changes of the chosen segments with images and dense numbers from 1.
 
+    ``extra``: more columns, over a change message and ``known``, its relation version; with
+    them comes ``change_count``, the size of the change's transaction.
+
     The wide log is shuffled exactly once. Markers of the chosen segments travel in
     the same shuffle: a change belongs to the last marker before it if that segment
     is not over yet, and its number is the count of known changes since. So neither
@@ -134,7 +141,9 @@ def numbered_changes(log: DataFrame, chosen: DataFrame, counted: DataFrame, bits
         F.col("kind").alias("op"),
         old.alias("old_row"),
         new.alias("new_row"),
+        *[value.alias(name) for name, value in (extra or {}).items()],
     )
+    more = [] if extra is None else [F.col("segment.change_count").alias("change_count"), *extra]
     so_far = (
         Window.partitionBy("slot", BUCKET).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -158,6 +167,7 @@ def numbered_changes(log: DataFrame, chosen: DataFrame, counted: DataFrame, bits
             "old_row",
             "new_row",
             "pos",
+            *more,
         )
     )
 

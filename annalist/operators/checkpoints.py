@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions.clock import stamp
 from annalist.functions.lsn import LSN_NUM_TYPE, lsn_to_num, lsn_to_num_strict, num_to_lsn
-from annalist.operators.buckets import BEFORE_ROW, BUCKET, DEFAULT_BITS, SEED, below, bucket_of
+from annalist.operators.buckets import BEFORE_ROW, BUCKET, DEFAULT_BITS, SEED, below, bucket_of, carries
 from annalist.operators.segments import COMMITTED, segments
 
 
@@ -63,25 +63,20 @@ def final_checkpoints(delivered: DataFrame, loaded: DataFrame) -> DataFrame:
 def checkpoint_history(delivered: DataFrame, loaded: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """Every checkpoint save in arrival order: positions above all earlier ones and the loaded one.
 
-    Running maximum by position buckets; the maximum of earlier buckets enters
-    each bucket as a seed row.
+    Running maximum by position buckets; the maximum of earlier buckets, carried in two
+    levels, enters each bucket as a seed row.
     """
-    rows = delivered.select("slot", F.col("commit_pos").alias("pos"), "commit_lsn_num").withColumn(
-        BUCKET, bucket_of(F.col("pos"), bits)
-    )
-    earlier = Window.partitionBy("slot").orderBy(BUCKET).rowsBetween(*BEFORE_ROW)
-    peaks = rows.groupBy("slot", BUCKET).agg(F.max("commit_lsn_num").alias("peak"))
-    seeds = (
-        peaks.withColumn("earlier", F.max("peak").over(earlier))
-        .join(loaded.select("slot", "last_lsn_num"), "slot", "left")
-        .select(
-            "slot",
-            below(F.col(BUCKET), bits).alias("pos"),
-            F.greatest("earlier", "last_lsn_num", F.lit(0).cast(LSN_NUM_TYPE)).alias("commit_lsn_num"),
-            BUCKET,
-            F.lit(True).alias(SEED),
-        )
+    rows = delivered.select("slot", F.col("commit_pos").alias("pos"), "commit_lsn_num")
+    # A running maximum is no last value, but the running maxima are, and they grow.
+    peaks = carries(rows, ["slot"], "pos", F.col("commit_lsn_num"), bits, peak=True)
+    seeds = peaks.join(loaded.select("slot", "last_lsn_num"), "slot", "left").select(
+        "slot",
+        below(F.col(BUCKET), bits).alias("pos"),
+        F.greatest("from_before", "last_lsn_num", F.lit(0).cast(LSN_NUM_TYPE)).alias("commit_lsn_num"),
+        BUCKET,
+        F.lit(True).alias(SEED),
     )
+    rows = rows.withColumn(BUCKET, bucket_of(F.col("pos"), bits))
     seen = Window.partitionBy("slot", BUCKET).orderBy("pos").rowsBetween(*BEFORE_ROW)
     return (
         rows.withColumn(SEED, F.lit(False))

@@ -16,7 +16,7 @@ def relation_version() -> Column:
     """
     repeats = F.size(F.array_distinct("columns")) < F.size("columns")
     return F.when(
-        F.col("kind") == RELATION, F.struct("pos", "namespace", "relation", "columns", repeats.alias("repeats"))
+        F.col("kind") == RELATION, F.struct("pos", "namespace", "relation", "columns", repeats.alias("repeats"), "identity", "key_flags")
     )
 
 
@@ -55,7 +55,7 @@ def with_relations(log: DataFrame, bits: int = DEFAULT_BITS, markers: DataFrame
 
 def relation_asof(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
     """Change messages with the relation version valid at their position; unknown ones dropped."""
-    log = log.select("slot", "pos", "kind", "relation_id", "namespace", "relation", "columns")
+    log = log.select("slot", "pos", "kind", "relation_id", "namespace", "relation", "columns", "identity", "key_flags")
     return (
         with_relations(log, bits)
         .where(F.col("known").isNotNull())

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from annalist import schemas
 from annalist.functions.clock import rfc3339
 from annalist.functions.event_types import is_named
-from annalist.functions.payload import ERROR, object_of, parsed, payload_class
+from annalist.functions.payload import ERROR, class_of, object_of, parsed
+from annalist.session import scratch_folder
 
 TRAIL_COLUMNS = schemas.TRAILS.fieldNames()
 EVENT_COLUMNS = schemas.EVENTS.fieldNames()
@@ -166,34 +167,48 @@ def _event_json(value: Column) -> Column:
     return F.to_json(fields, KEEP_NULLS)
 
 
-def unreadable(events: DataFrame) -> DataFrame:
-    """Events whose payload is neither an object nor nothing."""
-    return events.where(payload_class(F.col("payload")) == ERROR).select("trail_id", "id", "sequence")
+def _written_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each event as JSON (trail_id, sequence, event_id, json; NULL for an unreadable payload),
+    and per trail its first place and whether any event of it is unreadable.
 
-
-def _body(events: DataFrame) -> DataFrame:
-    """id, section, sequence, event_id, json: each event, with a comma before all but a trail's first."""
-    place = F.struct("sequence", "id")
-    firsts = events.groupBy("trail_id").agg(F.min(place).alias("first"))
-    read = events.withColumn("value", parsed(F.col("payload"))).join(firsts, "trail_id")
-    comma = F.when(place == F.col("first"), F.lit("")).otherwise(F.lit(","))
-    return read.select(
-        F.col("trail_id").alias("id"),
-        F.lit(BODY).alias("section"),
+    The events are worked out and their payloads parsed once, into a table in the scratch
+    folder that all fragments are made of.
+    """
+    spark, path = events.sparkSession, scratch_folder(events.sparkSession, "exported")
+    read = events.withColumn("value", parsed(F.col("payload")))
+    readable = class_of(F.col("value"), F.col("payload")) != ERROR
+    rows = read.select(
+        "trail_id",
         "sequence",
         F.col("id").alias("event_id"),
-        F.concat(comma, _event_json(object_of(F.col("value")))).alias("json"),
+        F.when(readable, _event_json(object_of(F.col("value")))).alias("json"),
+    )
+    rows.write.parquet(path)
+    written = spark.read.schema(rows.schema).parquet(path)
+    edges = written.groupBy("trail_id").agg(
+        F.min(F.struct("sequence", "event_id")).alias("first"), F.bool_or(F.col("json").isNull()).alias("bad")
     )
+    return written, edges
 
 
-def _edge(rows: DataFrame, key: str, section: int, json: Column) -> DataFrame:
+def _body(written: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, section, sequence, event_id, json: each event, with a comma before all but a trail's first."""
+    comma = F.when(F.struct("sequence", "event_id") == F.col("first"), F.lit("")).otherwise(F.lit(","))
+    return written.join(edges, "trail_id").select(
+        F.col("trail_id").alias("id"), F.lit(BODY).alias("section"), "sequence", "event_id", F.concat(comma, "json").alias("json")
+    )
+
+
+def _edges(rows: DataFrame, key: str, *sections: tuple[int, Column]) -> DataFrame:
+    """The fragments of documents that are no events; those without text are left out."""
+    parts = F.array(*[F.struct(F.lit(section).alias("section"), json.alias("json")) for section, json in sections])
     nothing = F.lit(None)
-    return rows.select(
-        F.col(key).alias("id"),
-        F.lit(section).alias("section"),
+    return rows.select(F.col(key).alias("id"), F.explode(parts).alias("part")).where(F.col("part.json").isNotNull()).select(
+        "id",
+        "part.section",
         nothing.cast("bigint").alias("sequence"),
         nothing.cast("string").alias("event_id"),
-        json.alias("json"),
+        "part.json",
     )
 
 
@@ -205,16 +220,17 @@ def export_trails(trails: DataFrame, events: DataFrame) -> tuple[DataFrame, Data
     long it is. Payloads are embedded as JSON objects. A trail with an unreadable
     payload has no document and is refused (id, reason).
     """
-    bad = unreadable(events).select(F.col("trail_id").alias("id")).distinct()
-    good = trails.join(bad, "id", "left_anti")
+    written, edges = _written_events(events)
+    judged = trails.join(edges.withColumnRenamed("trail_id", "id"), "id", "left")
+    good = judged.where(~F.coalesce("bad", F.lit(False)))
     opening = F.to_json(F.struct(F.col("id").alias("ID"), F.col("name").alias("Name")), KEEP_NULLS)
     head = F.concat(F.substring(opening, F.lit(1), F.length(opening) - 1), F.lit(',"Events":['))
     times = F.struct(rfc3339(F.col("created_at")).alias("CreatedAt"), rfc3339(F.col("updated_at")).alias("UpdatedAt"))
     closing = F.to_json(times, KEEP_NULLS)
     tail = F.concat(F.lit("],"), F.substring(closing, F.lit(2), F.length(closing)))
-    theirs = events.join(good.select(F.col("id").alias("trail_id")), "trail_id", "left_semi")
-    fragments = _edge(good, "id", HEAD, head).unionByName(_body(theirs)).unionByName(_edge(good, "id", TAIL, tail))
-    return fragments, trails.join(bad, "id", "left_semi").select("id", F.lit(UNREADABLE).alias("reason"))
+    theirs = good.where(F.col("first").isNotNull()).select(F.col("id").alias("trail_id"), "first")
+    fragments = _edges(good, "id", (HEAD, head), (TAIL, tail)).unionByName(_body(written, theirs))
+    return fragments, judged.where("bad").select("id", F.lit(UNREADABLE).alias("reason"))
 
 
 def export_replay(events: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -222,19 +238,12 @@ def export_replay(events: DataFrame, requests: DataFrame) -> tuple[DataFrame, Da
 
     A replay without events is ``null``, unlike a trail without events.
     """
-    replayed = requested_events(events, requests)
-    bad = unreadable(replayed).select("trail_id").distinct()
-    wanted = requests.select("trail_id").join(bad, "trail_id", "left_anti")
-    found = replayed.select("trail_id").distinct()
-    some, none = wanted.join(found, "trail_id", "left_semi"), wanted.join(found, "trail_id", "left_anti")
-    theirs = replayed.join(bad, "trail_id", "left_anti")
-    fragments = (
-        _edge(some, "trail_id", HEAD, F.lit("["))
-        .unionByName(_body(theirs))
-        .unionByName(_edge(some, "trail_id", TAIL, F.lit("]")))
-        .unionByName(_edge(none, "trail_id", HEAD, F.lit("null")))
-    )
-    return fragments, bad.select(F.col("trail_id").alias("id"), F.lit(UNREADABLE).alias("reason"))
+    written, edges = _written_events(requested_events(events, requests))
+    good = requests.select("trail_id").join(edges, "trail_id", "left").where(~F.coalesce("bad", F.lit(False)))
+    some = F.col("first").isNotNull()
+    head, tail = F.when(some, F.lit("[")).otherwise(F.lit("null")), F.when(some, F.lit("]"))
+    fragments = _edges(good, "trail_id", (HEAD, head), (TAIL, tail)).unionByName(_body(written, edges.where(~F.col("bad"))))
+    return fragments, edges.where("bad").select(F.col("trail_id").alias("id"), F.lit(UNREADABLE).alias("reason"))
 
 
 def write_documents(fragments: DataFrame, folder: str) -> None:

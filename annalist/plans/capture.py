@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.operators.buckets import DEFAULT_BITS
 from annalist.operators.changes import numbered_changes, pieces
 from annalist.operators.checkpoints import final_checkpoints, stored_positions
 from annalist.operators.defaults import SOURCE_DB, with_defaults
+from annalist.operators.described import described_changes
+from annalist.operators.position_filters import POSITIONS, attempts_holding, position_filter
 from annalist.operators.segments import RELATION, open_begins
 from annalist.operators.transactions import by_segment, committed, first_deliveries, still_open
 from annalist.session import scratch_folder
@@ -16,6 +22,15 @@ from annalist.sources.messages import normalize
 from annalist.sources.store import CHANGES, MAIN, Store
 
 
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
+    """Run independent Spark jobs side by side, so that small ones fill the gaps of large
+    ones. All have ended when this returns; the first failure is raised then."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    for job in running:
+        job.result()
+
+
 def transaction_rows(chosen: DataFrame, clock: Column | None = None, source_db: str = SOURCE_DB) -> DataFrame:
     rows = chosen.select(
         F.col("slot").alias("source_slot"),
@@ -31,32 +46,50 @@ def transaction_rows(chosen: DataFrame, clock: Column | None = None, source_db:
     return with_defaults(rows, "wal_transaction", clock)
 
 
-def capture(log: DataFrame, bits: int = DEFAULT_BITS) -> tuple[DataFrame, DataFrame]:
-    """Transactions and numbered changes of a whole log, nothing stored before.
-
-    The changes are counted first, in one pass over narrow columns whose result, one row
-    per segment and bucket, is kept in the scratch folder: both results read it.
-    """
+def counted_pieces(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
+    """The log's changes counted in one pass over narrow columns, one row per segment and
+    bucket, kept in the scratch folder for all that is made of them."""
     path = scratch_folder(log.sparkSession, "counted")
     narrow = pieces(log, bits)
     narrow.write.parquet(path)
-    counted = log.sparkSession.read.schema(narrow.schema).parquet(path)
+    return log.sparkSession.read.schema(narrow.schema).parquet(path)
+
+
+def delivered_transactions(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
+    """All committed, non-empty transactions of a log, redeliveries included, for callers
+    that use them more than once."""
+    return committed(by_segment(counted_pieces(log, bits)))
+
+
+def capture(log: DataFrame, bits: int = DEFAULT_BITS) -> tuple[DataFrame, DataFrame]:
+    """Transactions and numbered changes of a whole log, nothing stored before."""
+    counted = counted_pieces(log, bits)
     chosen = first_deliveries(committed(by_segment(counted)))
     return transaction_rows(chosen), numbered_changes(log, chosen, counted, bits)
 
 
-def _stored_before(store: Store, delivered: DataFrame, loaded: DataFrame) -> DataFrame | None:
-    """What the store holds, as far as a delivery of this batch could repeat it.
+def describe(log: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
+    """The changes of a whole log with keys, statements, hashes and flags."""
+    counted = counted_pieces(log, bits)
+    return described_changes(log, first_deliveries(committed(by_segment(counted))), counted, bits)
+
+
+def suspected_batches(store: Store, delivered: DataFrame, loaded: DataFrame, entries: Sequence[Row]) -> list[Row]:
+    """The batches that may hold a transaction which is delivered again.
 
-    Only positions up to a slot's checkpoint can be stored already. Their lowest
-    one, a single number, bounds what has to be read of the stored table; usually
-    there is none and the table is not read at all.
+    Only positions up to a slot's checkpoint can be stored already. They are held against
+    the ranges and filters of the batches; the transactions are not read.
     """
-    suspect = delivered.join(loaded, "slot").where(F.col("commit_lsn_num") <= F.col("last_lsn_num"))
-    lowest = suspect.agg(F.min("commit_lsn_num").alias("low")).first()["low"]
-    if lowest is None:
-        return None
-    return store.transactions().where(F.col("commit_lsn_num") >= F.lit(lowest))
+    suspects = delivered.join(loaded, "slot").where(F.col("commit_lsn_num") <= F.col("last_lsn_num"))
+    found = attempts_holding(suspects, store.read("positions", POSITIONS, entries))
+    names = {r["attempt"] for r in found.collect()}  # of batches, not of rows
+    return [e for e in entries if e["attempt"] in names]
+
+
+def _stored_before(store: Store, delivered: DataFrame, loaded: DataFrame, entries: Sequence[Row]) -> DataFrame | None:
+    """What the store holds, as far as a delivery of this batch could repeat it."""
+    held = suspected_batches(store, delivered, loaded, entries) if entries else []
+    return store.transactions(held) if held else None
 
 
 def _state(log: DataFrame, begins: DataFrame, opened: DataFrame) -> DataFrame:
@@ -92,9 +125,13 @@ def capture_batch(
     clock: Column | None = None,
     run: str = MAIN,
     source_db: str = SOURCE_DB,
+    described: bool = False,
 ) -> None:
     """Store one batch of messages, continuing from the batch before it in the same run.
 
+    ``described`` fills keys, statements, hashes and flags of the changes, which stay at
+    their defaults otherwise.
+
     A transaction left open is stored as far as it has come and finished by a
     later batch, so the work of a batch depends on its own messages only. Its
     changes stay invisible until its transaction row exists.
@@ -104,7 +141,8 @@ def capture_batch(
     transactions count, so what is stored is not stored twice. A batch that
     is published already is left as it is.
     """
-    entries = {(e["run"], e["batch"]): e["attempt"] for e in store.published()}
+    published = store.published()
+    entries = {(e["run"], e["batch"]): e["attempt"] for e in published}
     if (run, batch) in entries:
         return
     # The state leads the union, so the batch runs with the settings of the store's
@@ -123,19 +161,30 @@ def capture_batch(
     delivered = committed(segments)
     stored = store.checkpoints()
     loaded = stored_positions(stored)
-    fresh = first_deliveries(delivered, _stored_before(store, delivered, loaded))
+    fresh = first_deliveries(delivered, _stored_before(store, delivered, loaded, published))
 
     # A change whose commit is known by now is stored finished, any other open.
-    changes = with_defaults(numbered_changes(log, fresh.unionByName(opened), counted, bits), "wal_change", clock)
-    finished = F.col("commit_lsn").isNotNull().alias("finished")
-    store.write(changes.select("*", F.lit(run).alias("run"), finished), CHANGES, attempt, "finished")
+    numbered = (described_changes if described else numbered_changes)(log, fresh.unionByName(opened), counted, bits)
+    changes = with_defaults(numbered, "wal_change", clock).select(
+        "*", F.lit(run).alias("run"), F.col("commit_lsn").isNotNull().alias("finished")
+    )
     closing = fresh.where("carried > 0").select(
         F.lit(run).alias("run"), F.col("slot").alias("source_slot"), "begin_pos", "commit_lsn"
     )
-    store.write(closing, "closing", attempt)
-    store.write(transaction_rows(fresh, clock, source_db), "wal_transaction", attempt)
-    store.write(_saved(final_checkpoints(delivered, loaded), stored, clock), "wal_checkpoint", attempt)
-    store.write(_state(log, begins, opened), "state", attempt)
+
+    def transactions_and_positions() -> None:
+        written = store.write(transaction_rows(fresh, clock, source_db), "wal_transaction", attempt)
+        positions = written.select(F.col("source_slot").alias("slot"), "commit_lsn_num")
+        store.write(position_filter(positions, attempt), "positions", attempt)
+
+    together(
+        store.spark,
+        lambda: store.write(changes, CHANGES, attempt, "finished"),
+        transactions_and_positions,
+        lambda: store.write(closing, "closing", attempt),
+        lambda: store.write(_saved(final_checkpoints(delivered, loaded), stored, clock), "wal_checkpoint", attempt),
+        lambda: store.write(_state(log, begins, opened), "state", attempt),
+    )
     store.publish(run, batch, attempt)
     if batch > 1:
         store.forget_carried(run, batch - 2)

@@ -27,7 +27,9 @@ PENDING = table(id=TEXT, trail_id=TEXT, type=TEXT, payload=TEXT, occured_at=TIME
 # D delete, T truncate; NULL marks a message that could not be decoded. ``carried``
 # is set only on a BEGIN taken over from an earlier micro-batch: how many of its
 # changes are stored already. ``column_types`` (type ids of a relation's columns) and
-# ``truncated`` (ids of truncated relations) are for the trace only.
+# ``truncated`` (ids of truncated relations) are for the trace only. ``identity`` (replica
+# identity: d default, n nothing, f full, i index) and ``key_flags`` (one per column: part of
+# the key) belong to relation messages and are used by described changes only.
 MESSAGES = table(
     slot=TEXT,
     pos=LONG,
@@ -45,6 +47,8 @@ MESSAGES = table(
     carried=LONG,
     column_types=T.ArrayType(LONG),
     truncated=T.ArrayType(LONG),
+    identity=TEXT,
+    key_flags=T.ArrayType(T.BooleanType()),
 )
 
 # A transaction is identified by its slot and commit position; ``begin_pos`` links

@@ -27,16 +27,21 @@ MANIFEST = T.StructType(
         T.StructField("run", T.StringType()),
         T.StructField("batch", T.IntegerType()),
         T.StructField("attempt", T.StringType()),
-        T.StructField("covers", T.LongType()),
     ]
 )
 MAIN = "main"
 CHANGES = "wal_change"
 FINISHED, OPEN = f"{CHANGES}/finished=true", f"{CHANGES}/finished=false"
+# The manifest is summed up after so many entries.
+SUMMARY_EVERY = 64
 # Tables that only the next batch of the same run reads.
 CARRIED = ("segments", "state")
 
 
+def _place(name: str) -> int:
+    return int(name.split("-")[1])
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -62,17 +67,29 @@ class Store:
 
     # The manifest.
 
+    def _names(self, start: str) -> list[str]:
+        """Manifest folders of a kind, in order."""
+        system, found = self._hadoop(f"{self.root}/manifest")
+        if not system.exists(found):
+            return []
+        return sorted(n for n in (f.getPath().getName() for f in system.listStatus(found)) if n.startswith(start))
+
+    def _rows(self, names: Sequence[str]) -> list[Row]:
+        """Manifest rows; a folder that a crash left unfinished holds none."""
+        paths = [f"{self.root}/manifest/{n}" for n in names]
+        return self.spark.read.schema(MANIFEST).parquet(*paths).orderBy("place").collect() if paths else []
+
     def published(self) -> list[Row]:
-        """The attempts that count, in the order of their publication.
+        """The attempts that count, in the order of their publication, one row per batch.
 
-        One row per batch since the last compaction, which covers those before it.
+        They are read from the latest summary of the manifest and the entries since.
         """
-        path = f"{self.root}/manifest"
-        if not self._exists(path):
-            return []
-        rows = self.spark.read.schema(MANIFEST).parquet(f"{path}/entry-*").orderBy("place").collect()
-        covered = max((r["covers"] for r in rows if r["covers"] is not None), default=0)
-        return [r for r in rows if r["place"] > covered]
+        summary: list[Row] = []
+        for name in reversed(self._names("summary-")):
+            if summary := self._rows([name]):
+                break
+        last = summary[-1]["place"] if summary else 0
+        return summary + self._rows([n for n in self._names("entry-") if _place(n) > last])
 
     def find(self, run: str, batch: int) -> Row | None:
         return next((r for r in self.published() if (r["run"], r["batch"]) == (run, batch)), None)
@@ -81,12 +98,34 @@ class Store:
         """A new attempt's name."""
         return f"{run}-{batch}-{uuid.uuid4().hex}"
 
-    def publish(self, run: str, batch: int, attempt: str, covers: int | None = None) -> None:
+    def next_place(self) -> int:
+        """Where the next entry goes: behind all others, also behind an unfinished one."""
+        return max((_place(n) for n in (*self._names("summary-"), *self._names("entry-"))), default=0) + 1
+
+    def publish(self, run: str, batch: int, attempt: str) -> None:
         """Make an attempt count. One writer at a time; a second one for the same place fails."""
-        entries = self.published()
-        place = entries[-1]["place"] + 1 if entries else 1
-        row = self.spark.createDataFrame([(place, run, batch, attempt, covers)], MANIFEST).coalesce(1)
-        row.write.mode("errorifexists").parquet(f"{self.root}/manifest/entry-{place:09d}")
+        place = self.next_place()
+        self._manifest(f"entry-{place:09d}", [(place, run, batch, attempt)])
+        if place % SUMMARY_EVERY == 0:
+            self._summarize(place)
+
+    def _manifest(self, name: str, rows: Sequence[tuple]) -> None:
+        frame = self.spark.createDataFrame(list(rows), MANIFEST).coalesce(1)
+        frame.write.mode("errorifexists").parquet(f"{self.root}/manifest/{name}")
+
+    def _summarize(self, place: int) -> None:
+        """Keep what readers have to open small: one summary and the entries since.
+
+        What only readers of the summary before the previous one needed is deleted. The
+        tables of the attempts are left alone.
+        """
+        self._manifest(f"summary-{place:09d}", self.published())
+        old = self._names("summary-")[:-1]
+        for name in old[:-1]:
+            self._delete(f"{self.root}/manifest/{name}")
+        for name in self._names("entry-") if old else ():
+            if _place(name) <= _place(old[-1]):
+                self._delete(f"{self.root}/manifest/{name}")
 
     # Tables.
 
@@ -107,8 +146,8 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def transactions(self) -> DataFrame:
-        return self.read("wal_transaction", schemas.WAL_TRANSACTION)
+    def transactions(self, entries: Sequence[Row] | None = None) -> DataFrame:
+        return self.read("wal_transaction", schemas.WAL_TRANSACTION, entries)
 
     def changes(self) -> DataFrame:
         """Changes of stored transactions, each with its transaction's commit position.
@@ -137,25 +176,6 @@ class Store:
         for table in CARRIED if entry else ():
             self._delete(self.folder(table, entry["attempt"]))
 
-    def compact(self, run: str, batch: int) -> None:
-        """Merge all published attempts up to a run's latest batch into one.
-
-        Readers that began before may still read the old folders; those are deleted by
-        the next compaction.
-        """
-        entries = self.published()
-        latest = self.find(run, batch)
-        if latest is None or len(entries) < 2:
-            return
-        attempt = self.begin(run, batch)
-        for table, schema in TABLES.items():
-            self.write(self.read(table, schema, entries), table, attempt)
-        # What counts is the last one's; the rest of it goes on with the next batch.
-        for table in ("wal_checkpoint", *CARRIED):
-            if self._exists(self.folder(table, latest["attempt"])):
-                self.write(self.attempt(table, latest["attempt"]), table, attempt)
-        self.publish(run, batch, attempt, covers=entries[-1]["place"])
-
 
 OPEN_CHANGE = T.StructType([*schemas.WAL_CHANGE.fields, T.StructField("run", T.StringType())])
 #: The commit position of transactions whose changes are stored over several batches.
@@ -167,10 +187,3 @@ CLOSING = T.StructType(
         T.StructField("commit_lsn", T.StringType()),
     ]
 )
-#: Tables that grow from batch to batch.
-TABLES = {
-    "wal_transaction": schemas.WAL_TRANSACTION,
-    FINISHED: schemas.WAL_CHANGE,
-    OPEN: OPEN_CHANGE,
-    "closing": CLOSING,
-}

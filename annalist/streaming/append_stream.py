@@ -33,8 +33,7 @@ def _lengths(store: Store, entries: list[Row], only: DataFrame | None = None) ->
 
 
 def _publish(store: Store, run: str, batch: int, attempt: str, entries: list[Row]) -> None:
-    place = entries[-1]["place"] + 1 if entries else 1
-    if place % FULL_EVERY == 0:
+    if store.next_place() % FULL_EVERY == 0:
         added = store.attempt("lengths", attempt)
         full = _lengths(store, entries).unionByName(added).groupBy("trail_id").agg(F.sum("n").alias("n"))
         store.write(full, "lengths_full", attempt)

@@ -11,10 +11,6 @@ from annalist.plans.capture import capture_batch
 from annalist.sources.store import Store
 
 
-#: Published batches are merged into one after so many.
-COMPACT_EVERY = 64
-
-
 def run_of(batch: DataFrame) -> str:
     """The id of the stream that hands over a batch. It is kept with the stream's progress,
     so a resumed stream goes on with its run, and one with new progress begins another."""
@@ -43,10 +39,7 @@ def start_capture(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        name = run_of(batch)
-        capture_batch(store, batch, batch_id, bits, clock, name, source_db)
-        if batch_id and batch_id % COMPACT_EVERY == 0:
-            store.compact(name, batch_id)
+        capture_batch(store, batch, batch_id, bits, clock, run_of(batch), source_db)
 
     writer = messages.writeStream.foreachBatch(run).option("checkpointLocation", progress)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -55,6 +55,9 @@ def random_log(slot: str, seed: int, size: int = 120) -> list[dict]:
                 "relation": f"t{rng.randrange(100)}",
                 "columns": names,
             }
+            keys = random.Random(seed * 1000 + pos)  # apart, so that the rest stays as it was
+            values["identity"] = keys.choice(["d", "d", "f", "f", "i", "n", None])
+            values["key_flags"] = keys.choice([[keys.random() < 0.5 for _ in names], None])
         elif kind in ("I", "U", "D"):
             values = {"relation_id": rng.randrange(1, 5)}
             if kind != "I" and rng.random() < 0.7:
@@ -85,8 +88,11 @@ def image(columns, entries):
     return row
 
 
-def run_model(rows: list[dict], loaded: int = 0):
-    """One message after the other: stored transactions, changes, checkpoint saves."""
+def run_model(rows: list[dict], loaded: int = 0, described=None):
+    """One message after the other: stored transactions, changes, checkpoint saves.
+
+    ``described``: called with the relation and the message of each change, for one more
+    value of the change."""
     relations, current, mark = {}, None, loaded
     stored, transactions, changes, saves = set(), [], [], []
     for m in rows:
@@ -123,6 +129,7 @@ def run_model(rows: list[dict], loaded: int = 0):
                     kind,
                     image(columns, m["old_tuple"]) if kind != "I" else None,
                     image(columns, m["new_tuple"]) if kind != "D" else None,
+                    *([described(relation, m)] if described else []),
                 )
             )
     return transactions, changes, saves, mark
