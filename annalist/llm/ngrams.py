@@ -38,12 +38,11 @@ from annalist.llm.words import mix, portions, rolling, windows_of, words_of
 
 SKETCH_BITS = 18
 PART_BYTES = 1 << 20
-GROUP_ROWS = 1024  # members held against one leader in one task at a time
+GROUP_ROWS, GROUP_GRAMS = 1024, 1 << 20  # members and n-grams held against one leader in one task at a time
 BLOCK_ROWS = 1024  # members of a group compared by bitmap with as many others
 NEAREST, FURTHER = 4, 8  # partners tried per member and component at first; how many times more in the next round
 
-_NO_ID = 2**63 - 1  # stands for a null doc_id, so it is never the smallest
-_SETS = "doc bigint, n int, digest binary, bitmap binary, keys array<bigint>"
+_SETS = "row bigint, doc bigint, n int, digest binary, bitmap binary, keys array<bigint>"
 
 
 # Sets of n-grams.
@@ -113,7 +112,7 @@ def _folded_rows(bitmaps: np.ndarray, words: int) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, size: int, jaccard: Jaccard, levels: np.ndarray) -> DataFrame:
-    """doc, n, digest, bitmap and first elements of every document's set."""
+    """row, doc, n, digest, bitmap and first elements of every document's set."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,16 +126,17 @@ def set_rows(docs: DataFrame, size: int, jaccard: Jaccard, levels: np.ndarray) -
                 keys.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch["row"],
                     batch["doc"],
                     pa.array(n, pa.int32()),
                     pa.array(digests, pa.binary()),
                     pa.array(bitmaps, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc", "n", "digest", "bitmap", "keys"],
+                ["row", "doc", "n", "digest", "bitmap", "keys"],
             )
 
-    return docs.select("doc", "text").mapInArrow(run, _SETS)
+    return docs.select("row", "doc", "text").mapInArrow(run, _SETS)
 
 
 # Pairs.
@@ -199,20 +199,21 @@ def _links_of_group(nodes: list[int], sets: list[np.ndarray], jaccard: Jaccard)
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, jaccard: Jaccard, levels: np.ndarray) -> DataFrame:
     """The links among pairs (a, b): the b of each a are searched for in a prefix tree."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
-    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("lots"))
+    sized = pairs.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("grams")), "b")
+    most = F.greatest(F.count("*") / GROUP_ROWS, F.sum(F.col("grams").cast("bigint")) / GROUP_GRAMS)
+    lots = sized.groupBy("a").agg(F.ceil(most).cast("int").alias("lots"))
     lot = F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot")
     members = pairs.join(lots, "a").select("a", lot, F.col("b").alias("node"), F.lit(1).alias("place"))
     leaders = lots.select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")).select(
         "a", "lot", F.col("a").alias("node"), F.lit(0).alias("place")
     )
-    roles = members.unionByName(leaders).join(nodes.select("node", "doc", "digest"), "node")
+    # A node is a row, and its text is that row's: no other row of its doc_id is read.
+    texts = members.unionByName(leaders).join(docs.select(F.col("row").alias("node"), "text"), "node")
 
     def links(held: list[dict]) -> list[tuple[int, int]]:
         found: dict[int, np.ndarray] = {}
         for row, grams in zip(held, shingles([r["text"] for r in held], size), strict=True):
-            # Rows may repeat a doc_id; the digest tells which text is meant.
-            if row["node"] not in found and _digest(grams) == row["digest"]:
-                found[row["node"]] = ordered(grams, table.value)
+            found[row["node"]] = ordered(grams, table.value)
         return _links_of_group(list(found), list(found.values()), jaccard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, ja
             yield _pairs_batch(out)
         yield _pairs_batch(links(held) if held else [])
 
-    texts = roles.join(docs, "doc").select("a", "lot", "place", "node", "digest", "text")
     grouped = texts.repartition("a", "lot").sortWithinPartitions("a", "lot", "place", "node")
     return grouped.mapInArrow(run, "a bigint, b bigint")
 
@@ -322,16 +322,20 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     A text without words, or null, is linked with nothing. Repeated rows are linked, having
     equal sets; rows of one doc_id with different texts are judged each on its own. A null
     doc_id is larger than any other: it is a component_id only where there is no other.
-    An empty table gives an empty table.
+    An empty table gives an empty table. Only components come out, by the links that join
+    them; links inside a known component are not counted.
     """
     jaccard = Jaccard(percent)
-    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID))
-    slim = docs.select(doc.alias("doc"), text_bytes().alias("text"))
-    levels = common_levels(docs, size)
-    sets = stored(set_rows(slim, size, jaccard, levels).withColumn("row", F.monotonically_increasing_id()), "sets")
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_bytes().alias("text"))
+    # Numbered as written, so that a row keeps its number however often it is read.
+    slim = stored(slim.withColumn("row", F.monotonically_increasing_id()), "rows")
+    levels = common_levels(slim, size)
+    sets = stored(set_rows(slim, size, jaccard, levels), "sets")
 
     full = sets.where("n > 0")
-    firsts = full.groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("first"), F.count("*").alias("copies"))
+    # Rows without an id come last.
+    first = F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "row")).alias("first")
+    firsts = full.groupBy("digest").agg(first, F.count("*").alias("copies"))
     # A table of its own, so that adaptive execution can split a large group of copies.
     repeated = stored(firsts.where("copies > 1").select("digest", "first"), "repeated-sets")
     classes = stored(
@@ -370,13 +374,12 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     lowest = named.groupBy("component").agg(F.min("doc").alias("lowest"))
     low = named.join(lowest, "component").select("node", "lowest")
     found = classes.join(low, "node", "left").select("row", F.coalesce("lowest", "doc").alias("component_id"))
-    known = lambda c: F.when(c != _NO_ID, c)
     return (
         sets.select("row", "doc", "n")
         .join(found, "row", "left")
         .select(
-            known(F.col("doc")).alias("doc_id"),
+            F.col("doc").alias("doc_id"),
             F.col("n").cast("bigint").alias("n_shingles"),
-            known(F.coalesce("component_id", "doc")).alias("component_id"),
+            F.coalesce("component_id", "doc").alias("component_id"),
         )
     )

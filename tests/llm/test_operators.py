@@ -317,3 +317,35 @@ def _filters(index):
     for r in sorted(rows_, key=lambda r: r.version):
         latest[r.shard] = r
     return latest.values()
+
+
+def test_rows_without_an_id_cost_no_more_than_others(spark):
+    """Near copies whose rows share an id, or have none, are each compared by their own text."""
+    import time
+
+    rng = np.random.default_rng(2)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    texts = []
+    for i in range(600):
+        copy = list(words)
+        copy[i % 150] = f"x{i}"
+        texts.append(" ".join(copy))
+    took = {}
+    for kind, ids in (("distinct", range(600)), ("null", [None] * 600), ("repeated", [7] * 600)):
+        frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string").repartition(4)
+        start = time.perf_counter()
+        found = ngrams.near_duplicates(frame, 5, 80).collect()
+        took[kind] = time.perf_counter() - start
+        assert len(found) == 600 and {r.component_id for r in found} == {{"distinct": 0, "null": None, "repeated": 7}[kind]}
+    assert max(took["null"], took["repeated"]) < 1.5 * took["distinct"] + 5
+
+
+def test_long_texts_meet_in_lots_of_bounded_size(spark, monkeypatch):
+    """Lots are cut by n-grams as well as by members; a text of five million bytes among them."""
+    monkeypatch.setattr(ngrams, "GROUP_GRAMS", 3000)
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 1000)]
+    texts = [" ".join(base[:500] + [f"x{i}"] + base[501:]) for i in range(30)] + [" ".join(f"v{x}" for x in range(700_000))]
+    frame = spark.createDataFrame(list(enumerate([*texts, texts[-1] + " end"])), "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in ngrams.near_duplicates(frame, 5, 80).collect()}
+    assert found == {**dict.fromkeys(range(30), 0), 30: 30, 31: 30}
