@@ -27,9 +27,8 @@ REPEATED = 0
 WIDTH = 16
 #: At most so many labelled documents of each class are learned from.
 SAMPLE_PER_CLASS = 2000
-EPOCHS, RATE = 6, 4.0
-#: A small sample is passed over more often, for about so many steps in all.
-MIN_STEPS = 12_000
+#: Passes over the sample, whatever its size.
+EPOCHS, RATE = 40, 4.0
 LARGEST = np.float32(64)
 THRESHOLD = 0.3
 
@@ -98,9 +97,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares:
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, ((1 << WORD_BITS) + (1 << GRAM_BITS), WIDTH)).astype(np.float32)
     model = Model(vectors, np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32))
-    epochs = max(EPOCHS, -(-MIN_STEPS // max(1, len(bags))))
-    steps, total = 0, epochs * max(1, len(bags))
-    for _ in range(epochs):
+    steps, total = 0, EPOCHS * max(1, len(bags))
+    for _ in range(EPOCHS):
         for i in rng.permutation(len(bags)):
             rows, often = bags[i]
             rate = RATE * (1 - steps / total) * shares[labels[i]]
