@@ -4,13 +4,13 @@ A digest shared by a third of all rows would meet in one task. So a Misra-Gries
 (Spark's ``approx_top_k``, a frequent-items sketch with a fixed number of counters)
 first finds the digests that may be that frequent. Their rows are counted exactly with a
 map-side combine, and the few verified winners are broadcast: rows of heavy texts are
-decided where they lie. All other digests take one ordinary shuffle, in which no group
-holds more than ``1 / HEAVY`` of the rows.
+decided where they lie. All other digests take an ordinary shuffle: texts that repeat are
+counted and their rows joined with the counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.tables import stored
@@ -59,9 +59,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
     split = digests.join(F.broadcast(winners), "sha", "left")
     heavy = split.where(F.col("group_size").isNotNull()).select("doc_id", "row", "sha", "winner", "group_size")
-    same = Window.partitionBy("sha")
-    other = split.where(F.col("group_size").isNull()).select(
-        "doc_id", "row", "sha", F.max(order).over(same).alias("winner"), F.count("*").over(same).alias("group_size")
+    rest = split.where(F.col("group_size").isNull()).select("doc_id", "row", "sha")
+    # Counted map-side, into a table of its own, so that adaptive execution can split what
+    # meets a text that is just not heavy.
+    repeated = stored(
+        rest.groupBy("sha").agg(F.max(order).alias("winner"), F.count("*").alias("group_size")).where("group_size > 1"), "repeated-texts"
+    )
+    other = rest.join(repeated, "sha", "left").select(
+        "doc_id", "row", "sha", F.coalesce("winner", order).alias("winner"), F.coalesce("group_size", F.lit(1)).alias("group_size")
     )
     return heavy.unionByName(other).select(
         "doc_id",
