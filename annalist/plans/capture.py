@@ -9,6 +9,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.functions.ids import batch_id
 from annalist.operators.buckets import DEFAULT_BITS
 from annalist.operators.changes import numbered_changes, pieces
 from annalist.operators.checkpoints import final_checkpoints, stored_positions
@@ -31,8 +32,12 @@ def together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
         job.result()
 
 
-def transaction_rows(chosen: DataFrame, clock: Column | None = None, source_db: str = SOURCE_DB) -> DataFrame:
+def transaction_rows(
+    chosen: DataFrame, clock: Column | None = None, source_db: str = SOURCE_DB, batch: Column | None = None
+) -> DataFrame:
+    """``batch``: the id of the batch that stores them, which else stays NULL."""
     rows = chosen.select(
+        F.lit(None).cast("string").alias("ingest_batch_id") if batch is None else batch.alias("ingest_batch_id"),
         F.col("slot").alias("source_slot"),
         F.lit(source_db).alias("source_db"),
         "xid",
@@ -129,8 +134,8 @@ def capture_batch(
 ) -> None:
     """Store one batch of messages, continuing from the batch before it in the same run.
 
-    ``described`` fills keys, statements, hashes and flags of the changes, which stay at
-    their defaults otherwise.
+    ``described`` fills keys, statements, hashes and flags of the changes, and the batch id
+    of the transactions, which stay at their defaults otherwise.
 
     A transaction left open is stored as far as it has come and finished by a
     later batch, so the work of a batch depends on its own messages only. Its
@@ -173,7 +178,7 @@ def capture_batch(
     )
 
     def transactions_and_positions() -> None:
-        written = store.write(transaction_rows(fresh, clock, source_db), "wal_transaction", attempt)
+        written = store.write(transaction_rows(fresh, clock, source_db, batch_id(run, batch) if described else None), "wal_transaction", attempt)
         positions = written.select(F.col("source_slot").alias("slot"), "commit_lsn_num")
         store.write(position_filter(positions, attempt), "positions", attempt)
 

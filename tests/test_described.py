@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,6 +225,8 @@ def test_a_batch_can_store_descriptions(spark, tmp_path, logs, expected):
     first, second = [m for m in rows if m["pos"] < 300], [m for m in rows if m["pos"] >= 300]
     for i, step in enumerate((first, second)):
         capture_batch(store, frame(spark, step), i, bits=3, described=True)
+    ids = {r.ingest_batch_id for r in store.transactions().select("ingest_batch_id").distinct().collect()}
+    assert len(ids) == 2 and all(str(uuid.UUID(i)) == i for i in ids)
     want = [r for r in expected if r[0] in {f"slot_{i}" for i in range(6)}]
     blank = lambda r: (*r[:5], r[5] or "", r[6] or "", *r[7:])
     assert sorted(map(repr, told(store.changes()))) == sorted(repr(blank(r)) for r in want)
