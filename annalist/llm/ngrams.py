@@ -42,7 +42,7 @@ GROUP_ROWS, GROUP_GRAMS = 1024, 1 << 20  # members and n-grams held against one
 BLOCK_ROWS = 1024  # members of a group compared by bitmap with as many others
 NEAREST, FURTHER = 4, 8  # partners tried per member and component at first; how many times more in the next round
 
-_SETS = "row bigint, doc bigint, n int, digest binary, bitmap binary, keys array<bigint>"
+_SETS = "doc bigint, mark bigint, n int, digest binary, bitmap binary, keys array<bigint>"
 
 
 # Sets of n-grams.
@@ -112,7 +112,7 @@ def _folded_rows(bitmaps: np.ndarray, words: int) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, size: int, jaccard: Jaccard, levels: np.ndarray) -> DataFrame:
-    """row, doc, n, digest, bitmap and first elements of every document's set."""
+    """doc, mark, n, digest, bitmap and first elements of every document's set."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,17 +126,17 @@ def set_rows(docs: DataFrame, size: int, jaccard: Jaccard, levels: np.ndarray) -
                 keys.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["row"],
                     batch["doc"],
+                    batch["mark"],
                     pa.array(n, pa.int32()),
                     pa.array(digests, pa.binary()),
                     pa.array(bitmaps, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["row", "doc", "n", "digest", "bitmap", "keys"],
+                ["doc", "mark", "n", "digest", "bitmap", "keys"],
             )
 
-    return docs.select("row", "doc", "text").mapInArrow(run, _SETS)
+    return docs.select("doc", "mark", "text").mapInArrow(run, _SETS)
 
 
 # Pairs.
@@ -207,13 +207,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, ja
     leaders = lots.select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")).select(
         "a", "lot", F.col("a").alias("node"), F.lit(0).alias("place")
     )
-    # A node is a row, and its text is that row's: no other row of its doc_id is read.
-    texts = members.unionByName(leaders).join(docs.select(F.col("row").alias("node"), "text"), "node")
+    # By id and text, so that rows without an id, or of one id, do not meet each other's texts.
+    key = lambda rows: rows.withColumn("doc", F.coalesce("doc", F.lit(0)))
+    roles = members.unionByName(leaders).join(key(nodes.select("node", "doc", "mark", "digest")), "node")
+    texts = roles.join(key(docs), ["doc", "mark"]).select("a", "lot", "place", "node", "digest", "text")
 
     def links(held: list[dict]) -> list[tuple[int, int]]:
         found: dict[int, np.ndarray] = {}
         for row, grams in zip(held, shingles([r["text"] for r in held], size), strict=True):
-            found[row["node"]] = ordered(grams, table.value)
+            if _digest(grams) == row["digest"]:
+                found[row["node"]] = ordered(grams, table.value)
         return _links_of_group(list(found), list(found.values()), jaccard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +227,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, ja
                 if held and (row["a"], row["lot"]) != (held[0]["a"], held[0]["lot"]):
                     out += links(held)
                     held = []
-                held.append(row)
+                # Repeated rows bring the same text for a node, one after the other.
+                if not held or (row["node"], row["text"]) != (held[-1]["node"], held[-1]["text"]):
+                    held.append(row)
             yield _pairs_batch(out)
         yield _pairs_batch(links(held) if held else [])
 
@@ -326,11 +331,10 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     them; links inside a known component are not counted.
     """
     jaccard = Jaccard(percent)
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_bytes().alias("text"))
-    # Numbered as written, so that a row keeps its number however often it is read.
-    slim = stored(slim.withColumn("row", F.monotonically_increasing_id()), "rows")
-    levels = common_levels(slim, size)
-    sets = stored(set_rows(slim, size, jaccard, levels), "sets")
+    text = text_bytes()
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    levels = common_levels(docs, size)
+    sets = stored(set_rows(slim, size, jaccard, levels).withColumn("row", F.monotonically_increasing_id()), "sets")
 
     full = sets.where("n > 0")
     # Rows without an id come last.
@@ -345,7 +349,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
         "classes",
     )
     chosen = classes.where("row = node").select("row")
-    nodes = full.select(F.col("row").alias("node"), "doc", "n", "digest", "bitmap").join(
+    nodes = full.select(F.col("row").alias("node"), "doc", "mark", "n", "digest", "bitmap").join(
         chosen.withColumnRenamed("row", "node"), "node", "left_semi"
     )
     entries = (
