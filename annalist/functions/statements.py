@@ -94,7 +94,7 @@ def where_clause(key: Column) -> Column:
     return F.array_join(F.transform(key, holds), " AND ")
 
 
-def _table(schema: Column, name: Column) -> Column:
+def qualified(schema: Column, name: Column) -> Column:
     return F.concat(identifier(schema), F.lit("."), identifier(name))
 
 

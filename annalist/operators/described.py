@@ -48,7 +48,7 @@ def described_changes(log: DataFrame, chosen: DataFrame, counted: DataFrame, bit
                 "key_before": st.key_before(kind, old, new, identity, keys),
                 "key_after": st.key_after(kind, new, identity, keys),
                 "changed_columns": F.when(kind == "U", st.changed_columns(old, new, identity, keys)).otherwise(F.array().cast("array<string>")),
-                "target": st._table(F.col("schema_name"), F.col("table_name")),
+                "target": st.qualified(F.col("schema_name"), F.col("table_name")),
             }
         )
         .withColumns(
