@@ -33,14 +33,24 @@ def _as_given(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from ``labels``, does not reject."""
+    """Documents that the classifier, learned from ``labels``, does not reject.
+
+    A null text is judged as an empty one and comes out empty. Repeated rows, and texts of
+    any length, are judged whole and alike; without labels all are kept. An empty table
+    gives an empty table.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = quality.classify(docs, labels, carry=_others(docs))
     return _as_given(rows.where("predicted = 1"), docs, F.col("text"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that many of them share; the largest doc_id keeps its own."""
+    """Documents without lines that many of them share; the largest doc_id keeps its own.
+
+    No document goes, also one whose lines are all dropped: its text is empty. A null text
+    comes out empty. Rows that repeat a doc_id count as one document and lose the same
+    lines; a row without doc_id keeps all of its own. An empty table gives an empty table.
+    """
     rows = lines.drop_repeated_lines(docs, MIN_DOCS, MIN_CHARS, carry=_others(docs))
     return _as_given(rows, docs, F.col("kept"))
 
@@ -67,13 +77,21 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand anywhere else. A text that loses words has the
-    others joined by one space; any other text is as it was."""
+    others joined by one space; any other text is as it was.
+
+    No document goes. A null text comes out empty; a text shorter than a passage is kept;
+    repeated rows are repeats of each other. An empty table gives an empty table.
+    """
     rows = substrings.remove_repeats(docs, WINDOW, carry=_others(docs))
     return _as_given(rows, docs, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences.
+
+    A null or empty text is the one id 0. Repeated rows and rows without doc_id are packed
+    like others; a text longer than a sequence is cut. An empty table gives an empty table.
+    """
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
