@@ -72,3 +72,51 @@ def test_scores_in_several_parts_are_the_same_each_time(spark, monkeypatch):
     again = {r["doc_id"]: r["log_likelihood"] for r in pseudo.pseudo_likelihood(docs).collect()}
     assert all(again[r["doc_id"]] == r["log_likelihood"] for r in found)  # run again, the very same
     assert all(r["log_likelihood"] < 0 or not r["n_words"] for r in found)
+
+
+def test_scores_of_the_registered_model_by_hand(spark):
+    """One part: every word's probability from the trained vectors, turn by turn, in loops."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    vocabulary = [f"{'abc'[i % 3]}{i}{'xy'[i % 2]}" for i in range(150)]
+    texts = [" ".join(vocabulary[int(x) % 150] for x in rng.zipf(1.2, int(rng.integers(1, 60)))) for _ in range(60)] + ["", "once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).coalesce(1)
+    found = {r["doc_id"]: r for r in pseudo.pseudo_likelihood(docs).collect()}
+
+    raw = [t.encode() for t in texts]
+    held = pseudo._counted(raw)
+    rows = [(0, h, e, n) for h, e, n in zip(*(held[c].to_pylist() for c in ("hash", "ending", "n")), strict=True)]
+    assert sum(r[3] for r in rows) == sum(len(t.split()) for t in texts)
+    places, leaves = pseudo.lexicon(spark.createDataFrame(rows, pseudo._WORDS))
+    known = [(pseudo._LEAF, r["hash"], r["place"]) for r in places.collect()]
+    leaf = pa.table({"kind": pa.array([k[0] for k in known], pa.int32()), "key": [k[1] for k in known], "place": [k[2] for k in known]})
+    kind, key, place, weight, vectors = pseudo._trained(raw, leaf, leaves)
+    vectors = np.rint(vectors.astype(np.float64) * pseudo.FIXED) / pseudo.FIXED
+    word = {int(k): v for k, v, x in zip(key, vectors, kind, strict=True) if x == pseudo._WORD}
+    node = {int(k): v for k, v, x in zip(key, vectors, kind, strict=True) if x == pseudo._NODE}
+    network = pseudo.Network(vectors[kind == pseudo._DENSE].ravel()[: sum(pseudo._SIZES)])
+    part, _ = pseudo._part_of(leaf, leaves)
+    number = {int(h): i for i, h in enumerate(part.hashes.view(np.int64))}
+
+    def log_probability(hashes, at):
+        total = np.zeros(pseudo.WIDTH)
+        for i, offset in enumerate(pseudo._OFFSETS):
+            inside = 0 <= at + offset < len(hashes)
+            beside = number[hashes[at + offset]] if inside else None
+            total += network.near[i][part.classes[beside] if inside else pseudo.CLASSES]
+            if inside:
+                total += pseudo._TURNED[i] * word[hashes[at + offset]][: pseudo.WIDTH]
+        hidden, here = np.tanh(total), number[hashes[at]]
+        logits = hidden @ network.out + network.bias
+        out = logits[part.classes[here]] - np.log(np.exp(logits).sum())
+        for turn in range(part.begin[here], part.begin[here] + part.depth[here]):
+            vector = node[int(part.keys[part.node[turn]])]
+            odds = hidden @ vector[: pseudo.WIDTH] + vector[pseudo.WIDTH] + part.odds[turn]
+            out -= np.log1p(np.exp(-part.turn[turn] * odds))
+        return out
+
+    for doc, text in enumerate(raw):
+        hashes = [int(h) for h in pseudo.words_of([text]).hashes.view(np.int64)]
+        want = sum(log_probability(hashes, i) for i in range(len(hashes)))
+        assert found[doc]["n_words"] == len(hashes) and found[doc]["log_likelihood"] == pytest.approx(want, rel=1e-3, abs=1e-6)
