@@ -12,9 +12,11 @@ Groups that meet are never expanded into pairs:
 2. In each group every member is held against the group's first. Sizes and a parity
    bitmap of each set rule out most; the others are searched for in a prefix tree.
 3. Groups that these links leave in several components are compared across them, in
-   blocks, by bitmap. A member's nearest in each other component are searched for in
-   prefix trees first, which mostly joins the components; those that stay apart go on
-   with more of the nearest, until none is left out.
+   blocks, by bitmap. At first each set stands in its largest group only, and of the pairs
+   that bitmaps allow a spanning forest of the components is searched for in prefix trees,
+   nearest pairs first: no more pairs than components, which mostly joins them all. What
+   stays apart is compared in all its groups: a member's nearest in each other component,
+   then more of the nearest, until none is left out.
 
 Two linked documents meet in some group; there they are held against each other, or are
 in one component already. So no link between components is lost.
@@ -248,9 +250,22 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 _MORE = (-1, -1)  # stands for pairs that were left for a later round
 
 
+def _spanning(a: np.ndarray, b: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) make a spanning forest, those of least ``spare`` first."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    joined, chosen = _Union(len(names)), []
+    for pair in np.argsort(spare, kind="stable"):
+        if joined.join(int(ends[pair]), int(ends[len(a) + pair])):
+            chosen.append(pair)
+            if len(chosen) == len(names) - 1:
+                break
+    return np.array(chosen, np.int64)
+
+
 def _across(jaccard: Jaccard, nearest: int):
     """Plausible pairs of one cell of a group's grid that are in different components:
-    for each member and other component the ``nearest`` by bitmap, and a mark if there are more."""
+    for each member and other component the ``nearest`` by bitmap, and a mark if there are
+    more. With ``nearest`` 0, a spanning forest of the components."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["n"], r["node"]))
@@ -265,6 +280,7 @@ def _across(jaccard: Jaccard, nearest: int):
         stacked = {w: np.stack([m for m in maps if len(m) == w]) for w in np.unique(widths)}
         begin = {w: int(np.searchsorted(widths, w)) for w in stacked}
         out, more = [], False
+        close: list[tuple] = []  # for the forest: places of both members, and what they have to spare
         for at in range(len(rows)):
             last = int(np.searchsorted(n, jaccard.sizes(int(n[at]))[1], side="right"))
             others = np.arange(at + 1, last)
@@ -280,12 +296,19 @@ def _across(jaccard: Jaccard, nearest: int):
                 apart[some] = np.bitwise_count(theirs ^ maps[at]).sum(axis=1)
             spare = apart - (n[at] + n[others] - 2 * jaccard.needed(n[at], n[others]))
             others, spare = others[spare <= 0], spare[spare <= 0]
+            if not nearest:
+                close.append((np.full(len(others), at), others, spare))
+                continue
             order = np.lexsort((others, spare, component[others]))
             others = others[order]
             first = np.searchsorted(component[others], component[others])
             chosen = np.arange(len(others)) - first < nearest
             more |= not chosen.all()
             out += [(min(node[at], node[o]), max(node[at], node[o])) for o in others[chosen]]
+        if close:
+            a, b, spare = (np.concatenate(x) for x in zip(*close, strict=True))
+            chosen = _spanning(component[a], component[b], spare)
+            out = [(min(x, y), max(x, y)) for x, y in zip(node[a[chosen]], node[b[chosen]], strict=True)]
         return pa.Table.from_batches([_pairs_batch(out + [_MORE] * more)])
 
     return run
@@ -362,16 +385,17 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     plausible = stored(_plausible(tried, nodes, jaccard), "plausible")
     links = stored(_verified(plausible, nodes, slim, size, jaccard, levels), "found")
     labels = components(links)
-    nearest, more = NEAREST, True
+    largest = members.groupBy("node").agg(F.max(F.struct("m", "key")).alias("of")).select("node", "of.key", "of.m")
+    nearest, more, groups = 0, True, largest
     while more:
-        left = stored(_left_pairs(members, labels, nodes, jaccard, nearest), "left")
-        more = not left.where("a < 0").isEmpty()
+        left = stored(_left_pairs(groups, labels, nodes, jaccard, nearest), "left")
+        more = not nearest or not left.where("a < 0").isEmpty()
         new = stored(left.where("a >= 0").join(tried, ["a", "b"], "left_anti"), "new")
         if not new.isEmpty():
             links = links.unionByName(stored(_verified(new, nodes, slim, size, jaccard, levels), "found"))
             labels = components(links)
             tried = tried.unionByName(new)
-        nearest *= FURTHER
+        nearest, groups = nearest * FURTHER or NEAREST, members
 
     own = classes.where("row = node").select("node", "doc")
     named = labels.join(own, "node")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from fixtures import documents, empty, near_components, rows, sha, shingle_set, without_lines, without_repeats
 from pyspark.sql import functions as F
@@ -201,6 +202,21 @@ def test_chains_of_near_duplicates_are_one_component(spark, monkeypatch):
     assert set(found.values()) == {0}
 
 
+def test_a_forest_joins_components_by_few_pairs():
+    """Of m single sets that are all alike, m - 1 pairs are tried; two kinds stay two trees."""
+    rows = pa.Table.from_pylist(
+        [
+            {"i": 0, "j": 0, "block": 0, "n": 40, "node": 10 + i, "component": 10 + i, "bitmap": ngrams._bitmap(kind).tobytes()}
+            for i in range(60)
+            for kind in [np.arange(40, dtype=np.uint64) * np.uint64(7 if i % 3 else 11) + np.uint64(i % 3 == 0)]
+        ]
+    )
+    pairs = ngrams._across(ngrams.Jaccard(80), 0)(rows).to_pylist()
+    assert len(pairs) == 58 and all(((p["a"] - 10) % 3 == 0) == ((p["b"] - 10) % 3 == 0) for p in pairs)
+    joined = ngrams._Union(70)
+    assert all(joined.join(p["a"], p["b"]) for p in pairs)  # no circles
+
+
 def test_bpe(spark):
     found = bpe.encode_decode(documents(spark), WORDS).collect()
     theirs = Tokenizer.from_file(WORDS)
