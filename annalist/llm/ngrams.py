@@ -3,8 +3,8 @@ prefix-tree join.
 
 All sets are ordered alike: n-grams that many documents hold come last, the rest by hash.
 How many hold an n-gram is counted over all documents in a sketch of fixed size; the order
-is right whatever the sketch says. Linked sets share one of their first elements, so
-documents meet by those, and only there.
+is right whatever the sketch says. Linked sets share one of their first elements and are
+of like size, so documents meet by those elements within bands of sizes, and only there.
 
 Groups that meet are never expanded into pairs:
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.graph import components
@@ -44,7 +44,9 @@ GROUP_ROWS, GROUP_GRAMS = 1024, 1 << 20  # members and n-grams held against one
 BLOCK_ROWS = 1024  # members of a group compared by bitmap with as many others
 NEAREST, FURTHER = 4, 8  # partners tried per member and component at first; how many times more in the next round
 
-_SETS = "doc bigint, mark bigint, n int, digest binary, bitmap binary, keys array<bigint>"
+WANTED_SLOTS = 1 << 24  # bits that say whose texts are needed: 2 MB at most, however many documents there are
+
+_SETS = "doc bigint, mark bigint, n int, band int, up int, digest binary, bitmap binary, keys array<bigint>"
 
 
 # Sets of n-grams.
@@ -114,7 +116,8 @@ def _folded_rows(bitmaps: np.ndarray, words: int) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, size: int, jaccard: Jaccard, levels: np.ndarray) -> DataFrame:
-    """doc, mark, n, digest, bitmap and first elements of every document's set."""
+    """doc, mark, n, band of sizes, digest, bitmap and first elements of every document's set;
+    ``up``: how many of these may be the first that a set of the next band shares."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,16 +129,19 @@ def set_rows(docs: DataFrame, size: int, jaccard: Jaccard, levels: np.ndarray) -
                 bitmaps.append(_bitmap(grams).tobytes() if len(grams) else b"")
                 first = ordered(grams, table.value)[: jaccard.prefix(len(grams)) if len(grams) else 0]
                 keys.append(first.view(np.int64))
+            band, up = jaccard.bands(np.array(n, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc"],
                     batch["mark"],
                     pa.array(n, pa.int32()),
+                    pa.array(band, pa.int32()),
+                    pa.array(up, pa.int32()),
                     pa.array(digests, pa.binary()),
                     pa.array(bitmaps, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc", "mark", "n", "digest", "bitmap", "keys"],
+                ["doc", "mark", "n", "band", "up", "digest", "bitmap", "keys"],
             )
 
     return docs.select("doc", "mark", "text").mapInArrow(run, _SETS)
@@ -198,6 +204,23 @@ def _links_of_group(nodes: list[int], sets: list[np.ndarray], jaccard: Jaccard)
     return links
 
 
+def _slot() -> tuple[Column, Column]:
+    """Where the bit of a doc and mark stands: which bitmap, and the place there."""
+    slot = F.pmod(F.xxhash64("doc", "mark"), F.lit(WANTED_SLOTS))
+    return F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+
+
+def _wanted(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """The documents whose doc and mark stand in ``roles``, and a few others. The texts of
+    all documents need not be moved to find those of some."""
+    bucket, place = _slot()
+    bits = roles.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    held = docs.withColumns({"bucket": bucket, "place": place}).join(F.broadcast(bits), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.pow(F.lit(2), F.col("place") % 8).cast("int")
+    return held.where(byte.bitwiseAND(bit) > 0).select(*docs.columns)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, jaccard: Jaccard, levels: np.ndarray) -> DataFrame:
     """The links among pairs (a, b): the b of each a are searched for in a prefix tree."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
@@ -212,7 +235,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, ja
     # By id and text, so that rows without an id, or of one id, do not meet each other's texts.
     key = lambda rows: rows.withColumn("doc", F.coalesce("doc", F.lit(0)))
     roles = members.unionByName(leaders).join(key(nodes.select("node", "doc", "mark", "digest")), "node")
-    texts = roles.join(key(docs), ["doc", "mark"]).select("a", "lot", "place", "node", "digest", "text")
+    texts = roles.join(_wanted(key(docs), roles), ["doc", "mark"]).select("a", "lot", "place", "node", "digest", "text")
 
     def links(held: list[dict]) -> list[tuple[int, int]]:
         found: dict[int, np.ndarray] = {}
@@ -247,7 +270,7 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 # Groups that fall apart.
 
 
-_MORE = (-1, -1)  # stands for pairs that were left for a later round
+_MORE = -1  # stands, with a group's key, for pairs of it that were left for a later round
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -264,8 +287,8 @@ def _spanning(a: np.ndarray, b: np.ndarray, spare: np.ndarray) -> np.ndarray:
 
 def _across(jaccard: Jaccard, nearest: int):
     """Plausible pairs of one cell of a group's grid that are in different components:
-    for each member and other component the ``nearest`` by bitmap, and a mark if there are
-    more. With ``nearest`` 0, a spanning forest of the components."""
+    for each member and other component the ``nearest`` by bitmap, and the group's key if
+    there are more. With ``nearest`` 0, a spanning forest of the components."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["n"], r["node"]))
@@ -309,7 +332,9 @@ def _across(jaccard: Jaccard, nearest: int):
             a, b, spare = (np.concatenate(x) for x in zip(*close, strict=True))
             chosen = _spanning(component[a], component[b], spare)
             out = [(min(x, y), max(x, y)) for x, y in zip(node[a[chosen]], node[b[chosen]], strict=True)]
-        return pa.Table.from_batches([_pairs_batch(out + [_MORE] * more)])
+        if more:
+            out.append((_MORE, table["key"][0].as_py()))
+        return pa.Table.from_batches([_pairs_batch(out)])
 
     return run
 
@@ -376,10 +401,19 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
         chosen.withColumnRenamed("row", "node"), "node", "left_semi"
     )
     entries = (
-        full.select("row", "keys").join(chosen, "row", "left_semi").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
+        full.select("row", "band", "up", "keys")
+        .join(chosen, "row", "left_semi")
+        .select(F.col("row").alias("node"), "band", "up", F.posexplode("keys").alias("place", "key"))
+        .select("node", "key", (2 * F.col("band") + (F.col("place") < F.col("up")).cast("int")).alias("side"))
     )
-    shared = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1")
-    members = stored(entries.join(shared, "key"), "members")
+    met = stored(entries.join(entries.groupBy("key").count().where("count > 1").select("key"), "key"), "met")
+    # Linked sets are of one band or of two that adjoin. By the first element they share, both
+    # stand in the group of the upper band.
+    band = F.floor(F.col("side") / 2)
+    group = lambda rows, band: rows.select("node", F.xxhash64("key", band).alias("key"))
+    grouped = group(met, band).unionByName(group(met.where("side % 2 = 1"), band + 1))
+    shared = grouped.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1")
+    members = stored(grouped.join(shared, "key"), "members")
 
     tried = stored(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "tried")
     plausible = stored(_plausible(tried, nodes, jaccard), "plausible")
@@ -389,13 +423,15 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     nearest, more, groups = 0, True, largest
     while more:
         left = stored(_left_pairs(groups, labels, nodes, jaccard, nearest), "left")
-        more = not nearest or not left.where("a < 0").isEmpty()
+        # The other groups have had all their pairs tried; the forest was of the largest groups only.
+        groups = members.join(left.where(F.col("a") == _MORE).select(F.col("b").alias("key")), "key", "left_semi") if nearest else members
+        more = not nearest or not left.where(F.col("a") == _MORE).isEmpty()
         new = stored(left.where("a >= 0").join(tried, ["a", "b"], "left_anti"), "new")
         if not new.isEmpty():
             links = links.unionByName(stored(_verified(new, nodes, slim, size, jaccard, levels), "found"))
             labels = components(links)
             tried = tried.unionByName(new)
-        nearest, groups = nearest * FURTHER or NEAREST, members
+        nearest = nearest * FURTHER or NEAREST
 
     own = classes.where("row = node").select("node", "doc")
     named = labels.join(own, "node")

@@ -28,6 +28,16 @@ class Jaccard:
         """The least and the largest size of a set linked to one of size n."""
         return -(-self.percent * n // 100), 100 * n // self.percent
 
+    def bands(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sets of these sizes: the band, a number that is equal or one apart for linked
+        sets, and at how many first places an element may stand that is the first one shared
+        with a linked set of the next band."""
+        begins = [0, 1]
+        while begins[-2] <= n.max(initial=0):
+            begins.append(self.sizes(begins[-1])[1] + 1)  # the least that a set as small as the one before is not linked to
+        band = np.searchsorted(begins, n, side="right") - 1
+        return band, np.maximum(0, n - self.needed(n, np.array(begins)[band + 1]) + 1)
+
 
 @dataclass
 class _Node:

@@ -217,6 +217,41 @@ def test_a_forest_joins_components_by_few_pairs():
     assert all(joined.join(p["a"], p["b"]) for p in pairs)  # no circles
 
 
+@pytest.mark.parametrize("percent", [33, 50, 80, 85, 99, 100])
+def test_linked_sets_stand_in_bands_that_adjoin(percent):
+    jaccard, sizes = ngrams.Jaccard(percent), np.arange(300)
+    band, up = jaccard.bands(sizes)
+    for a in range(1, 300):
+        for b in range(a, min(jaccard.sizes(a)[1], 299) + 1):
+            assert band[b] - band[a] in (0, 1)
+            # The last place of the first shared element, with all others of the smaller set shared.
+            assert band[b] == band[a] or jaccard.needed(a, b) > a or a - jaccard.needed(a, b) < up[a]
+
+
+def test_sets_of_unlike_sizes_do_not_meet(spark, monkeypatch):
+    """All begin with the same words; only the two of like size are held against each other."""
+    pairs, stored = [], ngrams.stored
+
+    def counted(rows, purpose):
+        table = stored(rows, purpose)
+        pairs.extend(table.collect() if purpose == "tried" else [])
+        return table
+
+    monkeypatch.setattr(ngrams, "stored", counted)
+    texts = [" ".join(f"w{j}" for j in range(20 * 2**i)) for i in range(6)] + [" ".join(f"w{j}" for j in range(81))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in ngrams.near_duplicates(docs, 4, 85).collect()}
+    assert found == {i: i for i in range(6)} | {6: 2}
+    assert len(pairs) == 1
+
+
+def test_only_wanted_texts_are_moved(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc"), F.xxhash64("id").alias("mark"), F.col("id").cast("string").alias("text"))
+    found = {r.doc for r in ngrams._wanted(docs, docs.where("doc in (7, 8, 1500)")).collect()}
+    assert found >= {7, 8, 1500} and len(found) < 10
+    assert ngrams._wanted(docs, docs.where("doc < 0")).count() == 0
+
+
 def test_bpe(spark):
     found = bpe.encode_decode(documents(spark), WORDS).collect()
     theirs = Tokenizer.from_file(WORDS)
