@@ -1,6 +1,7 @@
 """Scoring counts and predicts words themselves, not slots or classes of them."""
 
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -120,3 +121,50 @@ def test_scores_of_the_registered_model_by_hand(spark):
         hashes = [int(h) for h in pseudo.words_of([text]).hashes.view(np.int64)]
         want = sum(log_probability(hashes, i) for i in range(len(hashes)))
         assert found[doc]["n_words"] == len(hashes) and found[doc]["log_likelihood"] == pytest.approx(want, rel=1e-3, abs=1e-6)
+
+
+def test_training_leaves_little_on_disk(spark, monkeypatch):
+    """A word of a part costs a few dozen bytes in all that is stored, however many vectors it trains."""
+    monkeypatch.setattr(pseudo, "DEALT_BYTES", 400_000)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{'abcdefgh'[x % 8]}{x}" for x in rng.integers(0, 60_000, 2000).tolist()) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).coalesce(2)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = size()
+    assert pseudo.pseudo_likelihood(docs).agg(F.sum("n_words")).first()[0] == 160_000
+    assert size() - before < 60 * 160_000
+
+
+def test_sums_of_runs_of_rows():
+    rng = np.random.default_rng(8)
+    for sizes in ([1, 1, 2, 3, 4, 1, 9, 3], [5, 4], [1], [2, 2], rng.integers(1, 7, 200).tolist()):
+        rows = rng.integers(-9, 9, (sum(sizes), 5)).astype(np.float32)
+        begin = np.cumsum(sizes) - sizes
+        want = [rows[a : a + n].sum(axis=0) for a, n in zip(begin, sizes, strict=True)]
+        assert np.array_equal(pseudo._summed(rows, begin), np.stack(want))
+
+
+def test_words_and_nodes_are_averaged_by_their_counts():
+    """Two parts that share a word: what each gets back is the mean by counts, in its own order."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    n_buckets, rows, held = 3, [], []
+    for part in range(2):
+        key = rng.choice(200, 120, replace=False).astype(np.int64)
+        weight, whole = rng.integers(1, 50, 120), rng.integers(-999, 999, (120, pseudo.WIDTH)).astype(np.int16)
+        held.append((key, weight, whole))
+        for bucket, some in pseudo._shares(np.full(120, pseudo._WORD), key, n_buckets):
+            packed = pseudo._planes(np.diff(key[some], prepend=0)), len(some).to_bytes(8, "little") + pseudo._planes(weight[some])
+            rows.append((part, bucket, *packed, pseudo._planes(whole[some].T)))
+    names = ["part", "bucket", "keys", "weights", "vectors"]
+    for part, (key, _, _) in enumerate(held):
+        for bucket, some in pseudo._shares(np.full(120, pseudo._WORD), key, n_buckets):
+            table = pa.table([pa.array(c) for c in zip(*(r for r in rows if r[1] == bucket), strict=True)], names)
+            back = pseudo._averaged(table, n_buckets).to_pylist()[part]
+            got = pseudo._unplaned(back["vectors"], len(some) * pseudo.WIDTH, np.int16).reshape(pseudo.WIDTH, -1).T
+            for k, vector in zip(key[some], got, strict=True):
+                both = [(w[ks == k][0], v[ks == k][0].astype(float)) for ks, w, v in held if k in ks]
+                want = sum(w * v for w, v in both) / sum(w for w, _ in both)
+                assert np.array_equal(vector, np.rint(want))
