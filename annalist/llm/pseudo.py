@@ -37,7 +37,7 @@ REACH, WIDTH = 2, 16  # words on each side, hidden units
 STEP_WORDS, RATE = 4096, 1.0
 VECTOR_RATE = 0.05  # of the words' and nodes' vectors, by the size of their gradients so far
 PART_BYTES = 1 << 20
-DEALT_BYTES = 48 << 20  # text of a part at most, unless one document is longer; about five eighths on average
+DEALT_BYTES = 24 << 20  # text of a part at most, unless one document is longer; about five eighths on average
 FIXED = 1 << 10  # vectors are summed as whole numbers of 16 bits, so that no order of rows changes a sum
 
 _OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
@@ -262,7 +262,8 @@ class Part:
             self.depth[word] += 1
         self.begin = np.cumsum(self.depth) - self.depth
         self.path, filled = np.empty(int(self.depth.sum()), np.int32), self.begin.copy()
-        for word, step in found:
+        while found:
+            word, step = found.pop()
             at = filled.take(word)
             self.path[at] = step
             filled[word] = at + 1
