@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist import schemas
+from annalist.catalog import queries
 from annalist.functions import clock, event_types, ids, lsn, payload, tuples
 from annalist.operators import defaults, trails
 from annalist.sources.frames import route_frames
@@ -25,6 +26,25 @@ def test_lsn_both_ways(spark):
         assert (r.n, r.t) == (r.number, r.text)
 
 
+def test_lsn_of_large_numbers(spark):
+    """Of whole numbers up to and beyond the last position, and of NULL."""
+    numbers = [0, 2**32 - 1, 2**63 - 1, 2**63, 2**63 + 2**32, 2**64 - 1, 2**64, 2**64 + 2**63 + 5, 10**20 + 7]
+    rows = spark.createDataFrame([(str(n),) for n in numbers] + [(None,)], "text string").withColumn("n", F.col("text").cast("decimal(22,0)"))
+    found = {r.text: r.lsn for r in rows.select("text", lsn.num_to_lsn(F.col("n")).alias("lsn")).collect()}
+    assert found == {str(n): f"{n >> 32:X}/{n & 0xFFFFFFFF:X}" for n in numbers} | {None: None}
+    assert spark.range(1).select(lsn.is_lsn(lsn.num_to_lsn(F.lit(str(2**64)).cast("decimal(20,0)"))).alias("ok")).first().ok is False
+
+
+def test_lsn_format_of_many_orders(spark, tmp_path):
+    """Order keys from 2^23 on, whose positions no bigint holds."""
+    keys = [0, 2**23 - 1, 2**23, 9_000_000, 2**24 - 1, 54_000_000]
+    rows = spark.createDataFrame([(k, 7 + k) for k in keys] + [(None, 1), (1, None)], "o_orderkey long, o_custkey long")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    found = {(r.o_orderkey, r.small_lsn): r.lsn for r in queries.lsn_format(spark, str(tmp_path)).collect()}
+    text = lambda n: f"{n >> 32:X}/{n & 0xFFFFFFFF:X}"
+    assert found == {(k, text(7 + k)): text((k << 40) + 7 + k) for k in keys} | {(None, "0/1"): None, (1, None): None}
+
+
 def test_malformed_lsn(spark):
     rows = spark.createDataFrame([(t,) for t in ("bad", "", "0/", "/1", "0/123456789", "0/1 ", "g/1", None)], "text string")
     assert all(r.n is None for r in rows.select(lsn.lsn_to_num(F.col("text")).alias("n")).collect())
