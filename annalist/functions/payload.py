@@ -50,6 +50,15 @@ def payload_class(text: Column) -> Column:
     return class_of(parsed(text), text)
 
 
+def is_object(text: Column) -> Column:
+    """Whether the class of a text is OBJECT; false for NULL. Parses the text once, and builds
+    no schema: a well-formed value is an object if it begins like one."""
+    mark = F.md5(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    begins = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
+    return F.coalesce(begins & (F.try_variant_get(listed, "$[1]", "string") == mark), F.lit(False))
+
+
 def decode_payload(text: Column) -> Column:
     """The payload as a variant object; NULL when there is none or it is an error.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalist import schemas
-from annalist.functions.payload import OBJECT, payload_class
+from annalist.functions.payload import is_object
 from annalist.operators.segments import CHANGE_KINDS, COMMIT, CONTROL_KINDS, RELATION, TRUNCATE
 from annalist.sources.messages import normalize
 
@@ -22,8 +22,8 @@ MALFORMED, NO_KIND, INCOMPLETE = "malformed", "no kind", "incomplete"
 
 def _parsed(raw: DataFrame) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    # The JSON reader overlooks text behind the message, which ``payload_class`` does not.
-    whole = raw.withColumn("is_object", payload_class(F.col("payload")) == OBJECT)
+    # The JSON reader overlooks text behind the message, which ``is_object`` does not.
+    whole = raw.withColumn("is_object", is_object(F.col("payload")))
     # As a list of one that is taken apart, so that the text is parsed once and not again
     # wherever a field is used.
     return whole.withColumn("message", F.explode(F.array(F.from_json("payload", _INNER, options))))

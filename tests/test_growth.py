@@ -42,6 +42,23 @@ def tables(spark, tmp_path_factory):
     return str(folder)
 
 
+def test_raw_messages_are_decoded_once(spark, tables):
+    found = queries.wal_disposition_raw(spark, tables)
+    assert "from_json" not in plan(found) and "parse_json" not in plan(found)
+    assert found.count() == inputs.change_log(spark, tables).count()
+    assert {r.disposition for r in found.select("disposition").distinct().collect()} >= {"begin", "change", "undecodable"}
+
+
+TEXTS = ['{}', ' {"a": 1} ', '\t\r\n{"a": [1]}', '{"a": 1} junk', '{"a": 1},{"b": 2}', '{"a": 1}]', '[{"a": 1}]', "null", " null", "1", '"{"', '"{}"']
+TEXTS += ['{"a": 1', "{", "", " ", "{'a': 1}", "\x0b{}", "﻿{}", '{"a": 1, "a": 2}', '{"a": 1},"{}"', None]
+
+
+def test_objects_are_told_as_by_their_class(spark):
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "p string")
+    for r in rows.select("p", payload.is_object(F.col("p")).alias("is"), payload.payload_class(F.col("p")).alias("class")).collect():
+        assert r["is"] == (r["class"] == payload.OBJECT), r
+
+
 def test_lines_are_shuffled_as_plain_columns(spark, tables):
     below = plan(inputs._line_messages(spark, tables)).split("Exchange ", 1)[1]
     assert "struct(" not in below and "array(" not in below
