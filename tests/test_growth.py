@@ -71,6 +71,33 @@ def test_an_image_is_worked_out_once(spark):
     assert image._jdf.queryExecution().analyzed().toString().count("zip_with") == 2  # one for each case
 
 
+def shuffle_files(spark):
+    top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {name for folder in top for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+
+
+def left_beyond(spark, before):
+    """Shuffle files that stay; they are deleted in the background."""
+    for _ in range(40):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.25)
+    return left
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tables, tmp_path):
+    rows = inputs.derived_log(spark, tables)
+    before = shuffle_files(spark)
+    land(rows, f"{tmp_path}/log")
+    assert not left_beyond(spark, before)
+    store = Store(spark, f"{tmp_path}/store")
+    capture_batch(store, spark.read.parquet(f"{tmp_path}/log"), 0, clock=F.lit("2024-01-01"))
+    assert not left_beyond(spark, before)
+    assert store.changes().count() > 0
+    files = [f for _, _, names in os.walk(f"{tmp_path}/store/attempts") for f in names if f.startswith("part-")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
 def test_settings_return_after_a_failure(spark):
     before = {name: spark.conf.get(name) for name in WRITING}
     with pytest.raises(ZeroDivisionError), lean_writes(spark):
