@@ -104,3 +104,14 @@ def test_settings_return_after_a_failure(spark):
         assert {name: spark.conf.get(name) for name in WRITING} == WRITING != before
         raise ZeroDivisionError
     assert {name: spark.conf.get(name) for name in WRITING} == before
+
+
+def test_hashes_move_twice(spark):
+    rows = spark.createDataFrame(
+        [("s", "0/1", 1, i + 1, 3000, f"x{i}", None if i == 7 else "y") for i in range(3000)],
+        "source_slot string, commit_lsn string, begin_pos long, change_seq_in_txn int, change_count long, forward_dml_sql string, reverse_dml_sql string",
+    )
+    hashes = described.statement_hashes(described.statement_fragments(rows))
+    assert plan(hashes).count("Exchange hashpartitioning") == 2
+    found = {r.direction: (r.n, r.missing, r.sql_hash is None) for r in hashes.collect()}
+    assert found == {"forward": (3000, 0, False), "reverse": (3000, 1, True)}
