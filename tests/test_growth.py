@@ -115,3 +115,13 @@ def test_hashes_move_twice(spark):
     assert plan(hashes).count("Exchange hashpartitioning") == 2
     found = {r.direction: (r.n, r.missing, r.sql_hash is None) for r in hashes.collect()}
     assert found == {"forward": (3000, 0, False), "reverse": (3000, 1, True)}
+
+
+def test_requests_meet_the_changes_once(spark, tmp_path):
+    spark.createDataFrame([("s", "0/1", 1, "DELETE")], "source_slot string, commit_lsn string, change_seq_in_txn int, reverse_dml_sql string").write.parquet(f"{tmp_path}/the-changes")
+    requests = spark.createDataFrame(
+        [("s", "0/1", 1, 1, "undo", "u"), ("s", "0/9", 1, 2, "undo", "v")], "source_slot string, commit_lsn string, change_seq_in_txn int, arrival bigint, action string, requested_by string"
+    )
+    judged = undo.judged_requests(spark.read.parquet(f"{tmp_path}/the-changes"), requests.withColumn("requested_at", F.lit(None).cast("timestamp_ntz")))
+    assert "the-changes" not in plan(judged)
+    assert {(r.requested_by, r.outcome) for r in judged.collect()} == {("u", "accepted"), ("v", "refused")}
